@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near_dedup, topk
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(_table(spark, sf_dir, "conversations"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +44,9 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_chat_format": op3_chat_format,
+    "op4_line_dedup": op4_line_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op7_sharding": op7_sharding,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_exact_top_k": op10_exact_top_k,
 }
@@ -76,6 +86,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM said GROUP BY conv_id
 """
 
+OP4_SQL = """
+WITH split AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, len(ls) AS n, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM split),
+w AS (
+  SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - strlen(line) - 1 AS s,
+    regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+r AS (
+  SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone FROM w),
+d AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(line)) FILTER (gone), 0) AS removed_chars,
+    coalesce(string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s + strlen(line) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (gone), '') AS removed_bytes,
+    coalesce(string_agg(line || CASE WHEN k < n THEN chr(10) ELSE '' END, '' ORDER BY k) FILTER (NOT gone), '') AS kept
+  FROM r GROUP BY doc_id)
+SELECT doc_id, n_removed, CAST(removed_chars AS BIGINT) AS removed_chars, removed_bytes,
+  length(CASE WHEN text IS NOT NULL THEN kept END) AS kept_chars, sha256(CASE WHEN text IS NOT NULL THEN kept END) AS kept_sha256
+FROM d JOIN split USING (doc_id)
+"""
+
 OP8_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 sh AS (
@@ -105,6 +133,7 @@ WHERE rank <= 10
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op3_chat_format": OP3_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op8_near_duplicates": OP8_SQL,
     "op10_exact_top_k": OP10_SQL,
 }
