@@ -10,7 +10,8 @@ Landmarks are segments that occur far more often in sentences of toxic than of o
 documents, plus common ones. A training sentence is represented by its worst segment's kernel
 values with the landmarks, times the inverse root of the landmark kernel; a linear
 SVM learns from these. Of toxic documents, sentences without an over-represented segment
-are left out (label noise); worst is what the SVM itself finds, anew each round. The solution is a
+are left out (label noise); worst is what the SVM itself finds, anew each round. The
+over-represented segments are also learned with characters inserted. The solution is a
 weighted sum over landmarks, so for scoring it is folded into one table over letter
 triples: the SVM value of a segment is a sum of table entries over its own
 norm, computed for the distinct segments of a slice at once. A document's score is
@@ -155,7 +156,8 @@ class SubsequenceSvm:
         z = (rate[1] - rate[0]) / np.sqrt(rate[1] / totals[1] + rate[0] / totals[0])
         proper = np.array([sum(c.isalpha() for c in w) >= 3 for w in names])
         z[~proper] = -np.inf
-        top = [k for k in np.argsort(-z, kind="stable")[: LANDMARKS // 2] if z[k] > SURE]
+        sure = max(SURE, 0.4 * z.max(initial=0.0))
+        top = [k for k in np.argsort(-z, kind="stable")[: LANDMARKS // 2] if z[k] > sure]
         common = [k for k in np.argsort(-counts.sum(0), kind="stable") if proper[k] and z[k] < 2][: LANDMARKS - len(top)]
         if not top:
             return self
@@ -164,6 +166,8 @@ class SubsequenceSvm:
         gram = kernel(self.landmarks, self.landmarks)
         e, v = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(gram)))
         root = v @ np.diag(np.maximum(e, 1e-6) ** -0.5) @ v.T
+        # the over-represented segments with characters between and inserted
+        disguised = kernel([v for k in top for v in _variants(names[k])], self.landmarks)
         beta = np.zeros(len(self.landmarks))
         beta[: len(top)] = 1.0
         w, b = np.linalg.solve(root, beta), -0.7
@@ -171,10 +175,11 @@ class SubsequenceSvm:
             single = (values @ (root @ w)).tolist()
             # a sentence stands for its worst segment
             worst = [sorted(((max((single[k], k) for k in s)) for s in sentences), reverse=True) for sentences in coded]
-            positive = [k for (label, _), s in zip(docs, worst, strict=True) if label == 1 for _, k in s if z[k] > SURE]
+            positive = [k for (label, _), s in zip(docs, worst, strict=True) if label == 1 for _, k in s if z[k] > sure]
             negative = [k for (label, _), s in zip(docs, worst, strict=True) if label == 0 for _, k in s[:HARDEST]]
             use = np.array(positive + negative)
-            w, b = _hinge(values[use] @ root, np.repeat([1.0, -1.0], [len(positive), len(negative)]), w, b)
+            x = np.concatenate([values[use], disguised])
+            w, b = _hinge(x @ root, np.repeat([1.0, -1.0, 1.0], [len(positive), len(negative), len(disguised)]), w, b)
         beta = root @ w
         segment, triple, value, norm = kernel_maps(*_joined(self.landmarks))
         self.table = np.zeros(CLASSES**3)
@@ -213,6 +218,10 @@ class SubsequenceSvm:
         return 0.98 * np.interp(value, self.knots, self.shares) + 0.02 * _sigmoid(value) * (self.table is not None)
 
 
+def _variants(word: str) -> list[str]:
+    return [".".join(word), *(word[:i] + c + word[i:] for i in range(1, len(word)) for c in "x-")]
+
+
 def _hinge(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, penalty: float = 1e-4, steps: int = 300):
     """Squared-hinge SVM with the classes weighted alike, by accelerated gradient steps."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
