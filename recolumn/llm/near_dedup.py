@@ -12,9 +12,10 @@ when 100 * intersection >= 75 * union, confirmed on the full sets.
    next of DEPTHS, so crowded regions are cut deep and sparse ones stay whole.
    Before a region is cut, each member is also paired with the region's smallest id.
 3. Inside an uncut region the longest common prefixes and equal values give a
-   spanning forest of likely pairs; these are confirmed and joined to components.
-4. Pairs inside uncut regions whose members still lie in different components are
-   then confirmed as well, all of them, and the components joined again.
+   spanning forest of likely pairs. Each class is first confirmed with one partner, then
+   the likely pairs whose ends lie in different components are.
+4. All other pairs inside uncut regions whose members still lie in different
+   components are then confirmed as well, and the components joined again.
 
 So no pair inside one component is confirmed twice over, and a group of n copies
 costs some multiple of n, not n * n. A pair at exactly 0.75 shares depth 2 in
@@ -44,7 +45,7 @@ from .cluster import components, durable
 SHINGLE = 5
 VALUES, TREES, REGION = 64, 24, 256
 DEPTHS = (2, 4, 8, 16, 32, 64)
-LIKELY = 29
+LIKELY, SURE = 29, 54
 BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = tx.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -96,23 +97,23 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["set_key", "n", "sig", "ids"])
 
 
-def _keys(depth: int, only_listed: bool):
-    """Region keys of each class in every tree, or in the listed tree of each row."""
-    order = (2 * np.arange(TREES)[:, None] + np.arange(depth)[None, :]) % VALUES
+def _keys(depths: tuple[int, ...]):
+    """Region keys of each class in every tree, one column for each depth."""
+    order = (2 * np.arange(TREES)[:, None] + np.arange(VALUES)[None, :]) % VALUES
 
     def run(batches):
         for batch in batches:
             m = batch.num_rows
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(m, VALUES)
-            trees = np.array(batch.column(2))[:, None] if only_listed else np.broadcast_to(np.arange(TREES), (m, TREES))
-            at = order[trees]
-            key = (trees.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            for d in range(depth):
-                key = tx.mix(key ^ np.take_along_axis(sig, at[:, :, d], axis=1))
-            ids = pa.array(np.repeat(np.arange(m), trees.shape[1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(ids), pa.array(trees.ravel().astype(np.int32)), pa.array(tx.signed(key).ravel())], names=["id", "tree", "key"]
-            )
+            key = np.broadcast_to((np.arange(TREES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), (m, TREES))
+            out = []
+            for d in range(max(depths)):
+                key = tx.mix(key ^ sig[:, order[:, d]])
+                if d + 1 in depths:
+                    out.append(pa.array(tx.signed(key.ravel())))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(m), TREES)))
+            tree = pa.array(np.tile(np.arange(TREES, dtype=np.int32), m))
+            yield pa.RecordBatch.from_arrays([ids, tree, *out], names=["id", "tree", *[f"k{d}" for d in depths]])
 
     return run
 
@@ -134,7 +135,7 @@ def _region_pairs(spanning: bool):
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
+            a, b, est = [], [], []
             for row in batch.to_pylist():
                 ids, n = row["ids"], np.array(row["ns"])
                 sig = np.frombuffer(b"".join(row["sigs"]), np.uint32).reshape(len(ids), VALUES)
@@ -159,21 +160,22 @@ def _region_pairs(spanning: bool):
                 for i, j in zip(x, y, strict=True):
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
+                    est.append(int(same[i, j]))
             kind = batch.schema.field("ids").type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(est, pa.int32())], names=["a", "b", "est"])
 
     return run
 
 
 def _star_pairs(batches):
-    """(id, smallest of its region) where the signatures make a link likely."""
+    """Pairs of an id and its region's smallest whose signatures make a link likely."""
     for batch in batches:
         m = batch.num_rows
-        sig, top = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(m, VALUES) for c in (1, 4))
-        n, n_top = np.array(batch.column(2)), np.array(batch.column(5))
-        ok = ((sig == top).sum(axis=1) >= LIKELY) & (100 * np.minimum(n, n_top) >= 75 * np.maximum(n, n_top))
-        keep = pa.array(np.flatnonzero(ok))
-        yield pa.RecordBatch.from_arrays([batch.column(3).take(keep), batch.column(0).take(keep)], names=["a", "b"])
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(m, VALUES) for c in (2, 3))
+        n, n_top = np.array(batch.column(4)), np.array(batch.column(5))
+        est = (x == y).sum(axis=1)
+        keep = np.flatnonzero((est >= LIKELY) & (100 * np.minimum(n, n_top) >= 75 * np.maximum(n, n_top)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(est[keep].astype(np.int32))], names=["a", "b", "est"])
 
 
 def _sets(batches):
@@ -207,6 +209,18 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     return durable(both.select("a", "b", "x", "y").mapInArrow(_confirm, f"a {kind}, b {kind}"))
 
 
+def _more(texts: DataFrame, links: DataFrame, labels: DataFrame, pairs: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Links and components once the further pairs are confirmed."""
+    pairs = durable(pairs)
+    if not pairs.take(1):
+        return links, labels
+    found = _confirmed(texts, pairs, kind)
+    if not found.take(1):
+        return links, labels
+    links = links.union(found)
+    return links, components(links)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every document."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -218,22 +232,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min(F.array_min("ids")).alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     )
     sigs = classes.select("id", "n", "sig").dropDuplicates(["id"])
-    members = sigs.select("id", "sig", F.lit(0).alias("tree")).mapInArrow(_keys(DEPTHS[0], False), f"id {kind}, tree int, key bigint")
-    uncut, pairs = [], []
+    base = f"k{DEPTHS[0]}"
+    members = sigs.select("id", "sig").mapInArrow(_keys(DEPTHS[:1]), f"id {kind}, tree int, {base} bigint").withColumnRenamed(base, "key")
+    uncut, stars = [], []
     for level, depth in enumerate(DEPTHS):
-        # regions of one class are the bulk; only their count leaves this step
+        # regions of one class are the bulk; they end here
         regions = durable(members.groupBy("tree", "key").agg(F.count("*").alias("size"), F.min("id").alias("top")).where("size > 1"))
-        inside = members.join(regions.where(F.col("size") <= REGION).select("tree", "key"), ["tree", "key"])
-        uncut.append(inside.select("tree", "key", "id", F.lit(level).alias("level")))
-        crowded = regions.where(F.col("size") > REGION)
-        if not crowded.take(1):
+        inside = members.join(regions, ["tree", "key"])
+        uncut.append(inside.where(F.col("size") <= REGION).select(F.lit(level).alias("level"), "tree", "key", "id"))
+        if not regions.where(F.col("size") > REGION).take(1):
             break
-        tops = durable(crowded.join(sigs.select(F.col("id").alias("top"), F.col("sig").alias("top_sig"), F.col("n").alias("top_n")), "top"))
-        inside = durable(members.join(crowded.select("tree", "key"), ["tree", "key"]).join(sigs, "id"))
-        star = inside.join(tops, ["tree", "key"]).where("id <> top").select("id", "sig", "n", "top", "top_sig", "top_n")
-        pairs.append(star.mapInArrow(_star_pairs, f"a {kind}, b {kind}"))
+        crowded = durable(inside.where(F.col("size") > REGION).select("id", "tree", "key", "top"))
+        stars.append(crowded.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b")))
+        if level == 0:
+            deeper = sigs.join(crowded.select("id").distinct(), "id").select("id", "sig")
+            deeper = durable(deeper.mapInArrow(_keys(DEPTHS[1:]), f"id {kind}, tree int, " + ", ".join(f"k{d} bigint" for d in DEPTHS[1:])))
         if level + 1 < len(DEPTHS):
-            members = inside.select("id", "sig", "tree").mapInArrow(_keys(DEPTHS[level + 1], True), f"id {kind}, tree int, key bigint")
+            members = crowded.select("id", "tree").join(deeper, ["id", "tree"]).select("id", "tree", F.col(f"k{DEPTHS[level + 1]}").alias("key"))
     inside = uncut[0]
     for more in uncut[1:]:
         inside = inside.union(more)
@@ -242,23 +257,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.array_sort(F.collect_list(F.struct("id", "n", "sig"))).alias("m"))
         .select("level", "tree", "key", F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.sig").alias("sigs"))
     )
-    likely = packed.select("ids", "ns", "sigs").mapInArrow(_region_pairs(True), f"a {kind}, b {kind}")
-    for more in pairs:
-        likely = likely.union(more)
+    pair = f"a {kind}, b {kind}, est int"
+    likely = packed.select("ids", "ns", "sigs").mapInArrow(_region_pairs(True), pair)
+    if stars:
+        star = stars[0]
+        for more in stars[1:]:
+            star = star.union(more)
+        star = durable(star.distinct())
+        star = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n").alias("m")), "a")
+        star = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"), "n"), "b")
+        likely = likely.union(star.select("a", "b", "x", "y", "m", "n").mapInArrow(_star_pairs, pair))
     likely = durable(likely.distinct())
-    links = _confirmed(texts, likely, kind)
+    # each class first meets one partner: the smallest id that is surely near, else the likeliest
+    sure = F.col("est") >= SURE
+    first = durable(likely.groupBy("b").agg(F.min(F.struct((~sure).alias("late"), F.when(sure, 0).otherwise(-F.col("est")).alias("far"), "a")).alias("best")).select("best.a", "b"))
+    links = _confirmed(texts, first, kind)
     labels = components(links)
+    # then all likely pairs whose ends still differ
+    named_ends = likely.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        named_ends = named_ends.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"g{end}")), end, "left")
+    apart = named_ends.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+    links, labels = _more(texts, links, labels, apart, kind)
     # what is left: pairs of uncut regions that lie in different components
     spread = packed.select("level", "tree", "key", F.posexplode("ids").alias("at", "id")).join(labels, "id", "left")
     spread = spread.groupBy("level", "tree", "key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "id").alias("g")))).alias("m"))
     spread = spread.where(F.size(F.array_distinct("m.g")) > 1).select("level", "tree", "key", F.col("m.g").alias("groups"))
-    rest = packed.join(spread, ["level", "tree", "key"]).select("ids", "ns", "sigs", "groups").mapInArrow(_region_pairs(False), f"a {kind}, b {kind}")
-    rest = durable(rest.distinct().join(likely, ["a", "b"], "left_anti"))
-    if rest.take(1):
-        more = _confirmed(texts, rest, kind)
-        if more.take(1):
-            links = links.union(more)
-            labels = components(links)
+    rest = packed.join(spread, ["level", "tree", "key"]).select("ids", "ns", "sigs", "groups").mapInArrow(_region_pairs(False), pair)
+    links, labels = _more(texts, links, labels, rest.select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), kind)
     label = classes.select("set_key", "n", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     rows = named.select("set_key", "n", F.explode("ids").alias("id"))
     full, empty = named.where("set_key is not null"), rows.where("set_key is null").select("id", "n", F.col("id").alias("component"))
