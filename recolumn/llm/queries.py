@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, quality, sharding, topk, toxicity
+from . import chat, decontaminate, language_model, line_dedup, mixing, near_dedup, quality, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_language_model": op9_language_model,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
