@@ -55,16 +55,14 @@ def _local_forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], names=["u", "v"])
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    return durable(edges.groupBy("u").agg(F.min("v").alias("m")))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node in `links` (a, b): the smallest id that it reaches.
 
-    Each partition first reduces its links to stars; alternating large-star and
-    small-star rounds then join the stars. Rounds stop when no edge changes.
-    Joins meet two exchanges, so a hub with very many neighbours can be split.
+    Each partition first reduces its links to stars. Then every round gives each
+    node its smallest neighbour as parent, moves its other edges to that parent and
+    lets nodes skip to their parent's parent. Rounds stop when no edge changes. Edges
+    lead from the larger to the smaller end, so a hub's edges start at many nodes;
+    where they are looked up by the hub, both sides are exchanged, so that key can be split.
     """
     kind = links.schema["a"].dataType.simpleString()
     edges = durable(
@@ -72,16 +70,15 @@ def components(links: DataFrame) -> DataFrame:
     )
     seen = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).head()
-        if tuple(state) == seen or not state[0]:
+        state = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).head())
+        if state == seen or not state[0]:
             break
-        seen = tuple(state)
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        low = _smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = _smallest(large)
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        seen = state
+        parents = durable(edges.groupBy("u").agg(F.min("v").alias("p")))
+        moved = edges.join(parents, "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"))
+        above = parents.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        jumped = parents.join(above, "p", "left").select("u", F.coalesce("q", "p").alias("v"))
+        edges = durable(moved.union(jumped).distinct())
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return durable(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots))
 

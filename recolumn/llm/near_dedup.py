@@ -272,13 +272,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sure = F.col("est") >= SURE
     first = durable(likely.groupBy("b").agg(F.min(F.struct((~sure).alias("late"), F.when(sure, 0).otherwise(-F.col("est")).alias("far"), "a")).alias("best")).select("best.a", "b"))
     links = _confirmed(texts, first, kind)
-    labels = components(links)
-    # then all likely pairs whose ends still differ
+    # then all likely pairs but those that two links to one partner already join
+    labels = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    labels = durable(labels.union(labels.select(F.col("component").alias("id"), "component").distinct()).groupBy("id").agg(F.min("component").alias("component")))
     named_ends = likely.select("a", "b").join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         named_ends = named_ends.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"g{end}")), end, "left")
     apart = named_ends.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    links, labels = _more(texts, links, labels, apart, kind)
+    links = links.union(_confirmed(texts, durable(apart), kind))
+    labels = components(links)
     # what is left: pairs of uncut regions that lie in different components
     spread = packed.select("level", "tree", "key", F.posexplode("ids").alias("at", "id")).join(labels, "id", "left")
     spread = spread.groupBy("level", "tree", "key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "id").alias("g")))).alias("m"))
