@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -29,20 +34,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def scaled(v: Column, by: Column) -> Column:
-    return F.transform(doubles(v), lambda x: x * by)
+    return let(by, lambda b: F.transform(doubles(v), lambda x: x * b))
 
 
 def normalised(v: Column) -> Column:
-    size = norm(v)
-    return F.when(size > 0, F.transform(doubles(v), lambda x: x / size)).otherwise(doubles(v))
+    return let(doubles(v), lambda d: let(norm(d), lambda size: F.when(size > 0, F.transform(d, lambda x: x / size)).otherwise(d)))
 
 
 def layer_norm(v: Column, epsilon: float = 1e-5) -> Column:
     """Population variance, no scale and shift."""
-    mean = total(doubles(v)) / F.size(v)
-    centred = F.transform(doubles(v), lambda x: x - mean)
-    spread = F.sqrt(dot(centred, centred) / F.size(v) + epsilon)
-    return F.transform(centred, lambda x: x / spread)
+    centred = let(total(doubles(v)) / F.size(v), lambda mean: F.transform(doubles(v), lambda x: x - mean))
+    return let(centred, lambda c: let(F.sqrt(dot(c, c) / F.size(c) + epsilon), lambda spread: F.transform(c, lambda x: x / spread)))
 
 
 def embedding_finish(v: Column, digits: int = 5) -> Column:
@@ -55,8 +57,7 @@ def masked_mean(tokens: Column, mask: Column, width: int) -> Column:
     zero = F.array_repeat(F.lit(0.0), width)
     pairs = F.arrays_zip(tokens.alias("t"), mask.alias("m"))
     sums = F.aggregate(pairs, zero, lambda s, p: F.zip_with(s, doubles(p["t"]), lambda x, y: x + y * p["m"]))
-    count = F.greatest(total(doubles(mask)), F.lit(1e-9))
-    return F.transform(sums, lambda x: x / count)
+    return let(F.greatest(total(doubles(mask)), F.lit(1e-9)), lambda count: F.transform(sums, lambda x: x / count))
 
 
 def clipped(v: Column, least: float = 1e-5) -> Column:

@@ -109,8 +109,8 @@ def metric_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(views.POPULAR, """
-both AS (SELECT 'popularity' AS recommender, user_id, item_id, recommendation_rank FROM popular UNION ALL SELECT 'rating', user_id, item_id, recommendation_rank FROM rated)""",
-    views.metrics_sql("both", KS, "recommender, ")) + f"SELECT recommender, CAST(K AS BIGINT) AS K, {_rs('precision', 'recall', 'ndcg', 'map', 'item_coverage', 'novelty')} FROM metrics")
+joint AS (SELECT 'popularity' AS recommender, user_id, item_id, recommendation_rank FROM popular UNION ALL SELECT 'rating', user_id, item_id, recommendation_rank FROM rated)""",
+    views.metrics_sql("joint", KS, "recommender, ")) + f"SELECT recommender, CAST(K AS BIGINT) AS K, {_rs('precision', 'recall', 'ndcg', 'map', 'item_coverage', 'novelty')} FROM metrics")
 def recommender_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _popular(spark, sf_dir).unionByName(_rated(spark, sf_dir)).withColumnRenamed("module_source", "recommender")
     rows = metrics.all_metrics(both, views.test(spark, sf_dir), KS, by=["recommender"])
@@ -381,11 +381,11 @@ near AS (SELECT user_id, item_id, score FROM (
 seen AS (SELECT user_id, item_id FROM train WHERE rating IN (1, 2, 4, 5)),
 mv AS (SELECT user_id, list(x ORDER BY p) AS vector FROM (SELECT user_id, p, avg(vector[p]) AS x FROM pos, (SELECT unnest(range(1, {views.WIDTH + 1})) AS p) GROUP BY user_id, p) GROUP BY user_id),
 plain AS (SELECT user_id, item_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM (SELECT a.user_id, b.item_id, round({_COSINE}, 10) AS score FROM mv a, items b)
-  WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM seen)) WHERE r <= 50),
-both AS (SELECT user_id, item_id, max(score) AS score, min(late) AS late FROM (
-  SELECT user_id, item_id, score, 0 AS late FROM near WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM seen) UNION ALL SELECT user_id, item_id, score, 1 FROM plain) GROUP BY user_id, item_id),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY late, score DESC, item_id) AS place FROM both) WHERE place <= 50)"""
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM (SELECT a.user_id, b.item_id, round({_COSINE}, 10) AS score FROM mv a, items b) x
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = x.user_id AND s.item_id = x.item_id)) WHERE r <= 50),
+joint AS (SELECT user_id, item_id, max(score) AS score, min(late) AS late FROM (
+  SELECT user_id, item_id, score, 0 AS late FROM near x WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = x.user_id AND s.item_id = x.item_id) UNION ALL SELECT user_id, item_id, score, 1 FROM plain) GROUP BY user_id, item_id),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY late, score DESC, item_id) AS place FROM joint) WHERE place <= 50)"""
 
 
 @query(_with(_SHARES, _KNN) + "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS recommendation_rank, round(score, 6) AS score FROM kept")
@@ -657,7 +657,7 @@ def profile_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(views.POPULAR, _JSON) + """
-SELECT user_id, item_id, rating, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM parsed WHERE item_id IN (SELECT item_id FROM catalog) AND (user_id, item_id) IN (SELECT (user_id, item_id) FROM test WHERE rating >= 3)""")
+SELECT user_id, item_id, rating, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM parsed WHERE item_id IN (SELECT item_id FROM catalog) AND EXISTS (SELECT 1 FROM test t WHERE t.user_id = parsed.user_id AND t.item_id = parsed.item_id AND t.rating >= 3)""")
 def simulated_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = views.test(spark, sf_dir).where("rating >= 3")
     return simulate.feedback(_json_replies(spark, sf_dir), wanted, views.catalog(spark, sf_dir), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
