@@ -1,11 +1,59 @@
-"""Corpus pipeline: its stages call the operators of recolumn.llm."""
+"""Corpus pipeline: quality filter, near-duplicate removal, decontamination, source mix, shards.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) with docs as written by the stage before and
+returns the columns of `documents`; the last one adds where each document is stored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from recolumn.llm import cluster, decontaminate, mixing, near_dedup, quality, sharding
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    found = near_dedup.near_duplicates(docs)
+    return cluster.without(docs, found.where("not kept").select("id"), "doc_id")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return cluster.without(docs, found.where("size(items) > 0 and id is not null").select("id"), "doc_id")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as read back from the committed shards, with shard and shard_bytes."""
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("shards", shards),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            path = cluster.fresh_path(spark, f"pipeline-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

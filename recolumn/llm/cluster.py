@@ -89,3 +89,10 @@ def row_keys(first: int, n: int) -> np.ndarray:
 
     at = TaskContext.get()
     return np.arange(first, first + n, dtype=np.int64) + ((at.partitionId() if at else 0) << 40)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of `docs` whose id is not in `ids` (one column); the ids are broadcast only if there are at most `most`."""
+    ids = durable(ids.toDF("_id"))
+    small = ids.count() <= most
+    return docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_id"), "left_anti")

@@ -32,6 +32,7 @@ from .cluster import durable
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2.0
 BLOCK_WORDS, SHARD_WORDS, GROUPS = 32, 1 << 15, 256
+BROADCAST_IDS = 1_000_000
 
 
 def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> dict:
@@ -151,7 +152,9 @@ def report(docs: DataFrame) -> DataFrame:
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, columns: list[str]) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Whole documents, each as often as the block at its middle is taken; columns as in `docs`. Ids must be unique."""
-    times = mix(docs).where("copies > 0").select(F.col("id").alias("doc_id"), "copies")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    times = durable(mix(docs, id_col).where("copies > 0").select(F.col("id").alias("_id"), F.col("copies").cast("int").alias("_copies")))
+    small = times.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(times) if small else times, F.col(id_col) == F.col("_id"))
+    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

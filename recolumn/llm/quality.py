@@ -221,15 +221,37 @@ def _score_rows(model):
     return run
 
 
+def _learned(seen) -> Gam:
+    """The model of (id, x, y) rows: SAMPLE at most."""
+    x = seen.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if seen.num_rows else np.zeros((0, len(FEATURES)))
+    return Gam().fit(x, seen.column("y").to_numpy().astype(float))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every document row."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_feature_rows, f"id {kind}, x array<float>"))
-    known = sample_labels(labels, "quality")
-    seen = rows.join(F.broadcast(known), "id").select("id", "x", "y").orderBy("id", "y").limit(SAMPLE).toArrow()
-    x = seen.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if seen.num_rows else np.zeros((0, len(FEATURES)))
-    model = Gam().fit(x, seen.column("y").to_numpy().astype(float))
-    return rows.mapInArrow(_score_rows(docs.sparkSession.sparkContext.broadcast(model)), f"id {kind}, score double")
+    seen = rows.join(F.broadcast(sample_labels(labels, "quality")), "id").select("id", "x", "y").orderBy("id", "y").limit(SAMPLE).toArrow()
+    return rows.mapInArrow(_score_rows(docs.sparkSession.sparkContext.broadcast(_learned(seen))), f"id {kind}, score double")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores at least the threshold; texts are scored where they are read."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample_labels(labels, "quality")), "id")
+    rows = rows.select(F.struct("id", "y").alias("id"), "text").mapInArrow(_feature_rows, f"id struct<id:{kind},y:int>, x array<float>")
+    seen = rows.select("id.id", "x", "id.y").orderBy("id", "y").limit(SAMPLE).toArrow()
+    model = docs.sparkSession.sparkContext.broadcast(_learned(seen))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            body, where = tx.buffers(batch.column(at))
+            parts = [model.value.score(features(*tx.cut(body, where, i, j))) for i, j in tx.slices(where)]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
