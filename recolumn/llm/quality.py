@@ -27,7 +27,7 @@ from . import textops as tx
 from .cluster import durable
 
 SAMPLE, BINS, ROUNDS, PAIRS, PAIR_ROUNDS, PAIR_BINS = 20_000, 32, 60, 8, 30, 8
-RATE, MIN_HESSIAN, L2 = 0.3, 4.0, 1.0
+RATE, MIN_HESSIAN, L2 = 0.3, 0.5, 1.0
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "word_spread", "lower", "upper", "digit", "space", "sentence_marks",
@@ -168,7 +168,7 @@ class Gam:
         return _sigmoid(self.raw(x))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Gam:
-        share = y.mean() if len(y) else 0.5
+        share = y.mean() if len(y) else 0.0
         if not 0 < share < 1:
             self.base = float(np.log((share * len(y) + 0.5) / ((1 - share) * len(y) + 0.5))) if len(y) else 0.0
             return self
