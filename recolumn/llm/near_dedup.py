@@ -135,7 +135,7 @@ def _region_pairs(spanning: bool):
 
     def run(batches):
         for batch in batches:
-            a, b, est = [], [], []
+            a, b, est, cell = [], [], [], []
             for row in batch.to_pylist():
                 ids, n = row["ids"], np.array(row["ns"])
                 sig = np.frombuffer(b"".join(row["sigs"]), np.uint32).reshape(len(ids), VALUES)
@@ -161,8 +161,9 @@ def _region_pairs(spanning: bool):
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
                     est.append(int(same[i, j]))
+                    cell.append(row["cell"])
             kind = batch.schema.field("ids").type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(est, pa.int32())], names=["a", "b", "est"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(est, pa.int32()), pa.array(cell, pa.int64())], names=["a", "b", "est", "cell"])
 
     return run
 
@@ -199,26 +200,45 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
 
+def _wanted_sets(texts: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """Full sets of the listed ids; the ids are broadcast only if there are at most BROADCAST_IDS."""
+    wanted = durable(ids.distinct())
+    small = wanted.count() <= BROADCAST_IDS
+    return durable(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles binary").dropDuplicates(["id"]))
+
+
 def _confirmed(texts: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     """The pairs (of class representatives) whose full sets meet the threshold."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    small = wanted.count() <= BROADCAST_IDS
-    sets = durable(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles binary").dropDuplicates(["id"]))
+    sets = _wanted_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), kind)
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     return durable(both.select("a", "b", "x", "y").mapInArrow(_confirm, f"a {kind}, b {kind}"))
 
 
-def _more(texts: DataFrame, links: DataFrame, labels: DataFrame, pairs: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Links and components once the further pairs are confirmed."""
-    pairs = durable(pairs)
-    if not pairs.take(1):
-        return links, labels
-    found = _confirmed(texts, pairs, kind)
-    if not found.take(1):
-        return links, labels
-    links = links.union(found)
-    return links, components(links)
+def _confirm_cell(batches):
+    for batch in batches:
+        a, b = [], []
+        for row in batch.to_pylist():
+            sets = {m["id"]: np.frombuffer(m["shingles"], np.uint64) for m in row["members"]}
+            for p in row["pairs"]:
+                x, y = sets[p["a"]], sets[p["b"]]
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= 75 * (len(both) - shared):
+                    a.append(p["a"])
+                    b.append(p["b"])
+        kind = batch.schema.field("pairs").type.value_type.field("a").type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+
+def _confirmed_by_region(texts: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+    """As _confirmed, for (a, b, cell): each set goes once to each region that needs it, not once to each pair."""
+    ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = _wanted_sets(texts, ends.select("id"), kind)
+    members = ends.join(sets, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
+    rows = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(members, "cell")
+    return durable(rows.select("pairs", "members").mapInArrow(_confirm_cell, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,17 +268,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             deeper = sigs.join(crowded.select("id").distinct(), "id").select("id", "sig")
             deeper = durable(deeper.mapInArrow(_keys(DEPTHS[1:]), f"id {kind}, tree int, " + ", ".join(f"k{d} bigint" for d in DEPTHS[1:])))
         if level + 1 < len(DEPTHS):
-            members = crowded.select("id", "tree").join(deeper, ["id", "tree"]).select("id", "tree", F.col(f"k{DEPTHS[level + 1]}").alias("key"))
+            members = durable(crowded.select("id", "tree").join(deeper, ["id", "tree"]).select("id", "tree", F.col(f"k{DEPTHS[level + 1]}").alias("key")))
     inside = uncut[0]
     for more in uncut[1:]:
         inside = inside.union(more)
     packed = durable(
         inside.join(sigs, "id").groupBy("level", "tree", "key")
         .agg(F.array_sort(F.collect_list(F.struct("id", "n", "sig"))).alias("m"))
-        .select("level", "tree", "key", F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.sig").alias("sigs"))
+        .select(F.xxhash64("level", "tree", "key").alias("cell"), F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.sig").alias("sigs"))
     )
     pair = f"a {kind}, b {kind}, est int"
-    likely = packed.select("ids", "ns", "sigs").mapInArrow(_region_pairs(True), pair)
+    likely = packed.mapInArrow(_region_pairs(True), f"{pair}, cell long").select("a", "b", "est")
     if stars:
         star = stars[0]
         for more in stars[1:]:
@@ -282,11 +302,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(_confirmed(texts, durable(apart), kind))
     labels = components(links)
     # what is left: pairs of uncut regions that lie in different components
-    spread = packed.select("level", "tree", "key", F.posexplode("ids").alias("at", "id")).join(labels, "id", "left")
-    spread = spread.groupBy("level", "tree", "key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "id").alias("g")))).alias("m"))
-    spread = spread.where(F.size(F.array_distinct("m.g")) > 1).select("level", "tree", "key", F.col("m.g").alias("groups"))
-    rest = packed.join(spread, ["level", "tree", "key"]).select("ids", "ns", "sigs", "groups").mapInArrow(_region_pairs(False), pair)
-    links, labels = _more(texts, links, labels, rest.select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), kind)
+    spread = packed.select("cell", F.posexplode("ids").alias("at", "id")).join(labels, "id", "left")
+    spread = spread.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "id").alias("g")))).alias("m"))
+    spread = spread.where(F.size(F.array_distinct("m.g")) > 1).select("cell", F.col("m.g").alias("groups"))
+    rest = packed.join(spread, "cell").mapInArrow(_region_pairs(False), f"{pair}, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    rest = durable(rest.join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+    if rest.take(1):
+        more = _confirmed_by_region(texts, rest, kind)
+        if more.take(1):
+            labels = components(links.union(more))
     label = classes.select("set_key", "n", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     rows = named.select("set_key", "n", F.explode("ids").alias("id"))
     full, empty = named.where("set_key is not null"), rows.where("set_key is null").select("id", "n", F.col("id").alias("component"))
