@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
+from .cluster import bounded_batches
 
 HEAD, MIDDLE, TAIL = b"### ", b" ###\n", b"</turn>\n"
 SPECIAL = {ord("\\"): ord("b"), ord("#"): ord("h"), ord("<"): ord("l")}
@@ -69,7 +70,7 @@ def assemble(roles: pa.Array, texts: pa.Array, turns: np.ndarray) -> tuple[pa.Ar
     edge = np.concatenate([[0], np.cumsum(turns)])
     offsets = np.concatenate([[0], ends])[edge]
     if len(out) >= 1 << 31:
-        raise ValueError("formatted conversations of one batch exceed 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        raise ValueError("formatted conversations of one batch exceed 2 GB; one conversation is too long")
     column = pa.Array.from_buffers(pa.string(), len(turns), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
     chars = _characters(out)
     trained = np.array([r == TRAINED for r in roles.to_pylist()], bool)
@@ -93,6 +94,7 @@ def _format(batches):
 
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans (array of start, end in code points of `formatted`)."""
+    bounded_batches(rows.sparkSession)
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     rows = rows.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))

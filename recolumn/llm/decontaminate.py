@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .cluster import row_keys
+from .cluster import bounded_batches, row_keys
 
 WINDOW, GRAM = 10, 5
 SPREAD = WINDOW - GRAM + 1
@@ -157,7 +157,7 @@ def _common(a: str, b: str):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document row: id, row, n_words, spans (word ranges that are hit, joined), items (item ids as sorted strings)."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     items = items.mapInArrow(_item_rows, f"item_id string, {_HIT}").dropDuplicates(["item_id", "n", "fp", "gram", "before", "after"])
     items = items.persist()

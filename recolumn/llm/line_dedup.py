@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import durable
+from .cluster import bounded_batches, durable
 
 MIN_WORDS = 5
 _LF = np.ones(256, bool)
@@ -121,6 +121,7 @@ def _cut(batches):
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, text (what stays), n_removed, removed_chars, spans (byte ranges of the original text)."""
+    bounded_batches(docs.sparkSession)
     spans = repeated_lines(docs, id_col, text_col, min_words)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, "id", "left").select("id", "text", "spans")
     return rows.mapInArrow(_cut, "id long, text string, n_removed long, removed_chars long, spans array<struct<s:bigint,e:bigint>>")

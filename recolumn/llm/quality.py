@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import durable
+from .cluster import bounded_batches, durable
 
 SAMPLE, BINS, ROUNDS, PAIRS, PAIR_ROUNDS, PAIR_BINS = 20_000, 32, 60, 8, 30, 8
 RATE, MIN_HESSIAN, L2 = 0.3, 0.5, 1.0
@@ -237,6 +237,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores at least the threshold; texts are scored where they are read."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample_labels(labels, "quality")), "id")
     rows = rows.select(F.struct("id", "y").alias("id"), "text").mapInArrow(_feature_rows, f"id struct<id:{kind},y:int>, x array<float>")

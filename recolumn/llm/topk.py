@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import bounded_batches
+
 BLOCK, QUERY_BLOCK = 4096, 1024
 _PACKED = "dim int, first long, n int, ids binary, vectors binary, cells binary, low binary, step binary"
 
@@ -106,6 +108,7 @@ def _search(k: int):
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k highest inner products of each row for which `is_query` holds."""
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     data = rows.mapInArrow(_pack(scale, BLOCK), _PACKED)
     queries = rows.where(is_query(F.col("id"))).distinct().mapInArrow(_pack(scale, QUERY_BLOCK), _PACKED)

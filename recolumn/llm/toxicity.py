@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .cluster import bounded_batches
 from .quality import _sigmoid, held_out, sample_labels
 
 SAMPLE, LANDMARKS, SPAN, DECAY = 5_000, 64, 6, 0.7
@@ -287,6 +288,7 @@ def _score_rows(model):
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every document row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(fit_model(rows, labels))
