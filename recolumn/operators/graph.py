@@ -98,3 +98,10 @@ def pair_losses(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
     rows = rows.join(items.select(F.col("item_id").alias("good"), F.col("vector").alias("g")), "good").join(items.select(F.col("item_id").alias("bad"), F.col("vector").alias("b")), "bad")
     margin = V.dot(F.col("u"), F.col("g")) - V.dot(F.col("u"), F.col("b"))
     return rows.select("user_id", "good", "bad", V.bpr_loss(margin).alias("loss"))
+
+
+def sampled_edges(edges: DataFrame, nodes: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """At most `most` incoming edges of each listed node (id), drawn by a seeded hash: one layer's block of a minibatch."""
+    order = Window.partitionBy("dst").orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "src")
+    near = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("src", "dst", "w")

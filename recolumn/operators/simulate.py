@@ -99,3 +99,27 @@ def feedback(replies: DataFrame, requested: DataFrame, catalog: DataFrame, at: C
 def minute_tokens(calls: DataFrame, limit: int) -> DataFrame:
     """Token sums by minute and whether they pass the limit."""
     return calls.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.sum("tokens").alias("tokens")).withColumn("over", F.col("tokens") > limit)
+
+
+def iterative_profiles(steps: DataFrame, judge: Callable[[list[str]], list[str | None]], instruction: str = "Update the profile.\n") -> DataFrame:
+    """user_id, chunk, profile: each chunk's prompt holds the profile so far, so a user's chunks go one after another.
+
+    steps: user_id, chunk, prompt. A chunk without a reply keeps the profile before it.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        profile, out = "", []
+        for row in group.sort_values("chunk").itertuples():
+            reply = judge([f"{instruction}Profile: {profile}\n{row.prompt}"])[0]
+            profile = profile if reply is None else reply
+            out.append((row.user_id, row.chunk, profile))
+        return pd.DataFrame(out, columns=["user_id", "chunk", "profile"])
+
+    return steps.select("user_id", "chunk", "prompt").groupBy("user_id").applyInPandas(run, "user_id long, chunk long, profile string")
+
+
+def enrich_missing(items: DataFrame, column: str, judge: Callable[[list[str]], list[str | None]], prompt: Column) -> DataFrame:
+    """items with `column` filled by the judge where it is null or empty; other rows are not asked about."""
+    open_ = items.where(F.col(column).isNull() | (F.col(column) == "")).select(F.col("item_id").alias("user_id"), prompt.alias("prompt"))
+    found = ask(open_, judge).select(F.col("user_id").alias("item_id"), F.col("reply").alias("_reply"))
+    return items.join(found, "item_id", "left").withColumn(column, F.coalesce("_reply", column)).drop("_reply")
