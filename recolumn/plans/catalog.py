@@ -339,7 +339,7 @@ def user_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(_UV) + f"""
-SELECT user_id, item_id, recommendation_rank, round(s, 6) AS score FROM (
+SELECT user_id, item_id, recommendation_rank, floor(s * 1e6 + 0.5) / 1e6 AS score FROM (
   SELECT user_id, item_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) AS recommendation_rank
   FROM (SELECT a.user_id, b.item_id, round({_COSINE}, 10) AS s FROM uv a, items b)) WHERE recommendation_rank <= 50""")
 def user_cosine_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +349,7 @@ def user_cosine_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with() + f"""
 SELECT item_id, neighbour, rank, score FROM (
-  SELECT a.item_id, b.item_id AS neighbour, round(round({_COSINE}, 10), 6) AS score, row_number() OVER (PARTITION BY a.item_id ORDER BY round(round({_COSINE}, 10), 6) DESC, b.item_id) AS rank
+  SELECT a.item_id, b.item_id AS neighbour, floor(round({_COSINE}, 10) * 1e6 + 0.5) / 1e6 AS score, row_number() OVER (PARTITION BY a.item_id ORDER BY floor(round({_COSINE}, 10) * 1e6 + 0.5) / 1e6 DESC, b.item_id) AS rank
   FROM items a JOIN items b ON a.item_id <> b.item_id) WHERE rank <= 10""")
 def item_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(recommend.item_neighbours(views.items(spark, sf_dir), 10).select("item_id", "neighbour", "rank", "score"), "rank")
@@ -388,7 +388,7 @@ joint AS (SELECT user_id, item_id, max(score) AS score, min(late) AS late FROM (
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY late, score DESC, item_id) AS place FROM joint) WHERE place <= 50)"""
 
 
-@query(_with(_SHARES, _KNN) + "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS recommendation_rank, round(score, 6) AS score FROM kept")
+@query(_with(_SHARES, _KNN) + "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS recommendation_rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM kept")
 def cluster_quota_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = views.train(spark, sf_dir).where(F.col("rating").isin(1, 2, 4, 5)).select("user_id", "item_id")
     rows = recommend.clustered_knn(_positives(spark, sf_dir), views.items(spark, sf_dir).select("item_id", "vector"), seen, views.WIDTH)
@@ -599,7 +599,7 @@ def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(_UV) + f"""
 , s AS (SELECT user_id, item_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) AS r FROM (SELECT a.user_id, b.item_id, round({_COSINE}, 10) AS s FROM uv a, items b))
-SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 6) DESC, item_id) AS new_rank FROM s WHERE r <= 20""")
+SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(s * 1e6 + 0.5) DESC, item_id) AS new_rank FROM s WHERE r <= 20""")
 def pairwise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recommend.profile_top_n(_user_vectors(spark, sf_dir), views.items(spark, sf_dir), 20)
     return _long(rerank.pairwise_order(rows, rerank.by_score, 20), "new_rank")
