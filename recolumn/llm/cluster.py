@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -26,16 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Arrow batches of at most BATCH_BYTES (or one row), however long the texts or lists in a row are."""
-    if int(spark.conf.get(_BATCH_CONF, None) or 1 << 40) > BATCH_BYTES:
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> SparkSession:
+    """Arrow batches of about `size` bytes (or one row), however long the texts or lists in a row are."""
+    spark.conf.set(_BATCH_CONF, str(size))
     return spark
 
 
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder; lineage ends there."""
-    shared_dir(bounded_batches(df.sparkSession))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

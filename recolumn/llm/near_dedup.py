@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import components, durable
+from .cluster import bounded_batches, components, durable
 
 SHINGLE = 5
 VALUES, TREES, REGION = 64, 24, 256
@@ -243,6 +243,7 @@ def _confirmed_by_region(texts: DataFrame, pairs: DataFrame, kind: str) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every document."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = durable(texts.mapInArrow(_classes, f"set_key binary, n bigint, sig binary, ids array<{kind}>"))

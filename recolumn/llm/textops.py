@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
