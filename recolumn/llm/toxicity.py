@@ -40,6 +40,7 @@ from .quality import _sigmoid, held_out, sample_labels
 SAMPLE, LANDMARKS, SPAN, DECAY = 5_000, 64, 6, 0.7
 HARDEST, ROUNDS, SURE = 4, 3, 3.0  # sentences of a clean document that are learned from; rounds; standard errors
 CLASSES = 32
+SLICE = 2 << 20  # larger slices hold each distinct segment once
 #: Gaps (to the second and to the third letter) and weights of all triples within SPAN.
 TRIPLES = [(i, j, DECAY ** (j + 1)) for j in range(2, SPAN) for i in range(1, j)]
 
@@ -279,7 +280,7 @@ def _score_rows(model):
     def run(batches):
         for batch in batches:
             body_all, at_all = tx.buffers(batch.column(1))
-            most = [model.value.largest(*tx.cut(body_all, at_all, i, j)) for i, j in tx.slices(at_all)]
+            most = [model.value.largest(*tx.cut(body_all, at_all, i, j)) for i, j in tx.slices(at_all, SLICE)]
             score = model.value.score(np.concatenate(most)) if most else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
 
