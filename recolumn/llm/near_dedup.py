@@ -14,7 +14,7 @@ when 100 * intersection >= 75 * union, confirmed on the full sets.
 3. Inside an uncut region the longest common prefixes and equal values give a
    spanning forest of likely pairs. Each class is first confirmed with one partner, then
    the likely pairs whose ends lie in different components are.
-4. All other pairs inside uncut regions whose members still lie in different
+4. All other likely pairs inside uncut regions whose members lie in different
    components are then confirmed as well, and the components joined again.
 
 So no pair inside one component is confirmed twice over, and a group of n copies
@@ -130,21 +130,18 @@ def _likely(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
     return same
 
 
-def _region_pairs(spanning: bool):
-    """Likely pairs of each region: a spanning forest, or all between different components."""
+def _region_pairs():
+    """Likely pairs of each region: a spanning forest."""
 
     def run(batches):
         for batch in batches:
-            a, b, est, cell = [], [], [], []
+            a, b, est = [], [], []
             for row in batch.to_pylist():
                 ids, n = row["ids"], np.array(row["ns"])
                 sig = np.frombuffer(b"".join(row["sigs"]), np.uint32).reshape(len(ids), VALUES)
                 same = np.triu(_likely(sig, n), 1)
-                if not spanning:
-                    group = np.array(row["groups"])
-                    same[group[:, None] == group[None, :]] = 0
                 x, y = np.nonzero(same)
-                if spanning and len(x) > 1:
+                if len(x) > 1:
                     order = np.argsort(-same[x, y], kind="stable")
                     root, kept = list(range(len(ids))), []
                     for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
@@ -161,9 +158,8 @@ def _region_pairs(spanning: bool):
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
                     est.append(int(same[i, j]))
-                    cell.append(row["cell"])
             kind = batch.schema.field("ids").type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(est, pa.int32()), pa.array(cell, pa.int64())], names=["a", "b", "est", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(est, pa.int32())], names=["a", "b", "est"])
 
     return run
 
@@ -215,30 +211,62 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     return durable(both.select("a", "b", "x", "y").mapInArrow(_confirm, f"a {kind}, b {kind}"))
 
 
+def _open_pairs(row: dict) -> np.ndarray:
+    """Likely pairs of a region whose members lie in different components, as indices."""
+    sig = np.frombuffer(b"".join(row["sigs"]), np.uint32).reshape(len(row["ids"]), VALUES)
+    group = np.array(row["groups"])
+    same = np.triu(_likely(sig, np.array(row["ns"])), 1)
+    same[group[:, None] == group[None, :]] = 0
+    return np.argwhere(same)
+
+
+def _open_members(batches):
+    """(cell, id) of the members of such pairs."""
+    for batch in batches:
+        cell, ids = [], []
+        for row in batch.to_pylist():
+            own = np.unique(_open_pairs(row)).tolist()
+            cell += [row["cell"]] * len(own)
+            ids += [row["ids"][k] for k in own]
+        kind = batch.schema.field("ids").type.value_type
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(ids, kind)], names=["cell", "id"])
+
+
 def _confirm_cell(batches):
+    """Links between different components of each region, found on the full sets; components that meet count as one from then on."""
     for batch in batches:
         a, b = [], []
         for row in batch.to_pylist():
             sets = {m["id"]: np.frombuffer(m["shingles"], np.uint64) for m in row["members"]}
-            for p in row["pairs"]:
-                x, y = sets[p["a"]], sets[p["b"]]
+            root = {g: g for g in row["groups"]}
+            for i, j in _open_pairs(row).tolist():
+                p, q = row["groups"][i], row["groups"][j]
+                while root[p] != p:
+                    p = root[p]
+                while root[q] != q:
+                    q = root[q]
+                if p == q:
+                    continue
+                x, y = sets[row["ids"][i]], sets[row["ids"][j]]
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 if 100 * shared >= 75 * (len(both) - shared):
-                    a.append(p["a"])
-                    b.append(p["b"])
-        kind = batch.schema.field("pairs").type.value_type.field("a").type
+                    root[max(p, q)] = min(p, q)
+                    a.append(min(row["ids"][i], row["ids"][j]))
+                    b.append(max(row["ids"][i], row["ids"][j]))
+        kind = batch.schema.field("ids").type.value_type
         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
 
-def _confirmed_by_region(texts: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
-    """As _confirmed, for (a, b, cell): each set goes once to each region that needs it, not once to each pair."""
-    ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+def _confirmed_by_region(texts: DataFrame, regions: DataFrame, kind: str) -> DataFrame | None:
+    """Links of regions (cell, ids, ns, sigs, groups): each set goes once to each region that needs it; pairs never leave their region."""
+    ends = durable(regions.mapInArrow(_open_members, f"cell long, id {kind}"))
+    if not ends.take(1):
+        return None
     sets = _wanted_sets(texts, ends.select("id"), kind)
     members = ends.join(sets, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
-    rows = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(members, "cell")
-    return durable(rows.select("pairs", "members").mapInArrow(_confirm_cell, f"a {kind}, b {kind}"))
+    return durable(regions.join(members, "cell").mapInArrow(_confirm_cell, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.xxhash64("level", "tree", "key").alias("cell"), F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.sig").alias("sigs"))
     )
     pair = f"a {kind}, b {kind}, est int"
-    likely = packed.mapInArrow(_region_pairs(True), f"{pair}, cell long").select("a", "b", "est")
+    likely = packed.mapInArrow(_region_pairs(), pair)
     if stars:
         star = stars[0]
         for more in stars[1:]:
@@ -306,12 +334,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = packed.select("cell", F.posexplode("ids").alias("at", "id")).join(labels, "id", "left")
     spread = spread.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "id").alias("g")))).alias("m"))
     spread = spread.where(F.size(F.array_distinct("m.g")) > 1).select("cell", F.col("m.g").alias("groups"))
-    rest = packed.join(spread, "cell").mapInArrow(_region_pairs(False), f"{pair}, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))
-    rest = durable(rest.join(likely.select("a", "b"), ["a", "b"], "left_anti"))
-    if rest.take(1):
-        more = _confirmed_by_region(texts, rest, kind)
-        if more.take(1):
-            labels = components(links.union(more))
+    more = _confirmed_by_region(texts, packed.join(spread, "cell"), kind)
+    if more is not None and more.take(1):
+        labels = components(links.union(more))
     label = classes.select("set_key", "n", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     rows = named.select("set_key", "n", F.explode("ids").alias("id"))
     full, empty = named.where("set_key is not null"), rows.where("set_key is null").select("id", "n", F.col("id").alias("component"))
