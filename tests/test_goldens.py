@@ -57,7 +57,7 @@ def test_hybrid_ranks(spark):
 
 
 def test_agreement(spark):
-    rows = spark.createDataFrame(list(zip([5, 4, 3, 2, 1, 4, None], [5, 3, 3, 1, 3, 4, 2], strict=True)), "actual double, predicted double")
+    rows = spark.createDataFrame(list(zip([5.0, 4.0, 3.9, 2.0, 1.0, 4.0, None], [5.0, 3.0, 3.0, 1.0, 3.0, 4.0, 2.0], strict=True)), "actual double, predicted double")
     row = agreement.summary(rows).head()
     assert [row["rmse"], row["mae"], row["r2"]] == pytest.approx([1.0, 0.666667, 0.446154], abs=1e-6)
     assert (row["exact"], row["off_by_one"], row["off_by_more"]) == (3, 2, 1)
