@@ -16,13 +16,18 @@ when 100 * intersection >= 75 * union, confirmed on the full sets.
    the likely pairs whose ends lie in different components are.
 4. All other likely pairs inside uncut regions whose members lie in different
    components are then confirmed as well, and the components joined again.
+5. Between classes of cut regions that still lie in different components a
+   prefix-filter join on the full sets finds every link: no signature decides here.
+   Shingles of one component come first in its order, then the others by the number
+   of classes that have them, and a link has a common shingle among the first
+   n // 4 + 1 of both sets. Postings are kept in blocks of similar size that meet
+   block by block, so no task holds a common shingle's whole list.
 
 So no pair inside one component is confirmed twice over, and a group of n copies
 costs some multiple of n, not n * n. A pair at exactly 0.75 shares depth 2 in
 none of the 24 trees with probability 3e-9; pairs below 29 of 64 equal values
-(1e-7 at 0.75) are not confirmed. In a region that had to be cut, a pair can also
-be separated at a deeper level of every tree; it is then still found through the
-region's smallest id or any common neighbour.
+(1e-7 at 0.75) are not confirmed. A pair that meets only in regions that had to be
+cut can be separated at a deeper level of every tree; step 5 finds it.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing;
 ids are expected to be unique, and an id that has several texts is reported once
@@ -47,6 +52,7 @@ VALUES, TREES, REGION = 64, 24, 256
 DEPTHS = (2, 4, 8, 16, 32, 64)
 LIKELY, SURE = 29, 54
 BROADCAST_IDS = 1_000_000
+POSTING_BYTES, POSTING_BLOCK, SIZE_STEP = 1 << 20, 256, 1.4
 _MULTIPLIERS = tx.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -203,9 +209,10 @@ def _wanted_sets(texts: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
     return durable(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles binary").dropDuplicates(["id"]))
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, kind: str, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (of class representatives) whose full sets meet the threshold."""
-    sets = _wanted_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), kind)
+    if sets is None:
+        sets = _wanted_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), kind)
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     return durable(both.select("a", "b", "x", "y").mapInArrow(_confirm, f"a {kind}, b {kind}"))
@@ -269,6 +276,64 @@ def _confirmed_by_region(texts: DataFrame, regions: DataFrame, kind: str) -> Dat
     return durable(regions.join(members, "cell").mapInArrow(_confirm_cell, f"a {kind}, b {kind}"))
 
 
+def _postings(batches):
+    """One row for each shingle of each set, with the set's size."""
+    for batch in batches:
+        sets, i = batch.column(2).to_pylist(), 0
+        while i < len(sets):
+            j, size = i, 0
+            while j < len(sets) and (j == i or size + len(sets[j]) <= POSTING_BYTES):
+                size += len(sets[j])
+                j += 1
+            n = np.array([len(s) // 8 for s in sets[i:j]])
+            own = pa.array(np.repeat(np.arange(i, j), n))
+            shingles = np.frombuffer(b"".join(sets[i:j]), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.repeat(n, n)), pa.array(shingles)], names=["id", "g", "n", "shingle"])
+            i = j
+
+
+def _prefix_pairs(batches):
+    """Pairs of two blocks of one shingle's postings that lie in different components and can still share enough."""
+    for batch in batches:
+        found = set()
+        for row in batch.to_pylist():
+            x, y = row["x"], row["y"]
+            n, m, left, right = (np.array([p[c] for p in s]) for c, s in (("n", x), ("n", y), ("left", x), ("left", y)))
+            g, h = (np.array([p["g"] for p in s], object) for s in (x, y))
+            shared = np.minimum(left[:, None], right[None, :])
+            ok = (175 * shared >= 75 * (n[:, None] + m[None, :])) & (g[:, None] != h[None, :]).astype(bool)
+            for i, j in np.argwhere(ok).tolist():
+                found.add((min(x[i]["id"], y[j]["id"]), max(x[i]["id"], y[j]["id"])))
+        kind = batch.schema.field("x").type.value_type.field("id").type
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], names=["a", "b"])
+
+
+def _links_apart(texts: DataFrame, members: DataFrame, kind: str) -> DataFrame | None:
+    """All links between members (id, g) of different components g, found on the full sets."""
+    sets = _wanted_sets(texts, members.select("id"), kind)
+    rows = sets.join(members, "id").select("id", "g", "shingles").mapInArrow(_postings, f"id {kind}, g {kind}, n bigint, shingle bigint")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("f"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("shingle", "f")
+    own = rows.join(durable(shared), "shingle").groupBy("id").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    # a link shares three quarters of either set, all of it shingles of several components
+    own = own.where("4 * size(s) >= 3 * n")
+    prefix = own.select("id", "g", "n", F.size("s").alias("size"), F.posexplode(F.expr("slice(s, 1, int(n div 4 + 1 - n + size(s)))")).alias("at", "s"))
+    posts = durable(prefix.select("id", "g", "n", (F.col("size") - F.col("at")).alias("left"), F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("bucket"), "s.shingle"))
+    if not posts.take(1):
+        return None
+    key = ["shingle", "bucket", "salt"]
+    many = posts.groupBy("shingle", "bucket").agg(F.ceil(F.count("*") / POSTING_BLOCK).alias("blocks"))
+    posts = posts.join(many, ["shingle", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("id"), "blocks"))
+    blocks = durable(posts.groupBy(key).agg(F.min("g").alias("low"), F.max("g").alias("high"), F.collect_list(F.struct("id", "g", "n", "left")).alias("m")))
+    x, y = (blocks.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("bucket", "salt", "low", "high")]) for e in "xy")
+    # sizes that can link differ by less than SIZE_STEP
+    meet = x.join(y, "shingle").where("(bucket_x = bucket_y and salt_x <= salt_y or bucket_x + 1 = bucket_y) and (low_x <> high_y or high_x <> low_y)")
+    meet = meet.select("shingle", "bucket_x", "salt_x", "bucket_y", "salt_y")
+    for e in "xy":
+        meet = meet.join(blocks.select("shingle", F.col("bucket").alias(f"bucket_{e}"), F.col("salt").alias(f"salt_{e}"), F.col("m").alias(e)), ["shingle", f"bucket_{e}", f"salt_{e}"])
+    pairs = durable(meet.select("x", "y").mapInArrow(_prefix_pairs, f"a {kind}, b {kind}").distinct())
+    return _confirmed(texts, pairs, kind, sets)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every document."""
     bounded_batches(docs.sparkSession)
@@ -294,7 +359,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         crowded = durable(inside.where(F.col("size") > REGION).select("id", "tree", "key", "top"))
         stars.append(crowded.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b")))
         if level == 0:
-            deeper = sigs.join(crowded.select("id").distinct(), "id").select("id", "sig")
+            cut = durable(crowded.select("id").distinct())
+            deeper = sigs.join(cut, "id").select("id", "sig")
             deeper = durable(deeper.mapInArrow(_keys(DEPTHS[1:]), f"id {kind}, tree int, " + ", ".join(f"k{d} bigint" for d in DEPTHS[1:])))
         if level + 1 < len(DEPTHS):
             members = durable(crowded.select("id", "tree").join(deeper, ["id", "tree"]).select("id", "tree", F.col(f"k{DEPTHS[level + 1]}").alias("key")))
@@ -336,7 +402,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = spread.where(F.size(F.array_distinct("m.g")) > 1).select("cell", F.col("m.g").alias("groups"))
     more = _confirmed_by_region(texts, packed.join(spread, "cell"), kind)
     if more is not None and more.take(1):
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = components(links)
+    if stars:
+        more = _links_apart(texts, cut.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("g")), kind)
+        if more is not None and more.take(1):
+            labels = components(links.union(more))
     label = classes.select("set_key", "n", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     rows = named.select("set_key", "n", F.explode("ids").alias("id"))
     full, empty = named.where("set_key is not null"), rows.where("set_key is null").select("id", "n", F.col("id").alias("component"))

@@ -115,6 +115,25 @@ def test_near_duplicates(spark, monkeypatch, region):
     assert got == brute_components(texts)
 
 
+def test_near_duplicates_of_a_crowded_template(spark, monkeypatch):
+    """Links between texts that share most of a template: their regions are cut so deep that signatures separate them."""
+    monkeypatch.setattr(near_dedup, "REGION", 2)
+    monkeypatch.setattr(near_dedup, "POSTING_BLOCK", 3)
+    rng = random.Random(14)
+    draw = lambda n: [str(rng.randrange(10**6)) for _ in range(n)]
+    template, texts = draw(140), []
+    for k in range(150):
+        own = template + draw(30)
+        texts.append(" ".join(own))
+        if k % 3 == 0:
+            # a little above 0.75; other pairs are near 0.7
+            texts.append(" ".join(own[:-22] + draw(22)))
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.report(documents(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert 20 < sum(not r[2] for r in want.values()) < 100
+    assert got == want
+
+
 def test_near_duplicates_odd_tables(spark):
     docs = documents(spark, ["same text of five words", "same text of five words"])
     assert near_dedup.report(docs.limit(0)).count() == 0
