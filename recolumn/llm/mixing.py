@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import bounded_batches, durable
+from .cluster import bounded_batches, durable, fresh_path
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2.0
@@ -83,7 +83,7 @@ def _sizes(batches):
         size = np.zeros(len(at) - 1, np.int64)
         for i, j in tx.slices(at):
             size[i:j] = np.diff(tx.spans(*tx.cut(body, at, i, j), tx.SPACED)[2])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size)], names=["id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), batch.column(3)], names=["id", "source", "size", "row"])
 
 
 def _apportion(parts: pd.DataFrame) -> pd.DataFrame:
@@ -95,7 +95,7 @@ def _apportion(parts: pd.DataFrame) -> pd.DataFrame:
 
 def _take(docs: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Words that each document of one shard gives, and how often its middle block is taken."""
-    docs = docs.sort_values(["order", "id", "size"], ignore_index=True)
+    docs = docs.sort_values(["order", "id", "size", "row"], ignore_index=True)
     ends = docs["size"].to_numpy().cumsum()
     total, quota = int(ends[-1]), int(docs.quota[0])
     edges = np.append(np.arange(0, total, BLOCK_WORDS), total)
@@ -112,15 +112,16 @@ def _take(docs: pd.DataFrame, seed: int) -> pd.DataFrame:
         upto = np.where(last, taken[-1], until(np.minimum(ends, total - 1)))
         docs["taken"] = np.diff(np.append(0, upto))
         docs["copies"] = times[np.minimum((ends - docs["size"].to_numpy() // 2 - (docs["size"].to_numpy() > 0)) // BLOCK_WORDS, blocks - 1)] * (docs["size"].to_numpy() > 0)
-    return docs[["id", "source", "size", "source_size", "target", "taken", "copies"]]
+    return docs[["id", "source", "size", "row", "source_size", "target", "taken", "copies"]]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, seed: int = 7) -> DataFrame:
-    """id, source, size, source_size, target, taken (words), copies (how often the document's middle is taken)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, seed: int = 7, row_col: str | None = None) -> DataFrame:
+    """id, source, size, row (`row_col`, or 0), source_size, target, taken (words), copies (how often the document's middle is taken)."""
     spark = bounded_batches(docs.sparkSession)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, source_col)}
-    columns = f"id {kinds[id_col]}, source {kinds[source_col]}, size long"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).mapInArrow(_sizes, columns)
+    columns = f"id {kinds[id_col]}, source {kinds[source_col]}, size long, row long"
+    row = F.col(row_col) if row_col else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), row.alias("row")).mapInArrow(_sizes, columns)
     rows = durable(rows)
     # one row for each source: the list of sources is the mix's own parameter list
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         f"source {kinds[source_col]}, source_size long, target double, source_quota long, shards long",
     )
     rows = rows.join(F.broadcast(plan) if len(names) <= 100_000 else plan, rows["source"].eqNullSafe(plan["source"])).select(
-        rows["id"], rows["source"], rows["size"], "source_size", "target", "source_quota",
+        rows["id"], rows["source"], rows["size"], "row", "source_size", "target", "source_quota",
         F.xxhash64(F.lit(seed), "id", rows["size"]).alias("order"), "shards",
     ).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards")).drop("shards")
     key = F.xxhash64("source", F.col("source").isNull())
@@ -153,8 +154,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Whole documents, each as often as the block at its middle is taken; columns as in `docs`. Ids must be unique."""
-    times = durable(mix(docs, id_col).where("copies > 0").select(F.col("id").alias("_id"), F.col("copies").cast("int").alias("_copies")))
+    """Whole documents, each as often as the block at its middle is taken; columns as in `docs`.
+
+    The rows are numbered and written once, so that copies go to the row itself: ids may be null or repeat.
+    """
+    path = fresh_path(docs.sparkSession, "mixed")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = docs.sparkSession.read.parquet(path)
+    times = durable(mix(numbered, id_col, row_col="_row").where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies")))
     small = times.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(times) if small else times, F.col(id_col) == F.col("_id"))
+    rows = numbered.join(F.broadcast(times) if small else times, "_row")
     return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as tx
 from .cluster import bounded_batches, components, durable
@@ -417,5 +418,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done.withColumn("kept", F.col("id") == F.col("component_id")).union(nulls)
 
 
+def _with_set(at: int):
+    """The rows with the digest of their shingle set."""
+
+    def run(batches):
+        for batch in batches:
+            body_all, at_all = tx.buffers(batch.column(at))
+            keys = []
+            for i, j in tx.slices(at_all):
+                keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(*tx.cut(body_all, at_all, i, j))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_set"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One of the rows that repeat an id and a set; rows with a null id stay. Only texts of repeated ids are read."""
+    bounded_batches(docs.sparkSession)
+    ids = durable(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"))
+    n = ids.count()
+    if not n:
+        return docs
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    once, again = (docs.join(ids, F.col(id_col) == F.col("_id"), how) for how in ("left_anti", "left_semi"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.BinaryType())])
+    again = again.mapInArrow(_with_set(docs.columns.index(text_col)), schema).dropDuplicates([id_col, "_set"])
+    return once.union(again.select(*docs.columns))
+
+
 def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).withColumnRenamed("id", "doc_id")
