@@ -46,8 +46,8 @@ def _pack(scale: float, block: int):
                 for i in range(0, len(own), block):
                     v, k = x[i : i + block], own[i : i + block]
                     low = v.min(axis=0).astype(np.int64)
-                    step = np.maximum((v.max(axis=0) - low + 255) // 256, 1)
-                    cells = ((v - low) // step).clip(0, 255).astype(np.uint8)
+                    step = (v.max(axis=0) - low) // 256 + 1  # no cell lies above 255
+                    cells = ((v - low) // step).astype(np.uint8)
                     data = [int(dim), int(k[0]), len(k), k.tobytes(), v.tobytes(), cells.tobytes(), low.tobytes(), step.tobytes()]
                     kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
                     yield pa.RecordBatch.from_arrays([pa.array([d], t) for d, t in zip(data, kinds, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])

@@ -168,6 +168,15 @@ def test_top_k(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_top_k_of_a_range_of_256(spark):
+    """The best row holds the maximum of a component whose range is 256."""
+    rows = [(256, 0)] + [(255, 90)] * 10 + [(255, 50)] * 100 + [(0, 0)] * 50
+    table = [(-1, [100.0, 1.0])] + [(k, [float(x) for x in v]) for k, v in enumerate(rows)]
+    table = spark.createDataFrame(table, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.top_k(table, lambda i: i == -1, k=10, scale=1.0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(0, 25600), *[(k, 25590) for k in range(1, 10)]]
+
+
 def test_top_k_reads_few_exact_vectors():
     rng = np.random.default_rng(4)
     v = rng.integers(-1000, 1000, (4000, 16))
