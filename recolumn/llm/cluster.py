@@ -12,36 +12,66 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own_dirs: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="recolumn-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
-def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> SparkSession:
-    """Arrow batches of about `size` bytes (or one row), however long the texts or lists in a row are."""
-    spark.conf.set(_BATCH_CONF, str(size))
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set a local master gets a folder of its own, as in tests; on a cluster,
+    where executors would not see it, that is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="recolumn-"))
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of about BATCH_BYTES (or one row), however long the texts or lists in a row are; the same for all operators."""
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     return spark
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder; lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, computed once and kept as a table in the shared folder; lineage ends there, and the shuffles that led there are freed."""
+    spark = df.sparkSession
+    path, before = fresh_path(spark, "table"), spark.conf.get(_CLEAN_CONF, None)
+    spark.conf.set(_CLEAN_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_CONF) if before is None else spark.conf.set(_CLEAN_CONF, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes durable tables that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            sc = table.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(table._durable_path)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _local_forest(batches):
     """Stars (node, smallest node known here) of the links in one partition."""
     parent: dict = {}
@@ -82,14 +112,17 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).head())
         if state == seen or not state[0]:
             break
-        seen = state
+        seen, old = state, edges
         parents = durable(edges.groupBy("u").agg(F.min("v").alias("p")))
         moved = edges.join(parents, "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"))
         above = parents.select(F.col("u").alias("p"), F.col("p").alias("q"))
         jumped = parents.join(above, "p", "left").select("u", F.coalesce("q", "p").alias("v"))
         edges = durable(moved.union(jumped).distinct())
+        release(old, parents)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return durable(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots))
+    out = durable(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots))
+    release(edges)
+    return out
 
 
 def row_keys(first: int, n: int) -> np.ndarray:
@@ -101,7 +134,8 @@ def row_keys(first: int, n: int) -> np.ndarray:
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 1_000_000) -> DataFrame:
-    """Rows of `docs` whose id is not in `ids` (one column); the ids are broadcast only if there are at most `most`."""
-    ids = durable(ids.toDF("_id"))
+    """Rows of `docs` whose id is not in `ids` (one column); the ids are broadcast only if there are at most `most`. A null id is in no list."""
+    name = fresh_name(docs, "_id")
+    ids = durable(ids.toDF(name))
     small = ids.count() <= most
-    return docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_id"), "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == ids[name], "left_anti")

@@ -6,33 +6,35 @@ when 100 * intersection >= 75 * union, confirmed on the full sets.
 
 1. One pass over the texts hashes the sets. Documents with equal sets form one
    class at once; each class goes on once, whatever its size.
-2. A class has VALUES minimum hashes. Tree t of the forest orders the classes by
-   the values 2t, 2t + 1, ... A region is the set of classes that share a prefix in one
-   tree. It starts at depth 2; a region of more than REGION classes is cut at the
-   next of DEPTHS, so crowded regions are cut deep and sparse ones stay whole.
-   Before a region is cut, each member is also paired with the region's smallest id.
-3. Inside an uncut region the longest common prefixes and equal values give a
-   spanning forest of likely pairs. Each class is first confirmed with one partner, then
-   the likely pairs whose ends lie in different components are.
-4. All other likely pairs inside uncut regions whose members lie in different
-   components are then confirmed as well, and the components joined again.
-5. Between classes of cut regions that still lie in different components a
-   prefix-filter join on the full sets finds every link: no signature decides here.
+2. A class has VALUES minimum hashes of 16 bits. Tree t of the forest orders all classes by
+   their signature from value 2t on, one range-partitioned sort for all trees, so a
+   crowded prefix is dealt over as many tasks as it needs. One scan of the sorted
+   rows takes the longest common prefix of neighbours: a region is a run whose
+   neighbours share at least 2 values. A run of more than REGION classes is crowded and
+   is cut where neighbours share fewer than the next of DEPTHS values, again and
+   again, so each region has its own depth; neighbours that a cut separates are still compared.
+3. Of the likely pairs of a region, by equal values, a spanning forest is
+   confirmed on the full sets: a class's set goes once to the class with the smaller number.
+4. Regions whose members still lie in different components get the members' sets, and
+   all their likely pairs between components are confirmed.
+5. Between classes of regions that were cut (or lie at the border of a partition) and are
+   still in different components a prefix-filter join on the full sets finds every link: no signature decides here.
    Shingles of one component come first in its order, then the others by the number
    of classes that have them, and a link has a common shingle among the first
-   n // 4 + 1 of both sets. Postings are kept in blocks of similar size that meet
+   n // 4 + 1 of both sets. Postings are kept in blocks that meet
    block by block, so no task holds a common shingle's whole list.
 
 So no pair inside one component is confirmed twice over, and a group of n copies
 costs some multiple of n, not n * n. A pair at exactly 0.75 shares depth 2 in
-none of the 24 trees with probability 3e-9; pairs below 29 of 64 equal values
-(1e-7 at 0.75) are not confirmed. A pair that meets only in regions that had to be
+none of the 24 trees with probability 3e-9; pairs below 19 of 48 equal values
+(4e-8 at 0.75) are not confirmed. A pair that meets only in regions that had to be
 cut can be separated at a deeper level of every tree; step 5 finds it.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing;
-ids are expected to be unique, and an id that has several texts is reported once
-with the largest set size and the smallest component of any; rows with a null id keep component null and are kept;
-other columns are ignored.
+an id that has several texts is reported once with the largest set size and the smallest
+component of any (each of its texts is linked as its own); rows with a null id link
+others, keep component null and are kept by `near_duplicates`, while `deduplicated`
+drops those that repeat another row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,15 +48,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .cluster import bounded_batches, components, durable
+from .cluster import bounded_batches, components, durable, fresh_name, release
 
 SHINGLE = 5
-VALUES, TREES, REGION = 64, 24, 256
-DEPTHS = (2, 4, 8, 16, 32, 64)
-LIKELY, SURE = 29, 54
+VALUES, TREES, REGION = 48, 24, 64
+DEPTHS = (2, 4, 8, 16, 32, 48)
+LIKELY = 19
 BROADCAST_IDS = 1_000_000
-POSTING_BYTES, POSTING_BLOCK, SIZE_STEP = 1 << 20, 256, 1.4
+POSTING_BYTES, POSTING_BLOCK = 1 << 20, 256
 _MULTIPLIERS = tx.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+PAIR, MEMBER, CUT = 0, 1, 2
 
 
 def shingle_sets(body: np.ndarray, at: np.ndarray):
@@ -74,12 +77,43 @@ def shingle_sets(body: np.ndarray, at: np.ndarray):
             yield grams[:0]
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; None for an empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signature(s: np.ndarray) -> np.ndarray:
-    """Minimum of each of the hash functions over the set, as 32 bits."""
+    """Minimum of each of the hash functions over the set, hashed to 16 bits."""
     low = (s[None, :4096] * _MULTIPLIERS[:, None]).min(axis=1)
     for i in range(4096, len(s), 4096):
         np.minimum(low, (s[None, i : i + 4096] * _MULTIPLIERS[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return (tx.mix(low) >> np.uint64(48)).astype(">u2")
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= 75 * (len(both) - shared)
+
+
+def _sizes_fit(n, m):
+    return 100 * np.minimum(n, m) >= 75 * np.maximum(n, m)
+
+
+class _Roots(dict):
+    """Union-find whose root is the smallest member."""
+
+    def find(self, x):
+        while self[x] != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
 
 
 def _classes(batches):
@@ -90,11 +124,10 @@ def _classes(batches):
         found: dict = {}
         for i, j in tx.slices(at_all):
             for k, s in enumerate(shingle_sets(*tx.cut(body_all, at_all, i, j)), i):
-                if not len(s):
+                key = set_key(s)
+                if key is None:
                     found[ids[k], k] = (None, 0, None, [ids[k]])
-                    continue
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if key in found:
+                elif key in found:
                     found[key][3].append(ids[k])
                 else:
                     found[key] = (key, len(s), signature(s).tobytes(), [ids[k]])
@@ -104,177 +137,193 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["set_key", "n", "sig", "ids"])
 
 
-def _keys(depths: tuple[int, ...]):
-    """Region keys of each class in every tree, one column for each depth."""
-    order = (2 * np.arange(TREES)[:, None] + np.arange(VALUES)[None, :]) % VALUES
+# -- the forest
 
-    def run(batches):
-        for batch in batches:
-            m = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(m, VALUES)
-            key = np.broadcast_to((np.arange(TREES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), (m, TREES))
-            out = []
-            for d in range(max(depths)):
-                key = tx.mix(key ^ sig[:, order[:, d]])
-                if d + 1 in depths:
-                    out.append(pa.array(tx.signed(key.ravel())))
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(m), TREES)))
-            tree = pa.array(np.tile(np.arange(TREES, dtype=np.int32), m))
-            yield pa.RecordBatch.from_arrays([ids, tree, *out], names=["id", "tree", *[f"k{d}" for d in depths]])
 
-    return run
+def _orders(batches):
+    """Each class in every tree: the tree's number, then its signature from the tree's first value on."""
+    for batch in batches:
+        m = batch.num_rows
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").reshape(m, VALUES)
+        ends = pa.py_buffer(np.arange(m + 1, dtype=np.int32) * (1 + 2 * VALUES))
+        for t in range(TREES):
+            key = np.full((m, 1 + 2 * VALUES), t, np.uint8)
+            key[:, 1:] = np.ascontiguousarray(np.roll(sig, -2 * t, axis=1)).view(np.uint8)
+            key = pa.Array.from_buffers(pa.binary(), m, [None, ends, pa.py_buffer(key)])
+            yield pa.RecordBatch.from_arrays([key, batch.column(0), batch.column(1)], names=["key", "node", "n"])
+
+
+def _runs(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Bounds of the runs whose neighbours have a common prefix of at least `depth` values."""
+    same = (keys[1:, : 1 + 2 * depth] == keys[:-1, : 1 + 2 * depth]).all(axis=1)
+    return np.concatenate([[0], np.flatnonzero(~same) + 1, [len(keys)]])
+
+
+def _regions(keys: np.ndarray):
+    """Row ranges of the regions, row numbers whose neighbour above was cut off, and which rows lie in crowded runs."""
+    bounds = _runs(keys, DEPTHS[0])
+    crowded = np.zeros(len(keys), bool)
+    wide = np.diff(bounds)
+    regions = [np.column_stack([bounds[:-1], bounds[1:]])[(wide > 1) & (wide <= REGION)]]
+    cuts: list = []
+    todo = [(int(bounds[k]), int(bounds[k + 1]), 0) for k in np.flatnonzero(wide > REGION)]
+    while todo:
+        i, j, level = todo.pop()
+        crowded[i:j] = True
+        deepest = level + 1 == len(DEPTHS)
+        own = np.append(np.arange(i, j, REGION), j) if deepest else i + _runs(keys[i:j], DEPTHS[level + 1])
+        cuts += own[1:-1].tolist()
+        wide = np.diff(own)
+        regions.append(np.column_stack([own[:-1], own[1:]])[(wide > 1) & (wide <= REGION)])
+        todo += [(int(own[k]), int(own[k + 1]), level + 1) for k in np.flatnonzero(wide > REGION)]
+    return np.concatenate(regions), np.array(cuts, np.int64), crowded
 
 
 def _likely(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Equal values of each pair of a region, 0 where a link is impossible or very unlikely."""
-    if len(n) <= 48:
-        same = (sig[:, None, :] == sig[None, :, :]).sum(axis=2)
-    else:
-        same = np.zeros((len(n), len(n)), np.int16)
-        for column in sig.T:
-            same += column[:, None] == column[None, :]
-    same[(same < LIKELY) | (100 * np.minimum(n[:, None], n[None, :]) < 75 * np.maximum(n[:, None], n[None, :]))] = 0
-    return same
-
-
-def _region_pairs():
-    """Likely pairs of each region: a spanning forest."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, est = [], [], []
-            for row in batch.to_pylist():
-                ids, n = row["ids"], np.array(row["ns"])
-                sig = np.frombuffer(b"".join(row["sigs"]), np.uint32).reshape(len(ids), VALUES)
-                same = np.triu(_likely(sig, n), 1)
-                x, y = np.nonzero(same)
-                if len(x) > 1:
-                    order = np.argsort(-same[x, y], kind="stable")
-                    root, kept = list(range(len(ids))), []
-                    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                        p, q = i, j
-                        while root[p] != p:
-                            p = root[p]
-                        while root[q] != q:
-                            q = root[q]
-                        if p != q:
-                            root[q] = p
-                            kept.append((i, j))
-                    x, y = zip(*kept, strict=True)
-                for i, j in zip(x, y, strict=True):
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-                    est.append(int(same[i, j]))
-            kind = batch.schema.field("ids").type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(est, pa.int32())], names=["a", "b", "est"])
-
-    return run
+    """Equal values of each pair of a region, in its upper triangle; 0 where a link is impossible or very unlikely."""
+    same = (sig[:, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
+    same[(same < LIKELY) | ~_sizes_fit(n[:, None], n[None, :])] = 0
+    return np.triu(same, 1)
+
+
+def _region(sig: np.ndarray, n: np.ndarray, node: np.ndarray):
+    """Pairs of a spanning forest of the likely pairs, likeliest first, and the members if there are other likely pairs."""
+    order = np.argsort(node)
+    sig, n, node = sig[order], n[order], node[order]
+    same = _likely(sig, n)
+    x, y = np.nonzero(same)
+    by = np.argsort(-same[x, y], kind="stable")
+    roots = _Roots(zip(range(len(node)), range(len(node)), strict=True))
+    kept = [(i, j) for i, j in zip(x[by].tolist(), y[by].tolist(), strict=True) if roots.join(i, j)]
+    return [(int(node[i]), int(node[j])) for i, j in kept], node[np.unique(np.concatenate([x, y]))] if len(x) > len(kept) else node[:0]
+
+
+def _found(kind: int, x, y):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(np.asarray(x, np.int64)), pa.array(np.asarray(y, np.int64))], names=["kind", "x", "y"])
+
+
+def _compared(keys: np.ndarray, node: np.ndarray, n: np.ndarray, first: bool, last: bool):
+    """What some whole runs give: likely pairs, members of regions with further likely pairs, and classes that only step 5 compares with all others."""
+    regions, cuts, crowded = _regions(keys)
+    bounds = _runs(keys, DEPTHS[0])
+    if first:
+        crowded[: bounds[1]] = True
+    if last:
+        crowded[bounds[-2] :] = True
+    yield _found(CUT, node[crowded], node[crowded])
+    sig = np.ascontiguousarray(keys[:, 1:]).view(np.uint16)
+    # two neighbours: the bulk
+    i = np.concatenate([regions[regions[:, 1] - regions[:, 0] == 2, 0], cuts - 1])
+    ok = ((sig[i] == sig[i + 1]).sum(axis=1) >= LIKELY) & _sizes_fit(n[i], n[i + 1])
+    a, b = node[i[ok]], node[i[ok] + 1]
+    pairs, cells, members = [np.column_stack([np.minimum(a, b), np.maximum(a, b)])], [], []
+    for i, j in regions[regions[:, 1] - regions[:, 0] > 2].tolist():
+        kept, own = _region(sig[i:j], n[i:j], node[i:j])
+        if kept:
+            pairs.append(np.array(kept))
+        if len(own):
+            # regions with the same members, of whatever tree, are one
+            cell = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+            cells.append(np.full(len(own), cell))
+            members.append(own)
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    yield _found(PAIR, pairs[:, 0], pairs[:, 1])
+    if cells:
+        yield _found(MEMBER, np.concatenate(cells), np.concatenate(members))
+
+
+def _neighbours(batches):
+    """One scan of sorted rows (key, node, n)."""
+    held, first = [], True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        held.append((keys, batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+        depth = 1 + 2 * DEPTHS[0]
+        if (keys[-1, :depth] == held[0][0][0, :depth]).all():
+            continue  # one run so far
+        keys, node, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        # the last run may go on
+        end = int(_runs(keys, DEPTHS[0])[-2])
+        yield from _compared(keys[:end], node[:end], n[:end], first, False)
+        held, first = [(keys[end:], node[end:], n[end:])], False
+    if held:
+        yield from _compared(*(np.concatenate(c) for c in zip(*held, strict=True)), first, True)
 
 
-def _star_pairs(batches):
-    """Pairs of an id and its region's smallest whose signatures make a link likely."""
-    for batch in batches:
-        m = batch.num_rows
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(m, VALUES) for c in (2, 3))
-        n, n_top = np.array(batch.column(4)), np.array(batch.column(5))
-        est = (x == y).sum(axis=1)
-        keep = np.flatnonzero((est >= LIKELY) & (100 * np.minimum(n, n_top) >= 75 * np.maximum(n, n_top)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(est[keep].astype(np.int32))], names=["a", "b", "est"])
+# -- confirmation on full sets
 
 
 def _sets(batches):
+    """Set key and set of each text that has one."""
     for batch in batches:
-        body_all, at_all = tx.buffers(batch.column(1))
+        body_all, at_all = tx.buffers(batch.column(0))
         for i, j in tx.slices(at_all):
-            rows = [s.tobytes() for s in shingle_sets(*tx.cut(body_all, at_all, i, j))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, pa.binary())], names=["id", "shingles"])
+            sets = {set_key(s): s.tobytes() for s in shingle_sets(*tx.cut(body_all, at_all, i, j)) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.binary())], names=["set_key", "shingles"])
 
 
-def _confirm(batches):
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * shared >= 75 * (len(x) + len(y) - shared))
-        keep = pa.array(np.flatnonzero(ok))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
-
-
-def _wanted_sets(texts: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
-    """Full sets of the listed ids; the ids are broadcast only if there are at most BROADCAST_IDS."""
-    wanted = durable(ids.distinct())
-    small = wanted.count() <= BROADCAST_IDS
-    return durable(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").mapInArrow(_sets, f"id {kind}, shingles binary").dropDuplicates(["id"]))
-
-
-def _confirmed(texts: DataFrame, pairs: DataFrame, kind: str, sets: DataFrame | None = None) -> DataFrame:
-    """The pairs (of class representatives) whose full sets meet the threshold."""
-    if sets is None:
-        sets = _wanted_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), kind)
-    left = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
-    return durable(both.select("a", "b", "x", "y").mapInArrow(_confirm, f"a {kind}, b {kind}"))
-
-
-def _open_pairs(row: dict) -> np.ndarray:
-    """Likely pairs of a region whose members lie in different components, as indices."""
-    sig = np.frombuffer(b"".join(row["sigs"]), np.uint32).reshape(len(row["ids"]), VALUES)
-    group = np.array(row["groups"])
-    same = np.triu(_likely(sig, np.array(row["ns"])), 1)
-    same[group[:, None] == group[None, :]] = 0
-    return np.argwhere(same)
-
-
-def _open_members(batches):
-    """(cell, id) of the members of such pairs."""
-    for batch in batches:
-        cell, ids = [], []
-        for row in batch.to_pylist():
-            own = np.unique(_open_pairs(row)).tolist()
-            cell += [row["cell"]] * len(own)
-            ids += [row["ids"][k] for k in own]
-        kind = batch.schema.field("ids").type.value_type
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(ids, kind)], names=["cell", "id"])
+def _wanted_sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, shingles) of the listed classes, once or more, from the texts of one id of each; and the list of classes, to be released. It is broadcast only if it has at most BROADCAST_IDS rows."""
+    wanted = durable(classes.join(nodes, "node", "left_semi").select("node", "set_key", "id"))
+    listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    rows = texts.join(listed.select(F.col("id").alias("of")), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    sets = rows.select("text").mapInArrow(_sets, "set_key binary, shingles binary")
+    return sets.join(listed.select("set_key", "node"), "set_key").select("node", "shingles"), wanted
 
 
-def _confirm_cell(batches):
-    """Links between different components of each region, found on the full sets; components that meet count as one from then on."""
+def _star_links(batches):
+    """Links of each hub with its partners; rows (hub, partner: whether it is one, node, shingles) come sorted."""
+    hub = own = None
     for batch in batches:
         a, b = [], []
-        for row in batch.to_pylist():
-            sets = {m["id"]: np.frombuffer(m["shingles"], np.uint64) for m in row["members"]}
-            root = {g: g for g in row["groups"]}
-            for i, j in _open_pairs(row).tolist():
-                p, q = row["groups"][i], row["groups"][j]
-                while root[p] != p:
-                    p = root[p]
-                while root[q] != q:
-                    q = root[q]
-                if p == q:
-                    continue
-                x, y = sets[row["ids"][i]], sets[row["ids"][j]]
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= 75 * (len(both) - shared):
-                    root[max(p, q)] = min(p, q)
-                    a.append(min(row["ids"][i], row["ids"][j]))
-                    b.append(max(row["ids"][i], row["ids"][j]))
-        kind = batch.schema.field("ids").type.value_type
-        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
-
-
-def _confirmed_by_region(texts: DataFrame, regions: DataFrame, kind: str) -> DataFrame | None:
-    """Links of regions (cell, ids, ns, sigs, groups): each set goes once to each region that needs it; pairs never leave their region."""
-    ends = durable(regions.mapInArrow(_open_members, f"cell long, id {kind}"))
-    if not ends.take(1):
-        return None
-    sets = _wanted_sets(texts, ends.select("id"), kind)
-    members = ends.join(sets, "id").groupBy("cell").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
-    return durable(regions.join(members, "cell").mapInArrow(_confirm_cell, f"a {kind}, b {kind}"))
+        for h, partner, node, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            s = np.frombuffer(s.as_buffer(), np.uint64)
+            if not partner:
+                hub, own = h, s.copy()
+            elif h == hub and linked(own, s):
+                a.append(h)
+                b.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _cell_links(batches):
+    """Links between components of each cell, until none is left; rows (cell, node, g, shingles) come sorted by cell."""
+
+    def closed(rows):
+        node, g, sets = zip(*rows, strict=True)
+        same = _likely(np.array([signature(s) for s in sets]), np.array([len(s) for s in sets]))
+        x, y = np.nonzero(same)
+        by = np.argsort(-same[x, y], kind="stable")
+        roots = _Roots(zip(g, g, strict=True))
+        for i, j in zip(x[by].tolist(), y[by].tolist(), strict=True):
+            if roots.find(g[i]) != roots.find(g[j]) and linked(sets[i], sets[j]):
+                roots.join(g[i], g[j])
+                yield min(node[i], node[j]), max(node[i], node[j])
+
+    cell, rows = None, {}
+    for batch in batches:
+        found: list = []
+        for c, node, g, s in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            if c != cell:
+                found += closed(rows.values()) if rows else []
+                cell, rows = c, {}
+            rows[node] = (node, g, np.frombuffer(s.as_py(), np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+    found = list(closed(rows.values())) if rows else []
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
+def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are linked; the set of a goes once to the task of a, that of b once for each pair."""
+    ends = F.array(F.struct(F.col("a").alias("hub"), F.lit(False).alias("partner"), F.col("a").alias("node")), F.struct(F.col("a").alias("hub"), F.lit(True).alias("partner"), F.col("b").alias("node")))
+    ends = durable(pairs.select(F.explode(ends).alias("e")).select("e.*").distinct())
+    sets, wanted = _wanted_sets(texts, classes, ends.select("node"))
+    rows = ends.join(sets, "node").select("hub", "partner", "node", "shingles")
+    links = durable(rows.repartition("hub").sortWithinPartitions("hub", "partner").mapInArrow(_star_links, "a bigint, b bigint"))
+    release(ends, wanted)
+    return links
 
 
 def _postings(batches):
@@ -289,7 +338,7 @@ def _postings(batches):
             n = np.array([len(s) // 8 for s in sets[i:j]])
             own = pa.array(np.repeat(np.arange(i, j), n))
             shingles = np.frombuffer(b"".join(sets[i:j]), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.repeat(n, n)), pa.array(shingles)], names=["id", "g", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.repeat(n, n)), pa.array(shingles)], names=["node", "g", "n", "shingle"])
             i = j
 
 
@@ -299,151 +348,136 @@ def _prefix_pairs(batches):
         found = set()
         for row in batch.to_pylist():
             x, y = row["x"], row["y"]
-            n, m, left, right = (np.array([p[c] for p in s]) for c, s in (("n", x), ("n", y), ("left", x), ("left", y)))
-            g, h = (np.array([p["g"] for p in s], object) for s in (x, y))
+            n, m, left, right, g, h = (np.array([p[c] for p in s]) for c in ("n", "left", "g") for s in (x, y))
             shared = np.minimum(left[:, None], right[None, :])
-            ok = (175 * shared >= 75 * (n[:, None] + m[None, :])) & (g[:, None] != h[None, :]).astype(bool)
+            ok = (175 * shared >= 75 * (n[:, None] + m[None, :])) & (g[:, None] != h[None, :])
             for i, j in np.argwhere(ok).tolist():
-                found.add((min(x[i]["id"], y[j]["id"]), max(x[i]["id"], y[j]["id"])))
-        kind = batch.schema.field("x").type.value_type.field("id").type
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], names=["a", "b"])
+                found.add((min(x[i]["node"], y[j]["node"]), max(x[i]["node"], y[j]["node"])))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
-def _links_apart(texts: DataFrame, members: DataFrame, kind: str) -> DataFrame | None:
-    """All links between members (id, g) of different components g, found on the full sets."""
-    sets = _wanted_sets(texts, members.select("id"), kind)
-    rows = sets.join(members, "id").select("id", "g", "shingles").mapInArrow(_postings, f"id {kind}, g {kind}, n bigint, shingle bigint")
+def _links_apart(texts: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame | None:
+    """All links between members (node, g) of different components g, found on the full sets."""
+    sets, wanted = _wanted_sets(texts, classes, members.select("node"))
+    sets = durable(sets.join(members, "node").select("node", "g", "shingles").dropDuplicates(["node"]))
+    release(wanted)
+    rows = sets.mapInArrow(_postings, "node bigint, g bigint, n bigint, shingle bigint")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("f"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("shingle", "f")
-    own = rows.join(durable(shared), "shingle").groupBy("id").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    own = rows.join(shared, "shingle").groupBy("node").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     # a link shares three quarters of either set, all of it shingles of several components
     own = own.where("4 * size(s) >= 3 * n")
-    prefix = own.select("id", "g", "n", F.size("s").alias("size"), F.posexplode(F.expr("slice(s, 1, int(n div 4 + 1 - n + size(s)))")).alias("at", "s"))
-    posts = durable(prefix.select("id", "g", "n", (F.col("size") - F.col("at")).alias("left"), F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("bucket"), "s.shingle"))
-    if not posts.take(1):
+    prefix = own.select("node", "g", "n", F.size("s").alias("size"), F.posexplode(F.expr("slice(s, 1, int(n div 4 + 1 - n + size(s)))")).alias("at", "s"))
+    posts = prefix.select("node", "g", "n", (F.col("size") - F.col("at")).alias("left"), "s.shingle", F.pmod(F.xxhash64("node"), F.ceil(F.col("s.f") / POSTING_BLOCK)).alias("salt"))
+    blocks = durable(posts.groupBy("shingle", "salt").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.collect_list(F.struct("node", "g", "n", "left")).alias("m")))
+    release(sets)
+    if not blocks.take(1):
+        release(blocks)
         return None
-    key = ["shingle", "bucket", "salt"]
-    many = posts.groupBy("shingle", "bucket").agg(F.ceil(F.count("*") / POSTING_BLOCK).alias("blocks"))
-    posts = posts.join(many, ["shingle", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("id"), "blocks"))
-    blocks = durable(posts.groupBy(key).agg(F.min("g").alias("low"), F.max("g").alias("high"), F.collect_list(F.struct("id", "g", "n", "left")).alias("m")))
-    x, y = (blocks.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("bucket", "salt", "low", "high")]) for e in "xy")
-    # sizes that can link differ by less than SIZE_STEP
-    meet = x.join(y, "shingle").where("(bucket_x = bucket_y and salt_x <= salt_y or bucket_x + 1 = bucket_y) and (low_x <> high_y or high_x <> low_y)")
-    meet = meet.select("shingle", "bucket_x", "salt_x", "bucket_y", "salt_y")
+    x, y = (blocks.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("salt", "low", "high")]) for e in "xy")
+    meet = x.join(y, "shingle").where("salt_x <= salt_y and (low_x <> high_y or high_x <> low_y)").select("shingle", "salt_x", "salt_y")
     for e in "xy":
-        meet = meet.join(blocks.select("shingle", F.col("bucket").alias(f"bucket_{e}"), F.col("salt").alias(f"salt_{e}"), F.col("m").alias(e)), ["shingle", f"bucket_{e}", f"salt_{e}"])
-    pairs = durable(meet.select("x", "y").mapInArrow(_prefix_pairs, f"a {kind}, b {kind}").distinct())
-    return _confirmed(texts, pairs, kind, sets)
+        meet = meet.join(blocks.select("shingle", F.col("salt").alias(f"salt_{e}"), F.col("m").alias(e)), ["shingle", f"salt_{e}"])
+    pairs = durable(meet.select("x", "y").mapInArrow(_prefix_pairs, "a bigint, b bigint").distinct())
+    links = _confirmed(texts, classes, pairs)
+    release(blocks, pairs)
+    return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for every document."""
+def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(set_key, n, ids) of the texts, and for each set (set_key, component: a number, component_id: the smallest id of the component, null if it has none)."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = durable(texts.mapInArrow(_classes, f"set_key binary, n bigint, sig binary, ids array<{kind}>"))
-    named = found.withColumn("ids", F.filter("ids", lambda x: x.isNotNull()))
-    classes = durable(
-        named.where("set_key is not null and size(ids) > 0").groupBy("set_key")
-        .agg(F.min(F.array_min("ids")).alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    )
-    sigs = classes.select("id", "n", "sig").dropDuplicates(["id"])
-    base = f"k{DEPTHS[0]}"
-    members = sigs.select("id", "sig").mapInArrow(_keys(DEPTHS[:1]), f"id {kind}, tree int, {base} bigint").withColumnRenamed(base, "key")
-    uncut, stars = [], []
-    for level, depth in enumerate(DEPTHS):
-        # regions of one class are the bulk; they end here
-        regions = durable(members.groupBy("tree", "key").agg(F.count("*").alias("size"), F.min("id").alias("top")).where("size > 1"))
-        inside = members.join(regions, ["tree", "key"])
-        uncut.append(inside.where(F.col("size") <= REGION).select(F.lit(level).alias("level"), "tree", "key", "id"))
-        if not regions.where(F.col("size") > REGION).take(1):
-            break
-        crowded = durable(inside.where(F.col("size") > REGION).select("id", "tree", "key", "top"))
-        stars.append(crowded.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b")))
-        if level == 0:
-            cut = durable(crowded.select("id").distinct())
-            deeper = sigs.join(cut, "id").select("id", "sig")
-            deeper = durable(deeper.mapInArrow(_keys(DEPTHS[1:]), f"id {kind}, tree int, " + ", ".join(f"k{d} bigint" for d in DEPTHS[1:])))
-        if level + 1 < len(DEPTHS):
-            members = durable(crowded.select("id", "tree").join(deeper, ["id", "tree"]).select("id", "tree", F.col(f"k{DEPTHS[level + 1]}").alias("key")))
-    inside = uncut[0]
-    for more in uncut[1:]:
-        inside = inside.union(more)
-    packed = durable(
-        inside.join(sigs, "id").groupBy("level", "tree", "key")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "n", "sig"))).alias("m"))
-        .select(F.xxhash64("level", "tree", "key").alias("cell"), F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.sig").alias("sigs"))
-    )
-    pair = f"a {kind}, b {kind}, est int"
-    likely = packed.mapInArrow(_region_pairs(), pair)
-    if stars:
-        star = stars[0]
-        for more in stars[1:]:
-            star = star.union(more)
-        star = durable(star.distinct())
-        star = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n").alias("m")), "a")
-        star = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"), "n"), "b")
-        likely = likely.union(star.select("a", "b", "x", "y", "m", "n").mapInArrow(_star_pairs, pair))
-    likely = durable(likely.distinct())
-    # each class first meets one partner: the smallest id that is surely near, else the likeliest
-    sure = F.col("est") >= SURE
-    first = durable(likely.groupBy("b").agg(F.min(F.struct((~sure).alias("late"), F.when(sure, 0).otherwise(-F.col("est")).alias("far"), "a")).alias("best")).select("best.a", "b"))
-    links = _confirmed(texts, first, kind)
-    # then all likely pairs but those that two links to one partner already join
-    labels = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    labels = durable(labels.union(labels.select(F.col("component").alias("id"), "component").distinct()).groupBy("id").agg(F.min("component").alias("component")))
-    named_ends = likely.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        named_ends = named_ends.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"g{end}")), end, "left")
-    apart = named_ends.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    links = links.union(_confirmed(texts, durable(apart), kind))
+    classes = found.where("set_key is not null").groupBy("set_key").agg(F.min(F.array_min("ids")).alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
+    forest = classes.select("node", "n", "sig").mapInArrow(_orders, "key binary, node bigint, n bigint")
+    near = durable(forest.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_neighbours, "kind int, x bigint, y bigint"))
+    links = _confirmed(texts, classes, near.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")))
     labels = components(links)
-    # what is left: pairs of uncut regions that lie in different components
-    spread = packed.select("cell", F.posexplode("ids").alias("at", "id")).join(labels, "id", "left")
-    spread = spread.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "id").alias("g")))).alias("m"))
-    spread = spread.where(F.size(F.array_distinct("m.g")) > 1).select("cell", F.col("m.g").alias("groups"))
-    more = _confirmed_by_region(texts, packed.join(spread, "cell"), kind)
-    if more is not None and more.take(1):
-        links = links.union(more)
-        labels = components(links)
-    if stars:
-        more = _links_apart(texts, cut.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("g")), kind)
-        if more is not None and more.take(1):
-            labels = components(links.union(more))
-    label = classes.select("set_key", "n", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    rows = named.select("set_key", "n", F.explode("ids").alias("id"))
-    full, empty = named.where("set_key is not null"), rows.where("set_key is null").select("id", "n", F.col("id").alias("component"))
-    done = full.join(durable(label), "set_key").select("n", "component", F.explode("ids").alias("id")).select("id", "n", "component").union(empty)
-    nulls = found.select("n", F.explode("ids").alias("id")).where("id is null").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast(kind).alias("component_id"), F.lit(True).alias("kept"))
-    done = done.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
+    group = lambda rows: rows.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
+    # regions, of at most REGION members, that lie in different components
+    cells = group(near.where(F.col("kind") == MEMBER).select(F.col("x").alias("cell"), F.col("y").alias("node")))
+    cells = cells.groupBy("cell").agg(F.collect_set(F.struct("node", "g")).alias("m")).where(F.size(F.array_distinct("m.g")) > 1)
+    open_ = durable(cells.select("cell", F.explode("m").alias("m")).select("cell", "m.*"))
+    more = []
+    if open_.take(1):
+        sets, wanted = _wanted_sets(texts, classes, open_.select("node"))
+        rows = open_.join(sets, "node").select("cell", "node", "g", "shingles")
+        more.append(durable(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a bigint, b bigint")))
+        release(wanted)
+    cut = durable(group(near.where(F.col("kind") == CUT).select(F.col("x").alias("node")).distinct()))
+    apart = _links_apart(texts, classes, cut)
+    more += [apart] if apart is not None else []
+    if any(part.take(1) for part in more):
+        old, every = labels, labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        for part in more:
+            every = every.union(part)
+        labels = components(every)
+        release(old)
+    release(near, links, open_, cut, *more)
+    named = classes.select("set_key", "node", "id").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    alone = named.where("component is null").select("set_key", F.col("node").alias("component"), F.col("id").alias("component_id"))
+    some = named.where("component is not null")
+    least = some.groupBy("component").agg(F.min("id").alias("component_id"))
+    label = durable(alone.union(some.join(least, "component").select("set_key", "component", "component_id")))
+    release(classes, labels)
+    return found.select("set_key", "n", "ids"), label
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept for every document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    found, label = duplicate_classes(docs, id_col, text_col)
+    full = found.where("set_key is not null").join(label, "set_key").select("n", "component_id", F.explode("ids").alias("id"))
+    empty = found.where("set_key is null").select("n", F.explode("ids").alias("id")).select("n", F.col("id").alias("component_id"), "id")
+    rows = full.union(empty)
+    done = rows.where("id is not null").groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    nulls = rows.where("id is null").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast(kind).alias("component_id"), F.lit(True).alias("kept"))
     return done.withColumn("kept", F.col("id") == F.col("component_id")).union(nulls)
 
 
-def _with_set(at: int):
-    """The rows with the digest of their shingle set."""
+def _with_key(at: int):
+    """The rows with the key of their shingle set."""
 
     def run(batches):
         for batch in batches:
             body_all, at_all = tx.buffers(batch.column(at))
-            keys = []
+            keys: list = []
             for i, j in tx.slices(at_all):
-                keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(*tx.cut(body_all, at_all, i, j))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_set"])
+                keys += map(set_key, shingle_sets(*tx.cut(body_all, at_all, i, j)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], schema=batch.schema.append(pa.field("key", pa.binary())))
 
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One of the rows that repeat an id and a set; rows with a null id stay. Only texts of repeated ids are read."""
-    bounded_batches(docs.sparkSession)
-    ids = durable(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"))
-    n = ids.count()
-    if not n:
-        return docs
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    once, again = (docs.join(ids, F.col(id_col) == F.col("_id"), how) for how in ("left_anti", "left_semi"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.BinaryType())])
-    again = again.mapInArrow(_with_set(docs.columns.index(text_col)), schema).dropDuplicates([id_col, "_set"])
-    return once.union(again.select(*docs.columns))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate group: of the smallest id, or any one if all ids are null.
+
+    Rows without words stay, but of those that share an id one. Rows with a null or
+    repeated id are told apart by their sets, for which only their texts are read again.
+    """
+    found, label = duplicate_classes(docs, id_col, text_col)
+    name = fresh_name(docs, "_id")
+    ids = durable(
+        found.join(label, "set_key", "left").select("component_id", F.explode("ids").alias(name)).where(F.col(name).isNotNull())
+        .groupBy(name).agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
+        .select(name, (F.col("n") > 1).alias("again"), "c").where(f"again or c <> {name}")
+    )
+    few = ids.count() <= BROADCAST_IDS
+    listed = lambda rows: F.broadcast(rows.select(name)) if few else rows.select(name)
+    once = docs.where(F.col(id_col).isNotNull()).join(listed(ids), F.col(id_col) == F.col(name), "left_anti")
+    again = docs.where(F.col(id_col).isNull()).union(docs.join(listed(ids.where("again")), F.col(id_col) == F.col(name), "left_semi"))
+    # clashing names do no harm behind a struct
+    schema = T.StructType([T.StructField("d", docs.schema), T.StructField("key", T.BinaryType())])
+    whole = T.StructType([*docs.schema.fields, T.StructField(fresh_name(docs, "_key"), T.BinaryType())])
+    keyed = again.mapInArrow(_with_key(docs.columns.index(text_col)), whole)
+    keyed = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).cast(schema["d"].dataType).alias("d"), F.col(whole.fieldNames()[-1]).alias("key"))
+    own = F.col(f"d.`{id_col}`")
+    rows = keyed.join(label.withColumnRenamed("set_key", "key"), "key", "left").where(F.col("component_id").isNull() | own.eqNullSafe(F.col("component_id")))
+    free = rows.where(F.col("component").isNull() & own.isNull())
+    held = rows.where(F.col("component").isNotNull() | own.isNotNull()).withColumn("own", F.when(F.col("component").isNull(), own)).dropDuplicates(["component", "own"])
+    return once.union(free.select("d.*")).union(held.select("d.*"))
 
 
 def report(docs: DataFrame) -> DataFrame:

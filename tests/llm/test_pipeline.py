@@ -51,12 +51,12 @@ def test_stages(spark, tmp_path):
 
 
 def test_null_and_repeated_ids(spark):
-    """Rows with a null id go through; of rows that repeat an id and set one stays; the mix counts rows, not ids."""
-    a, b, c, d = sentences(23, 4, 80, 500)
-    rows = [(1, a)] * 3 + [(1, b)] * 2 + [(None, c)] * 2 + [(2, "")] * 2 + [(3, d)]
+    """Of rows that repeat an id or lack one, one of each set stays; the mix counts rows, not ids."""
+    a, b, c, d, e = sentences(23, 5, 80, 500)
+    rows = [(1, a)] * 3 + [(1, b)] * 2 + [(None, c)] * 2 + [(2, "")] * 2 + [(3, d)] + [(None, d), (None, ""), (None, None), (0, e), (1, e)]
     table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     found = corpus_pipeline.near_duplicates(spark, table(rows), "")
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in found.collect()) == sorted([(1, a), (1, b), (0, c), (0, c), (2, ""), (3, d)])
+    assert sorted((r["doc_id"] or 0, "null" if r["text"] is None else r["text"]) for r in found.collect()) == sorted([(1, a), (1, b), (0, c), (2, ""), (3, d), (0, ""), (0, "null"), (0, e)])
     # one source is taken one and a half times: each row comes once or twice
     texts = sentences(24, 40, 80, 500)
     rows = [(None if k % 2 else k, t) for k, t in enumerate(texts)] + [(0, texts[0])] * 4 + [(2**60 + k, t) for k, t in enumerate(sentences(25, 5, 80, 500))]
