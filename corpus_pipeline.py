@@ -17,9 +17,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id; of rows that repeat an id and text, one."""
-    found = near_dedup.near_duplicates(docs)
-    return near_dedup.without_repeats(cluster.without(docs, found.where("not kept").select("id"), "doc_id"))
+    """One document of each near-duplicate group stays, the one with the smallest id; so does one of rows that repeat a text without an id."""
+    return near_dedup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
