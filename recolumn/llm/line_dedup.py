@@ -1,24 +1,25 @@
 """Substring dedup by line hashing.
 
-The units are a text's lines. A unit is normalised (A-Z lower-cased, runs of
-`[\\x20\\x09\\x0B-\\x0D]` to one space, none at the ends) and digested with 128 bits. Of all units with one
-digest the earliest stays, ranked by document id and then offset; the others are
-removed together with their line feed. Units of fewer than MIN_WORDS words are
-left alone, so short lines that any text may hold are kept.
-
-The pass over the texts sends one row for each distinct digest of a batch, with
-the places packed, so a line that a third of all documents hold arrives as one
-row a batch. Only digests that occur twice go on to the texts.
-
-Defined cases: null texts stay null and have no units; empty texts stay empty;
-rows that repeat an id are ranked by their place in the input partitions; a null
-id is ranked last; other columns are kept by `clean` as they are.
+A unit is a line, cut further after each of `. , ; : ! ?` that blanks follow, so
+that passages which begin or end inside a line are seen as well. Units tile the
+text: each one keeps the blanks or the line feed behind it. A unit is normalised (A-Z lower-cased, runs of
+`[\\x20\\x09-\\x0D]` to one space, none at the ends) and digested with 128 bits. Of all units
+with one digest the earliest is the first, ranked by document id and then by offset. Consecutive
+repeated units of a document are joined into runs, and a run of at least PASSAGE
+words is removed; shorter runs stay, so lines and phrases that any text may
+hold are kept. Units without words have no digest and do not break a run.
+
+One pass over the texts writes digests and places. Digests are counted with partial
+aggregates, so a unit that a third of all documents hold arrives as one row a task;
+only digests that occur twice go back to the places, broadcast if there are few.
+
+Defined cases: null texts stay null and have no units; empty texts stay empty; rows
+are numbered once, so rows that repeat an id are documents of their own, ranked by that number, and
+a null id is ranked last; ids may have any type that can be ordered; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,113 +28,123 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .cluster import bounded_batches, durable
 
-MIN_WORDS = 5
-_LF = np.ones(256, bool)
-_LF[10] = False
-
-
-def units(body: np.ndarray, at: np.ndarray, min_words: int):
-    """Row, start and end (bytes in the row) and two digests of each unit of at least min_words words."""
-    starts, ends, lines = tx.spans(body, at, _LF)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(lines))
-    first, last, words = tx.spans(body, at, tx.SPACED)
+PASSAGE = 40
+BROADCAST_ROWS = 300_000
+_MARK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_BLANK[list(b" \t")] = True
+_UNITS = "k int, s bigint, e bigint, words int, h1 bigint, h2 bigint"
+_SPANS = "array<struct<s:bigint,e:bigint>>"
+
+
+def bounds(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Starts of all units of the rows, and the end of the last."""
+    if not len(body):
+        return np.zeros(1, np.int64)
+    heads = at[:-1][np.diff(at) > 0]
+    head = np.zeros(len(body), bool)
+    head[heads] = True
+    blank = _BLANK[body]
+    opens = blank.copy()
+    opens[1:] &= ~blank[:-1] | head[1:]
+    marked = opens.copy()
+    marked[0] = False
+    marked[1:] &= _MARK[body[:-1]] & ~head[1:]
+    # the run of blanks that a blank belongs to
+    run = np.maximum.accumulate(np.where(opens, np.arange(len(body)), 0))
+    closes = blank & marked[run]
+    closes[:-1] &= ~blank[1:] | head[1:]
+    ends = np.flatnonzero(closes | (body == 10)) + 1
+    return np.unique(np.concatenate([heads, ends, [len(body)]]))
+
+
+def units(body: np.ndarray, at: np.ndarray):
+    """Row, number, start and end (bytes in the row), words and two digests of each unit that has words."""
+    edges = bounds(body, at)
+    starts, ends = edges[:-1], edges[1:]
+    first, last, _ = tx.spans(body, at, tx.SPACED)
     low, high = np.searchsorted(first, starts), np.searchsorted(first, ends)
-    ok = high - low >= min_words
-    starts, ends, row, low, high = starts[ok], ends[ok], row[ok], low[ok], high[ok]
-    keys = []
-    for seed in (0, 1):
-        h = tx.hashes(body, first, last)
-        if seed:
-            h = tx.mix(h + np.uint64(0xA0761D6478BD642F))
-        up, down = tx._powers(len(h))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+    ok = high > low
+    starts, ends, low, high = starts[ok], ends[ok], low[ok], high[ok]
+    row = np.searchsorted(at, starts, side="right") - 1
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    keys, h = [], tx.hashes(body, first, last)
+    up, down = tx._powers(len(h))
+    for seed in (0, 0xA0761D6478BD642F):
+        values = tx.mix(h + np.uint64(seed)) if seed else h
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(h)])])
         keys.append(tx.mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64)))
-    return row, starts - at[row], ends - at[row], *keys
+    return row, number, starts - at[row], ends - at[row], high - low, *keys
 
 
-def _places(min_words: int):
-    """(h1, h2, first id, first start, count, places) for each distinct digest of a batch."""
-
+def _places(batches):
+    for batch in batches:
+        body_all, at_all = tx.buffers(batch.column(2))
+        for i, j in tx.slices(at_all):
+            row, k, s, e, words, a, b = units(*tx.cut(body_all, at_all, i, j))
+            own = pa.array(row + i)
+            cols = [pa.array(k.astype(np.int32)), pa.array(s), pa.array(e), pa.array(words.astype(np.int32)), pa.array(tx.signed(a)), pa.array(tx.signed(b))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *cols], names=["id", "row", *[c.split()[0] for c in _UNITS.split(", ")]])
+
+
+def repeated_units(rows: DataFrame) -> DataFrame:
+    """(row, units): the repeated units (k, s, e, words) of each numbered row (id, row, text) that has some, in order."""
+    kind = rows.schema["id"].dataType.simpleString()
+    places = durable(rows.select("id", "row", "text").mapInArrow(_places, f"id {kind}, row bigint, {_UNITS}"))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "row", "k")
+    firsts = places.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = durable(firsts.select("h1", "h2", F.col("first.row").alias("first_row"), F.col("first.k").alias("first_k")))
+    found = places.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, ["h1", "h2"])
+    found = found.where("row <> first_row or k <> first_k").select("row", F.struct("k", "s", "e", "words").alias("u"))
+    return found.groupBy("row").agg(F.array_sort(F.collect_list("u")).alias("units"))
+
+
+def passages(k: np.ndarray, s: np.ndarray, e: np.ndarray, words: np.ndarray, least: int):
+    """Runs of consecutive units with at least `least` words: start, end and number of units."""
+    new = np.flatnonzero(np.append(True, np.diff(k) != 1)) if len(k) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(k)) - 1
+    long_ = np.add.reduceat(words, new) >= least if len(k) else np.zeros(0, bool)
+    return s[new[long_]], e[last[long_]], (last - new + 1)[long_]
+
+
+def _cut(least: int):
     def run(batches):
         for batch in batches:
-            ids = np.array(batch.column(0), np.int64)
-            body_all, at_all = tx.buffers(batch.column(1))
-            parts = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2]
-            for i, j in tx.slices(at_all):
-                row, start, end, a, b = units(*tx.cut(body_all, at_all, i, j), min_words)
-                parts.append((row + i, start, end, a, b))
-            row, start, end, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, ids[row], b, a))
-            row, start, end, a, b = row[order], start[order], end[order], a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            at = np.append(np.flatnonzero(new), len(a)).astype(np.int32)
-            place = pa.StructArray.from_arrays([pa.array(ids[row]), pa.array(start), pa.array(end)], names=["id", "s", "e"])
-            head = at[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tx.signed(a[head])), pa.array(tx.signed(b[head])), pa.array(ids[row[head]]), pa.array(start[head]), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), place)],
-                names=["h1", "h2", "id", "s", "n", "places"],
-            )
+            texts, repeated = batch.column(1), batch.column(2).to_pylist()
+            out, counts, removed, spans = [], [], [], []
+            for k, found in enumerate(repeated):
+                text = texts[k]
+                starts, ends, n = passages(*(np.array([u[c] for u in found or []], np.int64) for c in ("k", "s", "e", "words")), least)
+                spans.append([{"s": s, "e": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+                counts.append(int(n.sum()))
+                if not spans[-1]:
+                    out.append(text.as_py())
+                    removed.append(0)
+                    continue
+                data, kept, at, chars = text.as_buffer().to_pybytes(), [], 0, 0
+                for c in spans[-1]:
+                    kept.append(data[at : c["s"]])
+                    chars += len(data[c["s"] : c["e"]].decode())
+                    at = c["e"]
+                out.append((b"".join(kept) + data[at:]).decode())
+                removed.append(chars)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip((out, counts, removed, spans), kinds, strict=True)]], names=["id", "text", "n_removed", "removed_chars", "spans"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, spans): for each document with removals, the byte ranges of `text` to remove, in order. Ids are integers."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = durable(rows.mapInArrow(_places(min_words), "h1 long, h2 long, id long, s long, n long, places array<struct<id:bigint,s:bigint,e:bigint>>"))
-    firsts = durable(found.groupBy("h1", "h2").agg(F.min(F.struct("id", "s")).alias("first"), F.sum("n").alias("n")).where("n > 1").select("h1", "h2", "first"))
-    out = found.select("h1", "h2", "places").join(firsts, ["h1", "h2"]).select("first", F.explode("places").alias("p"))
-    out = out.where((F.col("p.id") != F.col("first.id")) | (F.col("p.s") != F.col("first.s"))).select("p.id", "p.s", "p.e")
-    return out.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-
-
-def _cut(batches):
-    for batch in batches:
-        texts, spans = batch.column(1), batch.column(2).to_pylist()
-        out, counts, removed = [], [], []
-        for k, cuts in enumerate(spans):
-            text = texts[k]
-            if not text.is_valid:
-                out.append(None)
-                counts.append(0)
-                removed.append(0)
-                continue
-            if not cuts:
-                out.append(text.as_py())
-                counts.append(0)
-                removed.append(0)
-                continue
-            data, kept, at, chars = text.as_buffer().to_pybytes(), [], 0, 0
-            for c in cuts:
-                end = c["e"] + 1 if data[c["e"] : c["e"] + 1] == b"\n" else c["e"]
-                kept.append(data[at : c["s"]])
-                chars += len(data[c["s"] : c["e"]].decode())
-                at = end
-            out.append((b"".join(kept) + data[at:]).decode())
-            counts.append(len(cuts))
-            removed.append(chars)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), batch.column(2)],
-            names=["id", "text", "n_removed", "removed_chars", "spans"],
-        )
-
-
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """id, text (what stays), n_removed, removed_chars, spans (byte ranges of the original text)."""
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """id, text (what stays), n_removed (units), removed_chars, spans (byte ranges of the original text) of every row."""
     bounded_batches(docs.sparkSession)
-    spans = repeated_lines(docs, id_col, text_col, min_words)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, "id", "left").select("id", "text", "spans")
-    return rows.mapInArrow(_cut, "id long, text string, n_removed long, removed_chars long, spans array<struct<s:bigint,e:bigint>>")
-
-
-def _digest(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
+    rows = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.join(repeated_units(rows), "row", "left").select("id", "text", "units").mapInArrow(_cut(passage), f"id {kind}, text string, n_removed long, removed_chars long, spans {_SPANS}")
 
 
 def report(docs: DataFrame) -> DataFrame:
     return clean(docs).select(
         F.col("id").alias("doc_id"), "n_removed", "removed_chars",
-        F.array_join(F.transform(F.coalesce("spans", F.array()), lambda s: F.concat_ws("-", s["s"], s["e"])), ",").alias("removed_bytes"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["s"], s["e"])), ",").alias("removed_bytes"),
         F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"),
     )

@@ -102,21 +102,29 @@ FROM said GROUP BY conv_id
 """
 
 OP4_SQL = """
-WITH split AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, len(ls) AS n, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM split),
+WITH split AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\n]*?(?:[.,;:!?][ \\t]+|\\n)|[^\\n]+') AS us FROM documents),
+p AS (SELECT doc_id, generate_subscripts(us, 1) AS i, unnest(us) AS piece FROM split),
 w AS (
-  SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - strlen(line) - 1 AS s,
-    regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM l),
-r AS (
-  SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone FROM w),
-d AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(line)) FILTER (gone), 0) AS removed_chars,
-    coalesce(string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s + strlen(line) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (gone), '') AS removed_bytes,
-    coalesce(string_agg(line || CASE WHEN k < n THEN chr(10) ELSE '' END, '' ORDER BY k) FILTER (NOT gone), '') AS kept
-  FROM r GROUP BY doc_id)
-SELECT doc_id, n_removed, CAST(removed_chars AS BIGINT) AS removed_chars, removed_bytes,
-  length(CASE WHEN text IS NOT NULL THEN kept END) AS kept_chars, sha256(CASE WHEN text IS NOT NULL THEN kept END) AS kept_sha256
-FROM d JOIN split USING (doc_id)
+  SELECT *, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(piece) AS s,
+    regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM p),
+u AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+    row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, i) > 1 AS again FROM w WHERE len(w) > 0),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) AS z, count(*) AS units, min(s) AS s, max(s + strlen(piece)) AS e
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM u WHERE again)
+  GROUP BY doc_id, island HAVING sum(len(w)) >= 40),
+gone AS (
+  SELECT doc_id, sum(units) AS units,
+    string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY s) AS bytes FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT p.doc_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (a IS NULL), '') AS kept,
+    coalesce(sum(length(piece)) FILTER (a IS NOT NULL), 0) AS chars
+  FROM p LEFT JOIN runs ON p.doc_id = runs.doc_id AND i BETWEEN a AND z GROUP BY p.doc_id)
+SELECT doc_id, CAST(coalesce(units, 0) AS BIGINT) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS removed_chars, coalesce(bytes, '') AS removed_bytes,
+  length(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) AS kept_chars, sha256(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
 OP8_SQL = f"""

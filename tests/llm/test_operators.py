@@ -222,27 +222,79 @@ def test_chat_round_trip(spark):
 # -- line dedup
 
 
-def test_line_dedup(spark):
-    rng = random.Random(9)
-    lines = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 9))) for _ in range(12)]
-    texts = list(EDGE) + ["\n".join(rng.choice(lines).upper() if rng.random() < 0.3 else "  " + rng.choice(lines) for _ in range(rng.randint(1, 8))) for _ in range(60)]
-    seen, want = set(), {}
-    for k, t in enumerate(texts):
-        kept, removed, parts = [], 0, (t or "").split("\n")
-        for i, line in enumerate(parts):
-            w = re.findall(r"[^\x20\x09-\x0D]+", line.translate({c: c + 32 for c in range(65, 91)}))
-            if len(w) >= line_dedup.MIN_WORDS and tuple(w) in seen:
-                removed += 1
+def brute_passages(rows, least):
+    """Kept text, units and byte ranges removed, for rows in rank order."""
+    seen, out = set(), []
+    for t in rows:
+        kept, gone, spans, run, at = [], 0, [], [], 0
+        pieces = re.findall(r"[^\n]*?(?:[.,;:!?][ \t]+|\n)|[^\n]+", t or "")
+        units = [[*re.findall(r"[^\x20\x09-\x0D]+", p.translate({c: c + 32 for c in range(65, 91)}))] for p in pieces]
+        again = []
+        for w in units:
+            again.append(bool(w) and tuple(w) in seen)
+            seen.add(tuple(w))
+        state = [None] * len(pieces)
+        i = 0
+        while i < len(pieces):
+            if not again[i]:
+                i += 1
                 continue
-            if len(w) >= line_dedup.MIN_WORDS:
-                seen.add(tuple(w))
-            kept.append(line + ("\n" if i < len(parts) - 1 else ""))
-        want[k] = (None if t is None else "".join(kept), removed)
-    got = {r["id"]: (r["text"], r["n_removed"]) for r in line_dedup.clean(documents(spark, texts)).collect()}
-    assert got == want
+            j = end = i
+            while j < len(pieces) and (again[j] or not units[j]):
+                end = j if again[j] else end
+                j += 1
+            if sum(len(w) for w in units[i : end + 1]) >= least:
+                state[i : end + 1] = [True] * (end + 1 - i)
+            i = end + 1
+        for i, p in enumerate(pieces):
+            size = len(p.encode())
+            if state[i]:
+                gone += bool(units[i])
+                if spans and spans[-1][1] == at and state[i - 1]:
+                    spans[-1] = (spans[-1][0], at + size)
+                else:
+                    spans.append((at, at + size))
+            else:
+                kept.append(p)
+            at += size
+        out.append((None if t is None else "".join(kept), gone, spans))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 12, line_dedup.PASSAGE])
+def test_line_dedup(spark, least):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    joins = ["\n", ". ", ", ", ";  \t", ".\n", " \n\n", ".", "!  \n", " "]
+    texts = list(EDGE)
+    for _ in range(80):
+        own = [(rng.choice(lines).upper() if rng.random() < 0.2 else rng.choice(["", " "]) + rng.choice(lines)) + rng.choice(joins) for _ in range(rng.randint(1, 25))]
+        texts.append("".join(own))
+    got = {r["id"]: (r["text"], r["n_removed"], [tuple(s) for s in r["spans"]]) for r in line_dedup.clean(documents(spark, texts), passage=least).collect()}
+    assert got == dict(enumerate(brute_passages(texts, least)))
+    assert any(r[1] for r in got.values()) or least > 30
     assert line_dedup.report(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_finds_passages_inside_lines(spark):
+    """A passage of over 50 words is removed from all but the first text, and texts without one stay."""
+    passage = ". ".join(sentences(31, 8, 9, 500)) + ". " + " ".join(f"w{k}" for k in range(30)) + ", " + " ".join(f"v{k}" for k in range(15)) + ". "
+    own = sentences(32, 20, 60, 500)
+    texts = [f"{t} {t[::-1]}. {passage}{t[:9]}" if k % 2 else t for k, t in enumerate(own)]
+    got = {r["id"]: r for r in line_dedup.clean(documents(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert (passage[:-1] in got[k]["text"]) == (k == 1) if k % 2 else got[k]["text"] == t
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (5, a), (None, b), (None, "\u00e9 " + b), (None, None), (1, "short"), (1, "short")]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(None if i is None else i if kind == "long" else str(i), t) for i, t in rows], f"doc_id {kind}, text string").coalesce(1)
+        got = sorted((str(r["id"]), str(r["text"])) for r in line_dedup.clean(docs).collect())
+        assert got == sorted([("5", a), ("5", b), ("5", ""), ("None", ""), ("None", "\u00e9 " + b), ("None", "None"), ("1", "short"), ("1", "short")])
+
+
 # -- mixing
 
 
