@@ -14,7 +14,7 @@ are left out (label noise); worst is what the SVM itself finds, anew each round.
 over-represented segments are also learned with characters inserted. The solution is a
 weighted sum over landmarks, so for scoring it is folded into one table over letter
 triples: the SVM value of a segment is a sum of table entries over its own
-norm, computed for the distinct segments of a slice at once. A document's score is
+norm, computed for the distinct segments of a slice at once and exactly. A document's score is
 the calibrated largest value of its segments.
 
 Fitting uses at most SAMPLE labelled rows, none held out; every whole text is scored.
@@ -41,6 +41,7 @@ SAMPLE, LANDMARKS, SPAN, DECAY = 5_000, 64, 6, 0.7
 HARDEST, ROUNDS, SURE = 4, 3, 3.0  # sentences of a clean document that are learned from; rounds; standard errors
 CLASSES = 32
 SLICE = 2 << 20  # larger slices hold each distinct segment once
+WORDS, SCORED, KEPT = 256, 8192, 1 << 19  # words or segments that are computed at once; values that a task keeps
 #: Gaps (to the second and to the third letter) and weights of all triples within SPAN.
 TRIPLES = [(i, j, DECAY ** (j + 1)) for j in range(2, SPAN) for i in range(1, j)]
 
@@ -66,13 +67,6 @@ def segments(body: np.ndarray, at: np.ndarray):
     return np.append(starts, starts[first]), np.append(ends, ends[last]), np.append(row, row[first])
 
 
-def distinct(body: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Index of one occurrence of each distinct segment, and the distinct number of each segment."""
-    h = tx.hashes(body, starts, ends)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return first, inverse
-
-
 def _gather(body, starts, ends):
     """Letter codes of the segments joined, with SPAN zeros behind each; and the place of each segment."""
     size = ends - starts
@@ -106,66 +100,82 @@ def kernel_maps(body, starts, ends):
     return segment, triple, value, np.where(norm > 0, norm, np.inf)
 
 
-def _joined(words: list[str]):
+def _joined(words):
     data = [w.encode() for w in words]
     ends = np.cumsum([len(d) for d in data])
     return np.frombuffer(b"".join(data), np.uint8), ends - np.array([len(d) for d in data], np.int64), ends
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel values, words by landmarks."""
+    """Normalised kernel values, words by landmarks, some hundred words at once."""
     dense = np.zeros((CLASSES**3, len(landmarks)), np.float32)
     segment, triple, value, norm = kernel_maps(*_joined(landmarks))
     dense[triple, segment] = value / norm[segment]
-    out = np.zeros((len(words), len(landmarks)))
-    for i in range(0, len(words), 4000):
-        segment, triple, value, norm = kernel_maps(*_joined(words[i : i + 4000]))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    for i in range(0, len(words), WORDS):
+        segment, triple, value, norm = kernel_maps(*_joined(words[i : i + WORDS]))
         own, first = np.unique(segment, return_index=True)
         if len(own):
-            out[i + own] = np.add.reduceat(dense[triple] * value[:, None], first, axis=0) / norm[own, None]
+            out[i + own] = np.add.reduceat(dense[triple] * value[:, None].astype(np.float32), first, axis=0) / norm[own, None]
     return out
 
 
+class Sample:
+    """Labelled documents as arrays: each segment's number, and where sentences and documents begin."""
+
+    def __init__(self, y, keys, sentences: pa.Array):
+        """y, a key that near copies share, and lists of sentences of distinct segments; sentences without any are left out."""
+        self.y = np.asarray(y, np.int64)
+        segments = sentences.flatten()
+        coded = segments.flatten().dictionary_encode()
+        self.names, self.seg = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = segments.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(self.y)), sentences.value_lengths().to_numpy(zero_copy_only=False))
+        self.doc = owner[size > 0]  # of each sentence
+        size = size[size > 0]
+        self.first = np.cumsum(size) - size
+        self.sentence = np.repeat(np.arange(len(size)), size)
+        # near copies of a document mostly agree in their key and count once
+        _, group = np.unique(np.column_stack([self.y, np.asarray(keys, np.int64)]), axis=0, return_inverse=True)
+        label = np.zeros(group.max(initial=-1) + 1, np.int64)
+        label[group] = self.y
+        once = np.unique(group.ravel()[self.doc[self.sentence]] * max(len(self.names), 1) + self.seg)
+        group_of, seg = once // max(len(self.names), 1), once % max(len(self.names), 1)
+        self.counts = np.bincount(label[group_of] * len(self.names) + seg, minlength=2 * len(self.names)).reshape(2, -1).astype(float)
+        self.totals = np.bincount(label, minlength=2).astype(float)
+
+    def worst(self, single: np.ndarray):
+        """Highest value of each sentence and the number of the segment that has it, the larger of equal ones."""
+        if not len(self.first):
+            return np.zeros(0), np.zeros(0, np.int64)
+        most = np.maximum.reduceat(single[self.seg], self.first)
+        return most, np.maximum.reduceat(np.where(single[self.seg] == most[self.sentence], self.seg, -1), self.first)
+
+
 class SubsequenceSvm:
     """Table over letter triples, bias, and the monotone calibration of a document's largest value."""
 
     def __init__(self):
         self.table, self.bias, self.landmarks = None, 0.0, []
         self.knots, self.shares = np.zeros(1), np.zeros(1)
+        self.known, self.values = np.zeros(0, np.uint64), np.zeros(0)
 
-    def fit(self, docs: list[tuple[int, list[list[str]]]]) -> SubsequenceSvm:
-        """docs: (label, sentences as lists of segments)."""
-        y = np.array([label for label, _ in docs])
+    def fit(self, docs: Sample) -> SubsequenceSvm:
+        y, names = docs.y, docs.names
         if len(set(y.tolist())) < 2:
             return self
-        words: dict = {}
-        for _, sentences in docs:
-            for s in sentences:
-                for w in s:
-                    words.setdefault(w, len(words))
-        names = list(words)
-        coded = [[[words[w] for w in s] for s in sentences if s] for _, sentences in docs]
-        # near copies of a document mostly agree in their smallest sentence hash and count once
-        copies = [min((crc32(" ".join(s).encode()) for s in sentences if s), default=0) for _, sentences in docs]
-        once: dict = {}
-        for (label, _), key, sentences in zip(docs, copies, coded, strict=True):
-            once.setdefault((label, key), set()).update(k for s in sentences for k in s)
-        counts, totals = np.zeros((2, len(names))), np.zeros(2)
-        for (label, _), own in once.items():
-            counts[label, list(own)] += 1
-            totals[label] += 1
-        rate = (counts + 0.5) / (totals[:, None] + 1)
-        z = (rate[1] - rate[0]) / np.sqrt(rate[1] / totals[1] + rate[0] / totals[0])
-        proper = np.array([sum(c.isalpha() for c in w) >= 3 for w in names])
+        rate = (docs.counts + 0.5) / (docs.totals[:, None] + 1)
+        z = (rate[1] - rate[0]) / np.sqrt(rate[1] / docs.totals[1] + rate[0] / docs.totals[0])
+        proper = np.array([sum(c.isalpha() for c in w) >= 3 for w in names], bool)
         z[~proper] = -np.inf
         sure = max(SURE, 0.4 * z.max(initial=0.0))
         top = [k for k in np.argsort(-z, kind="stable")[: LANDMARKS // 2] if z[k] > sure]
-        common = [k for k in np.argsort(-counts.sum(0), kind="stable") if proper[k] and z[k] < 2][: LANDMARKS - len(top)]
+        common = [k for k in np.argsort(-docs.counts.sum(0), kind="stable")[: 4 * LANDMARKS] if proper[k] and z[k] < 2][: LANDMARKS - len(top)]
         if not top:
             return self
         self.landmarks = [names[k] for k in top + common]
         values = kernel(names, self.landmarks)
-        gram = kernel(self.landmarks, self.landmarks)
+        gram = kernel(self.landmarks, self.landmarks).astype(float)
         e, v = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(gram)))
         root = v @ np.diag(np.maximum(e, 1e-6) ** -0.5) @ v.T
         # the over-represented segments with characters between and inserted
@@ -173,45 +183,53 @@ class SubsequenceSvm:
         beta = np.zeros(len(self.landmarks))
         beta[: len(top)] = 1.0
         w, b = np.linalg.solve(root, beta), -0.7
+        label = y[docs.doc]
         for _ in range(ROUNDS):
-            single = (values @ (root @ w)).tolist()
             # a sentence stands for its worst segment
-            worst = [sorted(((max((single[k], k) for k in s)) for s in sentences), reverse=True) for sentences in coded]
-            positive = [k for (label, _), s in zip(docs, worst, strict=True) if label == 1 for _, k in s if z[k] > sure]
-            negative = [k for (label, _), s in zip(docs, worst, strict=True) if label == 0 for _, k in s[:HARDEST]]
-            use = np.array(positive + negative)
-            x = np.concatenate([values[use], disguised])
+            most, worst = docs.worst(values @ (root @ w))
+            positive = worst[(label == 1) & (z[worst] > sure)]
+            order = np.lexsort((-worst, -most, docs.doc))
+            rank = np.arange(len(order)) - np.searchsorted(docs.doc[order], docs.doc[order])
+            negative = worst[order[(rank < HARDEST) & (label[order] == 0)]]
+            x = np.concatenate([values[positive], values[negative], disguised]).astype(float)
             w, b = _hinge(x @ root, np.repeat([1.0, -1.0, 1.0], [len(positive), len(negative), len(disguised)]), w, b)
         beta = root @ w
         segment, triple, value, norm = kernel_maps(*_joined(self.landmarks))
         self.table = np.zeros(CLASSES**3)
         np.add.at(self.table, triple, beta[segment] * value / norm[segment])
         self.bias = float(b)
-        single = (values @ beta).tolist()
-        most = np.array([max((single[k] for s in sentences for k in s), default=FLOOR) for sentences in coded])
+        most = np.full(len(y), FLOOR)
+        np.maximum.at(most, docs.doc, docs.worst(values @ beta)[0])
         self.knots, self.shares = _calibrate(np.maximum(most + self.bias, -5), y)
         return self
 
+    def segment_values(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The SVM's value, without bias, of each segment: its kernel with the landmarks, weighted."""
+        out = np.zeros(len(starts))
+        for i in range(0, len(starts), SCORED):
+            s, e = starts[i : i + SCORED], ends[i : i + SCORED]
+            segment, triple, value, norm = kernel_maps(body, s, e)
+            out[i : i + len(s)] = np.bincount(segment, value * self.table[triple], minlength=len(s)) / norm
+        return out
+
     def largest(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The largest segment value of each row."""
+        """The largest segment value of each row; each distinct segment is computed once, and kept for the slices that follow."""
         out = np.full(len(at) - 1, FLOOR)
         starts, ends, row = segments(body, at)
         if self.table is None or not len(starts):
             return out
-        first, inverse = distinct(body, starts, ends)
-        s, e = starts[first], ends[first]
-        codes, place = _gather(body, s, e)
-        total, square = np.zeros(len(codes) - SPAN), np.zeros(len(codes) - SPAN)
-        for number, weight in _triples(codes):
-            total += weight * self.table[number]
-            square += weight * weight * (number > 0)
-        total, square = (np.add.reduceat(x, place) for x in (total, square))
-        # the true norm is at least the root of the squares: a bound that settles nearly all segments
-        value = np.where(square > 0, total / np.sqrt(np.maximum(square, 1e-12)), 0.0)
-        near = np.flatnonzero(value > 0.3)
-        if len(near):
-            _, _, _, norm = kernel_maps(body, s[near], e[near])
-            value[near] = np.where(np.isfinite(norm), total[near] / norm, 0.0)
+        h, first, inverse = np.unique(tx.hashes(body, starts, ends), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        new = self.known[place] != h if len(self.known) else np.ones(len(h), bool)
+        value = np.empty(len(h))
+        value[~new] = self.values[place[~new]]
+        value[new] = self.segment_values(body, starts[first[new]], ends[first[new]])
+        if len(self.known) > KEPT:
+            self.known, self.values = h, value
+        elif new.any():
+            known = np.concatenate([self.known, h[new]])
+            order = np.argsort(known, kind="stable")
+            self.known, self.values = known[order], np.concatenate([self.values, value[new]])[order]
         np.maximum.at(out, row, value[inverse])
         return out
 
@@ -253,9 +271,9 @@ def _calibrate(value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sentences(batches):
-    """Sentences of the sample as lists of distinct segments, lower-cased."""
+    """Sentences of the sample as lists of distinct segments, lower-cased, and the smallest hash of one."""
     for batch in batches:
-        out = []
+        out, keys = [], []
         for text in batch.column(2).to_pylist():
             body = np.frombuffer((text or "").encode(), np.uint8)
             starts, ends, _ = segments(body, np.array([0, len(body)]))
@@ -264,16 +282,19 @@ def _sentences(batches):
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 own.setdefault(int(stop[a]), set()).add(body[a:b].tobytes().decode("utf-8", "replace").strip(".,;:!?*#$%&|\"'()").lower())
             out.append([sorted(x - {""}) for x in own.values()])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.list_(pa.string())))], names=["id", "y", "sentences"])
+            keys.append(min((crc32(" ".join(x).encode()) for x in out[-1] if x), default=0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.list_(pa.string())))], names=["id", "y", "key", "sentences"])
 
 
 def fit_model(docs: DataFrame, labels: DataFrame) -> SubsequenceSvm:
-    """docs: id, text. The sample's sentences, without repeated segments, come to the driver: at most SAMPLE rows."""
+    """docs: id, text. The sample's sentences, without repeated segments, come to the driver: at most SAMPLE rows, those with the smallest seeded hashes."""
     kind = docs.schema["id"].dataType.simpleString()
     known = sample_labels(labels, "toxic", SAMPLE)
-    rows = docs.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_sentences, f"id {kind}, y int, sentences array<array<string>>")
-    found = [(r["id"], r["y"], r["sentences"]) for r in rows.limit(SAMPLE).toLocalIterator()]
-    return SubsequenceSvm().fit([(y, s) for _, y, s in sorted(found, key=lambda r: (r[0], r[1]))])
+    rows = docs.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_sentences, f"id {kind}, y int, key bigint, sentences array<array<string>>")
+    # rows that repeat an id can make the sample larger than its list of ids
+    found = rows.orderBy("id", "y", "key").limit(SAMPLE).select("y", "key", "sentences").toArrow().combine_chunks()
+    sentences = found.column("sentences").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.list_(pa.string())))
+    return SubsequenceSvm().fit(Sample(found.column("y").to_numpy(), found.column("key").to_numpy(), sentences))
 
 
 def _score_rows(model):

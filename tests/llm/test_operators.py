@@ -412,6 +412,28 @@ def test_subsequence_kernel():
     assert got[0, 0] == pytest.approx(1) and got[2, 0] > 0.5 and got[5, 0] == pytest.approx(1)
 
 
+def test_segment_values_are_kernel_values(monkeypatch):
+    """Scoring gives the landmarks' weighted kernel values exactly, in whatever portions, also from values kept before."""
+    rng = random.Random(16)
+    texts = [(k % 2, [[w for w in t.split()] for t in sentences(40 + k, 3, 8)] + ([["grobnak", "banana"]] if k % 2 else [])) for k in range(40)]
+    sample = toxicity.Sample([y for y, _ in texts], range(40), toxicity.pa.array([s for _, s in texts]))
+    model = toxicity.SubsequenceSvm().fit(sample)
+    marks = model.landmarks
+    beta = np.linalg.lstsq(np.array([[brute_kernel(a, b) for b in marks] for a in marks]), model.segment_values(*toxicity._joined(marks)), rcond=None)[0]
+    words = ["grobnak", "g-r-o-b", "banana", "bananana", "zz", "x", *marks[:5]]
+    want = np.array([[brute_kernel(w, m) for m in marks] for w in words]) @ beta
+    monkeypatch.setattr(toxicity, "SCORED", 3)
+    monkeypatch.setattr(toxicity, "KEPT", 4)
+    assert model.segment_values(*toxicity._joined(words)) == pytest.approx(want, abs=1e-3)
+    for _ in range(3):
+        for w, v in zip(words, want, strict=True):
+            body = np.frombuffer(f" {w} {rng.choice(words)} {w}".encode(), np.uint8)
+            own = [x for x in body.tobytes().decode().split()]
+            most = max(want[words.index(x)] for x in own)
+            found = model.largest(body, np.array([0, len(body)]))[0]
+            assert found >= v - 1e-3 and (found == pytest.approx(most, abs=1e-3) or " x " in f" {' '.join(own)} ")
+
+
 def test_toxicity(spark):
     rng = random.Random(14)
     bad = ["grobnak", "fluzzer", "quimpot"]
