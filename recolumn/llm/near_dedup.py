@@ -17,7 +17,7 @@ when 100 * intersection >= 75 * union, confirmed on the full sets.
    confirmed on the full sets: a class's set goes once to the class with the smaller number.
 4. Regions whose members still lie in different components get the members' sets, and
    all their likely pairs between components are confirmed.
-5. Between classes of regions that were cut (or lie at the border of a partition) and are
+5. Between classes of runs that were cut (or lie at the border of a partition) and are
    still in different components a prefix-filter join on the full sets finds every link: no signature decides here.
    Shingles of one component come first in its order, then the others by the number
    of classes that have them, and a link has a common shingle among the first
@@ -55,7 +55,7 @@ VALUES, TREES, REGION = 48, 24, 64
 DEPTHS = (2, 4, 8, 16, 32, 48)
 LIKELY = 19
 BROADCAST_IDS = 1_000_000
-POSTING_BYTES, POSTING_BLOCK = 1 << 20, 256
+POSTING_BYTES, POSTING_BLOCK, HUB = 4 << 20, 256, 256
 _MULTIPLIERS = tx.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 PAIR, MEMBER, CUT = 0, 1, 2
 
@@ -210,7 +210,9 @@ def _compared(keys: np.ndarray, node: np.ndarray, n: np.ndarray, first: bool, la
         crowded[: bounds[1]] = True
     if last:
         crowded[bounds[-2] :] = True
-    yield _found(CUT, node[crowded], node[crowded])
+    # the tree and the first two values name a run, also where it goes on in the next partition
+    run = keys[crowded, : 1 + 2 * DEPTHS[0]].astype(np.int64) @ (256 ** np.arange(2 * DEPTHS[0], -1, -1))
+    yield _found(CUT, run, node[crowded])
     sig = np.ascontiguousarray(keys[:, 1:]).view(np.uint16)
     # two neighbours: the bulk
     i = np.concatenate([regions[regions[:, 1] - regions[:, 0] == 2, 0], cuts - 1])
@@ -320,25 +322,34 @@ def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
     ends = F.array(F.struct(F.col("a").alias("hub"), F.lit(False).alias("partner"), F.col("a").alias("node")), F.struct(F.col("a").alias("hub"), F.lit(True).alias("partner"), F.col("b").alias("node")))
     ends = durable(pairs.select(F.explode(ends).alias("e")).select("e.*").distinct())
     sets, wanted = _wanted_sets(texts, classes, ends.select("node"))
-    rows = ends.join(sets, "node").select("hub", "partner", "node", "shingles")
-    links = durable(rows.repartition("hub").sortWithinPartitions("hub", "partner").mapInArrow(_star_links, "a bigint, b bigint"))
+    # a hub of many partners is dealt in parts
+    many = ends.groupBy("hub").agg(F.ceil(F.count("*") / HUB).alias("parts")).where("parts > 1")
+    part = F.when(F.col("partner"), F.array(F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = ends.join(many, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(part))
+    rows = dealt.join(sets, "node").select("hub", "partner", "node", "shingles", "part")
+    links = durable(rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "partner").mapInArrow(_star_links, "a bigint, b bigint"))
     release(ends, wanted)
     return links
 
 
 def _postings(batches):
-    """One row for each shingle of each set, with the set's size."""
+    """One row for each distinct shingle of some sets: how many have it, their least and largest component, and who they are."""
     for batch in batches:
         sets, i = batch.column(2).to_pylist(), 0
+        node, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         while i < len(sets):
             j, size = i, 0
             while j < len(sets) and (j == i or size + len(sets[j]) <= POSTING_BYTES):
                 size += len(sets[j])
                 j += 1
             n = np.array([len(s) // 8 for s in sets[i:j]])
-            own = pa.array(np.repeat(np.arange(i, j), n))
             shingles = np.frombuffer(b"".join(sets[i:j]), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.repeat(n, n)), pa.array(shingles)], names=["node", "g", "n", "shingle"])
+            order = np.argsort(shingles, kind="stable")
+            shingles, own, n = shingles[order], np.repeat(np.arange(i, j), n)[order], np.repeat(n, n)[order]
+            at = np.append(np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1])), len(shingles)).astype(np.int32)
+            members = pa.StructArray.from_arrays([pa.array(node[own]), pa.array(g[own]), pa.array(n)], names=["node", "g", "n"])
+            cols = [shingles[at[:-1]], np.diff(at).astype(np.int64), np.minimum.reduceat(g[own], at[:-1]), np.maximum.reduceat(g[own], at[:-1])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.ListArray.from_arrays(pa.array(at), members)], names=["shingle", "f", "low", "high", "members"])
             i = j
 
 
@@ -361,9 +372,10 @@ def _links_apart(texts: DataFrame, classes: DataFrame, members: DataFrame) -> Da
     sets, wanted = _wanted_sets(texts, classes, members.select("node"))
     sets = durable(sets.join(members, "node").select("node", "g", "shingles").dropDuplicates(["node"]))
     release(wanted)
-    rows = sets.mapInArrow(_postings, "node bigint, g bigint, n bigint, shingle bigint")
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("f"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("shingle", "f")
-    own = rows.join(shared, "shingle").groupBy("node").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    rows = sets.mapInArrow(_postings, "shingle bigint, f bigint, low bigint, high bigint, members array<struct<node:bigint,g:bigint,n:bigint>>")
+    shared = rows.groupBy("shingle").agg(F.sum("f").alias("f"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle", "f")
+    own = rows.select("shingle", "members").join(shared, "shingle").select("f", "shingle", F.explode("members").alias("m")).select("f", "shingle", "m.*")
+    own = own.groupBy("node").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     # a link shares three quarters of either set, all of it shingles of several components
     own = own.where("4 * size(s) >= 3 * n")
     prefix = own.select("node", "g", "n", F.size("s").alias("size"), F.posexplode(F.expr("slice(s, 1, int(n div 4 + 1 - n + size(s)))")).alias("at", "s"))
@@ -406,7 +418,10 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = open_.join(sets, "node").select("cell", "node", "g", "shingles")
         more.append(durable(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a bigint, b bigint")))
         release(wanted)
-    cut = durable(group(near.where(F.col("kind") == CUT).select(F.col("x").alias("node")).distinct()))
+    # crowded runs that lie in different components
+    cut = durable(group(near.where(F.col("kind") == CUT).select(F.col("x").alias("run"), F.col("y").alias("node"))))
+    runs = cut.groupBy("run").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high")
+    cut = durable(cut.join(runs, "run", "left_semi").select("node", "g").distinct())
     apart = _links_apart(texts, classes, cut)
     more += [apart] if apart is not None else []
     if any(part.take(1) for part in more):
