@@ -55,7 +55,7 @@ VALUES, TREES, REGION = 48, 24, 64
 DEPTHS = (2, 4, 8, 16, 32, 48)
 LIKELY = 19
 BROADCAST_IDS = 1_000_000
-POSTING_BYTES, POSTING_BLOCK, HUB = 4 << 20, 256, 256
+POSTING_BYTES, POSTING_BLOCK, HUB, MAX_BITS = 4 << 20, 256, 256, 26
 _MULTIPLIERS = tx.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 PAIR, MEMBER, CUT = 0, 1, 2
 
@@ -332,25 +332,49 @@ def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
     return links
 
 
-def _postings(batches):
-    """One row for each distinct shingle of some sets: how many have it, their least and largest component, and who they are."""
-    for batch in batches:
-        sets, i = batch.column(2).to_pylist(), 0
-        node, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        while i < len(sets):
-            j, size = i, 0
-            while j < len(sets) and (j == i or size + len(sets[j]) <= POSTING_BYTES):
-                size += len(sets[j])
-                j += 1
-            n = np.array([len(s) // 8 for s in sets[i:j]])
-            shingles = np.frombuffer(b"".join(sets[i:j]), np.int64)
-            order = np.argsort(shingles, kind="stable")
-            shingles, own, n = shingles[order], np.repeat(np.arange(i, j), n)[order], np.repeat(n, n)[order]
-            at = np.append(np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1])), len(shingles)).astype(np.int32)
-            members = pa.StructArray.from_arrays([pa.array(node[own]), pa.array(g[own]), pa.array(n)], names=["node", "g", "n"])
-            cols = [shingles[at[:-1]], np.diff(at).astype(np.int64), np.minimum.reduceat(g[own], at[:-1]), np.maximum.reduceat(g[own], at[:-1])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.ListArray.from_arrays(pa.array(at), members)], names=["shingle", "f", "low", "high", "members"])
-            i = j
+def _shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit table of at most 1 << MAX_BITS bits in which each listed shingle has its bit."""
+    bits = int(np.clip(np.ceil(np.log2(max(shingles.count(), 1))) + 4, 16, MAX_BITS))
+    bit = F.col("shingle").bitwiseAND(F.lit((1 << bits) - 1))
+    words = shingles.select(F.shiftright(bit, 5).alias("w"), bit.bitwiseAND(F.lit(31)).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, int(b))")).alias("v")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
+    return table, bits
+
+
+def _postings(table=None, bits: int = 0):
+    """One row for each distinct shingle of some sets: how many have it, their least and largest component, and who they are.
+
+    With a bit table only its shingles are listed, and only sets of which these are three quarters at least.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sets, i = batch.column(2).to_pylist(), 0
+            node, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            while i < len(sets):
+                j, size = i, 0
+                while j < len(sets) and (j == i or size + len(sets[j]) <= POSTING_BYTES):
+                    size += len(sets[j])
+                    j += 1
+                n = np.array([len(s) // 8 for s in sets[i:j]])
+                shingles, own, i = np.frombuffer(b"".join(sets[i:j]), np.int64), np.repeat(np.arange(i, j), n), j
+                n = np.repeat(n, n)
+                if table is not None:
+                    bit = shingles & ((1 << bits) - 1)
+                    ok = (table.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0
+                    ok &= 4 * np.bincount(own, ok)[own] >= 3 * n
+                    shingles, own, n = shingles[ok], own[ok], n[ok]
+                if not len(shingles):
+                    continue
+                order = np.argsort(shingles, kind="stable")
+                shingles, own, n = shingles[order], own[order], n[order]
+                at = np.append(np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1])), len(shingles)).astype(np.int32)
+                members = pa.StructArray.from_arrays([pa.array(node[own]), pa.array(g[own]), pa.array(n)], names=["node", "g", "n"])
+                cols = [shingles[at[:-1]], np.diff(at).astype(np.int64), np.minimum.reduceat(g[own], at[:-1]), np.maximum.reduceat(g[own], at[:-1])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.ListArray.from_arrays(pa.array(at), members)], names=["shingle", "f", "low", "high", "members"])
+
+    return run
 
 
 def _prefix_pairs(batches):
@@ -372,8 +396,11 @@ def _links_apart(texts: DataFrame, classes: DataFrame, members: DataFrame) -> Da
     sets, wanted = _wanted_sets(texts, classes, members.select("node"))
     sets = durable(sets.join(members, "node").select("node", "g", "shingles").dropDuplicates(["node"]))
     release(wanted)
-    rows = sets.mapInArrow(_postings, "shingle bigint, f bigint, low bigint, high bigint, members array<struct<node:bigint,g:bigint,n:bigint>>")
-    shared = rows.groupBy("shingle").agg(F.sum("f").alias("f"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle", "f")
+    posting = "shingle bigint, f bigint, low bigint, high bigint, members array<struct<node:bigint,g:bigint,n:bigint>>"
+    shared = sets.mapInArrow(_postings(), posting).groupBy("shingle").agg(F.sum("f").alias("f"), F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = durable(shared.where("low <> high").select("shingle", "f"))
+    table, bits = _shingle_filter(shared)
+    rows = sets.mapInArrow(_postings(sets.sparkSession.sparkContext.broadcast(table), bits), posting)
     own = rows.select("shingle", "members").join(shared, "shingle").select("f", "shingle", F.explode("members").alias("m")).select("f", "shingle", "m.*")
     own = own.groupBy("node").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     # a link shares three quarters of either set, all of it shingles of several components
@@ -381,7 +408,7 @@ def _links_apart(texts: DataFrame, classes: DataFrame, members: DataFrame) -> Da
     prefix = own.select("node", "g", "n", F.size("s").alias("size"), F.posexplode(F.expr("slice(s, 1, int(n div 4 + 1 - n + size(s)))")).alias("at", "s"))
     posts = prefix.select("node", "g", "n", (F.col("size") - F.col("at")).alias("left"), "s.shingle", F.pmod(F.xxhash64("node"), F.ceil(F.col("s.f") / POSTING_BLOCK)).alias("salt"))
     blocks = durable(posts.groupBy("shingle", "salt").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.collect_list(F.struct("node", "g", "n", "left")).alias("m")))
-    release(sets)
+    release(sets, shared)
     if not blocks.take(1):
         release(blocks)
         return None
