@@ -5,31 +5,31 @@ cut into subwords by the first VOCAB entries of a public byte-pair vocabulary.
 
 Model. The next subword's logits are the logarithms of the smoothed subword pair
 counts of all training texts plus a projection of one causal self-attention head's
-output; the softmax has two levels (group, then member). Each word's
-probability is mixed in equal parts with the training share of the word if it is frequent,
-which leaves a proper distribution over words.
+output; the softmax has two levels (group, then member). A text's score is the sum of its
+subwords' logarithms, its end included, and nothing else: a proper distribution over texts.
 
 Windows. A window scores BLOCK targets; its keys are the inputs of these targets
 and of the CONTEXT positions before, so windows overlap and every token is scored
 once, with a mask that hides later positions. Windows go through in batches.
 
-Learning. One pass over the training texts counts words and subword pairs, all of
-them, and keeps every WINDOW_STEP-th window. The attention then learns from
-these in rounds: each task starts from the shared weights and takes Adam
-steps over its windows; weights are averaged after each round (at most AVERAGERS rows reach
-the driver). Small corpora are gone over up to MAX_EPOCHS times.
+Learning. One pass over the training texts counts words and subword pairs. A second
+pass trains the attention on every window of every training text, ends and short texts included,
+once: each task starts from the same weights and takes Adam steps over its texts' windows, and the weights
+are averaged by windows (at most AVERAGERS rows reach the driver). Tasks get at least TASK_SUBWORDS where there are that many.
 
 Base score: word counts of any number stay distributed. The FREQUENT commonest words at
-most are sent to the tasks; all other words are joined by their 64-bit hash.
+most are sent to the tasks; all other words are joined by their 64-bit hash. Which words
+are sent changes no score.
 
 Defined cases: null and empty texts are one end; ids that are null or not in the
 training part are scored like any other (a null id is not held out and trains); repeated rows
-are texts of their own; without training texts all pair counts are 0; other columns are ignored.
+are texts of their own; without training texts all counts are 0; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import bounded_batches, durable, row_keys
+from .cluster import bounded_batches, durable, release, row_keys
 from .quality import held_out
 
 VOCAB = 1024
@@ -46,9 +46,9 @@ END, PAD = VOCAB, VOCAB + 1
 GROUP = 32
 GROUPS = (VOCAB + 1 + GROUP - 1) // GROUP
 WIDTH, CONTEXT, BLOCK = 16, 8, 16
-WINDOW_STEP, BATCH, RATE, ROUNDS = 16, 512, 0.01, 3
-TASK_WINDOWS, MIN_WINDOWS, MAX_EPOCHS, AVERAGERS = 50_000, 250_000, 8, 16
-FREQUENT, MIXED = 300_000, 0.5
+BATCH, RATE = 256, 0.01
+TASK_SUBWORDS, AVERAGERS = 2_000_000, 16
+FREQUENT = 300_000
 SLICE = 4 << 20
 _END_HASH = 0x5BD1E995
 
@@ -58,7 +58,7 @@ def vocabulary(path: str | None = None) -> dict[bytes, int]:
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return {token: rank for token, rank in ranks.items() if rank < VOCAB}
@@ -119,6 +119,11 @@ class Tokens:
         keys[at < start[:, None]] = PAD
         return keys
 
+    def targets(self, first, size):
+        """Target ids of some windows and which of them belong to the text."""
+        at, valid = first[:, None] + np.arange(BLOCK)[None, :], np.arange(BLOCK)[None, :] < size[:, None]
+        return self.ids[np.minimum(at, len(self.ids) - 1)], valid
+
 
 class Model:
     """Pair tables and the weights of the attention head."""
@@ -165,106 +170,121 @@ class Model:
         a /= a.sum(axis=2, keepdims=True)
         return np.matmul(a, v), (q, k, v, a)
 
+    def _groups(self, group: np.ndarray):
+        """Targets ordered by group, and the range and members' weights of each group that occurs."""
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        parts = [(edges[n], edges[n + 1], slice(n * GROUP, (n + 1) * GROUP)) for n in range(GROUPS) if edges[n + 1] > edges[n]]
+        return order, parts
+
     def log_probability(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray, tables) -> np.ndarray:
         """Natural logarithms of the valid targets, in order."""
         c = self.attend(keys, tables)[0][valid]
-        x, y = keys[:, CONTEXT:][valid], targets[valid]
-        group, member = y // GROUP, y % GROUP
-        lg = self.group_log[x]
-        lg += c @ self.weights["g"].T
-        out = lg[np.arange(len(y)), group]
-        out -= np.log(np.exp(lg, out=lg).sum(axis=1))
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        u = self.weights["u"].reshape(GROUPS, GROUP, WIDTH)
-        for n in range(GROUPS):
-            at = order[edges[n] : edges[n + 1]]
-            if len(at):
-                lm = self.member_log[x[at], n]
-                lm += c[at] @ u[n].T
-                own = lm[np.arange(len(at)), member[at]]
-                out[at] += own - np.log(np.exp(lm, out=lm).sum(axis=1))
+        x, y, u = keys[:, CONTEXT:][valid], targets[valid], self.weights["u"]
+        group, member, each = y // GROUP, y % GROUP, np.arange(len(y))
+        p = self.group_log[x]
+        p += c @ self.weights["g"].T
+        out = p[each, group]
+        out -= np.log(np.exp(p, out=p).sum(axis=1))
+        order, parts = self._groups(group)
+        c, p = c[order], self.member_log[x[order], group[order]]
+        for i, j, own in parts:
+            p[i:j] += c[i:j] @ u[own].T
+        inside = p[each, member[order]]
+        inside -= np.log(np.exp(p, out=p).sum(axis=1))
+        out[order] += inside
         return out
 
-    def gradients(self, keys: np.ndarray, targets: np.ndarray):
-        """Mean loss of full windows and its gradients."""
+    def gradients(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray):
+        """Mean loss of the valid targets and its gradients."""
         w, (_, _, _, bias) = self.weights, (tables := self.tables())
         c, (q, k, v, a) = self.attend(keys, tables)
-        n = c.shape[0] * BLOCK
-        flat, x, y = c.reshape(n, WIDTH), keys[:, CONTEXT:].ravel(), targets.ravel()
-        group, member = y // GROUP, y % GROUP
-        lg = self.group_log[x] + flat @ w["g"].T
-        p = np.exp(lg - lg.max(axis=1, keepdims=True))
+        c, x, y = c[valid], keys[:, CONTEXT:][valid], targets[valid]
+        group, member, each, n = y // GROUP, y % GROUP, np.arange(len(y)), len(y)
+        p = self.group_log[x]
+        p += c @ w["g"].T
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[np.arange(n), group]).sum()
-        p[np.arange(n), group] -= 1
-        grad = {"g": p.T @ flat, "u": np.zeros_like(w["u"])}
-        dc = p @ w["g"]
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for m in range(GROUPS):
-            at = order[edges[m] : edges[m + 1]]
-            if len(at):
-                u = w["u"][m * GROUP : (m + 1) * GROUP]
-                lm = self.member_log[x[at], m] + flat[at] @ u.T
-                p = np.exp(lm - lm.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                loss -= np.log(p[np.arange(len(at)), member[at]]).sum()
-                p[np.arange(len(at)), member[at]] -= 1
-                grad["u"][m * GROUP : (m + 1) * GROUP] = p.T @ flat[at]
-                dc[at] += p @ u
-        dc = dc.reshape(c.shape)
-        da = np.matmul(dc, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        loss = -np.log(p[each, group]).sum()
+        p[each, group] -= 1
+        grad = {"g": p.T @ c, "u": np.zeros_like(w["u"])}
+        back = p @ w["g"]
+        order, parts = self._groups(group)
+        p, own_c, member = self.member_log[x[order], group[order]], c[order], member[order]
+        for i, j, own in parts:
+            p[i:j] += own_c[i:j] @ w["u"][own].T
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        loss -= np.log(p[each, member]).sum()
+        p[each, member] -= 1
+        inside = np.empty_like(own_c)
+        for i, j, own in parts:
+            grad["u"][own] = p[i:j].T @ own_c[i:j]
+            inside[i:j] = p[i:j] @ w["u"][own]
+        back[order] += inside
+        dc = np.zeros((*targets.shape, WIDTH), np.float32)
+        dc[valid] = back
+        ds = np.matmul(dc, v.transpose(0, 2, 1))
+        ds -= (ds * a).sum(axis=2, keepdims=True)
+        ds *= a
         dv, dq, dk = np.matmul(a.transpose(0, 2, 1), dc), np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
 
         def scatter(ids, values):
-            values = values.reshape(-1, WIDTH)
-            return np.column_stack([np.bincount(ids.ravel(), values[:, d], minlength=VOCAB + 2) for d in range(WIDTH)]).astype(np.float32)
-
-        tq, tk, tv = scatter(keys[:, CONTEXT:], dq) * np.float32(WIDTH**-0.5), scatter(keys, dk), scatter(keys, dv)
+            order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
+            ids, out = ids.ravel()[order], np.zeros((VOCAB + 2, values.shape[2]), np.float32)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            out[ids[first]] = np.add.reduceat(values.reshape(-1, values.shape[2])[order], first, axis=0)
+            return out
+
+        tq, both = scatter(keys[:, CONTEXT:], dq) * np.float32(WIDTH**-0.5), scatter(keys, np.concatenate([dk, dv], axis=2))
+        tk, tv = both[:, :WIDTH], both[:, WIDTH:]
         grad["e"] = tq @ w["q"].T + tk @ w["k"].T + tv @ w["v"].T
         grad["q"], grad["k"], grad["v"] = w["e"].T @ tq, w["e"].T @ tk, w["e"].T @ tv
         i, j = np.arange(BLOCK)[:, None] + CONTEXT, np.arange(CONTEXT + BLOCK)[None, :]
         grad["lag"] = np.bincount(np.maximum(i - j, 0).ravel(), (ds.sum(axis=0) * (j <= i)).ravel(), minlength=CONTEXT + BLOCK).astype(np.float32)
         return loss / n, {name: g / n for name, g in grad.items()}
 
-    def learn(self, keys: np.ndarray, targets: np.ndarray, epochs: int, seed: int, rate: float = RATE) -> float:
-        """Adam steps over the windows in seeded order; the last losses' mean."""
-        first = {n: np.zeros_like(w) for n, w in self.weights.items()}
-        second = {n: np.zeros_like(w) for n, w in self.weights.items()}
-        steps, losses, draw = 0, [0.0], np.random.default_rng(seed)
-        for _ in range(epochs):
-            order = draw.permutation(len(keys))
-            for i in range(0, len(order), BATCH):
-                at = order[i : i + BATCH]
-                loss, grad = self.gradients(keys[at].astype(np.int64), targets[at].astype(np.int64))
-                losses.append(float(loss))
-                steps += 1
-                for n, g in grad.items():
-                    first[n] += 0.1 * (g - first[n])
-                    second[n] += 0.02 * (g * g - second[n])
-                    step = rate * (first[n] / (1 - 0.9**steps)) / (np.sqrt(second[n] / (1 - 0.98**steps)) + 1e-8)
-                    self.weights[n] = self.weights[n] - step.astype(np.float32)
-        return float(np.mean(losses[-20:]))
-
-
-def _rows(kind, key=None, value=None, blob=None):
-    n = len(key)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(key, np.int64)), pa.array(np.asarray(value, np.int64)), pa.array([None] * n if blob is None else blob, pa.binary())],
-        names=["kind", "key", "value", "blob"],
-    )
+
+class Learner:
+    """Adam steps of a model."""
+
+    def __init__(self, model: Model, rate: float = RATE):
+        self.model, self.rate, self.steps = model, rate, 0
+        self.first, self.second = ({n: np.zeros_like(w) for n, w in model.weights.items()} for _ in range(2))
+
+    def step(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> float:
+        loss, grad = self.model.gradients(keys, targets, valid)
+        self.steps += 1
+        for n, g in grad.items():
+            self.first[n] += 0.1 * (g - self.first[n])
+            self.second[n] += 0.02 * (g * g - self.second[n])
+            step = self.rate * (self.first[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[n] / (1 - 0.98**self.steps)) + 1e-8)
+            self.model.weights[n] = self.model.weights[n] - step.astype(np.float32)
+        return float(loss)
+
+    def learn(self, tokens: Tokens, seed: int) -> int:
+        """Steps over all windows of some texts in seeded order; their number."""
+        first, start, size = tokens.windows()
+        order = np.random.default_rng(seed).permutation(len(first))
+        for i in range(0, len(order), BATCH):
+            at = order[i : i + BATCH]
+            self.step(tokens.keys(first[at], start[at]), *tokens.targets(first[at], size[at]))
+        return len(first)
 
 
-WORD, PAIR, WINDOWS = 0, 1, 2
+def _rows(kind, key, value):
+    cols = [np.full(len(key), kind, np.int32), np.asarray(key, np.int64), np.asarray(value, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "key", "value"])
+
+
+WORD, PAIR = 0, 1
 
 
 def _count(ranks):
-    """Word counts of each batch, subword pairs of each task, and every WINDOW_STEP-th full window."""
+    """Word counts of each batch and subword pairs of each task."""
 
     def run(batches):
-        subwords, pairs, kept, seen = Subwords(ranks), np.zeros((VOCAB + 1) ** 2, np.int64), [], 0
+        subwords, pairs = Subwords(ranks), np.zeros((VOCAB + 1) ** 2, np.int64)
         for batch in batches:
             body_all, at_all = tx.buffers(batch.column(0))
             hashes, counts = [np.array([_END_HASH], np.uint64)], [np.array([batch.num_rows])]
@@ -273,22 +293,10 @@ def _count(ranks):
                 hashes.append(t.hash)
                 counts.append(np.bincount(t.word, minlength=len(t.hash)))
                 pairs += np.bincount(t.inputs * (VOCAB + 1) + t.ids, minlength=len(pairs))
-                first, start, size = t.windows()
-                full = size == BLOCK
-                first, start = first[full], start[full]
-                take = np.arange((-seen) % WINDOW_STEP, len(first), WINDOW_STEP)
-                seen += len(first)
-                if len(take):
-                    first, start = first[take], start[take]
-                    kept.append(np.concatenate([t.keys(first, start), t.ids[first[:, None] + np.arange(BLOCK)[None, :]]], axis=1).astype(np.uint16))
             h, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
             total = np.bincount(inverse, np.concatenate(counts), minlength=len(h)).astype(np.int64)
             for i in range(0, len(h), 100_000):
                 yield _rows(WORD, tx.signed(h)[i : i + 100_000], total[i : i + 100_000])
-            blobs = np.concatenate(kept) if kept else np.zeros((0, 1), np.uint16)
-            kept = []
-            for i in range(0, len(blobs), 5_000):
-                yield _rows(WINDOWS, [i], [len(blobs[i : i + 5_000])], [blobs[i : i + 5_000].tobytes()])
         on = np.flatnonzero(pairs)
         for i in range(0, len(on), 100_000):
             yield _rows(PAIR, on[i : i + 100_000], pairs[on[i : i + 100_000]])
@@ -296,16 +304,17 @@ def _count(ranks):
     return run
 
 
-def _train(model, data, epochs, seed):
+def _train(model, ranks):
+    """The weights that a task has learned from its texts, times its windows."""
+
     def run(batches):
-        parts = [np.frombuffer(b, np.uint16).reshape(-1, CONTEXT + 2 * BLOCK) for batch in batches for b in batch.column(0).to_pylist()]
-        if not parts:
-            return
-        rows = np.concatenate(parts)
-        own = model.value
-        own.unpack(data)
-        own.learn(rows[:, : CONTEXT + BLOCK], rows[:, CONTEXT + BLOCK :], epochs, seed, RATE / (1 + seed))
-        yield pa.RecordBatch.from_arrays([pa.array([own.pack()]), pa.array([float(len(rows))])], names=["weights", "n"])
+        subwords, learner, n = Subwords(ranks), Learner(copy.deepcopy(model.value)), 0
+        for batch in batches:
+            body_all, at_all = tx.buffers(batch.column(0))
+            for i, j in tx.slices(at_all, SLICE):
+                n += learner.learn(Tokens(*tx.cut(body_all, at_all, i, j), subwords), n)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([learner.model.pack()]), pa.array([float(n)])], names=["weights", "n"])
 
     return run
 
@@ -315,37 +324,28 @@ def _weighted_sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"weights": [total.tobytes()], "n": [rows.n.sum()]})
 
 
-def fit(counted: DataFrame, spark) -> Model:
-    """counted: the rows of `_count`."""
+def fit(texts: DataFrame, counted: DataFrame, ranks: dict) -> Model:
+    """texts: one column; counted: the rows of `_count` for them."""
     pairs = np.zeros((VOCAB + 1) ** 2)
     table = counted.where(F.col("kind") == PAIR).groupBy("key").agg(F.sum("value").alias("n")).toArrow()  # (VOCAB + 1)^2 rows at most
     pairs[table.column("key").to_numpy()] = table.column("n").to_numpy()
     model = Model(pairs.reshape(VOCAB + 1, VOCAB + 1))
-    windows = counted.where(F.col("kind") == WINDOWS)
-    total = windows.agg(F.sum("value")).head()[0] or 0
-    if not total:
+    if not pairs.any():
         return model
-    epochs = int(np.clip(round(MIN_WINDOWS / total), 1, MAX_EPOCHS))
-    shared = spark.sparkContext.broadcast(model)
-    windows = windows.select("blob", "key", "value").repartition(max(1, round(total / TASK_WINDOWS))).select("blob")
-    data = np.frombuffer(model.pack(), np.float32).copy()
-    for turn in range(ROUNDS):
-        found = windows.mapInArrow(_train(shared, data, epochs, turn), "weights binary, n double")
-        found = found.withColumn("g", F.floor(F.rand(turn) * AVERAGERS)).groupBy("g").applyInPandas(lambda rows: _weighted_sum(rows[["weights", "n"]]), "weights binary, n double").collect()
-        data = (sum(np.frombuffer(r["weights"], np.float64) for r in found) / sum(r["n"] for r in found)).astype(np.float32)
-    model.unpack(data)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    found = texts.coalesce(max(1, int(pairs.sum() // TASK_SUBWORDS))).mapInArrow(_train(shared, ranks), "weights binary, n double")
+    found = found.withColumn("g", F.floor(F.rand(0) * AVERAGERS)).groupBy("g").applyInPandas(lambda rows: _weighted_sum(rows[["weights", "n"]]), "weights binary, n double").collect()
+    model.unpack((sum(np.frombuffer(r["weights"], np.float64) for r in found) / sum(r["n"] for r in found)).astype(np.float32))
     return model
 
 
-def _score(model, ranks, frequent, n_frequent):
-    """One row for each text, and one for each text and rare word."""
+def _score(model, ranks, frequent):
+    """One row for each text, and one for each text and word that is not among the frequent ones."""
 
     def run(batches):
         subwords, own = Subwords(ranks), model.value
         tables, known, count = own.tables(), *frequent.value
         number = 0
-        at_end = int(np.searchsorted(known, np.uint64(_END_HASH)))
-        ends = float(count[at_end]) if at_end < len(known) and known[at_end] == _END_HASH else 0.0
         for batch in batches:
             ids = batch.column(0)
             body_all, at_all = tx.buffers(batch.column(1))
@@ -356,45 +356,44 @@ def _score(model, ranks, frequent, n_frequent):
                 token = np.empty(len(t.ids), np.float64)
                 first, start, size = t.windows()
                 for k in range(0, len(first), 2048):
-                    f, s = first[k : k + 2048], size[k : k + 2048]
-                    at = np.minimum(f[:, None] + np.arange(BLOCK)[None, :], len(t.ids) - 1)
-                    valid = np.arange(BLOCK)[None, :] < s[:, None]
-                    token[at[valid]] = own.log_probability(t.keys(f, start[k : k + 2048]), t.ids[at], valid, tables)
-                place = np.minimum(np.searchsorted(known, t.hash), max(len(known) - 1, 0))
-                c = np.where(known[place] == t.hash, count[place], 0.0) if len(known) else np.zeros(len(t.hash))
-                edges = np.append(t.word_at, len(token))
-                sums = np.concatenate([[0.0], np.cumsum(token)])
-                last = t.starts + t.lengths - 1
-                # a word's subwords end at the next word or before its row's end
-                stop = np.minimum(edges[1:], last[t.row])
-                word = _mixed(sums[stop] - sums[t.word_at], c[t.word], n_frequent)
-                end = _mixed(token[last], np.full(t.rows, ends), n_frequent)
-                per_row = lambda x: np.bincount(t.row, x, minlength=t.rows)  # noqa: B023, E731
-                often = c[t.word] > 0
-                base = per_row(np.where(often, np.log10(c[t.word] + 0.5), 0.0)) + np.log10(ends + 0.5)
-                rare = np.flatnonzero(~often)
-                pair, times = np.unique(t.row[rare] * len(t.hash) + t.word[rare], return_counts=True)
-                owner, missing = pair // max(len(t.hash), 1), pair % max(len(t.hash), 1)
-                take = np.concatenate([np.arange(t.rows), owner])
-                pad = np.zeros(len(owner))
+                    f = first[k : k + 2048]
+                    targets, valid = t.targets(f, size[k : k + 2048])
+                    at = (f[:, None] + np.arange(BLOCK)[None, :])[valid]
+                    token[at] = own.log_probability(t.keys(f, start[k : k + 2048]), targets, valid, tables)
+                score = np.add.reduceat(token, t.starts) if t.rows else np.zeros(0)
+                # each text's distinct words and its end, and how often they occur
+                word = np.append(t.hash, np.uint64(_END_HASH))
+                pair, times = np.unique(np.concatenate([t.row * len(word) + t.word, np.arange(t.rows) * len(word) + len(t.hash)]), return_counts=True)
+                owner, word = pair // len(word), word[pair % len(word)]
+                place = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
+                c = np.where(known[place] == word, count[place], 0.0) if len(known) else np.zeros(len(word))
+                often, rare = c > 0, np.flatnonzero(c == 0)
+                per_row = lambda x: np.bincount(owner[often], x[often], minlength=t.rows)  # noqa: B023, E731
+                take = np.concatenate([np.arange(t.rows), owner[rare]]) + i
+                pad = np.zeros(len(rare))
                 doc_hash = tx.mix(keys[i:j].astype(np.uint64) + np.uint64(99))
                 columns = [
-                    ids.take(pa.array(take + i)), pa.array(keys[take + i]), pa.array(tx.signed(np.concatenate([doc_hash, t.hash[missing]]))),
-                    pa.array(np.concatenate([np.zeros(t.rows, np.int64), times])), pa.array(np.concatenate([t.counts + 1, pad]).astype(np.int64)),
-                    pa.array(np.concatenate([per_row(often) + (ends > 0), pad]).astype(np.int64)), pa.array(np.concatenate([base, pad])),
-                    pa.array(np.concatenate([(per_row(word) + end) / np.log(10), pad])),
+                    ids.take(pa.array(take)), pa.array(keys[take]), pa.array(tx.signed(np.concatenate([doc_hash, word[rare]]))),
+                    pa.array(np.concatenate([np.zeros(t.rows, np.int64), times[rare]])), pa.array(np.concatenate([t.counts + 1, pad]).astype(np.int64)),
+                    pa.array(np.concatenate([per_row(times), pad]).astype(np.int64)), pa.array(np.concatenate([per_row(times * np.log10(c + 0.5)), pad])),
+                    pa.array(np.concatenate([score / np.log(10), pad])),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "key", "times", "n_tokens", "known", "base", "score"])
 
     return run
 
 
-def _mixed(log_p: np.ndarray, count: np.ndarray, total: float) -> np.ndarray:
-    """Logarithm of the even mix of the attention's probability and the training share of frequent words."""
-    if not total:
-        return log_p
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(log_p + np.log(1 - MIXED), np.log(count / total) + np.log(MIXED))
+def _frequent(words: DataFrame):
+    """At most FREQUENT of the commonest words, all that reach some count, and that count."""
+    size = F.floor(8 * F.log2("c"))
+    shares = sorted(((r["b"], r["n"]) for r in words.groupBy(size.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # some hundred rows
+    least, reached = None, 0
+    for b, n in shares:
+        if reached + n > FREQUENT:
+            break
+        least, reached = b, reached + n
+    often = size >= F.lit(least) if least is not None else F.lit(False)
+    return often, words.where(often).toArrow()
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
@@ -404,33 +403,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranks = vocabulary(vocabulary_path)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     training = rows.where(~F.coalesce(held_out("id", 5), F.lit(False))).select("text")
-    counted = durable(training.mapInArrow(_count(ranks), "kind int, key long, value long, blob binary"))
+    counted = durable(training.mapInArrow(_count(ranks), "kind int, key long, value long"))
     words = durable(counted.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("value").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    # the least count that at most FREQUENT words reach, from a histogram of the counts' ranges
-    exact = F.least("c", F.lit(10_000))
-    histogram = sorted(((r["c"], r["n"]) for r in words.groupBy(exact.alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, reached = None, 0
-    for c, m in histogram:
-        if reached + m > FREQUENT and least is not None:
-            break
-        least, reached = c, reached + m
-    often = words.where(F.col("c") >= F.lit(least)).toArrow() if reached <= FREQUENT and least is not None else words.limit(0).toArrow()
-    if not often.num_rows:
-        least = 1 << 62
-    h, c = often.column("key").to_numpy().view(np.uint64), often.column("c").to_numpy().astype(float)
+    often, table = _frequent(words)
+    h, c = table.column("key").to_numpy().view(np.uint64), table.column("c").to_numpy().astype(float)
     order = np.argsort(h)
     sc = spark.sparkContext
     scored = rows.mapInArrow(
-        _score(sc.broadcast(fit(counted, spark)), ranks, sc.broadcast((h[order], c[order])), float(c.sum())),
+        _score(sc.broadcast(fit(training, counted, ranks)), ranks, sc.broadcast((h[order], c[order]))),
         f"id {kind}, row long, key long, times long, n_tokens long, known long, base double, score double",
     )
-    scored = scored.join(words.where(F.col("c") < F.lit(least)), "key", "left")
-    found = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)
+    release(counted)
+    scored = scored.join(words.where(~often), "key", "left")
     scored = scored.groupBy("id", "row").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + found).alias("base"),
+        F.sum(F.col("base") + F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base"),
         F.sum("score").alias("score"),
     )
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))

@@ -461,14 +461,16 @@ def test_attention_gradients():
     model = language_model.Model(rng.integers(0, 5, (language_model.VOCAB + 1,) * 2).astype(float))
     for n in model.weights:
         model.weights[n] = (rng.standard_normal(model.weights[n].shape) * 0.3).astype(np.float64)
+    model.group_log, model.member_log = model.group_log.astype(np.float64), model.member_log.astype(np.float64)
     keys = rng.integers(0, language_model.VOCAB, (3, language_model.CONTEXT + language_model.BLOCK))
     targets = rng.integers(0, language_model.VOCAB, (3, language_model.BLOCK))
-    _, grad = model.gradients(keys, targets)
+    valid = np.arange(language_model.BLOCK)[None, :] < np.array([[16], [9], [1]])
+    _, grad = model.gradients(keys, targets, valid)
     for name, at in (("e", (keys[0, 9], 3)), ("q", (1, 2)), ("k", (0, 5)), ("v", (4, 4)), ("lag", (2,)), ("g", (3, 1)), ("u", (int(targets[0, 0]), 2))):
         w, losses = model.weights[name], []
         for step in (1e-4, -1e-4):
             w[at] += step
-            losses.append(model.gradients(keys, targets)[0])
+            losses.append(model.gradients(keys, targets, valid)[0])
             w[at] -= step
         assert grad[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=0.05, abs=1e-5)
 
@@ -510,11 +512,51 @@ def test_language_model(spark):
     assert language_model.report(documents(spark, texts).limit(0)).count() == 0
 
 
-def test_rare_words_are_joined(spark, monkeypatch):
-    texts = sentences(19, 60, 80, 200)
+@pytest.mark.parametrize("limit", [0, 20, 70])
+def test_scores_do_not_depend_on_which_words_are_sent(spark, monkeypatch, limit):
+    texts = sentences(19, 60, 80, 200) + EDGE
     docs = documents(spark, texts)
-    full = {r["doc_id"]: tuple(r)[2:6] for r in language_model.report(docs).collect()}
-    monkeypatch.setattr(language_model, "FREQUENT", 20)
-    few = {r["doc_id"]: tuple(r)[2:6] for r in language_model.report(docs).collect()}
-    assert {k: v[:3] for k, v in few.items()} == {k: v[:3] for k, v in full.items()}
-    assert [few[k][3] for k in full] == pytest.approx([full[k][3] for k in full])
+    full = {r["doc_id"]: tuple(r)[1:] for r in language_model.report(docs).collect()}
+    monkeypatch.setattr(language_model, "FREQUENT", limit)
+    few = {r["doc_id"]: tuple(r)[1:] for r in language_model.report(docs).collect()}
+    assert {k: v[:4] for k, v in few.items()} == {k: v[:4] for k, v in full.items()}
+    assert [few[k][4:] for k in full] == [pytest.approx(full[k][4:]) for k in full]
+
+
+def test_scores_against_token_by_token_attention(spark, monkeypatch):
+    """Each token from its own plain softmax attention."""
+    lm, rng = language_model, np.random.default_rng(20)
+    texts = sentences(21, 12, 25, 40) + ["", None, "One", "unseen Words here é", "a " * 60]
+    model = lm.Model(rng.integers(0, 5, (lm.VOCAB + 1,) * 2).astype(float))
+    for name in model.weights:
+        model.weights[name] = (rng.standard_normal(model.weights[name].shape) * 0.3).astype(np.float32)
+    monkeypatch.setattr(lm, "fit", lambda *_: model)
+    rows = {r["doc_id"]: r for r in lm.report(documents(spark, texts)).collect()}
+    subwords, w = lm.Subwords(lm.vocabulary()), {n: v.astype(float) for n, v in model.weights.items()}
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    for k, t in enumerate(texts):
+        pieces = [subwords.encoding.encode_ordinary(" " + x) for x in words(t)] + [[lm.END]]
+        ids = [i for p in pieces for i in p]
+        inputs, logs = [lm.END, *ids[:-1]], []
+        for place, y in enumerate(ids):
+            first = place // lm.BLOCK * lm.BLOCK - lm.CONTEXT
+            seen = [inputs[j] if j >= 0 else lm.PAD for j in range(first, place + 1)]
+            q = w["e"][inputs[place]] @ w["q"] / lm.WIDTH**0.5
+            a = np.exp([q @ (w["e"][x] @ w["k"]) + w["lag"][len(seen) - 1 - j] for j, x in enumerate(seen)])
+            c = (a / a.sum()) @ (w["e"][seen] @ w["v"])
+            group = model.group_log[inputs[place]] + w["g"] @ c
+            member = model.member_log[inputs[place], y // lm.GROUP] + w["u"][y // lm.GROUP * lm.GROUP :][: lm.GROUP] @ c
+            logs.append(group[y // lm.GROUP] - np.log(np.exp(group).sum()) + member[y % lm.GROUP] - np.log(np.exp(member).sum()))
+        assert rows[k]["score"] == pytest.approx(sum(logs) / np.log(10), rel=1e-4)
+
+
+def test_every_window_trains(spark):
+    """Short texts and text ends change the weights; without texts the model is that of the pair counts."""
+    ranks = language_model.vocabulary()
+    for texts in (["one"], ["one two three four five six seven eight nine ten " * 3 + "end"]):
+        body, at = language_model.tx.buffers(language_model.pa.array(texts))
+        tokens = language_model.Tokens(body, at, language_model.Subwords(ranks))
+        model = language_model.Model(np.ones((language_model.VOCAB + 1,) * 2))
+        before = model.pack()
+        assert language_model.Learner(model).learn(tokens, 0) == -(-len(tokens.ids) // language_model.BLOCK)
+        assert model.pack() != before
