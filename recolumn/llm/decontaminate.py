@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .cluster import bounded_batches, row_keys
+from .cluster import bounded_batches, durable, fresh_name, row_keys, without
 
 WINDOW, GRAM = 10, 5
 SPREAD = WINDOW - GRAM + 1
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = bounded_batches(docs.sparkSession)
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     items = items.mapInArrow(_item_rows, f"item_id string, {_HIT}").dropDuplicates(["item_id", "n", "fp", "gram", "before", "after"])
-    items = items.persist()
+    items = durable(items)
     sizes = items.groupBy("n").count().collect()
     count = sum(r["count"] for r in sizes)
     table, bits = _filter_bits(items, count)
@@ -186,6 +186,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows.select("id", "row", "n_words", joined.alias("spans"), "items")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+    """The rows without a benchmark window, all columns. Rows are numbered and written once, so ids may be null or repeat."""
+    row = fresh_name(docs, "_row")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = contamination(numbered, benchmark, row, text_col, **columns)
+    return without(numbered, found.where("size(items) > 0").select("id"), row).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of `contamination` for documents and benchmark."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])

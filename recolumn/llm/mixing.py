@@ -13,12 +13,13 @@ excess is shared anew by weight until none is above.
 
 Defined cases: null or empty texts have size 0 and take 0; a source without
 words has target 0; rows that repeat an id are documents of their own; a null id
-is kept; other columns are ignored. The same rows and seed give the same mix.
+is kept and dealt by its row number; other columns are ignored. The same rows and seed give the same mix.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .cluster import bounded_batches, durable, fresh_path
+from .cluster import bounded_batches, durable, fresh_name, row_keys
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2.0
-BLOCK_WORDS, SHARD_WORDS, GROUPS = 32, 1 << 15, 256
+BLOCK_WORDS, SHARD_WORDS = 32, 1 << 15
 BROADCAST_IDS = 1_000_000
 
 
@@ -78,12 +79,16 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
 
 
 def _sizes(batches):
+    number = 0
     for batch in batches:
+        # without a column of row numbers the task's own
+        row = batch.column(3) if batch.column(3).null_count < len(batch.column(3)) else pa.array(row_keys(number, batch.num_rows))
+        number += batch.num_rows
         body, at = tx.buffers(batch.column(2))
         size = np.zeros(len(at) - 1, np.int64)
         for i, j in tx.slices(at):
             size[i:j] = np.diff(tx.spans(*tx.cut(body, at, i, j), tx.SPACED)[2])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), batch.column(3)], names=["id", "source", "size", "row"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), row, batch.column(4)], names=["id", "source", "size", "row", "hash"])
 
 
 def _apportion(parts: pd.DataFrame) -> pd.DataFrame:
@@ -120,8 +125,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = bounded_batches(docs.sparkSession)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, source_col)}
     columns = f"id {kinds[id_col]}, source {kinds[source_col]}, size long, row long"
-    row = F.col(row_col) if row_col else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), row.alias("row")).mapInArrow(_sizes, columns)
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), row.alias("row"), F.xxhash64(F.lit(seed + 1), id_col, text_col).alias("hash")).mapInArrow(_sizes, f"{columns}, hash long")
     rows = durable(rows)
     # one row for each source: the list of sources is the mix's own parameter list
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -129,17 +134,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     names = list(goal)
     seats = sainte_lague(np.array([goal[s] for s in names]), round(sum(goal.values()) / BLOCK_WORDS)) if names else []
     plan = spark.createDataFrame(
-        [(s, sizes[s], float(goal[s]), int(q), max(1, round(sizes[s] / SHARD_WORDS))) for s, q in zip(names, seats, strict=True)],
-        f"source {kinds[source_col]}, source_size long, target double, source_quota long, shards long",
+        [(s, sizes[s], float(goal[s]), int(q), (n := max(1, round(sizes[s] / SHARD_WORDS))), math.isqrt(n)) for s, q in zip(names, seats, strict=True)],
+        f"source {kinds[source_col]}, source_size long, target double, source_quota long, shards long, groups long",
     )
     rows = rows.join(F.broadcast(plan) if len(names) <= 100_000 else plan, rows["source"].eqNullSafe(plan["source"])).select(
         rows["id"], rows["source"], rows["size"], "row", "source_size", "target", "source_quota",
-        F.xxhash64(F.lit(seed), "id", rows["size"]).alias("order"), "shards",
-    ).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards")).drop("shards")
+        F.xxhash64(F.lit(seed), "id", rows["size"]).alias("order"), "shards", "groups",
+        # rows without an id are dealt by their number, so they do not meet in one shard
+        F.when(rows["id"].isNull(), F.xxhash64("hash", "row")).otherwise(F.col("hash")).alias("hash"),
+    ).withColumn("shard", F.pmod("hash", "shards")).drop("shards", "hash")
     key = F.xxhash64("source", F.col("source").isNull())
     blocks = F.ceil(F.sum("size") / BLOCK_WORDS)
-    shards = durable(rows.groupBy(key.alias("s"), "shard").agg(F.sum("size").alias("votes"), blocks.alias("blocks"), F.first("source_quota").alias("source_quota")))
-    shards = shards.withColumn("g", F.col("shard") % GROUPS)
+    shards = durable(rows.groupBy(key.alias("s"), "shard").agg(F.sum("size").alias("votes"), blocks.alias("blocks"), F.first("source_quota").alias("source_quota"), F.first("groups").alias("groups")))
+    shards = shards.withColumn("g", F.pmod("shard", "groups")).drop("groups")
     out = "s long, g long, part long, votes long, blocks long, quota long"
     groups = shards.groupBy("s", "g").agg(F.sum("votes").alias("votes"), F.sum("blocks").alias("blocks"), F.first("source_quota").alias("whole"))
     groups = groups.withColumn("part", F.col("g")).groupBy("s").applyInPandas(_apportion, out).select("s", "g", F.col("quota").alias("whole"))
@@ -158,10 +165,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     The rows are numbered and written once, so that copies go to the row itself: ids may be null or repeat.
     """
-    path = fresh_path(docs.sparkSession, "mixed")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    numbered = docs.sparkSession.read.parquet(path)
-    times = durable(mix(numbered, id_col, row_col="_row").where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies")))
+    row, copies = fresh_name(docs, "_row"), fresh_name(docs, "_copies")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    times = durable(mix(numbered, id_col, row_col=row).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(copies)))
     small = times.count() <= BROADCAST_IDS
-    rows = numbered.join(F.broadcast(times) if small else times, "_row")
-    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    rows = numbered.join(F.broadcast(times) if small else times, row)
+    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

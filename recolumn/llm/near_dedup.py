@@ -479,8 +479,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done.withColumn("kept", F.col("id") == F.col("component_id")).union(nulls)
 
 
-def _with_key(at: int):
-    """The rows with the key of their shingle set."""
+def _with_key(at: int, name: str):
+    """The rows with the key of their shingle set in a further column."""
 
     def run(batches):
         for batch in batches:
@@ -488,7 +488,7 @@ def _with_key(at: int):
             keys: list = []
             for i, j in tx.slices(at_all):
                 keys += map(set_key, shingle_sets(*tx.cut(body_all, at_all, i, j)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], schema=batch.schema.append(pa.field("key", pa.binary())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], schema=batch.schema.append(pa.field(name, pa.binary())))
 
     return run
 
@@ -510,11 +510,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = lambda rows: F.broadcast(rows.select(name)) if few else rows.select(name)
     once = docs.where(F.col(id_col).isNotNull()).join(listed(ids), F.col(id_col) == F.col(name), "left_anti")
     again = docs.where(F.col(id_col).isNull()).union(docs.join(listed(ids.where("again")), F.col(id_col) == F.col(name), "left_semi"))
-    # clashing names do no harm behind a struct
-    schema = T.StructType([T.StructField("d", docs.schema), T.StructField("key", T.BinaryType())])
-    whole = T.StructType([*docs.schema.fields, T.StructField(fresh_name(docs, "_key"), T.BinaryType())])
-    keyed = again.mapInArrow(_with_key(docs.columns.index(text_col)), whole)
-    keyed = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).cast(schema["d"].dataType).alias("d"), F.col(whole.fieldNames()[-1]).alias("key"))
+    # behind a struct clashing names do no harm
+    key = fresh_name(docs, "_key")
+    keyed = again.mapInArrow(_with_key(docs.columns.index(text_col), key), T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    keyed = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(key).alias("key"))
     own = F.col(f"d.`{id_col}`")
     rows = keyed.join(label.withColumnRenamed("set_key", "key"), "key", "left").where(F.col("component_id").isNull() | own.eqNullSafe(F.col("component_id")))
     free = rows.where(F.col("component").isNull() & own.isNull())

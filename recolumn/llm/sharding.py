@@ -14,7 +14,8 @@ old versions stay readable. Shards that a lost task wrote are in no version.
 
 Defined cases: null values, empty texts and repeated rows are stored as they are;
 an empty table commits a version without new shards; all columns are kept, and
-shard columns are added by `read` only on request, under names that must not clash.
+shard columns are added by `read` only on request, with underscores in front where a
+column of that name exists.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import fresh_path
+from .cluster import fresh_name, fresh_path
 
 TARGET_BYTES, SMALL_ROWS = 64 << 20, 2048
 FACTOR, MIN_RUN = 4, 4
@@ -125,12 +126,10 @@ class ShardStore:
     def read(self, schema, version: int | None = None, shard_columns: bool = False) -> DataFrame:
         """The rows of a version, on request with shard (its file) and shard_bytes."""
         files = [r["file"] for r in self.manifest(version).select("file").toLocalIterator()]
-        if not files:
-            rows = self.spark.createDataFrame([], schema)
-            return rows.withColumns({"shard": F.lit(""), "shard_bytes": F.lit(0).cast("long")}) if shard_columns else rows
-        rows = self.spark.read.schema(schema).parquet(*files)
+        rows = self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
         if shard_columns:
-            rows = rows.withColumns({"shard": F.col("_metadata.file_path"), "shard_bytes": F.col("_metadata.file_size")})
+            path, size = (F.col("_metadata.file_path"), F.col("_metadata.file_size")) if files else (F.lit(""), F.lit(0).cast("long"))
+            rows = rows.withColumns({fresh_name(rows, "shard"): path, fresh_name(rows, "shard_bytes"): size})
         return rows
 
 

@@ -10,9 +10,11 @@ queries are copied once for each group, data rows are not. Each task keeps k row
 for each query that it met; a ranked window takes the best of these.
 
 Defined cases: vectors that are null, hold null or non-finite components, or
-whose id is null take no part; vectors meet only vectors of the same length;
+whose id is null take no part, nor do those whose integers have a squared length of 2**62 or more
+(all other products fit a long exactly); vectors meet only vectors of the same length;
 empty vectors score 0; ties go to the smaller id; rows that repeat an id are
-candidates of their own, except that a query never meets its own id.
+candidates of their own, except that a query never meets its own id; different vectors
+of one query id are searched each, and the k best pairs of all are that id's list.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .cluster import bounded_batches
 
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK, HELD_QUERIES = 4096, 1024, 50_000
 _PACKED = "dim int, first long, n int, ids binary, vectors binary, cells binary, low binary, step binary"
 
 
@@ -40,9 +42,10 @@ def _pack(scale: float, block: int):
             at = np.cumsum(length) - length
             for dim in np.unique(length):
                 rows = np.flatnonzero(length == dim)
-                x = value[at[rows][:, None] + np.arange(dim)[None, :]]
-                good = np.isfinite(x).all(axis=1)
-                x, own = np.floor(scale * x[good]).astype(np.int64), np.array(ids)[rows[good]].astype(np.int64)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    x = np.floor(scale * value[at[rows][:, None] + np.arange(dim)[None, :]])
+                    good = np.isfinite(x).all(axis=1) & ((x * x).sum(axis=1) < 2.0**62)
+                x, own = x[good].astype(np.int64), np.array(ids)[rows[good]].astype(np.int64)
                 for i in range(0, len(own), block):
                     v, k = x[i : i + block], own[i : i + block]
                     low = v.min(axis=0).astype(np.int64)
@@ -84,6 +87,11 @@ def scan_block(queries, query_ids, vectors, ids, cells, low, step, k):
 
 
 def _search(k: int):
+    def rows(best):
+        n = [len(i) for i, _ in best.values()]
+        cols = [np.repeat([q[3] for q in best], n).astype(np.int64), np.concatenate([i for i, _ in best.values()]), np.concatenate([s for _, s in best.values()])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+
     def run(batches):
         best: dict = {}
         for batch in batches:
@@ -98,10 +106,12 @@ def _search(k: int):
                         top = np.lexsort((i, -s))[:k]
                         i, s = i[top], s[top]
                     best[key] = (i, s)
+                # so many queries are held at once; the ranked window joins what was sent before
+                if len(best) > HELD_QUERIES:
+                    yield rows(best)
+                    best = {}
         if best:
-            n = [len(i) for i, _ in best.values()]
-            cols = [np.repeat([q[3] for q in best], n).astype(np.int64), np.concatenate([i for i, _ in best.values()]), np.concatenate([s for _, s in best.values()])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+            yield rows(best)
 
     return run
 

@@ -177,6 +177,15 @@ def test_top_k_of_a_range_of_256(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(0, 25600), *[(k, 25590) for k in range(1, 10)]]
 
 
+def test_top_k_of_huge_and_repeated_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HELD_QUERIES", 1)
+    rows = [(0, [1.0, 2.0]), (0, [5.0, -1.0]), (1, [3.0, 4.0]), (2, [1e300, 1.0]), (3, [3e6, 0.0]), (4, []), (None, [1.0, 1.0]), (5, [1e8, 1e8])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(table, lambda i: i == 0, k=3, scale=1.0).collect())
+    assert got == [(0, 1, 5, 400000000), (0, 2, 5, 300000000), (0, 3, 3, 15000000)]
+    assert topk.report(table.limit(0)).count() == 0
+
+
 def test_top_k_reads_few_exact_vectors():
     rng = np.random.default_rng(4)
     v = rng.integers(-1000, 1000, (4000, 16))

@@ -54,7 +54,7 @@ def test_null_and_repeated_ids(spark):
     """Of rows that repeat an id or lack one, one of each set stays; the mix counts rows, not ids."""
     a, b, c, d, e = sentences(23, 5, 80, 500)
     rows = [(1, a)] * 3 + [(1, b)] * 2 + [(None, c)] * 2 + [(2, "")] * 2 + [(3, d)] + [(None, d), (None, ""), (None, None), (0, e), (1, e)]
-    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     found = corpus_pipeline.near_duplicates(spark, table(rows), "")
     assert sorted((r["doc_id"] or 0, "null" if r["text"] is None else r["text"]) for r in found.collect()) == sorted([(1, a), (1, b), (0, c), (2, ""), (3, d), (0, ""), (0, "null"), (0, e)])
     # one source is taken one and a half times: each row comes once or twice
@@ -62,3 +62,30 @@ def test_null_and_repeated_ids(spark):
     rows = [(None if k % 2 else k, t) for k, t in enumerate(texts)] + [(0, texts[0])] * 4 + [(2**60 + k, t) for k, t in enumerate(sentences(25, 5, 80, 500))]
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.source_mix(spark, table(rows), "").collect()]
     assert all(rows.count(r) <= got.count(r) <= 2 * rows.count(r) for r in rows) and set(got) == set(rows)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows, clashing names; each stage's result is defined."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, _row string, _copies string, shard string, `key` string"
+    long_, item, plain = " ".join(sentences(40, 60, 400, 3000)), sentences(41, 1, 30, 300)[0] + " tail of the item with some more words", sentences(42, 8, 90, 900)
+    texts = [None, "", " \n", "one", long_, item + " and more", *plain, plain[0]]
+    rows = [(None if k % 3 == 0 else k, t, None if k % 2 else "en", None if k % 4 == 0 else "s", None, k, "r", "c", None, "x") for k, t in enumerate(texts)]
+    rows += [(None, item, None, None, None, 0, None, None, None, None)] * 2 + [rows[7]] * 3
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(k, 1 - k % 2, None) for k in range(20)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, plain[1]), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    count = lambda frame: sorted(map(repr, (tuple(r)[:10] for r in frame.collect())))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[:10] == docs.columns and (name == "shards" or out.columns == docs.columns)
+        got = count(out)
+        assert count(stage(spark, docs.limit(0), str(tmp_path))) == []
+        if name == "near_duplicates":
+            assert len(got) == len(set(got)) and sum("'one'" in r for r in got) == 1 and sum(repr(plain[1]) in r for r in got) == 1 and sum(repr(plain[0]) in r for r in got) == 1
+        elif name == "decontamination":
+            assert got == sorted(r for r in count(docs) if repr(item)[1:-1] not in r)
+        elif name == "source_mix":
+            have = count(docs)
+            assert all(got.count(r) <= 2 * have.count(r) for r in got) and set(got) <= set(have)
+        elif name == "shards":
+            assert got == count(docs) and out.columns[10:] == ["_shard", "shard_bytes"]
