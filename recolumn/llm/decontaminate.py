@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .cluster import bounded_batches, durable, fresh_name, row_keys, without
+from .cluster import bounded_batches, durable, fresh_name, release, row_keys, without
 
 WINDOW, GRAM = 10, 5
 SPREAD = WINDOW - GRAM + 1
@@ -187,11 +187,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The rows without a benchmark window, all columns. Rows are numbered and written once, so ids may be null or repeat."""
+    """The rows without a benchmark window, all columns. Rows whose id is null or repeats are numbered, written and looked at by number; all others go by id."""
+    hit = (F.size("items") > 0).alias("hit")
+    found = durable(contamination(docs, benchmark, id_col, text_col, **columns).select("id", hit))
+    name = fresh_name(docs, "_id")
+    ids = found.where("id is not null").groupBy(F.col("id").alias(name)).agg(F.max("hit").alias("hit"), (F.count("*") > 1).alias("again"))
+    ids = durable(ids.where("hit or again"))
+    few = ids.count() <= BROADCAST_ROWS
+    listed = lambda rows: F.broadcast(rows.select(name)) if few else rows.select(name)
+    once = docs.where(F.col(id_col).isNotNull()).join(listed(ids), F.col(id_col) == F.col(name), "left_anti")
+    again = docs.where(F.col(id_col).isNull()).union(docs.join(listed(ids.where("again")), F.col(id_col) == F.col(name), "left_semi"))
     row = fresh_name(docs, "_row")
-    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = contamination(numbered, benchmark, row, text_col, **columns)
-    return without(numbered, found.where("size(items) > 0").select("id"), row).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = durable(again.withColumn(row, F.monotonically_increasing_id()))
+    release(found)
+    if not numbered.take(1):
+        return once
+    bad = contamination(numbered, benchmark, row, text_col, **columns).where(hit).select("id")
+    return once.union(without(numbered, bad, row).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

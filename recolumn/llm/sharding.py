@@ -30,6 +30,7 @@ from .cluster import fresh_name, fresh_path
 
 TARGET_BYTES, SMALL_ROWS = 64 << 20, 2048
 FACTOR, MIN_RUN = 4, 4
+ROW_GROUP_BYTES = 16 << 20  # what a writing task holds
 _MANIFEST = "file string, rows long, bytes long"
 
 
@@ -91,7 +92,7 @@ class ShardStore:
     def append(self, rows: DataFrame) -> int:
         """Writes the rows as small shards and commits the next version."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows.write.option("maxRecordsPerFile", self.small_rows).parquet(folder)
+        rows.write.option("maxRecordsPerFile", self.small_rows).option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
         new = self._shards(folder, rows.schema)
         while True:
             version = self.version()
@@ -116,7 +117,7 @@ class ShardStore:
             files = [r["file"] for r in merged.select("file").toLocalIterator()]
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             parts = max(1, math.ceil(run["bytes"] / self.target))
-            self.spark.read.schema(schema).parquet(*files).coalesce(parts).write.parquet(folder)
+            self.spark.read.schema(schema).parquet(*files).coalesce(parts).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
             kept = shards.join(merged.select("file"), "file", "left_anti").select("file", "rows", "bytes")
             try:
                 self.commit(kept.unionByName(self._shards(folder, schema)), version + 1)
