@@ -42,6 +42,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ VALUES, TREES, REGION = 48, 24, 64
 DEPTHS = (2, 4, 8, 16, 32, 48)
 LIKELY = 19
 BROADCAST_IDS = 1_000_000
-POSTING_BYTES, POSTING_BLOCK, HUB, MAX_BITS = 4 << 20, 256, 256, 26
+POSTING_BYTES, BUCKET_BYTES, POSTING_BLOCK, HUB, MAX_BITS = 4 << 20, 1 << 20, 256, 256, 26
 _MULTIPLIERS = tx.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 PAIR, MEMBER, CUT = 0, 1, 2
 
@@ -342,37 +343,68 @@ def _shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
     return table, bits
 
 
-def _postings(table=None, bits: int = 0):
-    """One row for each distinct shingle of some sets: how many have it, their least and largest component, and who they are.
+def _chunks(batches):
+    """Portions of some sets (node, g, shingles) of about POSTING_BYTES: all their shingles, and each one's node, component and set size."""
+    for batch in batches:
+        sets, i = batch.column(2).to_pylist(), 0
+        node, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        while i < len(sets):
+            j, size = i, 0
+            while j < len(sets) and (j == i or size + len(sets[j]) <= POSTING_BYTES):
+                size += len(sets[j])
+                j += 1
+            n = np.array([len(s) // 8 for s in sets[i:j]])
+            own = np.repeat(np.arange(i, j), n)
+            yield np.frombuffer(b"".join(sets[i:j]), np.int64), node[own], g[own], np.repeat(n, n)
+            i = j
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
-    With a bit table only its shingles are listed, and only sets of which these are three quarters at least.
-    """
+
+def _counted(buckets: int):
+    """Each portion's distinct shingles with their count and least and largest component, packed by bucket."""
 
     def run(batches):
-        for batch in batches:
-            sets, i = batch.column(2).to_pylist(), 0
-            node, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            while i < len(sets):
-                j, size = i, 0
-                while j < len(sets) and (j == i or size + len(sets[j]) <= POSTING_BYTES):
-                    size += len(sets[j])
-                    j += 1
-                n = np.array([len(s) // 8 for s in sets[i:j]])
-                shingles, own, i = np.frombuffer(b"".join(sets[i:j]), np.int64), np.repeat(np.arange(i, j), n), j
-                n = np.repeat(n, n)
-                if table is not None:
-                    bit = shingles & ((1 << bits) - 1)
-                    ok = (table.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0
-                    ok &= 4 * np.bincount(own, ok)[own] >= 3 * n
-                    shingles, own, n = shingles[ok], own[ok], n[ok]
-                if not len(shingles):
-                    continue
-                order = np.argsort(shingles, kind="stable")
-                shingles, own, n = shingles[order], own[order], n[order]
-                at = np.append(np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1])), len(shingles)).astype(np.int32)
-                members = pa.StructArray.from_arrays([pa.array(node[own]), pa.array(g[own]), pa.array(n)], names=["node", "g", "n"])
-                cols = [shingles[at[:-1]], np.diff(at).astype(np.int64), np.minimum.reduceat(g[own], at[:-1]), np.maximum.reduceat(g[own], at[:-1])]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.ListArray.from_arrays(pa.array(at), members)], names=["shingle", "f", "low", "high", "members"])
+        for shingles, _, g, _ in _chunks(batches):
+            order = np.argsort(shingles, kind="stable")
+            x, g = shingles[order], g[order]
+            at = _heads(x)
+            table = np.column_stack([x[at], np.diff(np.append(at, len(x))), np.minimum.reduceat(g, at), np.maximum.reduceat(g, at)])
+            bucket = table[:, 0] % buckets
+            order = np.argsort(bucket, kind="stable")
+            table, bucket = table[order], bucket[order]
+            at = _heads(bucket)
+            blobs = [t.tobytes() for t in np.split(table, at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(blobs, pa.binary())], names=["bucket", "found"])
+
+    return run
+
+
+def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Shingles of one bucket that several components have."""
+    table = np.frombuffer(b"".join(rows.found), np.int64).reshape(-1, 4)
+    table = table[np.argsort(table[:, 0], kind="stable")]
+    at = _heads(table[:, 0])
+    several = np.minimum.reduceat(table[:, 2], at) != np.maximum.reduceat(table[:, 3], at)
+    return pd.DataFrame({"shingle": table[at[several], 0], "f": np.add.reduceat(table[:, 1], at)[several]})
+
+
+def _postings(table, bits: int):
+    """One row for each distinct shingle of a portion that has its bit in the table, with the sets that have it; sets of which such shingles are less than three quarters are left out."""
+
+    def run(batches):
+        for shingles, node, g, n in _chunks(batches):
+            bit = shingles & ((1 << bits) - 1)
+            ok = (table.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 > 0
+            _, own = np.unique(node, return_inverse=True)
+            ok &= 4 * np.bincount(own, ok)[own] >= 3 * n
+            order = np.flatnonzero(ok)[np.argsort(shingles[ok], kind="stable")]
+            x = shingles[order]
+            at = _heads(x)
+            members = pa.StructArray.from_arrays([pa.array(c[order]) for c in (node, g, n)], names=["node", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype(np.int32)), members)], names=["shingle", "members"])
 
     return run
 
@@ -396,12 +428,12 @@ def _links_apart(texts: DataFrame, classes: DataFrame, members: DataFrame) -> Da
     sets, wanted = _wanted_sets(texts, classes, members.select("node"))
     sets = durable(sets.join(members, "node").select("node", "g", "shingles").dropDuplicates(["node"]))
     release(wanted)
-    posting = "shingle bigint, f bigint, low bigint, high bigint, members array<struct<node:bigint,g:bigint,n:bigint>>"
-    shared = sets.mapInArrow(_postings(), posting).groupBy("shingle").agg(F.sum("f").alias("f"), F.min("low").alias("low"), F.max("high").alias("high"))
-    shared = durable(shared.where("low <> high").select("shingle", "f"))
+    size = sets.agg(F.sum(F.octet_length("shingles"))).head()[0] or 0
+    shared = sets.mapInArrow(_counted(-(-size // BUCKET_BYTES) or 1), "bucket bigint, found binary").groupBy("bucket").applyInPandas(_shared, "shingle bigint, f bigint")
+    shared = durable(shared)
     table, bits = _shingle_filter(shared)
-    rows = sets.mapInArrow(_postings(sets.sparkSession.sparkContext.broadcast(table), bits), posting)
-    own = rows.select("shingle", "members").join(shared, "shingle").select("f", "shingle", F.explode("members").alias("m")).select("f", "shingle", "m.*")
+    rows = sets.mapInArrow(_postings(sets.sparkSession.sparkContext.broadcast(table), bits), "shingle bigint, members array<struct<node:bigint,g:bigint,n:bigint>>")
+    own = rows.join(shared, "shingle").select("f", "shingle", F.explode("members").alias("m")).select("f", "shingle", "m.*")
     own = own.groupBy("node").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     # a link shares three quarters of either set, all of it shingles of several components
     own = own.where("4 * size(s) >= 3 * n")
