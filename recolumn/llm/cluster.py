@@ -43,7 +43,7 @@ def durable(df: DataFrame) -> DataFrame:
     path, before = fresh_path(spark, "table"), spark.conf.get(_CLEAN_CONF, None)
     spark.conf.set(_CLEAN_CONF, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEAN_CONF) if before is None else spark.conf.set(_CLEAN_CONF, before)
     table = spark.read.schema(df.schema).parquet(path)
@@ -60,6 +60,16 @@ def release(*tables: DataFrame | None) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bit_table(rows: DataFrame, column: str, most: int) -> tuple[np.ndarray, int]:
+    """A table of at most 1 << most bits, 16 for each row where that fits, in which the low bits of each value of a long column have their bit; and its size as a power."""
+    bits = int(np.clip(np.ceil(np.log2(max(rows.count(), 1))) + 4, 16, most))
+    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = rows.select(F.shiftright(bit, 5).alias("w"), bit.bitwiseAND(F.lit(31)).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, int(b))")).alias("v")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
+    return table, bits
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

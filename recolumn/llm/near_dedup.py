@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .cluster import bounded_batches, components, durable, fresh_name, release
+from .cluster import bit_table, bounded_batches, components, durable, fresh_name, release
 
 SHINGLE = 5
 VALUES, TREES, REGION = 48, 24, 64
@@ -333,16 +333,6 @@ def _confirmed(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
     return links
 
 
-def _shingle_filter(shingles: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit table of at most 1 << MAX_BITS bits in which each listed shingle has its bit."""
-    bits = int(np.clip(np.ceil(np.log2(max(shingles.count(), 1))) + 4, 16, MAX_BITS))
-    bit = F.col("shingle").bitwiseAND(F.lit((1 << bits) - 1))
-    words = shingles.select(F.shiftright(bit, 5).alias("w"), bit.bitwiseAND(F.lit(31)).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, int(b))")).alias("v")).toArrow()
-    table = np.zeros(1 << (bits - 5), np.uint32)
-    table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
-    return table, bits
-
-
 def _chunks(batches):
     """Portions of some sets (node, g, shingles) of about POSTING_BYTES: all their shingles, and each one's node, component and set size."""
     for batch in batches:
@@ -431,7 +421,7 @@ def _links_apart(texts: DataFrame, classes: DataFrame, members: DataFrame) -> Da
     size = sets.agg(F.sum(F.octet_length("shingles"))).head()[0] or 0
     shared = sets.mapInArrow(_counted(-(-size // BUCKET_BYTES) or 1), "bucket bigint, found binary").groupBy("bucket").applyInPandas(_shared, "shingle bigint, f bigint")
     shared = durable(shared)
-    table, bits = _shingle_filter(shared)
+    table, bits = bit_table(shared, "shingle", MAX_BITS)
     rows = sets.mapInArrow(_postings(sets.sparkSession.sparkContext.broadcast(table), bits), "shingle bigint, members array<struct<node:bigint,g:bigint,n:bigint>>")
     own = rows.join(shared, "shingle").select("f", "shingle", F.explode("members").alias("m")).select("f", "shingle", "m.*")
     own = own.groupBy("node").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
