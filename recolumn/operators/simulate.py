@@ -6,6 +6,7 @@ over prompt batches can take its place in `ask`.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,22 +67,31 @@ class Replay:
         return [self.replies.get(p) for p in batch]
 
 
-def ask(rows: DataFrame, judge: Callable[[list[str]], list[str | None]], attempts: int = 3) -> DataFrame:
-    """rows (user_id, prompt) with `reply`, `attempts` and `status`; a judge that fails gives a status, not an exception."""
+def ask(rows: DataFrame, judge: Callable[[list[str]], list[str | None]], attempts: int = 3, wait: float = 0.0) -> DataFrame:
+    """rows (user_id, prompt) with `reply`, `attempts` and `status` (ok, no_reply or error).
+
+    A judge that raises fails its attempt, not the task; before each further attempt it gets `wait` seconds, doubled every time.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             todo, reply = list(part.prompt), [None] * len(part)
-            used = [0] * len(part)
-            for _ in range(attempts):
+            used, missing = [0] * len(part), "no_reply"
+            for turn in range(attempts):
                 open_ = [k for k, r in enumerate(reply) if r is None]
                 if not open_:
                     break
-                for k, r in zip(open_, judge([todo[k] for k in open_]), strict=True):
+                time.sleep(wait * 2**turn / 2 if turn else 0)
+                try:
+                    found, missing = list(judge([todo[k] for k in open_])), "no_reply"
+                except Exception:  # whatever the judge's client raises
+                    found, missing = [None] * len(open_), "error"
+                for k, r in zip(open_, found, strict=True):
                     reply[k], used[k] = r, used[k] + 1
-            yield part.assign(reply=reply, attempts=used, status=["ok" if r is not None else "no_reply" for r in reply])
+            yield part.assign(reply=reply, attempts=used, status=["ok" if r is not None else missing for r in reply])
 
-    return rows.select("user_id", "prompt").mapInPandas(run, "user_id long, prompt string, reply string, attempts int, status string")
+    kind = rows.schema["user_id"].dataType.simpleString()
+    return rows.select("user_id", "prompt").mapInPandas(run, f"user_id {kind}, prompt string, reply string, attempts int, status string")
 
 
 def parsed_ratings(replies: DataFrame) -> DataFrame:

@@ -636,9 +636,9 @@ def reply_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT a.doc_id, round(len(list_intersect(list_distinct(string_split(ta, '')), list_distinct(string_split(tb, '')))) / nullif(len(list_distinct(string_split(ta, ''))), 0), 6) AS overlap
-FROM (SELECT doc_id, substring(text, 1, 40) AS ta, lang AS tb FROM documents) a""")
+FROM (SELECT doc_id, text AS ta, lang AS tb FROM documents) a""")
 def letter_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.round(X.letter_overlap(F.substring("text", 1, 40), F.col("lang")), 6).alias("overlap"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.round(X.letter_overlap(F.col("text"), F.col("lang")), 6).alias("overlap"))
 
 
 # -- prompts and feedback

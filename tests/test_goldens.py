@@ -169,3 +169,16 @@ def test_parity(spark, duck, name):
     at = [want.columns.index(c) for c in rows.columns]
     got = sorted((tuple(map(plain, r)) for r in rows.collect()), key=str)
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
+
+
+def test_a_raising_judge_gives_a_status(spark):
+    from recolumn.operators import simulate
+
+    def judge(prompts):
+        if "bad" in prompts:
+            raise ValueError("no answer")
+        return [p.upper() if p != "quiet" else None for p in prompts]
+
+    rows = spark.createDataFrame([("u", "bad"), ("v", "quiet"), ("w", "fine")], "user_id string, prompt string").repartition(3, "prompt")
+    got = {r["prompt"]: (r["status"], r["reply"]) for p in ("bad", "quiet", "fine") for r in simulate.ask(rows.where(f"prompt = '{p}'"), judge, 2).collect()}
+    assert got == {"bad": ("error", None), "quiet": ("no_reply", None), "fine": ("ok", "FINE")}
