@@ -26,8 +26,11 @@ def propagate(edges: DataFrame, nodes: DataFrame, width: int, layers: int = 3) -
     """Mean over layers 0..n of neighbourhood sums weighted by `norm`: (id, vector).
 
     Vectors travel as `width` doubles and are summed by position, so partial sums
-    combine before each shuffle; layers past the first are cut by a checkpoint when a folder is set.
+    combine before each shuffle. The weighted edges are derived once, dealt by their source as every
+    layer joins them; layers are cut by a checkpoint. Without a checkpoint folder the edges are cached instead.
     """
+    edges = edges.select("src", "dst", "norm").repartition("src")
+    edges = edges.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else edges.persist()
     names = [f"x{i}" for i in range(width)]
     layer = nodes.select("id", *[F.get(V.doubles(F.col("vector")), F.lit(i)).alias(n) for i, n in enumerate(names)])
     parts = [layer]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recolumn.functions import text as X
 from recolumn.functions import vectors as V
-from recolumn.operators import agreement, cluster, metrics, relational, rerank, simulate
+from recolumn.operators import agreement, cluster, metrics, recommend, relational, rerank, simulate
 from recolumn.plans import catalog
 from recolumn.sources import tables
 
@@ -182,3 +182,29 @@ def test_a_raising_judge_gives_a_status(spark):
     rows = spark.createDataFrame([("u", "bad"), ("v", "quiet"), ("w", "fine")], "user_id string, prompt string").repartition(3, "prompt")
     got = {r["prompt"]: (r["status"], r["reply"]) for p in ("bad", "quiet", "fine") for r in simulate.ask(rows.where(f"prompt = '{p}'"), judge, 2).collect()}
     assert got == {"bad": ("error", None), "quiet": ("no_reply", None), "fine": ("ok", "FINE")}
+
+
+@pytest.mark.parametrize("measure", ["cosine", "dot"])
+@pytest.mark.parametrize("with_seen", [False, True])
+def test_block_lists_match_brute_force(spark, measure, with_seen):
+    """Many blocks, tied scores, string ids, a null vector, a user who has seen all items."""
+    draw = np.random.default_rng(1)
+    users = [(i, draw.integers(-2, 3, 4).astype(float).tolist()) for i in range(40)]
+    items = [(f"k{i:02d}", draw.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)]
+    seen = {(int(a), f"k{b:02d}") for a, b in zip(draw.integers(0, 40, 400), draw.integers(0, 60, 400), strict=True)} | {(3, k) for k, _ in items}
+    found = recommend.score_blocks(
+        spark.createDataFrame([*users, (99, None)], "user_id long, vector array<double>"),
+        spark.createDataFrame(items, "item_id string, vector array<double>"), 7, measure,
+        spark.createDataFrame(sorted(seen), "user_id long, item_id string") if with_seen else None, item_block=10, user_block=9,
+    )
+    found = {(r.user_id, r.recommendation_rank): (r.item_id, r.score) for r in found.collect()}
+    want = {}
+    for user, u in users:
+        own = []
+        for item, v in items:
+            size = float(np.linalg.norm(u) * np.linalg.norm(v)) if measure == "cosine" else 1.0
+            if not with_seen or (user, item) not in seen:
+                own.append((-np.round(float(np.dot(u, v)) / size if size else 0.0, 10), item))
+        want |= {(user, k): (item, -s) for k, (s, item) in enumerate(sorted(own)[:7], 1)}
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(found[k][1] - want[k][1]) < 1e-9 for k in want)
