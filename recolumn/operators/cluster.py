@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cosine_distances(x: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    unit = np.divide(x, size, out=np.zeros_like(x, dtype=float), where=size > 0)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, 0)
-    return np.clip(d, 0, 2)
+class cosine_distances:
+    """Cosine distances of vectors, computed by rows when asked for: d[k] or d[i:j]; no square matrix is held."""
+
+    def __init__(self, x: np.ndarray):
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        self.unit = np.divide(x, size, out=np.zeros_like(x, dtype=float), where=size > 0)
+
+    def __len__(self) -> int:
+        return len(self.unit)
+
+    def __getitem__(self, k) -> np.ndarray:
+        d = 1 - self.unit[k] @ self.unit.T
+        if isinstance(k, slice):
+            own = np.arange(*k.indices(len(self)))
+            d[np.arange(len(own)), own] = 0
+        else:
+            d[k] = 0
+        return np.clip(d, 0, 2).round(12)  # the same whichever product gave it, so equal heights stay equal
 
 
 def density_clusters(d: np.ndarray, least: int = 5, samples: int = 3) -> np.ndarray:
-    """Cluster numbers from a distance matrix, -1 for noise.
+    """Cluster numbers from distances (a matrix, or rows on demand), -1 for noise. Memory grows with the points, not their square.
 
     Mutual reachability (a point is its own first neighbour), a minimum spanning
     tree, the hierarchy of splits with at least `least` points on both sides, and from it the
@@ -26,19 +38,21 @@ def density_clusters(d: np.ndarray, least: int = 5, samples: int = 3) -> np.ndar
     n = len(d)
     if n < least:
         return np.arange(n)
-    core = np.sort(d, axis=1)[:, min(samples, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    nth, some = min(samples, n) - 1, max(1, (1 << 22) // n)
+    core = np.concatenate([np.partition(d[i : i + some], nth, axis=1)[:, nth].copy() for i in range(0, n, some)])
+    reach = lambda k: np.maximum(d[k], np.maximum(core[k], core))
     # Prim's tree
-    best, source, done, edges = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool), []
+    best, source, done, edges = reach(0), np.zeros(n, int), np.zeros(n, bool), []
     done[0] = True
     for _ in range(n - 1):
         k = int(np.where(done, np.inf, best).argmin())
         edges.append((best[k], source[k], k))
         done[k] = True
-        nearer = reach[k] < best
-        best[nearer], source[nearer] = reach[k][nearer], k
+        row = reach(k)
+        nearer = row < best
+        best[nearer], source[nearer] = row[nearer], k
     # single-linkage merges
-    root, members, children, heights = list(range(n)), {k: [k] for k in range(n)}, {}, {}
+    root, size, children, heights = list(range(n)), [1] * n, {}, {}
 
     def find(k):
         while root[k] != k:
@@ -50,12 +64,24 @@ def density_clusters(d: np.ndarray, least: int = 5, samples: int = 3) -> np.ndar
         a, b, new = find(a), find(b), len(root)
         root.append(new)
         root[a] = root[b] = new
-        children[new], heights[new], members[new] = (a, b), height, members[a] + members[b]
-    # condensed clusters: (points, birth, stability, children), walked from the root down
+        children[new], heights[new] = (a, b), height
+        size.append(size[a] + size[b])
+
+    def points(node) -> list[int]:
+        found, walk = [], [node]
+        while walk:
+            node = walk.pop()
+            if node < n:
+                found.append(node)
+            else:
+                walk += children[node]
+        return found
+
+    # condensed clusters: (top node, birth, stability, children), walked from the root down
     clusters, stack = [], [(len(root) - 1, 0.0, None)]
     while stack:
         node, birth, parent = stack.pop()
-        own = {"points": members[node], "stability": 0.0, "children": [], "parent": parent}
+        own = {"top": node, "stability": 0.0, "children": [], "parent": parent}
         clusters.append(own)
         me = len(clusters) - 1
         if parent is not None:
@@ -63,12 +89,12 @@ def density_clusters(d: np.ndarray, least: int = 5, samples: int = 3) -> np.ndar
         while node in children:
             density = 1 / heights[node] if heights[node] > 0 else 1e12
             a, b = children[node]
-            big = [k for k in (a, b) if len(members[k]) >= least]
+            big = [k for k in (a, b) if size[k] >= least]
             if len(big) == 2:
-                own["stability"] += (density - birth) * len(members[node])
+                own["stability"] += (density - birth) * size[node]
                 stack += [(a, density, me), (b, density, me)]
                 break
-            gone = len(members[node]) - (len(members[big[0]]) if big else 0)
+            gone = size[node] - (size[big[0]] if big else 0)
             own["stability"] += (density - birth) * gone
             if not big:
                 break
@@ -89,8 +115,8 @@ def density_clusters(d: np.ndarray, least: int = 5, samples: int = 3) -> np.ndar
             chosen.append(k)
         else:
             walk += clusters[k]["children"]
-    for label, k in enumerate(sorted(chosen, key=lambda k: min(clusters[k]["points"]))):
-        labels[clusters[k]["points"]] = label
+    for label, own in enumerate(sorted((points(clusters[k]["top"]) for k in chosen), key=min)):
+        labels[own] = label
     return labels
 
 

@@ -121,6 +121,8 @@ def test_density_clusters():
     groups = [set(labels[i * 12 : i * 12 + 12].tolist()) - {-1} for i in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
     assert cluster.density_clusters(np.zeros((3, 3))).tolist() == [0, 1, 2]
+    # rows on demand give what the whole matrix gives
+    assert labels.tolist() == cluster.density_clusters(cluster.cosine_distances(x)[:]).tolist()
 
 
 def test_sources(spark, tmp_path):
