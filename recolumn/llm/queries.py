@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language_model, line_dedup, mixing, near_dedup, packing, quality, resample, sharding, topk, toxicity
+from . import chat, collocations, decontaminate, language_model, line_dedup, mixing, near_dedup, packing, quality, resample, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": op10_exact_top_k,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_packing": op12_packing,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -163,10 +168,33 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 WHERE rank <= 10
 """
 
+OP13_SQL = """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+f AS (
+  SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS d) WHERE len(w) >= d) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE d = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE d > 1 AND a >= 100),
+part AS (SELECT lang, phrase, a, array_to_string(s[1:k], ' ') AS x, array_to_string(s[k + 1:], ' ') AS y, k FROM (SELECT *, unnest(range(1, d)) AS k FROM cand)),
+cut AS (
+  SELECT p.lang, p.phrase, p.a, b.a AS l, c.a AS r, n, CAST((1000::HUGEINT * p.a * n) // (b.a::HUGEINT * c.a) AS BIGINT) AS score, k
+  FROM part p JOIN f b ON b.lang = p.lang AND b.phrase = x JOIN f c ON c.lang = p.lang AND c.phrase = y JOIN n ON n.lang = p.lang),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(s[i:j], ' ') AS phrase, a FROM (SELECT *, unnest(range(i + 1, d + 1)) AS j FROM (SELECT *, unnest(range(1, d)) AS i FROM cand)) WHERE j - i + 1 < d),
+left_ AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inside q WHERE q.lang = low.lang AND q.phrase = low.phrase AND q.a >= low.a))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_) WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op3_chat_format": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op8_near_duplicates": OP8_SQL,
     "op10_exact_top_k": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }
