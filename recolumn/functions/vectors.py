@@ -76,3 +76,24 @@ def bpr_loss(margin: Column) -> Column:
 def mean_by_position(v: Column, width: int) -> Column:
     """Aggregate: element-wise mean of vectors; one partial sum per position combines before the shuffle."""
     return F.array(*[F.avg(F.get(doubles(v), F.lit(i))) for i in range(width)])
+
+
+def portable_hash(*parts: str | int | Column) -> Column:
+    """60 bits of the md5 of the parts, joined by colons: any engine with md5 can repeat it."""
+    joined = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+
+
+def normals(key: Column, width: int, seed: int = 42) -> Column:
+    """`width` values of N(0, 1) that depend on key and seed alone: two for each md5, by Box and Muller's transform of two 52-bit numbers."""
+    share = lambda h, at: (F.conv(F.substring(h, at, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    digest = lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string")))
+    radius, angle = lambda h: F.sqrt(-2 * F.log(share(h, 1))), lambda h: 2 * F.pi() * share(h, 14)
+    pair = lambda i: let(digest(i), lambda h: F.array(radius(h) * F.cos(angle(h)), radius(h) * F.sin(angle(h))))
+    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((width - 1) // 2)), pair)), 1, width)
+
+
+def sum_by_position(v: Column, width: int, weight: Column | None = None) -> Column:
+    """Aggregate: element-wise sum of (weighted) vectors; one partial sum per position combines before the shuffle."""
+    at = [F.get(v, F.lit(i)) for i in range(width)]
+    return F.array(*[F.sum(x if weight is None else x * weight) for x in at])

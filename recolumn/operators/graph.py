@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.work import held
+from .relational import numbered
 
 
 def bipartite_edges(ratings: DataFrame) -> DataFrame:
@@ -78,21 +82,63 @@ def attend(attention: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("dst").agg(F.array(*sums).alias("vector")).withColumnRenamed("dst", "id")
 
 
+#: Four primes above every item count that a walk supports; a stride that is prime to the count visits each rank once.
+STEPS = (2147483647, 2147483629, 2147483587, 2147483579)
+
+
+def item_ranks(train: DataFrame) -> DataFrame:
+    """item_id and r: its place from 0 in id order, numbered range by range."""
+    return numbered(train.select("item_id").distinct(), "item_id", "r")
+
+
+def _walk(total: int, step: Column, *parts: str | int | Column) -> Column:
+    """Rank of the step-th item on a walk over all items that starts and strides by the parts' hash."""
+    start = V.portable_hash(*parts)
+    stride = F.element_at(F.array(*[F.lit(p % total) for p in STEPS]), (start % len(STEPS) + 1).cast("int"))
+    return ((F.shiftright(start, 2) + step.cast("long") * stride) % total).cast("long")
+
+
 def negatives(train: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """k items per user without interaction, without replacement, in the order of a portable hash.
+    """k items per user without interaction, without replacement: the first free ones of a seeded walk over all items.
 
-    Ranks of items stand for the items: a user's free ranks come from the full
-    sequence less the seen ranks, so there is no user by item product to shuffle.
+    A walk visits every item once, so k free ones lie within its first k + seen steps:
+    the work grows with the ratings, not with users times items, and no row holds a list.
+    """
+    ranks = item_ranks(train)
+    total = ranks.count()
+    if not total:
+        return train.select("user_id", "item_id", F.lit(1).alias("place")).limit(0)
+    rated = train.select("user_id", "item_id").distinct()
+    steps = rated.groupBy("user_id").agg(F.least(F.count("*") + k, F.lit(total)).alias("n"))
+    tried = steps.select("user_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("step"))
+    tried = tried.withColumn("r", _walk(total, F.col("step"), seed, F.col("user_id"))).join(ranks, "r").join(rated, ["user_id", "item_id"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy("step")
+    return tried.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("user_id", "item_id", "place")
+
+
+def sampled_pairs(good: DataFrame, banned: DataFrame, ranks: DataFrame, total: int, epoch: int = 0, seed: int = 42, tries: int = 8, keep=held) -> DataFrame:
+    """(user_id, good, bad): one item for each (user_id, good) row, drawn anew for every epoch from the items that are not `banned` for the user.
+
+    Each row walks over all items from its own start and takes the first free one. Most
+    rows find one within `tries` steps; what is left walks eight times as far, and so on up to all items, so users who
+    have nearly everything banned get theirs too. Rows of users with everything banned go.
+    `ranks`: item_id, r from 0 to total - 1. `keep` computes a frame once.
     """
-    items = train.select("item_id").distinct()
-    ranks = items.withColumn("r", F.row_number().over(Window.orderBy("item_id")))
-    total = ranks.agg(F.max("r").alias("total"))
-    seen = train.select("user_id", "item_id").distinct().join(ranks, "item_id").groupBy("user_id").agg(F.collect_set("r").alias("seen")).crossJoin(F.broadcast(total))
-    free = F.array_except(F.sequence(F.lit(1), F.col("total")), "seen")
-    # a multiplicative order that any engine can repeat with 64-bit integers
-    key = F.transform(free, lambda r: F.struct(((F.col("user_id") * 7919 + r.cast("long") * 104729 + seed) % 1000003).alias("h"), r.alias("r")))
-    rows = seen.select("user_id", F.posexplode(F.slice(F.array_sort(key), 1, k)).alias("place", "p"))
-    return rows.join(ranks, F.col("p.r") == ranks["r"]).select("user_id", "item_id", (F.col("place") + 1).alias("place"))
+    wrong = banned.select("user_id", F.col("item_id").alias("bad"))
+    names = ranks.select(F.col("item_id").alias("bad"), "r")
+    open_, out, first = good.select("user_id", "good"), [], 0
+    while first < total:
+        until = min(total, first + tries)
+        tried = open_.select("user_id", "good", F.explode(F.sequence(F.lit(first), F.lit(until - 1))).alias("step"))
+        tried = tried.withColumn("r", _walk(total, F.col("step"), seed, epoch, F.col("user_id"), F.col("good"))).join(names, "r").join(wrong, ["user_id", "bad"], "left_anti")
+        out.append(keep(tried.groupBy("user_id", "good").agg(F.min_by("bad", "step").alias("bad"))))
+        first, tries = until, tries * 8
+        open_ = open_.join(out[-1], ["user_id", "good"], "left_anti")
+        if first < total:
+            open_ = keep(open_)
+            if open_.isEmpty():
+                break
+    return reduce(DataFrame.union, out) if out else good.select("user_id", "good", F.col("good").alias("bad")).limit(0)
 
 
 def pair_losses(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import held, scratch
+
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key with the largest `order` values; an aggregate, so copies combine before the shuffle."""
@@ -128,3 +130,23 @@ def popular_unseen(train: DataFrame, n: int, module: str = "popularity") -> Data
     free = F.slice(F.array_except(F.sequence(F.lit(1), F.lit(n) + F.size("seen")), "seen"), 1, n)
     rows = seen.select("user_id", F.posexplode(free).alias("place", "popularity_rank"))
     return rows.join(ranks, "popularity_rank").select("user_id", "item_id", (F.col("place") + 1).alias("recommendation_rank"), F.lit(module).alias("module_source"))
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows in the order of a unique key with their place from 0, without sorting them in one task.
+
+    Ranges of the key are numbered on their own; the sizes of the ranges, one row each, are summed on the driver.
+    The ranges are a table, so that their borders do not move between the two steps.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch() as keep:
+        dealt = keep(rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+        sizes = sorted((r["low"], r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.min(key).alias("low"), F.count("*").alias("n")).collect())
+        before, offsets = 0, []
+        for _, part, n in sizes:
+            offsets.append((part, before))
+            before += n
+        order = Window.partitionBy("_part").orderBy(key)
+        table = dealt.join(F.broadcast(spark.createDataFrame(offsets, "_part int, _before long")), "_part")
+        return held(table.withColumn(name, F.col("_before") + F.row_number().over(order) - 1).select(*rows.columns, name))
