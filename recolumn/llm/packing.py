@@ -10,7 +10,7 @@ anew into full sequences and, for the last ids, sequences of powers of two, whic
 Sequences carry their task's number, so a task that runs again gives the same ones; how documents
 are dealt over tasks decides which share a sequence.
 
-Units (white space and the characters behind it) are encoded once and kept, at most KEPT a task:
+Units, about a word each, are encoded once and kept, at most KEPT a worker:
 no token of the vocabulary's split rule spans the end of a unit. Strings of special tokens are ordinary text.
 
 Defined cases: null and empty texts are the single id END; repeated rows and null ids are documents
@@ -20,7 +20,8 @@ of their own; any id type; empty tables give no sequences; texts of any length a
 from __future__ import annotations
 
 import os
-import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,48 @@ from .cluster import bounded_batches, row_keys
 
 CAPACITY, SLACK, END = 2048, 20, 1
 VOCABULARY = "byte_bpe_50k.json"
-KEPT, UNIT_CHARS, TEXT_CHARS, HELD = 1 << 18, 64, 1 << 20, 128  # kept units; longest kept unit; characters and sequences at once
+KEPT, UNIT_BYTES, SLICE, HELD = 1 << 20, 64, 2 << 20, 128  # kept units; longest kept unit; bytes and sequences at once
 
-# all white space that the vocabulary's split rule knows
-_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 PIECES = "array<struct<id:{kind},start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"
 
+_WHITE = ~tx.SPACED
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK &= ~_LETTER
+
+
+def _white(body: np.ndarray) -> np.ndarray:
+    """Bytes of white space, U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F and U+3000 among it."""
+    out = _WHITE[body]
+    for lead, rest in ((0xC2, [[0x85, 0xA0]]), (0xE1, [[0x9A], [0x80]]), (0xE2, [[0x80], [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]]), (0xE2, [[0x81], [0x9F]]), (0xE3, [[0x80], [0x80]])):
+        at = np.flatnonzero(body == lead)
+        for k, some in enumerate(rest, 1):
+            at = at[at + k < len(body)]
+            at = at[np.isin(body[at + k], some)]
+        for k in range(len(rest) + 1):
+            out[at + k] = True
+    return out
+
+
+def unit_starts(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where units begin: at white space behind another character, at an ASCII mark or digit behind a letter (A-Z, a-z, U+00C0-00FF), at each row's begin.
+
+    No token of the vocabulary's split rule spans such a place.
+    """
+    white = _white(body)
+    letter = _LETTER[body]
+    latin = np.flatnonzero(body[:-1] == 0xC3) + 1
+    letter[latin[(body[latin] != 0x97) & (body[latin] != 0xB7)]] = True
+    first = np.zeros(len(body), bool)
+    first[1:] = (white[1:] & ~white[:-1]) | (_MARK[body[1:]] & letter[:-1])
+    first[at[:-1][at[:-1] < at[1:]]] = True
+    return np.flatnonzero(first)
+
 
 class Encoder:
-    """Ids of texts by a public tokenizer; each distinct unit is encoded once."""
+    """Ids of texts by a public tokenizer; each distinct unit, known by a 64-bit hash, is encoded once."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,47 +89,66 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.number: dict[str, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.used = self.slots = 0
 
     def _learn(self, units: list[str]) -> None:
+        """Appends the ids of some units."""
         own = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         size = np.fromiter(map(len, own), np.int64, len(own))
-        at, until = len(self.number), self.used + int(size.sum())
+        until = self.used + int(size.sum())
         while until > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while at + len(own) > len(self.first):
+        while self.slots + len(own) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        self.ids[self.used : until] = np.fromiter((i for x in own for i in x), np.uint32, until - self.used)
-        self.size[at : at + len(own)] = size
-        self.first[at : at + len(own)] = self.used + np.cumsum(size) - size
-        self.number.update(zip(units, range(at, at + len(own)), strict=True))
-        self.used = until
+        self.ids[self.used : until] = np.fromiter(chain.from_iterable(own), np.uint32, until - self.used)
+        self.size[self.slots : self.slots + len(own)] = size
+        self.first[self.slots : self.slots + len(own)] = self.used + np.cumsum(size) - size
+        self.used, self.slots = until, self.slots + len(own)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts joined, and where each text's ids begin and end."""
-        if len(self.number) > KEPT:
+        if len(self.known) > KEPT:
             self.clear()
-        units = [_UNIT.findall(t) for t in texts]
-        flat = [u for own in units for u in own]
-        number = self.number
-        new = {u for u in flat if u not in number}
-        kept = len(number), self.used
-        if new:
-            self._learn(sorted(new))
-        place = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        size = self.size[place]
-        ids = self.ids[np.repeat(self.first[place], size) + tx.ranges(size)]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(x) for x in units], dtype=np.int64)])]
-        if any(len(u) > UNIT_CHARS for u in new):
-            # long units are not kept
-            for u in list(number)[kept[0] :]:
-                del number[u]
-            self.used = kept[1]
-        return ids, ends
-
-
+        if not len(body):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        starts = unit_starts(body, at)
+        ends = np.append(starts[1:], len(body))
+        distinct, one, inverse = np.unique(tx.hashes(body, starts, ends, None), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, distinct)
+        old = place < len(self.known)
+        old[old] = self.known[place[old]] == distinct[old]
+        slot = np.empty(len(distinct), np.int64)
+        slot[old] = self.slot[place[old]]
+        new = np.flatnonzero(~old)
+        # long units come last and are not kept
+        short = ends[one[new]] - starts[one[new]] <= UNIT_BYTES
+        new, kept = np.concatenate([new[short], new[~short]]), int(short.sum())
+        slot[new] = self.slots + np.arange(len(new))
+        for part in (new[:kept], new[kept:]):
+            before = self.slots, self.used
+            if len(part):
+                self._learn([body[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(starts[one[part]].tolist(), ends[one[part]].tolist(), strict=True)])
+        own = slot[inverse]
+        size = self.size[own]
+        ids = self.ids[np.repeat(self.first[own], size) + tx.ranges(size)]
+        self.slots, self.used = before
+        self.known, self.slot = np.insert(self.known, place[new[:kept]], distinct[new[:kept]]), np.insert(self.slot, place[new[:kept]], slot[new[:kept]])
+        return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, at)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """A worker's encoder, with the units that its earlier tasks have learned."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
+
+
+@lru_cache
 def cuts(capacity: int = CAPACITY, slack: int = SLACK) -> list[list[int]]:
     """For each rest below the capacity the lengths of its pieces: as few as possible, then the smallest one as large as possible.
 
@@ -166,13 +218,12 @@ def _pack(vocabulary: str, capacity: int, slack: int, end: int, kind: pa.DataTyp
         return pa.RecordBatch.from_arrays([pa.array(row_keys(first, len(found))), pa.array(used), pa.array(padded), ids, pieces], names=["sequence_id", "length", "padded", "ids", "pieces"])
 
     def run(batches):
-        encoder, packer, number = Encoder(vocabulary), Packer(capacity, slack), 0
-        last = np.array([end], np.uint32)
+        packer, number, last = Packer(capacity, slack), 0, np.array([end], np.uint32)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = np.concatenate([[0], np.cumsum(texts.fill_null("").cast(pa.large_string()).to_pandas().str.len().to_numpy(np.int64))]) if len(docs) else np.zeros(1, np.int64)
-            for i, j in tx.slices(at, TEXT_CHARS):
-                ids, ends = encoder.encode([t or "" for t in texts[i:j].to_pylist()])
+            docs = batch.column(0).to_pylist()
+            body, at = tx.buffers(batch.column(1))
+            for i, j in tx.slices(at, SLICE):
+                ids, ends = encoder(vocabulary).encode(*tx.cut(body, at, i, j))
                 for k, doc in enumerate(docs[i:j]):
                     packer.add(doc, np.concatenate([ids[ends[k] : ends[k + 1]], last]))
                 while len(packer.closed) >= HELD:

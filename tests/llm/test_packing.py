@@ -4,6 +4,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from test_operators import EDGE, documents, sentences
 from tokenizers import Tokenizer
 
 from recolumn.llm import packing
+from recolumn.llm import textops as tx
 
 
 @pytest.fixture(scope="module")
@@ -28,10 +30,11 @@ def test_units_encode_like_whole_texts(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "KEPT", 50)
     rng = random.Random(4)
     parts = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f", "\x0b", "\x85", "\xa0", " ", " ", "​", " ", "　", "﻿", "᠎", "a", "Zz", "é", "1", "22", "!", "...", "'s", "'", "日本", "𝔘", "<|endoftext|>", "ß", "x" * 300]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)] + [""]
+    parts += ["À", "×", "÷", "ÿ", "Ā", "ʼ", "́", "-", "'re", "_", "\u2000", "\u2028", "\u202f", "\u1680", "\u205f", "\u00ad"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)] + [""]
     encoder = packing.Encoder()
     for i in range(0, len(texts), 100):
-        ids, ends = encoder.encode(texts[i : i + 100])
+        ids, ends = encoder.encode(*tx.buffers(pa.array(texts[i : i + 100])))
         for k, t in enumerate(texts[i : i + 100]):
             assert ids[ends[k] : ends[k + 1]].tolist() == whole(tokenizer, t)[:-1], repr(t)
 
