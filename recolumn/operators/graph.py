@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.work import held
+from ..sources.work import held, scratch
 from .relational import numbered
 
 
+#: More neighbours than these make a node's edges several parts, each of which gets the node's vector.
+HOT = 1_000_000
+
+
 def bipartite_edges(ratings: DataFrame) -> DataFrame:
     """Both directions of every rating as (src, dst, w); nodes are 'u<id>' and 'i<id>'."""
     user, item = F.concat(F.lit("u"), "user_id"), F.concat(F.lit("i"), "item_id")
@@ -26,29 +30,37 @@ def degree_norm(edges: DataFrame) -> DataFrame:
     return rows.select("src", "dst", (1 / F.sqrt(F.col("d") * F.col("e"))).alias("norm"))
 
 
-def propagate(edges: DataFrame, nodes: DataFrame, width: int, layers: int = 3) -> DataFrame:
-    """Mean over layers 0..n of neighbourhood sums weighted by `norm`: (id, vector).
+def dealt_edges(edges: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(src, part, dst, norm) and (id, parts): edges of a node with more than `hot` of them are dealt in several parts."""
+    parts = edges.groupBy(F.col("src").alias("id")).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"))
+    rows = edges.join(parts.withColumnRenamed("id", "src"), "src")
+    return rows.select("src", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), "dst", "norm"), parts
 
-    Vectors travel as `width` doubles and are summed by position, so partial sums
-    combine before each shuffle. The weighted edges are derived once, dealt by their source as every
-    layer joins them; layers are cut by a checkpoint. Without a checkpoint folder the edges are cached instead.
-    """
-    edges = edges.select("src", "dst", "norm").repartition("src")
-    edges = edges.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else edges.persist()
-    names = [f"x{i}" for i in range(width)]
-    layer = nodes.select("id", *[F.get(V.doubles(F.col("vector")), F.lit(i)).alias(n) for i, n in enumerate(names)])
-    parts = [layer]
+
+def spread(edges: DataFrame, parts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """Each node's sum of its neighbours' vectors, weighted by norm."""
+    sent = rows.join(parts, "id").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vector")
+    got = edges.join(sent, ["src", "part"]).groupBy(F.col("dst").alias("id"))
+    return got.agg(V.sum_by_position(F.col("vector"), width, F.col("norm")).alias("vector"))
+
+
+def layer_mean(edges: DataFrame, parts: DataFrame, rows: DataFrame, width: int, layers: int, keep: scratch) -> DataFrame:
+    """Mean of a vector table and its 1 to `layers` times spread ones. The map is linear and symmetric: applied to gradients it is its own backward pass."""
+    steps = [rows.select("id", "vector")]
     for _ in range(layers):
-        sent = edges.join(layer.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(*[F.sum(F.col(n) * F.col("norm")).alias(n) for n in names])
-        layer = nodes.select("id").join(sent.withColumnRenamed("dst", "id"), "id", "left").na.fill(0.0, names)
-        if nodes.sparkSession.sparkContext.getCheckpointDir():
-            layer = layer.checkpoint()
-        parts.append(layer)
-    both = parts[0]
-    for more in parts[1:]:
-        both = both.unionByName(more)
-    mean = both.groupBy("id").agg(*[(F.sum(n) / (layers + 1)).alias(n) for n in names])
-    return mean.select("id", F.array(*names).alias("vector"))
+        steps.append(keep.cached(spread(edges, parts, steps[-1], width)))
+    both = steps[0]
+    for more in steps[1:]:
+        both = both.union(more)
+    return both.groupBy("id").agg(F.transform(V.sum_by_position(F.col("vector"), width), lambda x: x / (layers + 1)).alias("vector"))
+
+
+def propagate(edges: DataFrame, nodes: DataFrame, width: int, layers: int = 3) -> DataFrame:
+    """Mean over layers 0..n of neighbourhood sums weighted by `norm`: (id, vector), as a table of the session."""
+    with scratch() as keep:
+        rows, parts = dealt_edges(keep(edges.select("src", "dst", "norm")))
+        own = nodes.select("id", V.doubles(F.col("vector")).alias("vector"))
+        return held(layer_mean(keep(rows), keep(parts), own, width, layers, keep))
 
 
 def ngcf_layer(edges: DataFrame, nodes: DataFrame, w1: float = 1.0, w2: float = 1.0) -> DataFrame:
@@ -151,6 +163,6 @@ def pair_losses(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
 
 def sampled_edges(edges: DataFrame, nodes: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """At most `most` incoming edges of each listed node (id), drawn by a seeded hash: one layer's block of a minibatch."""
-    order = Window.partitionBy("dst").orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "src")
+    order = Window.partitionBy("dst").orderBy(V.portable_hash(seed, F.col("src"), F.col("dst")), "src")
     near = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("src", "dst", "w")

@@ -5,13 +5,10 @@ vectors travel forwards. Node vectors and their two Adam moments are one table,
 each epoch; an epoch's other tables are deleted when it ends. What is dense (weights of a layer, a row's
 gradient, Adam) is numpy over Arrow batches; sums over neighbours and over pairs are grouped sums, combined before
 the shuffle. The driver holds the loss, the learning rate and NGCF's weight matrices.
-
-Edges of nodes with more than HOT neighbours are dealt in parts, and the node's vector is sent to each of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from contextlib import ExitStack
 from dataclasses import dataclass, field
 
@@ -23,9 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..sources.work import freed, held, scratch
 from .factor import lists_from_vectors
-from .graph import bipartite_edges, degree_norm, item_ranks, sampled_pairs
+from .graph import bipartite_edges, dealt_edges, degree_norm, item_ranks, layer_mean, sampled_pairs, spread
 
-HOT = 1_000_000
 BETAS, TINY = (0.9, 0.999), 1e-8
 NODE = "id string, vector array<double>"
 
@@ -80,34 +76,6 @@ class Schedule:
         return self.since >= self.settings.patience
 
 
-# -- vectors over edges
-
-
-def dealt_edges(edges: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(src, part, dst, norm) and (id, parts): edges of a node with more than `hot` of them are dealt in several parts."""
-    parts = edges.groupBy(F.col("src").alias("id")).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"))
-    rows = edges.join(parts.withColumnRenamed("id", "src"), "src")
-    return rows.select("src", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), "dst", "norm"), parts
-
-
-def spread(edges: DataFrame, parts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Each node's sum of its neighbours' vectors, weighted by norm."""
-    sent = rows.join(parts, "id").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vector")
-    got = edges.join(sent, ["src", "part"]).groupBy(F.col("dst").alias("id"))
-    return got.agg(V.sum_by_position(F.col("vector"), width, F.col("norm")).alias("vector"))
-
-
-def layer_mean(edges: DataFrame, parts: DataFrame, rows: DataFrame, width: int, layers: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Mean of a vector table and its 1 to `layers` times spread ones. The map is linear and symmetric: applied to gradients it is its own backward pass."""
-    steps = [rows.select("id", "vector")]
-    for _ in range(layers):
-        steps.append(keep(spread(edges, parts, steps[-1], width)))
-    both = steps[0]
-    for more in steps[1:]:
-        both = both.union(more)
-    return both.groupBy("id").agg(F.transform(V.sum_by_position(F.col("vector"), width), lambda x: x / (layers + 1)).alias("vector"))
-
-
 # -- dense steps over Arrow batches
 
 
@@ -211,7 +179,7 @@ class _Graph:
         self.settings = settings
 
     def pairs(self, epoch: int, keep) -> DataFrame:
-        rows = sampled_pairs(self.good, self.banned, self.ranks, self.total, epoch, self.settings.seed, keep=keep)
+        rows = sampled_pairs(self.good, self.banned, self.ranks, self.total, epoch, self.settings.seed, keep=keep.cached)
         return keep(rows.select(F.concat(F.lit("u"), "user_id").alias("u"), F.concat(F.lit("i"), "good").alias("g"), F.concat(F.lit("i"), "bad").alias("b")))
 
     def dropped(self, epoch: int) -> DataFrame:

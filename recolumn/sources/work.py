@@ -7,7 +7,6 @@ is not read. Two writers cannot take the same number: the later rename fails and
 
 from __future__ import annotations
 
-import contextlib
 import json
 import tempfile
 import uuid
@@ -59,19 +58,28 @@ def freed(*tables: DataFrame | None) -> None:
             delete(table.sparkSession, table._held_path)
 
 
-@contextlib.contextmanager
-def scratch():
-    """Like `held`, for tables that go when the block ends."""
-    kept: list[DataFrame] = []
+class scratch:
+    """Tables and caches that go when the block ends: `keep(df)` is `held`, `keep.cached(df)` is computed when first read and kept by the executors."""
 
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(held(df))
-        return kept[-1]
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+        self.caches: list[DataFrame] = []
 
-    try:
-        yield keep
-    finally:
-        freed(*kept)
+    def __enter__(self) -> scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        freed(*self.tables)
+        for df in self.caches:
+            df.unpersist()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(held(df))
+        return self.tables[-1]
+
+    def cached(self, df: DataFrame) -> DataFrame:
+        self.caches.append(df.persist())
+        return self.caches[-1]
 
 
 @dataclass(frozen=True)
