@@ -9,7 +9,7 @@ everywhere. The frequent ones are known to the tasks as bit tables of bounded si
 through; these fall out with their own sums. So nothing is counted approximately.
 
 Every frequent phrase is read back by one of its shards, which gives its text and
-the keys of its parts. Parts get their counts by joins; those that many phrases share are few, by a threshold
+the keys of its parts; no shard is shuffled for that. Parts get their counts by joins; those that many phrases share are few, by a threshold
 that grows with the corpus, and are broadcast. A phrase is subsumed if a longer one
 occurs as often; as counts only fall with length, it is enough to look at phrases one word longer:
 their suffix link (without the first word) and the mirrored one (without the last).
@@ -30,9 +30,10 @@ from . import textops as tx
 from .cluster import bit_table, bounded_batches, durable, release, row_keys
 
 LEAST, DEPTH, TOP = 100, 5, 2000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 TABLE_BITS = 27  # of a bit table, as a power of two
 HOT_ROWS = 100_000  # most rows of the broadcast table of common parts
+PARTS = 64
 UNKNOWN = "und"
 
 #: Bytes that end a piece, `[.,;:!?\x0A-\x0D]`, and bytes of words.
@@ -213,28 +214,32 @@ def _shards(shard_words: int, depth: int):
 # -- counts
 
 
+def _pruned(batch: pa.RecordBatch, r: int, words, pairs):
+    """Codes, symbol hashes by code and context of row r; strings are cut at words and between pairs that the tables lack."""
+    codes = np.frombuffer(batch.column("codes")[r].as_buffer(), "<i4").astype(np.int64)
+    hashes = np.concatenate([np.zeros(1, np.uint64), batch.column("symbols")[r].values.to_numpy().view(np.uint64)])
+    skip = batch.column("skip")[r].as_py()
+    if words is not None:
+        codes = np.concatenate([[False], _held(keys(hashes, np.arange(1, len(hashes)), 1), words.value)])[codes] * codes
+    if pairs is not None:
+        codes, skip = _cut_pairs(codes, hashes, skip, pairs.value)
+    return codes, hashes, skip
+
+
 def _count(least: int, most: int, words, pairs):
-    """Substrings of a shard with their counts; strings are cut at words and between pairs that the tables lack."""
+    """Substrings of a shard with their counts."""
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                codes = np.frombuffer(batch.column(2)[r].as_buffer(), "<i4").astype(np.int64)
-                symbols = batch.column(1)[r].values.to_numpy().view(np.uint64)
-                skip = batch.column(3)[r].as_py()
-                hashes = np.concatenate([np.zeros(1, np.uint64), symbols])
-                if words is not None:
-                    single = np.arange(1, len(hashes))
-                    codes = np.concatenate([[False], _held(keys(hashes, single, 1), words.value)])[codes] * codes
-                if pairs is not None:
-                    codes, skip = _cut_pairs(codes, hashes, skip, pairs.value)
+                codes, hashes, skip = _pruned(batch, r, words, pairs)
                 size, end, count = SuffixAutomaton(codes, most, skip).substrings(least, most)
                 at = hashes[codes]
                 for d in range(least, most + 1):
                     on = np.flatnonzero(size == d)
                     for i in range(0, len(on), 1 << 16):
                         part = on[i : i + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys(at, end[part], d)), pa.array(np.full(len(part), d, np.int8)), pa.array(count[part]), pa.array(np.full(len(part), batch.column(0)[r].as_py()))], names=["key", "d", "a", "at"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys(at, end[part], d)), pa.array(np.full(len(part), d, np.int8)), pa.array(count[part]), pa.array(np.full(len(part), batch.column("shard")[r].as_py()))], names=["key", "d", "a", "at"])
 
     return run
 
@@ -260,29 +265,41 @@ def _counted(shards: DataFrame, least: int, most: int, at_least: int, words=None
 # -- phrases
 
 
-def _read_back(batches):
-    """Text, language and the keys of the first and last k words of each phrase that this shard was given."""
+def _marks(key: np.ndarray, shard: int) -> np.ndarray:
+    """One number for a phrase and the shard that reads it back."""
+    return tx.signed(tx.mix((key.view(np.uint64) ^ np.uint64(shard)) * tx._ODD))
+
+
+def _read_back(depth: int, words, pairs, given):
+    """Text, language and the keys of the first and last k words of the phrases that a shard was given (and a few others)."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                shard = batch.column("shard")[r].as_py()
+                names, langs = batch.column("words")[r].values, batch.column("langs")[r].values
+                for least, most, some in ((2, 2, (words, None)), (3, depth, (None, pairs))):
+                    codes, hashes, skip = _pruned(batch, r, *some)
+                    size, end, _ = SuffixAutomaton(codes, most, skip).substrings(least, most)
+                    at = hashes[codes]
+                    for d in range(least, most + 1):
+                        ends = end[size == d]
+                        key = keys(at, ends, d)
+                        on = _held(_marks(key, shard), given.value)
+                        key, ends = key[on], ends[on]
+                        left = np.stack([keys(at, ends - (d - k), k) for k in range(1, d)], axis=1)
+                        right = np.stack([keys(at, ends, d - k) for k in range(1, d)], axis=1)
+                        text = [b" ".join(x.as_py() for x in names.take(pa.array(codes[e - d + 1 : e + 1] - 1))).decode("utf-8", "replace") for e in ends.tolist()]
+                        parts = [pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1) * (d - 1), pa.int32()), pa.array(x.ravel())) for x in (left, right)]
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(codes[ends] - 1)), pa.array(text, pa.string()), pa.array(key), pa.array(np.full(len(ends), shard)), *parts], names=["lang", "phrase", "key", "at", "left", "right"])
+
+    return run
+
+
+def _given(batches):
     for batch in batches:
-        for r in range(batch.num_rows):
-            codes = np.frombuffer(batch.column(1)[r].as_buffer(), "<i4").astype(np.int64)
-            hashes = np.concatenate([np.zeros(1, np.uint64), batch.column(2)[r].values.to_numpy().view(np.uint64)])[codes]
-            words, langs = batch.column(3)[r].values, batch.column(4)[r].values
-            given = batch.column(5)[r].values
-            key, d, a = (given.field(k).to_numpy() for k in range(3))
-            reach = np.arange(len(codes)) - np.maximum.accumulate(np.where(codes > 0, -1, np.arange(len(codes))))
-            for size in np.unique(d).tolist():
-                on = np.flatnonzero(d == size)
-                on = on[np.argsort(key[on])]
-                ends = np.flatnonzero(reach >= size)
-                found = keys(hashes, ends, size)
-                place = np.minimum(np.searchsorted(key[on], found), len(on) - 1)
-                hit, first = np.unique(np.where(key[on][place] == found, place, -1), return_index=True)
-                own, end = on[hit[hit >= 0]], ends[first[hit >= 0]]
-                left = np.stack([keys(hashes, end - (size - k), k) for k in range(1, size)], axis=1)
-                right = np.stack([keys(hashes, end, size - k) for k in range(1, size)], axis=1)
-                text = [b" ".join(x.as_py() for x in words.take(pa.array(codes[e - size + 1 : e + 1] - 1))).decode("utf-8", "replace") for e in end.tolist()]
-                parts = [pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * (size - 1), pa.int32()), pa.array(x.ravel())) for x in (left, right)]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(codes[end] - 1)), pa.array(text, pa.string()), pa.array(key[own]), pa.array(a[own]), *parts], names=["lang", "phrase", "key", "a", "left", "right"])
+        key, shard = (batch.column(k).to_numpy() for k in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(tx.signed(tx.mix((key.view(np.uint64) ^ shard.view(np.uint64)) * tx._ODD)))], names=["mark"])
 
 
 def _looked_up(rows: DataFrame, column: str, name: str, counts: DataFrame, hot: DataFrame) -> DataFrame:
@@ -300,12 +317,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     shards = durable(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_shards(shard_words, depth), SHARD))
     totals = durable(shards.select(F.explode(F.arrays_zip("n_langs", "n")).alias("p")).groupBy(F.col("p.n_langs").alias("lang")).agg(F.sum("p.n").alias("n")))
     singles = _counted(shards, 1, 1, least)
-    pairs = _counted(shards, 2, 2, least, words=send(bit_table(singles, "key", TABLE_BITS)))
-    longer = _counted(shards, 3, depth, least, pairs=send(bit_table(pairs, "key", TABLE_BITS)))
-    found = pairs.union(longer)
-    given = found.groupBy(F.col("at").alias("shard")).agg(F.collect_list(F.struct("key", F.col("d").cast("int").alias("d"), "a")).alias("given"))
-    kept = shards.select("shard", "codes", "symbols", "words", "langs").join(given, "shard")
-    phrases = durable(kept.mapInArrow(_read_back, "lang string, phrase string, key long, a long, left array<long>, right array<long>"))
+    words = send(bit_table(singles, "key", TABLE_BITS))
+    doubles = _counted(shards, 2, 2, least, words=words)
+    pairs = send(bit_table(doubles, "key", TABLE_BITS))
+    found = doubles.union(_counted(shards, 3, depth, least, pairs=pairs))
+    # a phrase is read back by the first shard that has it; the shards know theirs by one more bit table
+    given = send(bit_table(found.select("key", "at").mapInArrow(_given, "mark long"), "mark", TABLE_BITS))
+    back = shards.mapInArrow(_read_back(depth, words, pairs, given), "lang string, phrase string, key long, at long, left array<long>, right array<long>")
+    phrases = durable(back.join(found.select("key", "at", "a"), ["key", "at"]))
     release(shards)
     # counts of all substrings sum to at most depth * n, so at most HOT_ROWS of them reach the bar
     counts = singles.union(found).select("key", "a")
@@ -326,8 +345,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 
 def best(rows: DataFrame, top: int = TOP) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
+    """The first `top` phrases of each language; a language's rows are cut in PARTS parts before they meet."""
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    rows = rows.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("rank") <= top)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    return rows.drop("_part").withColumn("rank", F.col("rank").cast("long"))
 
 
 def report(docs: DataFrame) -> DataFrame:
