@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.work import held, scratch
-from .train import lists, matrix
+from .dense import lists, matrix
 
 SLOPE, EPSILON = 0.2, 1e-5
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.work import freed, held, scratch
+from .dense import lists, matrix
 from .factor import lists_from_vectors
 from .graph import bipartite_edges, dealt_edges, degree_norm, item_ranks, layer_mean, sampled_pairs, spread
 
@@ -79,15 +80,6 @@ class Schedule:
 # -- dense steps over Arrow batches
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column of one length as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
-
-
 def pair_gradients(u: np.ndarray, g: np.ndarray, b: np.ndarray, kind: str, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Loss of each pair and its gradients by user, good and bad vector. kind: bpr, or cross_entropy of both scores."""
     good, bad = (u * g).sum(1), (u * b).sum(1)

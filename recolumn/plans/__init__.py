@@ -1 +1,3 @@
 
+
+from . import catalog, models  # noqa: F401

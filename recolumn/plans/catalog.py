@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import agreement, cluster, embed, factor, graph, metrics, recommend, rerank, simulate
+from ..operators import agreement, cluster, embed, graph, metrics, recommend, rerank, simulate
 from ..operators import relational as R
 from ..sources import tables
 from . import views
@@ -413,20 +413,26 @@ def embedding_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- graph
 
+#: 64 seeded values of N(0, 1) for each id of the relation `own`.
+NORMALS = """
+  SELECT id, list(sqrt(-2 * ln(u1)) * CASE WHEN p % 2 = 0 THEN cos(2 * pi() * u2) ELSE sin(2 * pi() * u2) END ORDER BY p) AS vector FROM (
+    SELECT id, p, (('0x' || substr(h, 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u1, (('0x' || substr(h, 14, 13))::BIGINT + 0.5) / 4503599627370496 AS u2
+    FROM (SELECT id, p, md5('42:' || id || ':' || (p // 2)) AS h FROM own, (SELECT unnest(range(64)) AS p))) GROUP BY id"""
 _EDGES = """
 edges AS (SELECT 'u' || user_id AS src, 'i' || item_id AS dst, CAST(rating AS DOUBLE) AS w FROM train UNION ALL SELECT 'i' || item_id, 'u' || user_id, CAST(rating AS DOUBLE) FROM train),
 degrees AS (SELECT src, count(*) AS d FROM edges GROUP BY src),
 norms AS (SELECT e.src, e.dst, 1 / sqrt(a.d * b.d) AS norm FROM edges e JOIN degrees a ON a.src = e.src JOIN degrees b ON b.src = e.dst),
-nodes AS (SELECT 'i' || item_id AS id, vector[1:4] AS vector FROM items WHERE item_id IN (SELECT item_id FROM train)
-  UNION ALL SELECT DISTINCT 'u' || user_id, [(user_id % 7) / 7.0, (user_id % 5) / 5.0, (user_id % 3) / 3.0, 1.0]::DOUBLE[] FROM train)"""
+own AS (SELECT DISTINCT 'u' || user_id AS id FROM train),
+nodes AS (SELECT 'i' || item_id AS id, vector FROM items WHERE item_id IN (SELECT item_id FROM train)
+  UNION ALL """ + NORMALS + """)"""
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four features for each node: the item's first components, or remainders of the user's id."""
+    """64 features for each node: the item's vector, or seeded normal values for users."""
     train = views.train(spark, sf_dir)
-    items = views.items(spark, sf_dir).join(train, "item_id", "left_semi").select(F.concat(F.lit("i"), "item_id").alias("id"), F.slice(V.doubles(F.col("vector")), 1, 4).alias("vector"))
-    rest = F.array(*[F.col("user_id") % n / float(n) for n in (7, 5, 3)], F.lit(1.0))
-    return items.unionByName(train.select("user_id").distinct().select(F.concat(F.lit("u"), "user_id").alias("id"), rest.alias("vector")))
+    items = views.items(spark, sf_dir).join(train, "item_id", "left_semi").select(F.concat(F.lit("i"), "item_id").alias("id"), V.doubles(F.col("vector")).alias("vector"))
+    users = train.select(F.concat(F.lit("u"), "user_id").alias("id")).distinct()
+    return items.unionByName(users.select("id", V.normals(F.col("id"), views.WIDTH).alias("vector")))
 
 
 @query(_with(_EDGES) + "SELECT src, dst, w FROM edges")
@@ -439,7 +445,7 @@ def degree_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree_norm(graph.bipartite_edges(views.train(spark, sf_dir))).select("src", "dst", *_r("norm"))
 
 
-_LAYERS = ["l0 AS (SELECT id, p, vector[p] AS x FROM nodes, (SELECT unnest(range(1, 5)) AS p))"] + [
+_LAYERS = ["l0 AS (SELECT id, p, vector[p] AS x FROM nodes, (SELECT unnest(range(1, 65)) AS p))"] + [
     f"l{k} AS (SELECT l0.id, l0.p, coalesce(s.x, 0) AS x FROM l0 LEFT JOIN (SELECT dst AS id, p, sum(x * norm) AS x FROM norms JOIN l{k - 1} ON id = src GROUP BY dst, p) s ON s.id = l0.id AND s.p = l0.p)" for k in (1, 2, 3)
 ]
 
@@ -447,14 +453,14 @@ _LAYERS = ["l0 AS (SELECT id, p, vector[p] AS x FROM nodes, (SELECT unnest(range
 @query(_with(_EDGES, *_LAYERS) + "SELECT id, p, round((l0.x + l1.x + l2.x + l3.x) / 4, 6) AS x FROM l0 JOIN l1 USING (id, p) JOIN l2 USING (id, p) JOIN l3 USING (id, p)")
 def lightgcn_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.degree_norm(graph.bipartite_edges(views.train(spark, sf_dir)))
-    rows = graph.propagate(edges, _nodes(spark, sf_dir), 4).select("id", F.posexplode("vector").alias("p", "x"))
+    rows = graph.propagate(edges, _nodes(spark, sf_dir), views.WIDTH).select("id", F.posexplode("vector").alias("p", "x"))
     return rows.select("id", (F.col("p") + 1).cast("long").alias("p"), *_r("x"))
 
 
 @query(_with(_EDGES, """
-sums AS (SELECT dst AS id, p, sum(norm * b.vector[p]) + sum(norm * a.vector[p] * b.vector[p]) AS m FROM norms JOIN nodes b ON b.id = src JOIN nodes a ON a.id = dst, (SELECT unnest(range(1, 5)) AS p) GROUP BY dst, p),
-own AS (SELECT id, p, vector[p] + coalesce(m, 0) AS v FROM (SELECT id, vector, p FROM nodes, (SELECT unnest(range(1, 5)) AS p)) LEFT JOIN sums USING (id, p))""")
-    + "SELECT id, p, round(CASE WHEN v > 0 THEN v ELSE 0.01 * v END, 6) AS value FROM own")
+sums AS (SELECT dst AS id, p, sum(norm * b.vector[p]) + sum(norm * a.vector[p] * b.vector[p]) AS m FROM norms JOIN nodes b ON b.id = src JOIN nodes a ON a.id = dst, (SELECT unnest(range(1, 65)) AS p) GROUP BY dst, p),
+single AS (SELECT id, p, vector[p] + coalesce(m, 0) AS v FROM (SELECT id, vector, p FROM nodes, (SELECT unnest(range(1, 65)) AS p)) LEFT JOIN sums USING (id, p))""")
+    + "SELECT id, p, round(CASE WHEN v > 0 THEN v ELSE 0.01 * v END, 6) AS value FROM single")
 def ngcf_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.degree_norm(graph.bipartite_edges(views.train(spark, sf_dir)))
     return graph.ngcf_layer(edges, _nodes(spark, sf_dir)).select("id", (F.col("pos") + 1).cast("long").alias("p"), *_r("value"))
@@ -462,60 +468,57 @@ def ngcf_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(_EDGES, """
 loops AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, dst, avg(w) FROM edges GROUP BY dst),
-scores AS (SELECT src, dst, list_sum(list_transform(range(1, 5), lambda p: CASE WHEN a.vector[p] + b.vector[p] + w > 0 THEN a.vector[p] + b.vector[p] + w ELSE 0.2 * (a.vector[p] + b.vector[p] + w) END)) AS e
+scores AS (SELECT src, dst, list_sum(list_transform(range(1, 65), lambda p: CASE WHEN a.vector[p] + b.vector[p] + w > 0 THEN a.vector[p] + b.vector[p] + w ELSE 0.2 * (a.vector[p] + b.vector[p] + w) END)) AS e
   FROM loops JOIN nodes b ON b.id = src JOIN nodes a ON a.id = dst),
 z AS (SELECT src, dst, exp(e - max(e) OVER (PARTITION BY dst)) AS z FROM scores)""") + "SELECT src, dst, round(z / sum(z) OVER (PARTITION BY dst), 6) AS alpha FROM z")
 def gat_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.gat_attention(graph.bipartite_edges(views.train(spark, sf_dir)), _nodes(spark, sf_dir)).select("src", "dst", *_r("alpha"))
 
 
-@query(_with("""
-ranks AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS r FROM (SELECT DISTINCT item_id FROM train)),
-free AS (SELECT u.user_id, item_id, (u.user_id * 7919 + r * 104729 + 42) % 1000003 AS h, r FROM (SELECT DISTINCT user_id FROM train) u, ranks k
-  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = k.item_id))""")
-    + "SELECT user_id, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, r) AS place FROM free) WHERE place <= 5")
+#: Ranks of items, and the rank that a walk reaches at step t from the start s.
+WALK = f"""
+ranks AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS r FROM (SELECT DISTINCT item_id FROM train)),
+steps AS (SELECT unnest(range(0, (SELECT count(*) FROM ranks))) AS t, (SELECT count(*) FROM ranks) AS total)"""
+_REACHED = f"(s // 4 + t * ({list(graph.STEPS)}[s % 4 + 1] % total)) % total"
+
+
+@query(_with(WALK, """
+starts AS (SELECT user_id, ('0x' || substr(md5('42:' || user_id), 1, 15))::BIGINT AS s FROM (SELECT DISTINCT user_id FROM train)),
+walk AS (SELECT user_id, t, """ + _REACHED + """ AS r FROM starts, steps),
+free AS (SELECT user_id, item_id, t FROM walk JOIN ranks USING (r) WHERE NOT EXISTS (SELECT 1 FROM train x WHERE x.user_id = walk.user_id AND x.item_id = ranks.item_id))""")
+    + "SELECT user_id, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS place FROM free) WHERE place <= 5")
 def negative_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(graph.negatives(views.train(spark, sf_dir), 5), "place")
 
 
-_BPR = """
-good AS (SELECT user_id, item_id AS good FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS r FROM train WHERE rating >= 4) WHERE r <= 3),
-bad AS (SELECT user_id, item_id AS bad FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS r FROM train WHERE rating <= 2) WHERE r <= 3)"""
+#: One item for each positive rating, not rated well or badly by the user.
+DRAWN = """
+starts AS (SELECT user_id, item_id AS good, ('0x' || substr(md5('42:0:' || user_id || ':' || item_id), 1, 15))::BIGINT AS s FROM train WHERE rating >= 4),
+walk AS (SELECT user_id, good, t, """ + _REACHED + """ AS r FROM starts, steps),
+drawn AS (SELECT user_id, good, arg_min(item_id, t) AS bad FROM walk JOIN ranks USING (r)
+  WHERE NOT EXISTS (SELECT 1 FROM train x WHERE x.user_id = walk.user_id AND x.item_id = ranks.item_id AND (x.rating >= 4 OR x.rating <= 2)) GROUP BY user_id, good)"""
 
 
-@query(_with(_EDGES, _BPR) + """, x AS (SELECT g.user_id, good, bad, list_dot_product(u.vector, a.vector) - list_dot_product(u.vector, b.vector) AS x FROM good g JOIN bad USING (user_id)
-  JOIN nodes u ON u.id = 'u' || g.user_id JOIN nodes a ON a.id = 'i' || good JOIN nodes b ON b.id = 'i' || bad)
-SELECT user_id, good, bad, round(CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END, 6) AS loss FROM x""")
-def bpr_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = simulate.recent_by_polarity(views.train(spark, sf_dir), 3)
-    good = near.where("polarity = 'positive'").select("user_id", F.col("item_id").alias("good"))
-    bad = near.where("polarity = 'negative'").select("user_id", F.col("item_id").alias("bad"))
-    nodes = _nodes(spark, sf_dir).withColumn("key", F.expr("substring(id, 2)").cast("long"))
-    users, items = (nodes.where(F.col("id").startswith(k)).select(F.col("key").alias(name), "vector") for k, name in (("u", "user_id"), ("i", "item_id")))
-    return graph.pair_losses(good.join(bad, "user_id"), users, items).select("user_id", "good", "bad", *_r("loss"))
-
-
-@query()
-def als_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor.als_top_n(views.train(spark, sf_dir), rank=16, rounds=10)
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = views.train(spark, sf_dir)
+    ranks = graph.item_ranks(train)
+    good = train.where("rating >= 4").select("user_id", F.col("item_id").alias("good"))
+    return graph.sampled_pairs(good, train.where("rating >= 4 or rating <= 2").select("user_id", "item_id"), ranks, ranks.count())
 
 
-@query()
-def nmf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, items = views.train(spark, sf_dir), views.items(spark, sf_dir)
-    width = 8
-    users = recommend.user_vectors(train, items.select("item_id", "vector"), width)
-    own = items.join(train, "item_id", "left_semi").select("item_id", F.slice(V.doubles(F.col("vector")), 1, width).alias("vector"))
-    return factor.nmf_top_n(train, users, own, width, rounds=5)
+@query(_with(WALK, DRAWN) + "SELECT user_id, good, bad FROM drawn")
+def sampled_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One negative for every positive rating, as a training epoch draws them."""
+    return _drawn(spark, sf_dir)
 
 
-@query()
-def bpr_graph_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = views.train(spark, sf_dir)
-    near = simulate.recent_by_polarity(train, 5)
-    pairs = near.where("polarity = 'positive'").select("user_id", F.col("item_id").alias("good")).join(near.where("polarity = 'negative'").select("user_id", F.col("item_id").alias("bad")), "user_id")
-    users, items = factor.bpr_vectors(train, pairs, rounds=3)
-    return factor.lists_from_vectors(users, items, train, 50, "GCF")
+@query(_with(_EDGES, WALK, DRAWN) + """, x AS (SELECT d.user_id, good, bad, list_dot_product(u.vector, a.vector) - list_dot_product(u.vector, b.vector) AS x FROM drawn d
+  JOIN nodes u ON u.id = 'u' || d.user_id JOIN nodes a ON a.id = 'i' || good JOIN nodes b ON b.id = 'i' || bad)
+SELECT user_id, good, bad, round(CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END, 6) AS loss FROM x""")
+def bpr_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir).withColumn("key", F.expr("substring(id, 2)").cast("long"))
+    users, items = (nodes.where(F.col("id").startswith(k)).select(F.col("key").alias(name), "vector") for k, name in (("u", "user_id"), ("i", "item_id")))
+    return graph.pair_losses(_drawn(spark, sf_dir), users, items).select("user_id", "good", "bad", *_r("loss"))
 
 
 # -- scalar functions
@@ -704,9 +707,11 @@ def seen_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.where("rating >= 4").select("user_id", "item_id").union(train.where("rating <= 2").select("user_id", "item_id")).distinct()
 
 
-@query(_with(views.POPULAR) + "SELECT item_id FROM pop EXCEPT SELECT item_id FROM test")
+@query("WITH " + views.PURCHASES + " SELECT item_id FROM purchases WHERE l_linenumber % 4 <> 0 EXCEPT SELECT item_id FROM purchases WHERE l_linenumber % 4 = 0")
 def items_only_in_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.train(spark, sf_dir).select("item_id").subtract(views.test(spark, sf_dir).select("item_id"))
+    """Of the sparse purchases: every item of the ratings table is in both of its parts."""
+    rows = views.purchases(spark, sf_dir)
+    return rows.where("l_linenumber % 4 <> 0").select("item_id").subtract(rows.where("l_linenumber % 4 = 0").select("item_id"))
 
 
 @query(_with() + "SELECT DISTINCT t.item_id, c.title FROM train t LEFT JOIN catalog c USING (item_id)")
@@ -724,23 +729,27 @@ def dataset_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with() + """
-, t AS (SELECT item_id, [vector[1:4], vector[5:8], vector[9:12]] AS tokens, [1.0, item_id % 2, item_id % 3]::DOUBLE[] AS mask FROM items),
-s AS (SELECT item_id, p, (tokens[1][p] * mask[1] + tokens[2][p] * mask[2] + tokens[3][p] * mask[3]) / greatest(list_sum(mask), 1e-9) AS x FROM t, (SELECT unnest(range(1, 5)) AS p))
+, t AS (SELECT item_id, [vector[1:16], vector[17:32], vector[33:48], vector[49:64]] AS tokens, [1.0, item_id % 2, item_id % 3, (item_id + 1) % 2]::DOUBLE[] AS mask FROM items),
+s AS (SELECT item_id, p, list_sum(list_transform(range(1, 5), lambda k: tokens[k][p] * mask[k])) / greatest(list_sum(mask), 1e-9) AS x FROM t, (SELECT unnest(range(1, 17)) AS p))
 SELECT item_id, p, round(x, 6) AS x FROM s""".lstrip("\n"))
 def masked_mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = V.doubles(F.col("vector"))
-    tokens = F.array(*[F.slice(v, i, 4) for i in (1, 5, 9)])
-    mask = F.array(F.lit(1.0), (F.col("item_id") % 2).cast("double"), (F.col("item_id") % 3).cast("double"))
+    """The four quarters of an item's vector as token vectors."""
+    v, k = V.doubles(F.col("vector")), F.col("item_id")
+    tokens = F.array(*[F.slice(v, i, 16) for i in (1, 17, 33, 49)])
+    mask = F.array(F.lit(1.0), *[x.cast("double") for x in (k % 2, k % 3, (k + 1) % 2)])
     rows = views.items(spark, sf_dir).select("item_id", tokens.alias("tokens"), mask.alias("mask"))
-    rows = rows.select("item_id", F.posexplode(V.masked_mean(F.col("tokens"), F.col("mask"), 4)).alias("p", "x"))
+    rows = rows.select("item_id", F.posexplode(V.masked_mean(F.col("tokens"), F.col("mask"), 16)).alias("p", "x"))
     return rows.select("item_id", (F.col("p") + 1).cast("long").alias("p"), *_r("x"))
 
 
 @query(_with(_UV) + """
-, s AS (SELECT user_id, cosine FROM (SELECT a.user_id, list_dot_product(a.vector, a.vector) AS cosine FROM uv a))
-SELECT user_id, round(cosine, 6) AS dot FROM s""".lstrip("\n"))
+, s AS (SELECT t.user_id, t.item_id, list_dot_product(a.vector, i.vector) AS dot FROM test t JOIN uv a USING (user_id) JOIN items i USING (item_id))
+SELECT user_id, item_id, round(dot, 6) AS dot FROM s""".lstrip("\n"))
 def vector_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _user_vectors(spark, sf_dir).select("user_id", F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("dot"))
+    """Score of every test rating: the user's vector times the item's."""
+    rows = views.test(spark, sf_dir).select("user_id", "item_id").join(_user_vectors(spark, sf_dir).select("user_id", F.col("vector").alias("u")), "user_id")
+    rows = rows.join(views.items(spark, sf_dir).select("item_id", "vector"), "item_id")
+    return rows.select("user_id", "item_id", F.round(V.dot(F.col("u"), F.col("vector")), 6).alias("dot"))
 
 
 @query(_with() + """
@@ -763,12 +772,6 @@ def sampled_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sample_users(views.train(spark, sf_dir), 5).select("user_id", "item_id", "rating")
 
 
-@query()
-def sampled_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes = graph.bipartite_edges(views.train(spark, sf_dir)), _nodes(spark, sf_dir)
-    return graph.gat_attention(graph.sampled_edges(edges, nodes, 5), nodes).select("src", "dst", *_r("alpha"))
-
-
 @query()
 def iterative_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequential loop with a judge that only reports prompt lengths: it tests the plumbing, not a model."""
