@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def valid_pairs(rows: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -37,8 +41,41 @@ def _table(rows: DataFrame) -> DataFrame:
     return valid_pairs(rows).groupBy("actual", "predicted").agg(F.count("*").alias("n"))
 
 
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction, evaluated from the front."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d, value, k = 1e-300, 1.0, 1.0 / (1 - (a + b) * x / (a + 1)), 1.0, 0
+    value = d
+    while k < 100_000:
+        k += 1
+        for term in (k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))):
+            d, c = 1 + term * d, 1 + term / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            step = c * d
+            value *= step
+        if abs(step - 1) < 1e-15:
+            break
+    return front * value
+
+
+def correlation_p(r: float, n: int) -> float:
+    """Two-sided p-value of a correlation of n pairs, by Student's t with n - 2 degrees of freedom."""
+    if r is None or n is None or n < 3 or math.isnan(r):
+        return math.nan
+    return 0.0 if abs(r) >= 1 else incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)
+
+
+@F.pandas_udf(DoubleType())
+def _correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([correlation_p(x, m) for x, m in zip(r, n, strict=True)])
+
+
 def spearman(rows: DataFrame) -> DataFrame:
-    """Rank correlation with average ranks, from the table of rating pairs."""
+    """n, rank correlation with average ranks, and its two-sided p-value, from the table of rating pairs."""
     table = _table(rows)
     for column in ("actual", "predicted"):
         side = table.groupBy(column).agg(F.sum("n").alias("m"))
@@ -48,7 +85,8 @@ def spearman(rows: DataFrame) -> DataFrame:
     sums = table.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
     top = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
     bottom = F.sqrt((F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n")))
-    return sums.select(F.col("n"), (top / F.nullif(bottom, F.lit(0.0))).alias("spearman"))
+    found = sums.select(F.col("n"), (top / F.nullif(bottom, F.lit(0.0))).alias("spearman"))
+    return found.withColumn("p_value", _correlation_p("spearman", "n"))
 
 
 def quadratic_kappa(rows: DataFrame) -> DataFrame:

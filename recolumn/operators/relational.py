@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import portable_hash
 from ..sources.work import held, scratch
 
 
@@ -108,8 +109,8 @@ def polarity(rating: Column, variant: str = "range") -> Column:
 
 
 def sample_users(rows: DataFrame, n: int, seed: int = 42, key: str = "user_id") -> DataFrame:
-    """Rows of n users, drawn by a seeded hash."""
-    users = rows.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """Rows of n users, drawn by a seeded hash that any engine can repeat."""
+    users = rows.select(key).distinct().orderBy(portable_hash(seed, F.col(key)), key).limit(n)
     return rows.join(users, key, "left_semi")
 
 

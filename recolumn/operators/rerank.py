@@ -22,6 +22,12 @@ def item_details(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return candidates.join(items.select("item_id", label.alias("details")), "item_id", "left")
 
 
+def missing_items(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """user_id and the ids, in order, of the user's candidates that `items` lacks; users without any are left out."""
+    lacking = candidates.select("user_id", "item_id").join(items.select("item_id"), "item_id", "left_anti")
+    return lacking.groupBy("user_id").agg(F.sort_array(F.collect_set("item_id")).alias("missing"))
+
+
 def ranked_lines(replies: DataFrame, key: str = "user_id", column: str = "reply") -> DataFrame:
     """user_id, llm_rank from 1, title of each usable line of a reply."""
     lines = replies.select(key, F.posexplode(F.split(column, "\n")).alias("line", "text"))

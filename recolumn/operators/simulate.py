@@ -67,8 +67,8 @@ class Replay:
         return [self.replies.get(p) for p in batch]
 
 
-def ask(rows: DataFrame, judge: Callable[[list[str]], list[str | None]], attempts: int = 3, wait: float = 0.0) -> DataFrame:
-    """rows (user_id, prompt) with `reply`, `attempts` and `status` (ok, no_reply or error).
+def ask(rows: DataFrame, judge: Callable[[list[str]], list[str | None]], attempts: int = 3, wait: float = 0.0, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """rows (keys, prompt) with `reply`, `attempts` and `status` (ok, no_reply or error).
 
     A judge that raises fails its attempt, not the task; before each further attempt it gets `wait` seconds, doubled every time.
     """
@@ -90,8 +90,8 @@ def ask(rows: DataFrame, judge: Callable[[list[str]], list[str | None]], attempt
                     reply[k], used[k] = r, used[k] + 1
             yield part.assign(reply=reply, attempts=used, status=["ok" if r is not None else missing for r in reply])
 
-    kind = rows.schema["user_id"].dataType.simpleString()
-    return rows.select("user_id", "prompt").mapInPandas(run, f"user_id {kind}, prompt string, reply string, attempts int, status string")
+    own = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, "prompt").mapInPandas(run, f"{own}, prompt string, reply string, attempts int, status string")
 
 
 def parsed_ratings(replies: DataFrame) -> DataFrame:
@@ -112,20 +112,24 @@ def minute_tokens(calls: DataFrame, limit: int) -> DataFrame:
 
 
 def iterative_profiles(steps: DataFrame, judge: Callable[[list[str]], list[str | None]], instruction: str = "Update the profile.\n") -> DataFrame:
-    """user_id, chunk, profile: each chunk's prompt holds the profile so far, so a user's chunks go one after another.
+    """user_id, chunk, profile: each chunk's prompt holds the profile so far, so a user's chunks go one after another (in one task; `loops.run_steps` keeps state and can resume).
 
-    steps: user_id, chunk, prompt. A chunk without a reply keeps the profile before it.
+    steps: user_id, chunk, prompt. A chunk without a reply, or whose judge raises, keeps the profile before it.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         profile, out = "", []
         for row in group.sort_values("chunk").itertuples():
-            reply = judge([f"{instruction}Profile: {profile}\n{row.prompt}"])[0]
+            try:
+                reply = judge([f"{instruction}Profile: {profile}\n{row.prompt}"])[0]
+            except Exception:  # whatever the judge's client raises
+                reply = None
             profile = profile if reply is None else reply
             out.append((row.user_id, row.chunk, profile))
         return pd.DataFrame(out, columns=["user_id", "chunk", "profile"])
 
-    return steps.select("user_id", "chunk", "prompt").groupBy("user_id").applyInPandas(run, "user_id long, chunk long, profile string")
+    kind = steps.schema["user_id"].dataType.simpleString()
+    return steps.select("user_id", "chunk", "prompt").groupBy("user_id").applyInPandas(run, f"user_id {kind}, chunk long, profile string")
 
 
 def enrich_missing(items: DataFrame, column: str, judge: Callable[[list[str]], list[str | None]], prompt: Column) -> DataFrame:

@@ -1,3 +1,3 @@
 
 
-from . import catalog, models  # noqa: F401
+from . import catalog, judging, models  # noqa: F401

@@ -766,14 +766,34 @@ def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embed_text(views.catalog(spark, sf_dir), "item_id", "title").select("item_id", "title_vector")
 
 
-@query()
+@query(_with() + """
+SELECT user_id, item_id, rating FROM train WHERE user_id IN (
+  SELECT user_id FROM (SELECT DISTINCT user_id FROM train) ORDER BY ('0x' || substr(md5('42:' || user_id), 1, 15))::BIGINT, user_id LIMIT 5)""")
 def sampled_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: five users by seeded hash."""
     return R.sample_users(views.train(spark, sf_dir), 5).select("user_id", "item_id", "rating")
 
 
-@query()
-def iterative_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequential loop with a judge that only reports prompt lengths: it tests the plumbing, not a model."""
-    steps = simulate.chunk_prompts(simulate.recent(views.train(spark, sf_dir), 20), 5)
-    return simulate.iterative_profiles(steps, lambda prompts: [f"seen {len(p)} characters" for p in prompts])
+@query(_with() + """
+SELECT user_id, item_id, CASE WHEN r >= 4 THEN 'positive' WHEN r <= 2 THEN 'negative' END AS by_range,
+  CASE WHEN r IN (4, 5) THEN 'positive' WHEN r IN (1, 2) THEN 'negative' END AS listed, CASE WHEN r = 5 THEN 'positive' WHEN r <= 2 THEN 'negative' END AS strict
+FROM (SELECT user_id, item_id, rating + (item_id % 2) * 0.5 AS r FROM train)""")
+def polarity_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractional ratings, for which the three splits differ."""
+    rows = views.train(spark, sf_dir).select("user_id", "item_id", (F.col("rating") + (F.col("item_id") % 2) * 0.5).alias("r"))
+    return rows.select("user_id", "item_id", *[R.polarity(F.col("r"), v).alias(name) for v, name in (("range", "by_range"), ("listed", "listed"), ("strict", "strict"))])
+
+
+@query(_with(views.POPULAR) + "SELECT user_id, module_source, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY recommendation_rank, item_id) AS items FROM (SELECT * FROM popular UNION ALL SELECT * FROM rated) GROUP BY ALL")
+def module_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered list of each user and recommender."""
+    rows = _popular(spark, sf_dir).unionByName(_rated(spark, sf_dir))
+    pairs = F.array_sort(F.collect_list(F.struct("recommendation_rank", "item_id")))
+    return rows.groupBy("user_id", "module_source").agg(F.array_join(F.transform(pairs, lambda p: p["item_id"].cast("string")), ",").alias("items"))
+
+
+@query(_with() + "SELECT item_id, p, round(CASE WHEN p > 64 THEN 0 ELSE greatest(vector[p], 1e-5) END, 6) AS x FROM items, (SELECT unnest(range(1, 73)) AS p)")
+def clipped_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start of a factor model of 72 components: positive, zeros behind."""
+    rows = views.items(spark, sf_dir).select("item_id", F.posexplode(V.padded(V.clipped(F.col("vector")), 72)).alias("p", "x"))
+    return rows.select("item_id", (F.col("p") + 1).cast("long").alias("p"), *_r("x"))

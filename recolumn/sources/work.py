@@ -39,12 +39,18 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
 def held(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept as a table in the shared folder until the application ends: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
-    at, files = _path(spark, path)
-    files.deleteOnExit(at)
+    path = fresh_folder(spark, "work")
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._held_path = path
