@@ -1,9 +1,11 @@
 """The training-data operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 from zlib import crc32
 
 import numpy as np
@@ -179,11 +181,32 @@ def test_top_k_of_a_range_of_256(spark):
 
 def test_top_k_of_huge_and_repeated_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "HELD_QUERIES", 1)
-    rows = [(0, [1.0, 2.0]), (0, [5.0, -1.0]), (1, [3.0, 4.0]), (2, [1e300, 1.0]), (3, [3e6, 0.0]), (4, []), (None, [1.0, 1.0]), (5, [1e8, 1e8])]
+    rows = [(0, [1.0, 2.0]), (0, [5.0, -1.0]), (1, [3.0, 4.0]), (3, [3e9, 0.0]), (4, []), (None, [1.0, 1.0]), (5, [1e8, 1e8])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in topk.top_k(table, lambda i: i == 0, k=3, scale=1.0).collect())
-    assert got == [(0, 1, 5, 400000000), (0, 2, 5, 300000000), (0, 3, 3, 15000000)]
+    assert got == [(0, 1, 3, 15000000000), (0, 2, 3, 3000000000), (0, 3, 5, 400000000)]
     assert topk.report(table.limit(0)).count() == 0
+    with pytest.raises(TypeError, match="integers"):
+        topk.report(table.withColumn("vec_id", F.col("vec_id").cast("string")))
+
+
+def test_top_k_keeps_every_finite_vector(spark):
+    rng = np.random.default_rng(8)
+    large = lambda: float(rng.choice([3e6, -2.5e9, 4e12, 1 / 1024, 7.0, 0.0, -0.3]))
+    rows = [(k, [large(), 0.0 if k % 3 else float(rng.integers(-3, 4))]) for k in range(330)] + [(700, [1.0, 0.0]), (800, [0.0, 1.0]), (801, [1e307, 5.0]), (900, [-1.0, 0.0])]
+    whole = {k: [math.floor(Fraction(x) * 1024) for x in v] for k, v in rows}
+    # the largest products of large vectors do not fit a long, so these are not queried
+    kept = [r for r in rows if r[0] % 100 or r[0] in (700, 800)]
+    got = defaultdict(list)
+    for r in topk.report(spark.createDataFrame([r for r in kept if r[0] != 801], "vec_id long, embedding array<double>").repartition(3)).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in (700, 800):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], whole[k], strict=True)), k) for k, _ in kept if k not in (q, 801))[:10]
+        assert sorted(got[q]) == [(i, k, -s) for i, (s, k) in enumerate(want, 1)]
+    single = spark.createDataFrame([(800, [0.0, 1.0]), (801, [1e307, 5.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.report(single).collect()] == [(800, 1, 801, 5 << 20)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.report(spark.createDataFrame([(700, [1.0, 0.0]), (801, [1e307, 5.0])], "vec_id long, embedding array<double>")).collect()
 
 
 def test_top_k_reads_few_exact_vectors():
