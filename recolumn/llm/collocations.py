@@ -5,7 +5,7 @@ SHARD_WORDS symbols. A shard's generalised suffix automaton has one state for ea
 substrings that end at the same places; its states list all substrings up to a bounded depth with their
 occurrences. Counts are summed over all shards by the substring's 64-bit key, words first, then
 pairs, then longer phrases: a substring is only listed if its words (then its pairs) are frequent
-everywhere. The frequent ones are known to the tasks as bit tables of bounded size, which may let some rare ones
+everywhere. Pairs are counted by coarse buckets of their keys before that. The frequent ones are known to the tasks as bit tables of bounded size, which may let some rare ones
 through; these fall out with their own sums. So nothing is counted approximately.
 
 Every frequent phrase is read back by one of its shards, which gives its text and
@@ -30,7 +30,7 @@ from . import textops as tx
 from .cluster import bit_table, bounded_batches, durable, release, row_keys
 
 LEAST, DEPTH, TOP = 100, 5, 2000
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 TABLE_BITS = 27  # of a bit table, as a power of two
 HOT_ROWS = 100_000  # most rows of the broadcast table of common parts
 PARTS = 64
@@ -226,7 +226,26 @@ def _pruned(batch: pa.RecordBatch, r: int, words, pairs):
     return codes, hashes, skip
 
 
-def _count(least: int, most: int, words, pairs):
+def _buckets(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _count_buckets(words):
+    """Pairs of words by the upper half of their key: an eighth of what full keys and counts take."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                codes, hashes, skip = _pruned(batch, r, words, None)
+                _, end, count = SuffixAutomaton(codes, 2, skip).substrings(2, 2)
+                bucket = _buckets(keys(hashes[codes], end, 2))
+                for i in range(0, len(end), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + (1 << 16)]), pa.array(count[i : i + (1 << 16)].astype(np.int32))], names=["b", "a"])
+
+    return run
+
+
+def _count(least: int, most: int, words, pairs, heavy):
     """Substrings of a shard with their counts."""
 
     def run(batches):
@@ -237,9 +256,13 @@ def _count(least: int, most: int, words, pairs):
                 at = hashes[codes]
                 for d in range(least, most + 1):
                     on = np.flatnonzero(size == d)
+                    key = keys(at, end[on], d)
+                    if heavy is not None:
+                        some = _held(_buckets(key).astype(np.int64), heavy.value)
+                        on, key = on[some], key[some]
                     for i in range(0, len(on), 1 << 16):
                         part = on[i : i + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys(at, end[part], d)), pa.array(np.full(len(part), d, np.int8)), pa.array(count[part]), pa.array(np.full(len(part), batch.column("shard")[r].as_py()))], names=["key", "d", "a", "at"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(np.full(len(part), d, np.int8)), pa.array(count[part]), pa.array(np.full(len(part), batch.column("shard")[r].as_py()))], names=["key", "d", "a", "at"])
 
     return run
 
@@ -256,8 +279,17 @@ def _cut_pairs(codes: np.ndarray, hashes: np.ndarray, skip: int, table):
     return out, int(at[skip])
 
 
-def _counted(shards: DataFrame, least: int, most: int, at_least: int, words=None, pairs=None) -> DataFrame:
-    rows = shards.select("shard", "symbols", "codes", "skip").mapInArrow(_count(least, most, words, pairs), "key long, d byte, a long, at long")
+def _heavy_pairs(shards: DataFrame, at_least: int, words):
+    """Bit table of the buckets whose pairs together reach `at_least`: no frequent pair is outside."""
+    rows = shards.select("symbols", "codes", "skip").mapInArrow(_count_buckets(words), "b int, a int").groupBy("b").agg(F.sum("a").alias("a"))
+    found = durable(rows.where(F.col("a") >= at_least).select(F.col("b").cast("long").alias("b")))
+    table = bit_table(found, "b", TABLE_BITS)
+    release(found)
+    return table
+
+
+def _counted(shards: DataFrame, least: int, most: int, at_least: int, words=None, pairs=None, heavy=None) -> DataFrame:
+    rows = shards.select("shard", "symbols", "codes", "skip").mapInArrow(_count(least, most, words, pairs, heavy), "key long, d byte, a long, at long")
     sums = rows.groupBy("key").agg(F.first("d").alias("d"), F.sum("a").alias("a"), F.min("at").alias("at"))
     return durable(sums.where(F.col("a") >= at_least))
 
@@ -270,7 +302,7 @@ def _marks(key: np.ndarray, shard: int) -> np.ndarray:
     return tx.signed(tx.mix((key.view(np.uint64) ^ np.uint64(shard)) * tx._ODD))
 
 
-def _read_back(depth: int, words, pairs, given):
+def _read_back(depth: int, words, pairs, longer, given):
     """Text, language and the keys of the first and last k words of the phrases that a shard was given (and a few others)."""
 
     def run(batches):
@@ -285,7 +317,7 @@ def _read_back(depth: int, words, pairs, given):
                     for d in range(least, most + 1):
                         ends = end[size == d]
                         key = keys(at, ends, d)
-                        on = _held(_marks(key, shard), given.value)
+                        on = _held(key, (pairs if d == 2 else longer).value) & _held(_marks(key, shard), given.value)
                         key, ends = key[on], ends[on]
                         left = np.stack([keys(at, ends - (d - k), k) for k in range(1, d)], axis=1)
                         right = np.stack([keys(at, ends, d - k) for k in range(1, d)], axis=1)
@@ -318,12 +350,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = durable(shards.select(F.explode(F.arrays_zip("n_langs", "n")).alias("p")).groupBy(F.col("p.n_langs").alias("lang")).agg(F.sum("p.n").alias("n")))
     singles = _counted(shards, 1, 1, least)
     words = send(bit_table(singles, "key", TABLE_BITS))
-    doubles = _counted(shards, 2, 2, least, words=words)
+    # pairs are most of what is counted: first by coarse buckets, then only those in a bucket that is large enough
+    doubles = _counted(shards, 2, 2, least, words=words, heavy=send(_heavy_pairs(shards, least, words)))
     pairs = send(bit_table(doubles, "key", TABLE_BITS))
-    found = doubles.union(_counted(shards, 3, depth, least, pairs=pairs))
+    more = _counted(shards, 3, depth, least, pairs=pairs)
+    longer = send(bit_table(more, "key", TABLE_BITS))
+    found = doubles.union(more)
     # a phrase is read back by the first shard that has it; the shards know theirs by one more bit table
     given = send(bit_table(found.select("key", "at").mapInArrow(_given, "mark long"), "mark", TABLE_BITS))
-    back = shards.mapInArrow(_read_back(depth, words, pairs, given), "lang string, phrase string, key long, at long, left array<long>, right array<long>")
+    back = shards.mapInArrow(_read_back(depth, words, pairs, longer, given), "lang string, phrase string, key long, at long, left array<long>, right array<long>")
     phrases = durable(back.join(found.select("key", "at", "a"), ["key", "at"]))
     release(shards)
     # counts of all substrings sum to at most depth * n, so at most HOT_ROWS of them reach the bar
