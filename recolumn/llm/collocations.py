@@ -5,7 +5,7 @@ SHARD_WORDS symbols. A shard's generalised suffix automaton has one state for ea
 substrings that end at the same places; its states list all substrings up to a bounded depth with their
 occurrences. Counts are summed over all shards by the substring's 64-bit key, words first, then
 pairs, then longer phrases: a substring is only listed if its words (then its pairs) are frequent
-everywhere. Pairs are counted by coarse buckets of their keys before that. The frequent ones are known to the tasks as bit tables of bounded size, which may let some rare ones
+everywhere. Phrases are counted by coarse buckets of their keys before that. The frequent ones are known to the tasks as bit tables of bounded size, which may let some rare ones
 through; these fall out with their own sums. So nothing is counted approximately.
 
 Every frequent phrase is read back by one of its shards, which gives its text and
@@ -230,17 +230,19 @@ def _buckets(key: np.ndarray) -> np.ndarray:
     return (key.view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _count_buckets(words):
-    """Pairs of words by the upper half of their key: an eighth of what full keys and counts take."""
+def _count_buckets(least: int, most: int, words, pairs):
+    """Substrings by the upper half of their key, added within a shard: half of what full keys and counts take."""
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                codes, hashes, skip = _pruned(batch, r, words, None)
-                _, end, count = SuffixAutomaton(codes, 2, skip).substrings(2, 2)
-                bucket = _buckets(keys(hashes[codes], end, 2))
-                for i in range(0, len(end), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + (1 << 16)]), pa.array(count[i : i + (1 << 16)].astype(np.int32))], names=["b", "a"])
+                codes, hashes, skip = _pruned(batch, r, words, pairs)
+                size, end, count = SuffixAutomaton(codes, most, skip).substrings(least, most)
+                at = hashes[codes]
+                bucket = np.concatenate([_buckets(keys(at, end[size == d], d)) for d in range(least, most + 1)])
+                count = np.concatenate([count[size == d] for d in range(least, most + 1)]).astype(np.int32)
+                for i in range(0, len(bucket), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + (1 << 16)]), pa.array(count[i : i + (1 << 16)])], names=["b", "a"])
 
     return run
 
@@ -279,16 +281,18 @@ def _cut_pairs(codes: np.ndarray, hashes: np.ndarray, skip: int, table):
     return out, int(at[skip])
 
 
-def _heavy_pairs(shards: DataFrame, at_least: int, words):
-    """Bit table of the buckets whose pairs together reach `at_least`: no frequent pair is outside."""
-    rows = shards.select("symbols", "codes", "skip").mapInArrow(_count_buckets(words), "b int, a int").groupBy("b").agg(F.sum("a").alias("a"))
+def _heavy(shards: DataFrame, least: int, most: int, at_least: int, words=None, pairs=None):
+    """Bit table of the buckets whose substrings together reach `at_least`: no frequent one is outside."""
+    rows = shards.select("symbols", "codes", "skip").mapInArrow(_count_buckets(least, most, words, pairs), "b int, a int").groupBy("b").agg(F.sum("a").alias("a"))
     found = durable(rows.where(F.col("a") >= at_least).select(F.col("b").cast("long").alias("b")))
     table = bit_table(found, "b", TABLE_BITS)
     release(found)
-    return table
+    return shards.sparkSession.sparkContext.broadcast(table)
 
 
-def _counted(shards: DataFrame, least: int, most: int, at_least: int, words=None, pairs=None, heavy=None) -> DataFrame:
+def _counted(shards: DataFrame, least: int, most: int, at_least: int, words=None, pairs=None) -> DataFrame:
+    # phrases are most of what is counted: first by coarse buckets, then only those in a bucket that is large enough
+    heavy = _heavy(shards, least, most, at_least, words, pairs) if most > 1 else None
     rows = shards.select("shard", "symbols", "codes", "skip").mapInArrow(_count(least, most, words, pairs, heavy), "key long, d byte, a long, at long")
     sums = rows.groupBy("key").agg(F.first("d").alias("d"), F.sum("a").alias("a"), F.min("at").alias("at"))
     return durable(sums.where(F.col("a") >= at_least))
@@ -297,9 +301,9 @@ def _counted(shards: DataFrame, least: int, most: int, at_least: int, words=None
 # -- phrases
 
 
-def _marks(key: np.ndarray, shard: int) -> np.ndarray:
-    """One number for a phrase and the shard that reads it back."""
-    return tx.signed(tx.mix((key.view(np.uint64) ^ np.uint64(shard)) * tx._ODD))
+def _marks(key: np.ndarray, shard: int | np.ndarray, turn: int) -> np.ndarray:
+    """Two numbers for a phrase and the shard that reads it back."""
+    return tx.signed(tx.mix((key.view(np.uint64) ^ np.uint64(shard)) * tx._ODD + np.uint64(turn)))
 
 
 def _read_back(depth: int, words, pairs, longer, given):
@@ -317,7 +321,7 @@ def _read_back(depth: int, words, pairs, longer, given):
                     for d in range(least, most + 1):
                         ends = end[size == d]
                         key = keys(at, ends, d)
-                        on = _held(key, (pairs if d == 2 else longer).value) & _held(_marks(key, shard), given.value)
+                        on = _held(key, (pairs if d == 2 else longer).value) & _held(_marks(key, shard, 0), given[0].value) & _held(_marks(key, shard, 1), given[1].value)
                         key, ends = key[on], ends[on]
                         left = np.stack([keys(at, ends - (d - k), k) for k in range(1, d)], axis=1)
                         right = np.stack([keys(at, ends, d - k) for k in range(1, d)], axis=1)
@@ -331,7 +335,7 @@ def _read_back(depth: int, words, pairs, longer, given):
 def _given(batches):
     for batch in batches:
         key, shard = (batch.column(k).to_numpy() for k in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(tx.signed(tx.mix((key.view(np.uint64) ^ shard.view(np.uint64)) * tx._ODD)))], names=["mark"])
+        yield pa.RecordBatch.from_arrays([pa.array(_marks(key, shard.view(np.uint64), turn)) for turn in (0, 1)], names=["m0", "m1"])
 
 
 def _looked_up(rows: DataFrame, column: str, name: str, counts: DataFrame, hot: DataFrame) -> DataFrame:
@@ -350,14 +354,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = durable(shards.select(F.explode(F.arrays_zip("n_langs", "n")).alias("p")).groupBy(F.col("p.n_langs").alias("lang")).agg(F.sum("p.n").alias("n")))
     singles = _counted(shards, 1, 1, least)
     words = send(bit_table(singles, "key", TABLE_BITS))
-    # pairs are most of what is counted: first by coarse buckets, then only those in a bucket that is large enough
-    doubles = _counted(shards, 2, 2, least, words=words, heavy=send(_heavy_pairs(shards, least, words)))
+    doubles = _counted(shards, 2, 2, least, words=words)
     pairs = send(bit_table(doubles, "key", TABLE_BITS))
     more = _counted(shards, 3, depth, least, pairs=pairs)
     longer = send(bit_table(more, "key", TABLE_BITS))
     found = doubles.union(more)
-    # a phrase is read back by the first shard that has it; the shards know theirs by one more bit table
-    given = send(bit_table(found.select("key", "at").mapInArrow(_given, "mark long"), "mark", TABLE_BITS))
+    # a phrase is read back by the first shard that has it; the shards know theirs by two more bit tables
+    marks = durable(found.select("key", "at").mapInArrow(_given, "m0 long, m1 long"))
+    given = [send(bit_table(marks, m, TABLE_BITS)) for m in ("m0", "m1")]
+    release(marks)
     back = shards.mapInArrow(_read_back(depth, words, pairs, longer, given), "lang string, phrase string, key long, at long, left array<long>, right array<long>")
     phrases = durable(back.join(found.select("key", "at", "a"), ["key", "at"]))
     release(shards)
