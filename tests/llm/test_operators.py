@@ -462,7 +462,7 @@ def test_segment_values_are_kernel_values(monkeypatch):
             body = np.frombuffer(f" {w} {rng.choice(words)} {w}".encode(), np.uint8)
             own = [x for x in body.tobytes().decode().split()]
             most = max(want[words.index(x)] for x in own)
-            found = model.largest(body, np.array([0, len(body)]))[0]
+            found = model.largest(body, np.array([0, len(body)]))[0, 0]
             assert found >= v - 1e-3 and (found == pytest.approx(most, abs=1e-3) or " x " in f" {' '.join(own)} ")
 
 
@@ -485,6 +485,42 @@ def test_toxicity(spark):
     assert toxicity.report(documents(spark, extra), labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_stems_with_varying_endings(spark):
+    """Another language's insults are one stem with endings that never repeat; toxic documents hold three, some clean ones a single one."""
+    rng = random.Random(21)
+    ending = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 2)))
+    texts, toxic = [], []
+    for k, t in enumerate(sentences(22, 500, 60)):
+        w, bad = t.split(), k % 6 == 0
+        for _ in range(3 if bad else int(k % 7 == 1)):
+            w.insert(rng.randrange(len(w) + 1), "gruvzt" + ending())
+        texts.append(" ".join(w))
+        toxic.append(bad)
+    labels = labelled(spark, texts, "toxic", lambda k: toxic[k])
+    held = [r for r in toxicity.report(documents(spark, texts), labels).collect() if r["held_out"]]
+    caught = [r["predicted"] for r in held if toxic[r["doc_id"]]]
+    single = [r["predicted"] for r in held if not toxic[r["doc_id"]] and "gruvzt" in texts[r["doc_id"]]]
+    none = [r["predicted"] for r in held if "gruvzt" not in texts[r["doc_id"]]]
+    assert np.mean(caught) > 0.8 and np.mean(none) == 0 and len(single) > 10 and np.mean(single) < 0.5
+
+
+def test_toxicity_scores_are_the_best_of_three_values():
+    """A document's values against kernels by plain counting; nulls and repeats score alike."""
+    rng = random.Random(23)
+    rows = [(k % 3 == 0, [t.split() + (["grobnak"] if k % 3 == 0 else [])]) for k, t in enumerate(sentences(24, 90, 12))]
+    model = toxicity.SubsequenceSvm().fit(toxicity.Sample([int(y) for y, _ in rows], range(90), toxicity.pa.array([s for _, s in rows])))
+    texts = ["grobnak", "plain words here", "grobnak grobnak gronak", "", "a b"]
+    body, at = toxicity.tx.buffers(toxicity.pa.array(texts))
+    most = model.largest(body, at)
+    for text, own in zip(texts, most, strict=True):
+        words = sorted(set(text.split()))
+        want = sorted(model.segment_values(*toxicity._joined(words)), reverse=True)[:3] if words else []
+        assert own.tolist() == pytest.approx([*want, *[toxicity.FLOOR] * (3 - len(want))])
+    value = np.max(np.maximum(most + model.bias, -3) - model.offsets, axis=1)
+    assert model.score(most) == pytest.approx(0.98 * np.interp(value, model.knots, model.shares) + 0.02 / (1 + np.exp(-value)))
+    assert model.score(most)[0] >= 0.7 > model.score(most)[1] >= model.score(most)[3]
+
+
 # -- language model
 
 
