@@ -11,7 +11,6 @@ from ..functions import vectors as V
 from ..sources.work import held, scratch
 from .relational import numbered
 
-
 #: More neighbours than these make a node's edges several parts, each of which gets the node's vector.
 HOT = 1_000_000
 
