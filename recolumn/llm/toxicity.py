@@ -48,6 +48,7 @@ LARGEST, FOLDS, POSITIVE = 3, 5, 3.0  # values of a document that its score read
 GRID, PRICE = np.round(np.arange(-1.5, 1.6, 0.1), 1), 3.0  # offsets of lower values; toxic documents that a false alarm is worth
 CLASSES = 32
 SLICE = 2 << 20  # larger slices hold each distinct segment once
+COMMONEST = 20_000  # segments among which those alike to a landmark are looked for
 WORDS, PART, SCORED, KEPT = 256, 512, 8192, 1 << 19  # words or segments that are computed at once; values that a task keeps
 #: Gaps (to the second and to the third letter) and weights of all triples within SPAN.
 TRIPLES = [(i, j, DECAY ** (j + 1)) for j in range(2, SPAN) for i in range(1, j)]
@@ -175,17 +176,18 @@ class Sample:
     def norm(self) -> np.ndarray:
         return self.maps[3]
 
-    def products(self, dense: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """Products of all names with the columns of a table over triples, each divided by its `scale`."""
+    def products(self, dense: np.ndarray, scale: np.ndarray, names: np.ndarray | None = None) -> np.ndarray:
+        """Products of all or some names with the columns of a table over triples, each divided by its `scale`."""
         first, triple, weight, _ = self.maps
-        out = np.zeros((len(self.names), dense.shape[1]), np.float32)
-        dense = (dense / scale).astype(np.float32)
-        for i in range(0, len(self.names), PART):
-            at = first[i : i + PART + 1]
-            some = np.flatnonzero(np.diff(at))
+        names = np.arange(len(self.names)) if names is None else names
+        out = np.zeros((len(names), dense.shape[1]), np.float32)
+        dense = (dense / scale.astype(np.float32)).astype(np.float32)
+        for i in range(0, len(names), PART):
+            k = names[i : i + PART]
+            n = first[k + 1] - first[k]
+            at, some = np.repeat(first[k], n) + tx.ranges(n), np.flatnonzero(n)
             if len(some):
-                rows = dense[triple[at[0] : at[-1]]] * weight[at[0] : at[-1], None]
-                out[i + some] = np.add.reduceat(rows, at[some] - at[0], axis=0)
+                out[i + some] = np.add.reduceat(dense[triple[at]] * weight[at, None], (np.cumsum(n) - n)[some], axis=0)
         return out
 
     def holding(self, dense: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,13 +368,14 @@ class SubsequenceSvm:
         # beside them, the commonest segments that are somewhat alike, and the commonest of all
         every = counts.sum(0)
         plain = docs.proper & (z < 2) & (every > 0)
-        alike = docs.products(*_table_of(top)) / docs.norm[:, None]
-        near = [int(k) for j in range(len(top)) for k in [np.where(plain & (alike[:, j] > 0.3) & (alike[:, j] < 0.8), every, -1).argmax()] if plain[k]]
+        often = np.argsort(-np.where(plain, every, -1), kind="stable")[:COMMONEST]
+        alike = docs.products(*_table_of(top), often) / docs.norm[often, None]
+        near = [int(often[k]) for j in range(len(top)) for k in [np.where((alike[:, j] > 0.3) & (alike[:, j] < 0.8), every[often], -1).argmax()]]
         common = near + np.argsort(-np.where(plain, every, -1), kind="stable")[:LANDMARKS].tolist()
         common = [names[k] for k in dict.fromkeys(common) if plain[k]][: LANDMARKS - len(top)]
         self.landmarks = list(dict.fromkeys(top + common))
         dense, norm = _table_of(self.landmarks)
-        values = docs.products(dense / norm, np.ones(len(norm))) / docs.norm[:, None]
+        dense /= norm.astype(np.float32)
         gram = kernel(self.landmarks, self.landmarks).astype(float)
         e, v = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(gram)))
         root = v @ np.diag(np.maximum(e, 1e-6) ** -0.5) @ v.T
@@ -387,7 +390,7 @@ class SubsequenceSvm:
         marked = docs.y[docs.doc] == 1
         for _ in range(ROUNDS):
             # a sentence stands for its worst segment, a document for its HARDEST worst sentences
-            most, worst = docs.worst(values @ (root @ w))
+            most, worst = docs.worst(docs.products((dense @ (root @ w))[:, None], np.ones(1))[:, 0] / docs.norm)
             order = np.lexsort((-worst, -most, docs.doc))
             rank = np.arange(len(order)) - np.searchsorted(docs.doc[order], docs.doc[order])
             hard = order[(rank < HARDEST) & mine[order]]
@@ -395,7 +398,8 @@ class SubsequenceSvm:
             # a toxic document's sentence that holds no over-represented string is not held to be toxic
             positive = positive[holds[positive]]
             (positive, more), (negative, less) = (np.unique(k, return_counts=True) for k in (positive, negative))
-            x = np.concatenate([values[positive], values[negative], disguised]).astype(float)
+            values = [docs.products(dense, np.ones(len(norm)), k) / docs.norm[k, None] for k in (positive, negative)]
+            x = np.concatenate([*values, disguised]).astype(float)
             w, b = _hinge(x @ root, np.repeat([1.0, -1.0, 1.0], [len(positive), len(negative), len(disguised)]), np.concatenate([more, less, np.ones(len(disguised))]), w, b)
         beta = root @ w
         segment, triple, value, norm = kernel_maps(*_joined(self.landmarks))
