@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,7 @@ WINDOW, GRAM = 10, 5
 SPREAD = WINDOW - GRAM + 1
 BROADCAST_ROWS = 50_000
 MAX_FILTER_BITS = 27
+_SPAN = T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
 
 
 def _winnow(h: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +157,26 @@ def _common(a: str, b: str):
     return F.when(end > 0, end - 1).otherwise(F.size(same)).cast("long")
 
 
+def _join_spans(batches):
+    """Sorted spans of each row, those that overlap or touch joined; one pass however many there are."""
+    for batch in batches:
+        found = batch.column(3)
+        counts = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        s, e = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+        owner = np.repeat(np.arange(len(counts)), counts)
+        # the farthest end so far in the row: rows are set apart by more than any end
+        apart = owner * (int(e.max()) + 1 if len(e) else 1)
+        reach = np.maximum.accumulate(e + apart) - apart if len(e) else e
+        opens = np.ones(len(s), bool)
+        opens[1:] = (owner[1:] != owner[:-1]) | (s[1:] > reach[:-1])
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(s))[: len(first)] - 1
+        at = np.append(0, np.cumsum(np.bincount(owner[first], minlength=len(counts)))).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(s[first], pa.int64()), pa.array(reach[last], pa.int64())], names=["s", "e"])
+        spans = pa.ListArray.from_arrays(pa.array(at), spans)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], spans, batch.column(4)], names=["id", "row", "n_words", "spans", "items"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document row: id, row, n_words, spans (word ranges that are hit, joined), items (item ids as sorted strings)."""
     spark = bounded_batches(docs.sparkSession)
@@ -178,12 +200,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.array_sort(F.collect_set(F.when(hit, F.struct("s", "e")))).alias("found"),
         F.array_sort(F.collect_set(F.when(hit, F.col("item_id")))).alias("items"),
     )
-    joined = F.aggregate(
-        "found",
-        F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
-        lambda got, x: F.when((F.size(got) > 0) & (F.element_at(got, -1)["e"] >= x["s"]), F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), F.array(F.struct(F.element_at(got, -1)["s"].alias("s"), F.greatest(F.element_at(got, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(got, F.array(x))),
-    )
-    return rows.select("id", "row", "n_words", joined.alias("spans"), "items")
+    out = T.StructType([*rows.schema.fields[:3], T.StructField("spans", T.ArrayType(_SPAN)), rows.schema["items"]])
+    return rows.select("id", "row", "n_words", "found", "items").mapInArrow(_join_spans, out)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
