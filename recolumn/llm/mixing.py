@@ -137,7 +137,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         [(s, sizes[s], float(goal[s]), int(q), (n := max(1, round(sizes[s] / SHARD_WORDS))), math.isqrt(n)) for s, q in zip(names, seats, strict=True)],
         f"source {kinds[source_col]}, source_size long, target double, source_quota long, shards long, groups long",
     )
-    rows = rows.join(F.broadcast(plan) if len(names) <= 100_000 else plan, rows["source"].eqNullSafe(plan["source"])).select(
+    # documents without words are given nothing, so they meet in no shard
+    none = [F.lit(0).cast("long").alias(c) for c in ("taken", "copies")]
+    empty = rows.where("size = 0").join(F.broadcast(plan) if len(names) <= 100_000 else plan, rows["source"].eqNullSafe(plan["source"])).select("id", rows["source"], "size", "row", "source_size", "target", *none)
+    rows = rows.where("size > 0").join(F.broadcast(plan) if len(names) <= 100_000 else plan, rows["source"].eqNullSafe(plan["source"])).select(
         rows["id"], rows["source"], rows["size"], "row", "source_size", "target", "source_quota",
         F.xxhash64(F.lit(seed), "id", rows["size"]).alias("order"), "shards", "groups",
         # rows without an id are dealt by their number, so they do not meet in one shard
@@ -153,7 +156,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = shards.select("s", "g", F.col("shard").alias("part"), "votes", "blocks").join(groups, ["s", "g"]).groupBy("s", "g").applyInPandas(_apportion, out)
     quotas = quotas.select("s", F.col("part").alias("shard"), "quota")
     rows = rows.withColumn("s", key).join(quotas, ["s", "shard"])
-    return rows.groupBy("s", "shard").applyInPandas(lambda docs: _take(docs, seed), f"{columns}, source_size long, target double, taken long, copies long")
+    return rows.groupBy("s", "shard").applyInPandas(lambda docs: _take(docs, seed), f"{columns}, source_size long, target double, taken long, copies long").union(empty)
 
 
 def report(docs: DataFrame) -> DataFrame:
