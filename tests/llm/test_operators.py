@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import defaultdict
 from fractions import Fraction
 from zlib import crc32
@@ -72,6 +73,18 @@ def test_contamination(spark, monkeypatch, limit):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_with_many_hits_in_one_document(spark):
+    rng = random.Random(5)
+    text = " ".join("the" if rng.random() < 0.5 else f"w{k}" for k in range(200_000))
+    docs = documents(spark, [text, "the " * 30 + "end", "", None])
+    bench = spark.createDataFrame([(1, "The"), (2, "the the")], "item_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.report(docs, bench).collect()}
+    took = time.time() - began
+    assert got == brute_contamination([(0, text), (1, "the " * 30 + "end"), (2, ""), (3, None)], [(1, "The"), (2, "the the")])
+    assert got[0][1] == text.split().count("the") and took < 60
+
+
 # -- near duplicates
 
 
@@ -364,6 +377,16 @@ def test_mix(spark):
     assert copies.columns == docs.columns and copies.groupBy("doc_id").count().where("count > 2").count() == 0
 
 
+def test_mix_of_a_source_without_words(spark):
+    docs = documents(spark, ["", None, " \n"] * 20 + ["one two three"] * 3, sources=("a",)).withColumn("source", F.when(F.col("text") == "one two three", "b").otherwise("a"))
+    rows = {r["doc_id"]: r for r in mixing.report(docs).collect()}
+    assert len(rows) == 63
+    assert all((r["size"], r["source_size"], r["target"], r["taken"]) == (0, 0, 0.0, 0) for k, r in rows.items() if k < 60)
+    assert all((r["size"], r["source_size"]) == (3, 9) for k, r in rows.items() if k >= 60)
+    assert mixing.mixed(docs).where("source = 'a'").count() == 0
+    assert mixing.mix(docs.where("source = 'a'")).count() == 60
+
+
 # -- sharding
 
 
@@ -371,6 +394,7 @@ def test_store_versions_and_conflicts(spark):
     docs = documents(spark, EDGE + sentences(11, 300)).repartition(8)
     store = sharding.ShardStore(spark, cluster.fresh_path(spark, "store"), target_bytes=200_000, small_rows=20)
     assert store.append(docs) == 1 and store.append(docs.limit(0)) == 2 and store.append(docs.limit(5)) == 3
+    assert [len(store.runs(v)) for v in range(4)] == [0, 1, 1, 2] and store.manifest(0).count() == 0
     before = store.manifest().agg(F.count("*"), F.sum("rows")).head()
     version = store.compact(docs.schema)
     after = store.manifest(version).agg(F.count("*"), F.sum("rows")).head()
@@ -379,10 +403,28 @@ def test_store_versions_and_conflicts(spark):
     assert sorted(map(tuple, store.read(docs.schema).collect()), key=str) == want
     assert store.read(docs.schema, 1).count() == docs.count()
     with pytest.raises(sharding.Conflict):
-        store.commit(store.manifest(), version)
+        store.commit(store.runs(), version)
     assert store.version() == version
 
 
+def test_compaction_goes_tier_by_tier_and_ends(spark):
+    docs = documents(spark, sentences(14, 640)).repartition(1)
+    store = sharding.ShardStore(spark, cluster.fresh_path(spark, "store"), target_bytes=40_000, small_rows=40)
+    for k in range(6):
+        store.append(docs.where(f"pmod(doc_id, 6) = {k}"))
+        version = store.compact(docs.schema)
+        shards = store.manifest(version).collect()
+        assert sum(r["rows"] for r in shards) == docs.where(f"pmod(doc_id, 6) <= {k}").count()
+        tiers = defaultdict(int)
+        for run in store.runs(version):
+            if run.bytes < run.shards * 20_000:
+                tiers[run.tier()] += run.shards
+        assert all(n < sharding.MIN_RUN for n in tiers.values())
+        assert len(shards) == sum(r.shards for r in store.runs(version)) == store.read(docs.schema, version, True).select("shard").distinct().count()
+    assert sorted(r[0] for r in store.read(docs.schema).select("doc_id").collect()) == list(range(640))
+    assert store.compact(docs.schema) == version
+
+
 def test_sharded_keeps_rows(spark):
     docs = documents(spark, EDGE + EDGE)
     assert sharding.report(docs).count() == 2 * len(EDGE)
