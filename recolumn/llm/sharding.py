@@ -8,8 +8,8 @@ has at least MIN_RUN shards into a run of files of about the target size; it rea
 side by side (coalesce), so again nothing is shuffled. It repeats until no tier is full.
 
 The shards of a run (file, rows, bytes) are a table that is written once, beside the
-run. A version is a list of runs, one line each, so a commit rewrites no table of shards and the
-driver never holds the names of shards: runs are read by their folders. A version is committed by
+run. A version is a list of runs, one line each, so a commit rewrites no table of shards and no
+list of shards is built here: runs are read by their folders, which Spark's file index lists. A version is committed by
 renaming its list to `manifest/v<number>`, which fails if that version exists; the
 writer then rereads and tries again. Readers see all of a version or none of it, and
 old versions stay readable. Runs of a lost job are in no version.
