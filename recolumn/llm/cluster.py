@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict = {}
+_tables: ContextVar[list | None] = ContextVar("tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +39,16 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept as a table in the shared folder; lineage ends there, and the shuffles that led there are freed."""
+    """The rows, computed once and kept as a table in the shared folder; lineage ends there, and the shuffles that led there are freed.
+
+    The table goes when it is released, at the end of a `scope`, or with the application.
+    """
     spark = df.sparkSession
     path, before = fresh_path(spark, "table"), spark.conf.get(_CLEAN_CONF, None)
     spark.conf.set(_CLEAN_CONF, "true")
@@ -46,8 +56,12 @@ def durable(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEAN_CONF) if before is None else spark.conf.set(_CLEAN_CONF, before)
+    at, files = _folder(spark, path)
+    files.deleteOnExit(at)
     table = spark.read.schema(df.schema).parquet(path)
     table._durable_path = path
+    if (tables := _tables.get()) is not None:
+        tables.append(table)
     return table
 
 
@@ -55,9 +69,32 @@ def release(*tables: DataFrame | None) -> None:
     """Deletes durable tables that nothing reads any more."""
     for table in tables:
         if table is not None:
-            sc = table.sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(table._durable_path)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            at, files = _folder(table.sparkSession, table._durable_path)
+            files.delete(at, True)
+
+
+class scope:
+    """Deletes at its end all durable tables made inside, but not those given to `keep`.
+
+    For callers that have written or collected an operator's result when the block ends: the
+    result itself may still read such tables.
+    """
+
+    def __enter__(self) -> scope:
+        self.tables: list[DataFrame] = []
+        self.token = _tables.set(self.tables)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """A durable table that outlives the block, for the block around it if there is one."""
+        self.tables[:] = [t for t in self.tables if t is not table]
+        if (around := self.token.old_value) not in (None, self.token.MISSING):
+            around.append(table)
+        return table
+
+    def __exit__(self, *_) -> None:
+        _tables.reset(self.token)
+        release(*self.tables)
 
 
 def bit_table(rows: DataFrame, column: str, most: int) -> tuple[np.ndarray, int]:

@@ -1,11 +1,22 @@
 """Each pipeline stage on its own input, against the operators' brute-force versions."""
 
+import os
 import random
+import subprocess
+import sys
+import time
+from pathlib import Path
 
 import corpus_pipeline
+import pytest
+from recolumn.llm import cluster, decontaminate, mixing
 from test_operators import brute_components, brute_contamination, edited, sentences
 
 
+def folders(spark):
+    return {p.name for p in Path(cluster.shared_dir(spark).removeprefix("file:")).resolve().iterdir()}
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(20)
     clean = sentences(21, 160, 150, 500)
@@ -47,7 +58,11 @@ def test_stages(spark, tmp_path):
             kept = ids
         else:
             assert ids == kept
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
+    before = folders(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    # of all that the stages wrote, only the store of shards is left, and the result reads nothing else
+    assert [name.split("-")[0] for name in folders(spark) - before] == ["shards"]
+    assert sorted(r["doc_id"] for r in out.collect()) == kept
 
 
 def test_null_and_repeated_ids(spark):
@@ -89,3 +104,44 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert all(got.count(r) <= 2 * have.count(r) for r in got) and set(got) <= set(have)
         elif name == "shards":
             assert got == count(docs) and out.columns[10:] == ["_shard", "shard_bytes"]
+
+
+def test_scopes(spark):
+    """Tables of a block go at its end, also after an error; those kept stay for the block around it."""
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(sentences(50, 30, 60, 200))], "doc_id long, text string, source string")
+    items = spark.createDataFrame([(1, sentences(50, 30, 60, 200)[3])], "item_id long, text string")
+    before = folders(spark)
+    with cluster.scope() as outer:
+        with cluster.scope() as inner:
+            rows = inner.keep(cluster.durable(mixing.mixed(decontaminate.clean_documents(docs, items))))
+            assert len(folders(spark) - before) > 2
+        assert folders(spark) - before == {rows._durable_path.rsplit("/", 1)[1]} and 3 not in {r["doc_id"] for r in rows.collect()}
+        assert outer.tables == [rows]
+    assert folders(spark) == before
+    with pytest.raises(ZeroDivisionError), cluster.scope():
+        cluster.durable(docs)
+        1 / 0  # noqa: B018
+    assert folders(spark) == before
+    with cluster.scope() as own:
+        rows = own.keep(cluster.durable(docs))
+    assert rows.count() == 30
+    cluster.release(rows)
+    assert folders(spark) == before
+
+
+def test_tables_go_with_the_application(tmp_path):
+    job = """
+import sys
+from pathlib import Path
+from pyspark.sql import SparkSession
+from recolumn.llm import cluster
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+print(cluster.durable(spark.range(5)).count(), len(list(Path(sys.argv[1]).glob("table-*"))))
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", job, str(tmp_path)], capture_output=True, text=True, timeout=120, env=os.environ, cwd=Path(__file__).resolve().parents[2])
+    assert done.stdout.split() == ["5", "1"], done.stderr
+    until = time.time() + 30
+    while any(tmp_path.glob("table-*")) and time.time() < until:
+        time.sleep(0.5)
+    assert not list(tmp_path.glob("table-*"))
