@@ -40,11 +40,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    at, files = _path(spark, path)
+    """A new path in a folder of its own, which is deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at, files = _path(spark, folder)
+    files.mkdirs(at)  # only a folder that exists can be marked
     files.deleteOnExit(at)
-    return path
+    return f"{folder}/rows"
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def held(df: DataFrame) -> DataFrame:
     path = fresh_folder(spark, "work")
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._held_path = path
+    table._held_path = path.rsplit("/", 1)[0]
     return table
 
 

@@ -1,7 +1,12 @@
 """Graph training: gradients against finite differences, negatives against plain walks, learning on a small graph."""
 
 import hashlib
+import os
+import subprocess
+import sys
+import time
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -209,3 +214,24 @@ def test_numbered(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     assert [tuple(r) for r in relational.numbered(rows, "k", "n").orderBy("k").collect()] == [(k, n) for n, k in enumerate(sorted(x * 7919 % 1009 for x in range(1000)))]
     assert relational.numbered(rows.limit(0), "k", "n").count() == 0
+
+
+def test_work_tables_go_with_the_application(tmp_path):
+    job = """
+import sys
+from pathlib import Path
+from pyspark.sql import SparkSession
+from recolumn.sources import work
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+here = lambda: len(list(Path(sys.argv[1]).glob("w*-*")))
+with work.scratch() as keep:
+    counts = [keep(spark.range(3)).count(), here()]
+print(*counts, here(), work.held(spark.range(5)).count(), here())
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", job, str(tmp_path)], capture_output=True, text=True, timeout=120, env=os.environ, cwd=Path(__file__).resolve().parents[1])
+    assert done.stdout.split() == ["3", "1", "0", "5", "1"], done.stderr
+    until = time.time() + 30
+    while any(tmp_path.glob("w*-*")) and time.time() < until:
+        time.sleep(0.5)
+    assert not list(tmp_path.glob("w*-*"))
