@@ -235,3 +235,19 @@ spark.stop()
     while any(tmp_path.glob("w*-*")) and time.time() < until:
         time.sleep(0.5)
     assert not list(tmp_path.glob("w*-*"))
+
+
+def test_vectors_are_sent_once_a_block(spark):
+    """Sums leave a block once for each of its nodes, not for each edge; a user with too many edges is dealt in several blocks."""
+    rows = spark.range(60 * 30).selectExpr("id div 30 as user_id", "id % 30 as item_id", "1.0D as rating")
+    names, a = norms(rows.collect())
+    x = np.random.default_rng(4).normal(size=(len(names), 2))
+    nodes = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)], "id string, vector array<double>")
+    edges = graph.degree_norm(graph.bipartite_edges(rows)).persist()
+    for hot, least in ((1000, 60), (4, 200)):
+        packed, parts = (t.persist() for t in graph.dealt_edges(edges, hot))
+        users = parts.where("id like 'u%'").count()
+        assert least <= users and (hot == 4 or users == 60)
+        found = graph.block_sums(packed, parts, nodes, 2)
+        assert found.count() == parts.count() <= users + 30 * packed.count() < edges.count()
+        np.testing.assert_allclose(numbers(names, graph.spread(packed, parts, nodes, 2)), a @ x, atol=1e-12)
