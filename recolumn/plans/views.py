@@ -55,6 +55,15 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(rows, ["user_id", "item_id"], order).select("user_id", "item_id", "rating", "ts", "l_orderkey", "l_linenumber")
 
 
+def last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, item_id and l_linenumber of `purchases`: the line's other columns only part rows that agree in all three."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("o_orderdate").alias("ts"), "l_orderkey", "l_linenumber"
+    )
+    return last_wins(rows, ["user_id", "item_id"], ["ts", "l_orderkey", "l_linenumber"]).select("user_id", "item_id", "l_linenumber")
+
+
 INTERACTIONS = """
 interactions AS (
   SELECT user_id, item_id, rating, ts, event_id FROM (
