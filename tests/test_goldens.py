@@ -210,3 +210,28 @@ def test_block_lists_match_brute_force(spark, measure, with_seen):
         want |= {(user, k): (item, -s) for k, (s, item) in enumerate(sorted(own)[:7], 1)}
     assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(found[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_purchases_are_computed_once(spark):
+    """Users, items and test rows of the overlap come from one table; the join of lines and orders is not repeated."""
+    files = catalog.QUERIES["train_overlap_semi"](spark, DATA).inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)
+
+
+def test_block_lists_across_blocks(spark):
+    """Ties, zero vectors, seen items and vectors of floats over many item blocks: bounds from earlier blocks lose no item."""
+    draw = np.random.default_rng(8)
+    items = np.round(draw.normal(size=(300, 3)), 0)
+    users = np.round(draw.normal(size=(20, 3)), 0)
+    users[0] = 0
+    goods = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(items)], "item_id long, vector array<float>")
+    people = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(users)], "user_id long, vector array<double>")
+    seen = spark.createDataFrame([(u, i) for u in range(20) for i in range(300) if (u * 7 + i) % 5 == 0], "user_id long, item_id long")
+    found = {}
+    for r in recommend.score_blocks(people, goods, 9, "cosine", seen, item_block=12, user_block=8).collect():
+        found.setdefault(r["user_id"], []).append((r["recommendation_rank"], r["item_id"], r["score"]))
+    size = np.linalg.norm(users, axis=1)[:, None] * np.linalg.norm(items, axis=1)
+    score = np.round(np.divide(users @ items.T, size, out=np.zeros_like(size), where=size > 0), 10)
+    for u in range(20):
+        want = sorted((-score[u, i], i) for i in range(300) if (u * 7 + i) % 5)[:9]
+        assert [(i, s) for _, i, s in sorted(found[u])] == [(i, pytest.approx(-s, abs=2e-10)) for s, i in want]
