@@ -111,3 +111,17 @@ def test_prompts_of_requests(spark, kind):
     assert set(got) == {("a", 0), ("a", 1), ("b", 0), ("c", 0)}
     assert got["a", 1] == "Profile: likes t\nLatest ratings:\n- t1: 5\nRate each item from 1 to 5:\n- 10: t10\n- 11: t11"
     assert got["c", 0] == "Profile: \nLatest ratings:\n\nRate each item from 1 to 5:\n- 2: t2"
+
+
+def test_nmf_of_a_user_in_several_blocks(spark, monkeypatch):
+    """Ratings are dealt in blocks; a user with more than a block may hold gets the same factors, and rows without a rating count nothing."""
+    draw = np.random.default_rng(5)
+    full, users, items = draw.integers(1, 6, (3, 20)).astype(float), draw.normal(size=(3, 2)), draw.normal(size=(20, 2))
+    rows = spark.createDataFrame([(u, i, float(full[u, i])) for u in range(3) for i in range(20)] + [(0, 1, None)], "user_id long, item_id long, rating double")
+    monkeypatch.setattr(factor.graph, "HOT", 4)
+    gw, gh = factor.nmf_vectors(rows, vectors(spark, users, "user_id"), vectors(spark, items), 2, 1)
+    w, h = np.maximum(users, 1e-5), np.maximum(items, 1e-5)
+    w = w * (full @ h) / (w @ (h.T @ h) + 1e-9)
+    h = h * (full.T @ w) / (h @ (w.T @ w) + 1e-9)
+    np.testing.assert_allclose(np.array([r["vector"] for r in gw.orderBy("user_id").collect()]), w, rtol=1e-9)
+    np.testing.assert_allclose(np.array([r["vector"] for r in gh.orderBy("item_id").collect()]), h, rtol=1e-9)
