@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recolumn.operators import attention as A
+from recolumn.operators import graph as G
 
 
 def dense(names, x, edges, layer, targets):
@@ -80,3 +81,50 @@ def test_empty_graph(spark, sample):
     *_, edges, nodes = sample
     assert A.attention_stack(edges.limit(0), nodes, layers()[:1]).count() == 15
     assert A.attention_stack(edges.limit(0), nodes.limit(0), layers()[:1]).where(F.size("vector") > 0).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def dense_graph(spark):
+    """Users by items, each rated; one item has no vector and one user is no node."""
+    draw, width = np.random.default_rng(6), 96
+    pairs = [(f"u{u}", f"i{i}", float((u * i) % 5 + 1)) for u in range(40) for i in range(50)]
+    rows = [*pairs, *((d, s, w) for s, d, w in pairs)]
+    x = {n: draw.normal(size=width) for n in [f"u{u}" for u in range(39)] + [f"i{i}" for i in range(50)]}
+    table = spark.createDataFrame([(n, None if n == "i49" else v.tolist()) for n, v in x.items()], "id string, vector array<double>").repartition(4).persist()
+    return rows, x, spark.createDataFrame(rows, "src string, dst string, w double").repartition(4).persist(), table, width
+
+
+@pytest.mark.parametrize("hot", [1000, 7])
+def test_head_sends_no_vector_with_an_edge(spark, dense_graph, hot, request):
+    rows, x, edges, table, width = dense_graph
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    before = shuffled(spark) + 0 * edges.count() * table.count()
+    weights = G.gat_attention(edges, table, **({} if hot == 1000 else {"hot": hot}))
+    got = {(r["src"], r["dst"]): r["alpha"] for r in weights.collect()}
+    found = {r["id"]: r["vector"] for r in G.attend(weights, table, width, **({} if hot == 1000 else {"hot": hot})).collect()}
+    assert hot == 7 or shuffled(spark) - before < len(rows) * width * 8
+    near = {}
+    for s, d, w in rows:
+        near.setdefault(d, []).append((s, w))
+    for d, own in near.items():
+        own = [(s, w) for s, w in [*own, (d, np.mean([w for _, w in own]))] if s in x and d in x]
+        assert not own or {s for s, t in got if t == d} == {s for s, _ in own}
+        if d == "i49":
+            assert all(got[(s, d)] is None for s, _ in own) and set(found[d]) == {None}
+        elif own:
+            assert got.get(("i49", d)) is None
+            own = [(s, w) for s, w in own if s != "i49"]
+            z = np.array([x[s] + x[d] + w for s, w in own])
+            e = np.where(z > 0, z, 0.2 * z).sum(1)
+            a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            np.testing.assert_allclose([got[(s, d)] for s, _ in own], a, atol=1e-9)
+            np.testing.assert_allclose(found[d], sum(k * x[s] for k, (s, _) in zip(a, own, strict=True)), atol=1e-9)
+    assert "u39" not in found
