@@ -1,9 +1,9 @@
 """Graph attention (GATv2) stack: several heads, softmax over incoming edges, layer norm, residual; on all nodes or on sampled blocks.
 
-A layer projects node vectors with its weight matrices in numpy over Arrow batches, scores each edge where
-its two ends meet, takes the largest score of each node and head by a grouped maximum, and sums weighted vectors
-after adding those of one batch. A node's incoming edges never meet in one task. The matrices travel with the task: their size is the
-layer's own, whatever the number of nodes.
+Edges are dealt in blocks once, and a node's vector is sent once to each block that reads it: none travels with an edge. A block
+projects its vectors with the weight matrices, scores its edges and returns one row for each node with incoming edges there: the largest score of each head, and
+the sums of weights and of weighted vectors below it. These rows are put together by node, in buckets of bounded size. The edges of a node
+with very many never meet in one task. The matrices travel with the task: their size is the layer's own, whatever the number of nodes.
 """
 
 from __future__ import annotations
@@ -12,14 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.work import held, scratch
 from .dense import lists, matrix
+from .graph import HOT, directed_blocks, packed, positions, sent
 
 SLOPE, EPSILON = 0.2, 1e-5
+#: Nodes of a bucket in which the blocks' rows are put together, about.
+BUCKET = 4096
 
 
 @dataclass(frozen=True)
@@ -54,93 +58,106 @@ def seeded_layers(width: int, sizes: tuple[int, ...] = (64, 64, 64), heads: tupl
     return out
 
 
-def _project(layer: Layer):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists(x @ layer.left + layer.left_bias), lists(x @ layer.right + layer.right_bias)], names=["id", "left", "right"])
-
-    return run
+PARTIAL = "id string, top array<double>, z array<double>, vector array<double>"
 
 
-def _score(layer: Layer):
+def _attend(layer: Layer, some: int = 1 << 12):
+    """Of each node with incoming edges in the block: the largest score of each head, and sums of exp(score - largest) and of vectors times it."""
     heads, size = layer.score.shape
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                w = batch.column(2).to_numpy(zero_copy_only=False)
-                x = matrix(batch.column(3)) + matrix(batch.column(4)) + np.nan_to_num(w)[:, None] * layer.edge
-                x = np.where(x > 0, x, SLOPE * x).reshape(-1, heads, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.einsum("nhd,hd->nh", x, layer.score))], names=["src", "dst", "e"])
+    def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not edges.num_rows or not vectors.num_rows:
+            return pa.table({"id": pa.array([], pa.string()), **{c: pa.array([], pa.list_(pa.float64())) for c in ("top", "z", "vector")}})
+        names, a, b, w = (edges.column(k).combine_chunks().flatten() for k in range(1, 5))
+        a, b, w = (x.to_numpy(zero_copy_only=False) for x in (a, b, w))
+        at, x = positions(names, vectors), matrix(vectors.column("vector").combine_chunks())
+        left, right = x @ layer.left + layer.left_bias, x @ layer.right + layer.right_bias
+        # an edge takes part if both of its ends have vectors; edges of one node follow each other
+        on = np.flatnonzero((at[a] < len(x)) & (at[b] < len(x)))
+        on = on[np.argsort(b[on], kind="stable")]
+        src, dst, w = at[a[on]], b[on], w[on]
+        first = np.flatnonzero(np.append(True, dst[1:] != dst[:-1])) if len(dst) else np.zeros(0, np.int64)
+        node = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(dst))))
+        to, e = at[dst], np.empty((len(src), heads))
+        for i in range(0, len(src), some):
+            z = left[src[i : i + some]] + right[to[i : i + some]] + w[i : i + some, None] * layer.edge
+            z = np.where(z > 0, z, SLOPE * z).reshape(-1, heads, size)
+            e[i : i + some] = np.einsum("nhd,hd->nh", z, layer.score)
+        top = np.maximum.reduceat(e, first) if len(first) else np.zeros((0, heads))
+        z = np.exp(e - top[node])
+        total, sums = np.zeros((len(first), heads)), np.zeros((len(first), heads * size))
+        for i in range(0, len(src), some):
+            own, share = node[i : i + some], z[i : i + some]
+            part = (left[src[i : i + some]].reshape(-1, heads, size) * share[:, :, None]).reshape(len(own), -1)
+            edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            sums[own[edge]] += np.add.reduceat(part, edge)
+            total[own[edge]] += np.add.reduceat(share, edge)
+        return pa.table({"id": names.take(pa.array(dst[first])), "top": lists(top), "z": lists(total), "vector": lists(sums)})
 
     return run
 
 
-def _weigh(layer: Layer):
-    """Sums by node and head within a batch: of exp(score - largest), and of vectors times it."""
+def _finish(layer: Layer):
+    """New vectors of a bucket's nodes from their blocks' rows and their own vectors."""
     heads, size = layer.score.shape
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = np.exp(matrix(batch.column(1)) - matrix(batch.column(2)))
-            x = matrix(batch.column(3)).reshape(-1, heads, size)
-            ids = batch.column(0).dictionary_encode()
-            at, n = ids.indices.to_numpy(), len(ids.dictionary)
-            total, sums = np.zeros((n, heads)), np.zeros((n, heads, size))
-            np.add.at(total, at, z)
-            np.add.at(sums, at, x * z[:, :, None])
-            names = pa.array(np.repeat(np.arange(n), heads))
-            yield pa.RecordBatch.from_arrays([ids.dictionary.take(names), pa.array(np.tile(np.arange(heads, dtype=np.int32), n)), pa.array(total.ravel()), lists(sums.reshape(-1, size))], names=["id", "head", "z", "vector"])
-
-    return run
-
-
-def _finish(layer: Layer):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, own = matrix(batch.column(1)) + layer.bias, matrix(batch.column(2))
-                x = x - x.mean(1, keepdims=True)
-                x = x / np.sqrt((x * x).mean(1, keepdims=True) + EPSILON) * layer.gain + layer.shift
-                x = np.where(x > 0, x, 0.01 * x)
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists(x + (own if layer.residual is None else own @ layer.residual + layer.residual_bias))], names=["id", "vector"])
+    def run(parts: pa.Table, nodes: pa.Table) -> pa.Table:
+        if not parts.num_rows or not nodes.num_rows:
+            return pa.table({"id": pa.array([], pa.string()), "vector": pa.array([], pa.list_(pa.float64()))})
+        top, z, x = (matrix(parts.column(c).combine_chunks()) for c in ("top", "z", "vector"))
+        ids = nodes.column("id").combine_chunks()
+        at = pc.index_in(parts.column("id").combine_chunks(), value_set=ids).to_numpy(zero_copy_only=False)
+        most = np.full((len(ids), heads), -np.inf)
+        np.maximum.at(most, at, top)
+        share = np.exp(top - most[at])
+        total, sums = np.zeros((len(ids), heads)), np.zeros((len(ids), heads, size))
+        np.add.at(total, at, z * share)
+        np.add.at(sums, at, x.reshape(-1, heads, size) * share[:, :, None])
+        on = np.unique(at)
+        x, own = (sums[on] / total[on][:, :, None]).reshape(len(on), -1) + layer.bias, matrix(nodes.column("vector").combine_chunks())[on]
+        x = x - x.mean(1, keepdims=True)
+        x = x / np.sqrt((x * x).mean(1, keepdims=True) + EPSILON) * layer.gain + layer.shift
+        x = np.where(x > 0, x, 0.01 * x)
+        return pa.table({"id": ids.take(pa.array(on)), "vector": lists(x + (own if layer.residual is None else own @ layer.residual + layer.residual_bias))})
 
     return run
 
 
-def attention_layer(edges: DataFrame, nodes: DataFrame, layer: Layer, keep: scratch, targets: DataFrame | None = None) -> DataFrame:
-    """(id, vector) of all nodes, or of `targets` (id), from their incoming edges (src, dst, w) and a loop each with the mean weight.
+def looped_blocks(edges: DataFrame, ids: DataFrame, keep: scratch, hot: int = HOT) -> DataFrame:
+    """The packed blocks of the edges (src, dst, w) and of a loop with the mean weight at each of `ids`, as a cache.
 
     Without a column w edges have no weight term. A node without edges attends to itself alone.
     """
-    heads, size = layer.score.shape
-    ids = nodes.select("id") if targets is None else targets.select("id")
     edges = edges if "w" in edges.columns else edges.withColumn("w", F.lit(0.0))
     loops = ids.join(edges.groupBy(F.col("dst").alias("id")).agg(F.avg("w").alias("w")), "id", "left").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.coalesce("w", F.lit(0.0)).alias("w"))
     both = edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w")).union(loops)
-    ends = keep.cached(nodes.select("id", V.doubles(F.col("vector")).alias("vector")).mapInArrow(_project(layer), "id string, left array<double>, right array<double>"))
-    left, right = ends.select(F.col("id").alias("src"), "left"), ends.select(F.col("id").alias("dst"), "right")
-    scores = keep.cached(both.join(left, "src").join(right, "dst").select("src", "dst", "w", "left", "right").mapInArrow(_score(layer), "src string, dst string, e array<double>"))
-    top = scores.groupBy("dst").agg(F.array(*[F.max(F.get("e", F.lit(h))) for h in range(heads)]).alias("top"))
-    rows = scores.join(top, "dst").join(left, "src").select("dst", "e", "top", "left").mapInArrow(_weigh(layer), "id string, head int, z double, vector array<double>")
-    sums = rows.groupBy("id", "head").agg(F.sum("z").alias("z"), V.sum_by_position(F.col("vector"), size).alias("vector"))
-    parts = sums.select("id", F.struct("head", F.transform("vector", lambda x: x / F.col("z")).alias("v")).alias("p"))
-    joined = parts.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"])).alias("x"))
-    own = nodes.select("id", V.doubles(F.col("vector")).alias("own"))
-    return joined.join(own, "id").select("id", "x", "own").mapInArrow(_finish(layer), "id string, vector array<double>")
-
-
-def attention_stack(edges: DataFrame, nodes: DataFrame, layers: list[Layer]) -> DataFrame:
+    both = both.select("src", "dst", F.nanvl(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("norm"))
+    return keep.cached(packed(directed_blocks(keep(both), hot)))
+
+
+def attention_layer(blocks: DataFrame, nodes: DataFrame, layer: Layer) -> DataFrame:
+    """(id, vector) of the nodes with incoming edges in the blocks, from a table of nodes (id, vector)."""
+    attends, finish = _attend(layer), _finish(layer)
+    vectors = sent(nodes, blocks.select("block", F.explode("names").alias("id")))
+    parts = blocks.groupBy("block").cogroup(vectors.groupBy("to")).applyInArrow(lambda a, b: attends(a, b), PARTIAL)
+    count = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // BUCKET))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(count)).alias("bucket")
+    return parts.groupBy(bucket).cogroup(nodes.select("id", "vector").groupBy(bucket)).applyInArrow(lambda a, b: finish(a, b), "id string, vector array<double>")
+
+
+def _with_vectors(nodes: DataFrame, keep: scratch) -> DataFrame:
+    """The nodes' table first: a filter on derived vectors would be taken below the step that makes nodes distinct."""
+    return keep(nodes.select("id", V.doubles(F.col("vector")).alias("vector"))).where("vector is not null")
+
+
+def attention_stack(edges: DataFrame, nodes: DataFrame, layers: list[Layer], hot: int = HOT) -> DataFrame:
     """(id, vector) after all layers."""
     with scratch() as keep:
-        edges, rows = keep(edges.select("src", "dst", "w")), nodes
-        for layer in layers:
-            rows = keep(attention_layer(edges, rows, layer, keep))
-        return held(rows)
+        rows = _with_vectors(nodes, keep)
+        blocks = looped_blocks(keep(edges.select("src", "dst", "w")), rows.select("id"), keep, hot)
+        for layer in layers[:-1]:
+            rows = keep(attention_layer(blocks, rows, layer))
+        return held(attention_layer(blocks, rows, layers[-1]))
 
 
 def sampled_blocks(edges: DataFrame, seeds: DataFrame, most: tuple[int, ...], keep: scratch, seed: int = 42) -> list[tuple[DataFrame, DataFrame]]:
@@ -162,7 +179,7 @@ def sampled_stack(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, layers:
         blocks = sampled_blocks(edges, seeds, most, keep, seed)
         # the first block reads its targets and their sampled neighbours
         first = blocks[0][1].union(blocks[0][0].select(F.col("src").alias("id"))).distinct()
-        rows = keep(nodes.join(first, "id", "left_semi"))
+        rows = _with_vectors(nodes.join(first, "id", "left_semi"), keep)
         for layer, (block, targets) in zip(layers, blocks, strict=True):
-            rows = keep(attention_layer(block, rows, layer, keep, targets))
+            rows = keep(attention_layer(looped_blocks(block, targets, keep), rows, layer))
         return held(rows)

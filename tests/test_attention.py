@@ -128,3 +128,26 @@ def test_head_sends_no_vector_with_an_edge(spark, dense_graph, hot, request):
             np.testing.assert_allclose([got[(s, d)] for s, _ in own], a, atol=1e-9)
             np.testing.assert_allclose(found[d], sum(k * x[s] for k, (s, _) in zip(a, own, strict=True)), atol=1e-9)
     assert "u39" not in found
+
+
+@pytest.mark.parametrize("hot", [1000, 7])
+def test_stack_sends_no_vector_with_an_edge(spark, dense_graph, hot, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    rows, x, edges, table, width = dense_graph
+    layers = A.seeded_layers(width, (24, 24), (4, 4))
+    names = sorted(set(x) - {"i49"})
+    near = {}
+    for s, d, w in rows:
+        if s in names and d in names:
+            near.setdefault(d, []).append((s, w))
+    # a loop has the mean weight of all edges, those from nodes without a vector too
+    edges = edges.where(F.col("src").isin(names) & F.col("dst").isin(names))
+    want = np.array([x[n] for n in names])
+    for layer in layers:
+        want = dense(names, want, near, layer, names)
+    before = shuffled(spark)
+    got = {r["id"]: r["vector"] for r in A.attention_stack(edges, table, layers, **({} if hot == 1000 else {"hot": hot})).collect()}
+    assert hot == 7 or shuffled(spark) - before < len(layers) * len(rows) * width * 8
+    np.testing.assert_allclose(np.array([got[n] for n in names]), want, atol=1e-9)
+    assert "i49" not in got
