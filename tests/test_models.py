@@ -125,3 +125,12 @@ def test_nmf_of_a_user_in_several_blocks(spark, monkeypatch):
     h = h * (full.T @ w) / (h @ (w.T @ w) + 1e-9)
     np.testing.assert_allclose(np.array([r["vector"] for r in gw.orderBy("user_id").collect()]), w, rtol=1e-9)
     np.testing.assert_allclose(np.array([r["vector"] for r in gh.orderBy("item_id").collect()]), h, rtol=1e-9)
+
+
+def test_few_items_get_few_als_blocks(spark, monkeypatch):
+    """Each user's factors go to every block of items in each round; few items beside many users do not make ten."""
+    assert [factor.item_blocks(*k) for k in ((540_000, 100), (1000, 500), (10, 1000), (0, 0))] == [3, 5, 10, 3]
+    taken, als = {}, factor.ALS
+    monkeypatch.setattr(factor, "ALS", lambda **k: taken.update(k) or als(**k))
+    rows = spark.range(60 * 6).selectExpr("id div 6 as user_id", "(id * 7 + id div 6) % 12 as item_id", "CAST(id % 5 + 1 AS INT) as rating")
+    assert factor.als_top_n(rows, 3, rounds=2).count() > 0 and taken["numItemBlocks"] == 3
