@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recolumn.functions import vectors as V
-from recolumn.operators import graph, relational, train
+from recolumn.operators import blocks, graph, relational, train
 from recolumn.sources import work
 
 
@@ -251,3 +251,77 @@ def test_vectors_are_sent_once_a_block(spark):
         found = graph.block_sums(packed, parts, nodes, 2)
         assert found.count() == parts.count() <= users + 30 * packed.count() < edges.count()
         np.testing.assert_allclose(numbers(names, graph.spread(packed, parts, nodes, 2)), a @ x, atol=1e-12)
+
+
+def test_own_nodes_stay_in_their_block(spark):
+    """Layers and gradients by blocks are those of the whole matrix; only items, and users dealt in several blocks, are sent."""
+    rows = spark.range(60 * 30).where("id % 7 < 5").selectExpr("id div 30 as user_id", "id % 30 as item_id", "1.0D as rating")
+    names, a = norms(rows.collect())
+    x = np.random.default_rng(4).normal(size=(len(names), 2))
+    nodes = spark.createDataFrame([(n, v.tolist()) for n, v in zip([*names, "i99"], [*x, np.ones(2)], strict=True)], "id string, vector array<double>")
+    edges = graph.degree_norm(graph.bipartite_edges(rows)).persist()
+    want = sum(np.linalg.matrix_power(a, k) @ x for k in range(4)) / 4
+    np.testing.assert_allclose(numbers([*names, "i99"], blocks.propagate(edges, nodes, 2)), [*want, [0.25, 0.25]], atol=1e-12)
+    for hot in (1000, 4):
+        with work.scratch() as keep:
+            net = blocks.net(edges, keep, hot)
+            assert net.crossed == (hot == 4)
+            assert (net.parts.where("id like 'u%'").count() == 0) == (hot == 1000) and net.homes.count() == (60 if hot == 1000 else 0)
+            own = net.placed(nodes, 2)
+            shared = net.layers(own, nodes.join(net.homes.select("id"), "id", "left_anti"), 2, 3, keep)
+            assert shared.count() == len(names) + 1 - net.homes.count()
+            np.testing.assert_allclose(numbers(names, blocks.layer_mean(net, own, shared, 2, 3)), want, atol=1e-12)
+
+
+def test_block_gradient(spark):
+    """One epoch's gradients by blocks, with an edge share left out, are those of the shuffled form."""
+    rows = ratings(spark, 12, 9)
+    s = replace(SETTINGS, width=3, layers=3, drop=0.2, cosine=0.5)
+    with work.scratch() as keep:
+        g = train._Graph(rows, s, keep)
+        net, start = g.dropped(1, keep), g.start(None)
+        ids = [r["id"] for r in start.nodes(g).collect()]
+        key = V.portable_hash(s.seed, "drop", 1, F.least("src", "dst"), F.greatest("src", "dst"))
+        edges = graph.degree_norm(graph.bipartite_edges(rows)).where(key % 1_000_000 >= 200_000).withColumn("norm", F.col("norm") / 0.8)
+        edges, parts = graph.dealt_edges(edges)
+        z = keep(train.layer_mean(edges, parts, keep(start.nodes(g)), 3, 3, keep))
+        pairs = keep(g.pairs(1, keep)[0].select(F.explode("pairs").alias("p")).select("p.*"))
+        loss, grad = train.pair_step(pairs, z, 3, "bpr", s.cosine, keep)
+        want = numbers(ids, train.layer_mean(edges, parts, grad, 3, 3, keep))
+        mine = start.own.select("block", "vector")
+        layers = net.layers(mine, start.shared, 3, 3, keep)
+        got, own, shared = train._pair_pass(g, net, 1, train._light_finals(3, 3), layers, 12, 3, mine, "bpr", keep)
+        np.testing.assert_allclose(numbers(ids, blocks.layer_mean(net, own, net.layers(own, shared, 3, 3, keep), 3, 3)), want, atol=1e-12)
+    assert abs(got - loss) < 1e-12
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_ngcf_block_gradient(spark, hot):
+    """NGCF by blocks gives the loss and gradients of the shuffled form, also where users are dealt in several blocks."""
+    rows = ratings(spark, 12, 9)
+    s = replace(SETTINGS, width=3, layers=2, drop=0.0)
+    draw = np.random.default_rng(2)
+    weights = [draw.normal(size=(3, 3)) for _ in range(4)]
+    with work.scratch() as keep:
+        g = train._Graph(rows, s, keep)
+        g.net, start = blocks.net(graph.degree_norm(graph.bipartite_edges(rows)), keep, hot), None
+        start = g.start(None)
+        nodes = keep(start.nodes(g))
+        ids = [r["id"] for r in nodes.collect()]
+        edges, parts = graph.dealt_edges(graph.degree_norm(graph.bipartite_edges(rows)))
+        tables = train.ngcf_forward(edges, parts, nodes, weights, 3, keep, 4, 0.3, 7)
+        pairs = keep(g.pairs(1, keep)[0].select(F.explode("pairs").alias("p")).select("p.*"))
+        loss, grad = train.pair_step(pairs, keep(train.joined_layers(tables)), 9, "cross_entropy", 0.0, keep)
+        want, totals = train.ngcf_backward(edges, parts, tables, keep(grad), weights, 3, keep, 4, 0.3, 7)
+        step = train._Ngcf(weights, 3, 4, 0.3, 7)
+        mine = start.own.select("block", "vector")
+        shared = step.shared_layers(g.net, mine, start.shared, keep)
+        np.testing.assert_allclose(numbers(ids, step.joined(g.net, mine, shared)), numbers(ids, train.joined_layers(tables)), atol=1e-12)
+        got, own, theirs = train._pair_pass(g, g.net, 1, step.finals, shared.select("id", "vector"), 9, 9, mine, "cross_entropy", keep)
+        via, last, found = step.gradients(g.net, mine, own.withColumnRenamed("vector", "grad"), shared, theirs, keep)
+        run = lambda block: train.pa.table({"id": block.own, "vector": train.lists(step.own_gradient(block))})
+        both = g.net.over(run, train.NODE, via, 4 * 3, mine, own.withColumnRenamed("vector", "grad")).union(last)
+        np.testing.assert_allclose(numbers(ids, both), numbers(ids, want), atol=1e-12)
+    assert abs(got - loss) < 1e-12
+    for a, b in zip(found, totals, strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-12)
