@@ -143,14 +143,6 @@ def layer_mean(edges: DataFrame, parts: DataFrame, rows: DataFrame, width: int,
     return now.select("id", F.transform("vector", lambda x: x / (layers + 1)).alias("vector"))
 
 
-def propagate(edges: DataFrame, nodes: DataFrame, width: int, layers: int = 3) -> DataFrame:
-    """Mean over layers 0..n of neighbourhood sums weighted by `norm`: (id, vector), as a table of the session."""
-    with scratch() as keep:
-        rows = keep.cached(by_block(listed_edges(keep(edges.select("src", "dst", "norm")))))
-        own = keep(nodes.select("id", V.doubles(F.col("vector")).alias("vector")))
-        return held(layer_mean(keep.cached(packed(rows)), keep.cached(needed(rows, "src", "dst")), own, width, layers, keep))
-
-
 def ngcf_layer(edges: DataFrame, nodes: DataFrame, w1: float = 1.0, w2: float = 1.0) -> DataFrame:
     """One layer with fixed scalar weights: leaky(w1 * (x_i + sum norm x_j) + w2 * sum norm (x_i * x_j))."""
     sent = edges.join(nodes.select(F.col("id").alias("src"), F.col("vector").alias("xj")), "src")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import agreement, cluster, embed, graph, metrics, recommend, rerank, simulate
+from ..operators import agreement, blocks, cluster, embed, graph, metrics, recommend, rerank, simulate
 from ..operators import relational as R
 from ..sources import tables
-from ..sources.work import held
+from ..sources.work import held, scratch
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,9 +428,9 @@ nodes AS (SELECT 'i' || item_id AS id, vector FROM items WHERE item_id IN (SELEC
   UNION ALL """ + NORMALS + """)"""
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str, train: DataFrame | None = None) -> DataFrame:
     """64 features for each node: the item's vector, or seeded normal values for users."""
-    train = views.train(spark, sf_dir)
+    train = views.train(spark, sf_dir) if train is None else train
     items = views.items(spark, sf_dir).join(train, "item_id", "left_semi").select(F.concat(F.lit("i"), "item_id").alias("id"), V.doubles(F.col("vector")).alias("vector"))
     users = train.select(F.concat(F.lit("u"), "user_id").alias("id")).distinct()
     return items.unionByName(users.select("id", V.normals(F.col("id"), views.WIDTH).alias("vector")))
@@ -453,8 +453,10 @@ _LAYERS = ["l0 AS (SELECT id, p, vector[p] AS x FROM nodes, (SELECT unnest(range
 
 @query(_with(_EDGES, *_LAYERS) + "SELECT id, p, round((l0.x + l1.x + l2.x + l3.x) / 4, 6) AS x FROM l0 JOIN l1 USING (id, p) JOIN l2 USING (id, p) JOIN l3 USING (id, p)")
 def lightgcn_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.degree_norm(graph.bipartite_edges(views.train(spark, sf_dir)))
-    rows = graph.propagate(edges, _nodes(spark, sf_dir), views.WIDTH).select("id", F.posexplode("vector").alias("p", "x"))
+    with scratch() as keep:
+        train = keep(views.train(spark, sf_dir).select("user_id", "item_id", "rating"))  # read for edges, degrees and nodes
+        edges = graph.degree_norm(graph.bipartite_edges(train))
+        rows = blocks.propagate(edges, _nodes(spark, sf_dir, train), views.WIDTH).select("id", F.posexplode("vector").alias("p", "x"))
     return rows.select("id", (F.col("p") + 1).cast("long").alias("p"), *_r("x"))
 
 
