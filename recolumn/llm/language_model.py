@@ -50,6 +50,7 @@ BATCH, RATE = 256, 0.01
 TASK_SUBWORDS, AVERAGERS = 2_000_000, 16
 FREQUENT = 300_000
 SLICE = 4 << 20
+FETCH, SCORED = 32 * BATCH, 1024
 _END_HASH = 0x5BD1E995
 
 
@@ -64,6 +65,13 @@ def vocabulary(path: str | None = None) -> dict[bytes, int]:
     return {token: rank for token, rank in ranks.items() if rank < VOCAB}
 
 
+def opening(ranks: dict[bytes, int]) -> np.ndarray:
+    """Which subwords open a word."""
+    opens = np.zeros(VOCAB + 1, bool)
+    opens[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
+    return opens
+
+
 class Subwords:
     """Cuts the distinct words of a slice into subword ids."""
 
@@ -71,8 +79,7 @@ class Subwords:
         import tiktoken
 
         self.encoding = tiktoken.Encoding("subwords", pat_str=r" [^ ]*", mergeable_ranks=ranks, special_tokens={})
-        self.opens = np.zeros(VOCAB, bool)
-        self.opens[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
+        self.opens = opening(ranks)
 
     def words(self, body, starts, ends):
         """Ids of the words joined, and where each word's ids begin (one entry more)."""
@@ -84,27 +91,36 @@ class Subwords:
         return ids, np.append(np.flatnonzero(self.opens[ids]) if len(ids) else [], len(ids)).astype(np.int64)
 
 
-class Tokens:
-    """Words and subword stream of the rows of a slice."""
+class Stream:
+    """The subword stream of some texts; every text closes with an end."""
 
-    def __init__(self, body, at, subwords: Subwords):
-        starts, ends, words = tx.spans(body, at, tx.SPACED)
-        self.rows, self.counts = len(at) - 1, np.diff(words)
-        h = tx.hashes(body, starts, ends)
-        self.hash, first, self.word = np.unique(h, return_index=True, return_inverse=True)
-        ids, where = subwords.words(body, starts[first], ends[first])
-        self.row = np.repeat(np.arange(self.rows), self.counts)
-        length = np.diff(where)[self.word]
-        # one end behind each row's subwords
-        self.lengths = np.bincount(self.row, length, minlength=self.rows).astype(np.int64) + 1
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.full(int(self.lengths.sum()), END, np.int64)
-        self.word_at = np.cumsum(length) - length + self.row
-        self.ids[np.repeat(self.word_at, length) + tx.ranges(length)] = ids[np.repeat(where[:-1][self.word], length) + tx.ranges(length)]
-        self.inputs = np.empty_like(self.ids)
-        self.inputs[1:] = self.ids[:-1]
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.ids, self.lengths, self.rows = ids, lengths, len(lengths)
+        self.starts = np.cumsum(lengths) - lengths
+        self.inputs = np.empty_like(ids)
+        self.inputs[1:] = ids[:-1]
         self.inputs[self.starts] = END
 
+    @staticmethod
+    def of(column: pa.Array):
+        """Streams of the texts of a column of subwords, SLICE bytes at a time, each with its range of rows."""
+        body, at = tx.buffers(column)
+        for i, j in tx.slices(at, SLICE):
+            ids, where = tx.cut(body, at, i, j)
+            yield i, j, Stream(ids.view(np.uint16), np.diff(where) // 2)
+
+    def column(self) -> pa.Array:
+        """The subwords of each text as bytes."""
+        at = np.append(self.starts, len(self.ids)) * 2
+        return pa.Array.from_buffers(pa.binary(), self.rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(self.ids)])
+
+    def words(self, opens: np.ndarray):
+        """The texts' words: the row and the hash of each."""
+        at = np.append(np.flatnonzero((opens | (np.arange(VOCAB + 1) == END)).take(self.ids)), len(self.ids))
+        word = np.flatnonzero(self.ids.take(at[:-1]) != END)
+        starts = at.take(word)
+        return np.searchsorted(self.starts, starts, side="right") - 1, tx.hashes(self.ids, starts, at.take(word + 1), None)
+
     def windows(self):
         """Place of each window's first target in the stream, its row's start and its number of targets."""
         n = -(-self.lengths // BLOCK)
@@ -115,14 +131,38 @@ class Tokens:
     def keys(self, first, start):
         """Input ids of the keys of some windows."""
         at = first[:, None] + np.arange(-CONTEXT, BLOCK)[None, :]
-        keys = self.inputs[np.clip(at, 0, len(self.inputs) - 1)]
-        keys[at < start[:, None]] = PAD
+        keys = self.inputs.take(at, mode="clip")
+        early = np.flatnonzero(at[:, 0] < start)  # only these begin before their text
+        keys[early] = np.where(at[early] < start[early, None], keys.dtype.type(PAD), keys[early])
         return keys
 
     def targets(self, first, size):
         """Target ids of some windows and which of them belong to the text."""
         at, valid = first[:, None] + np.arange(BLOCK)[None, :], np.arange(BLOCK)[None, :] < size[:, None]
-        return self.ids[np.minimum(at, len(self.ids) - 1)], valid
+        return self.ids.take(at, mode="clip"), valid
+
+
+class Tokens(Stream):
+    """Words and subword stream of the rows of a slice."""
+
+    def __init__(self, body, at, subwords: Subwords):
+        starts, ends, words = tx.spans(body, at, tx.SPACED)
+        self.counts = np.diff(words)
+        _, first, self.word = np.unique(tx.hashes(body, starts, ends), return_index=True, return_inverse=True)
+        ids, where = subwords.words(body, starts[first], ends[first])
+        self.hash = tx.hashes(ids, where[:-1], where[1:], None)
+        self.row = np.repeat(np.arange(len(at) - 1), self.counts)
+        length = np.diff(where).take(self.word)
+        # one end behind each row's subwords
+        lengths = np.bincount(self.row, length, minlength=len(at) - 1).astype(np.int64) + 1
+        stream, ends = np.full(int(lengths.sum()), END, np.uint16), np.cumsum(lengths) - 1
+        inside = np.ones(len(stream), bool)
+        inside[ends] = False
+        shift = where.take(self.word) - (np.cumsum(length) - length)
+        place = np.repeat(shift, length)
+        place += np.arange(len(place))
+        stream[inside] = ids.astype(np.uint16).take(place)
+        super().__init__(stream, lengths)
 
 
 class Model:
@@ -156,93 +196,110 @@ class Model:
             at += w.size
 
     def tables(self):
+        """Query, key and value of each id, those of keys side by side, and the bias of each lag."""
         w = self.weights
         i, j = np.arange(BLOCK)[:, None] + CONTEXT, np.arange(CONTEXT + BLOCK)[None, :]
         bias = np.where(j <= i, w["lag"][np.maximum(i - j, 0)], -1e4).astype(np.float32)
-        return w["e"] @ w["q"] * np.float32(WIDTH**-0.5), w["e"] @ w["k"], w["e"] @ w["v"], bias
+        return w["e"] @ w["q"] * np.float32(WIDTH**-0.5), w["e"] @ np.concatenate([w["k"], w["v"]], axis=1), bias
 
     def attend(self, keys: np.ndarray, tables):
-        q, k, v, bias = tables
-        q, k, v = q[keys[:, CONTEXT:]], k[keys], v[keys]
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        q, kv, bias = tables
+        q, kv = q.take(keys[:, CONTEXT:], axis=0), kv.take(keys, axis=0)
+        a = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1))
         a += bias
         np.exp(np.minimum(a, 30, out=a), out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        return np.matmul(a, v), (q, k, v, a)
-
-    def _groups(self, group: np.ndarray):
-        """Targets ordered by group, and the range and members' weights of each group that occurs."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        parts = [(edges[n], edges[n + 1], slice(n * GROUP, (n + 1) * GROUP)) for n in range(GROUPS) if edges[n + 1] > edges[n]]
-        return order, parts
+        # sums are divided by the total weight instead of each weight
+        total = (a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], a.dtype)).reshape(*a.shape[:2], 1)
+        c = np.matmul(a, kv[:, :, WIDTH:])
+        c /= total
+        return c, (q, kv, a, total)
+
+    @staticmethod
+    def _by_group(targets: np.ndarray, valid: np.ndarray):
+        """Places of the valid targets, ordered by group, and the range and members of each group that occurs."""
+        at = np.flatnonzero(valid.ravel())
+        group = (targets.ravel() // GROUP).astype(np.uint8).take(at)
+        order = np.argsort(group, kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))).tolist()
+        return at.take(order), [(edges[n], edges[n + 1], slice(n * GROUP, (n + 1) * GROUP)) for n in range(GROUPS) if edges[n + 1] > edges[n]]
+
+    def _weights_of(self, x, y, c, parts):
+        """Not yet normalised: probabilities of all groups and of the members of the target's group, with the target's place in each."""
+        each, group = np.arange(len(y)), y // GROUP
+        p = c @ self.weights["g"].T
+        p += self.group_log.take(x, axis=0)
+        inside = np.empty((len(y), GROUP), c.dtype)
+        for i, j, own in parts:
+            np.dot(c[i:j], self.weights["u"][own].T, out=inside[i:j])
+        inside += self.member_log.reshape(-1, GROUP).take(x * GROUPS + group, axis=0)
+        return (np.exp(p, out=p), each * GROUPS + group), (np.exp(inside, out=inside), each * GROUP + y % GROUP)
 
     def log_probability(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray, tables) -> np.ndarray:
         """Natural logarithms of the valid targets, in order."""
-        c = self.attend(keys, tables)[0][valid]
-        x, y, u = keys[:, CONTEXT:][valid], targets[valid], self.weights["u"]
-        group, member, each = y // GROUP, y % GROUP, np.arange(len(y))
-        p = self.group_log[x]
-        p += c @ self.weights["g"].T
-        out = p[each, group]
-        out -= np.log(np.exp(p, out=p).sum(axis=1))
-        order, parts = self._groups(group)
-        c, p = c[order], self.member_log[x[order], group[order]]
-        for i, j, own in parts:
-            p[i:j] += c[i:j] @ u[own].T
-        inside = p[each, member[order]]
-        inside -= np.log(np.exp(p, out=p).sum(axis=1))
-        out[order] += inside
-        return out
+        order, parts = self._by_group(targets, valid)
+        keys = keys.astype(np.intp)
+        c = self.attend(keys, tables)[0].reshape(-1, WIDTH).take(order, axis=0)
+        x, y = keys[:, CONTEXT:].ravel().take(order), targets.ravel().take(order).astype(np.intp)
+        own, whole = 1, 1
+        for p, at in self._weights_of(x, y, c, parts):
+            own, whole = own * p.ravel().take(at).astype(np.float64), whole * (p @ np.ones(p.shape[1], p.dtype)).astype(np.float64)
+        out = np.empty(targets.size)
+        out[order] = np.log(own / whole)
+        return out[valid.ravel()]
 
     def gradients(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray):
         """Mean loss of the valid targets and its gradients."""
-        w, (_, _, _, bias) = self.weights, (tables := self.tables())
-        c, (q, k, v, a) = self.attend(keys, tables)
-        c, x, y = c[valid], keys[:, CONTEXT:][valid], targets[valid]
-        group, member, each, n = y // GROUP, y % GROUP, np.arange(len(y)), len(y)
-        p = self.group_log[x]
-        p += c @ w["g"].T
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[each, group]).sum()
-        p[each, group] -= 1
-        grad = {"g": p.T @ c, "u": np.zeros_like(w["u"])}
+        w, keys, (_, _, bias) = self.weights, keys.astype(np.intp), (tables := self.tables())
+        order, parts = self._by_group(targets, valid)
+        sums, (q, kv, a, total) = self.attend(keys, tables)
+        c = sums.reshape(-1, WIDTH).take(order, axis=0)
+        x, y, n = keys[:, CONTEXT:].ravel().take(order), targets.ravel().take(order).astype(np.intp), len(order)
+        (p, at), (inside, member) = self._weights_of(x, y, c, parts)
+
+        def errors(p, at):
+            """Loss; turns p into errors times the sums, and returns what divides them."""
+            whole, flat = p @ np.ones(p.shape[1], p.dtype), p.reshape(-1)
+            own = flat.take(at)
+            flat[at] = own - whole
+            return (np.log(whole) - np.log(own)).sum(), 1 / whole[:, None]
+
+        loss, share = errors(p, at)
+        grad = {"g": p.T @ (c * share), "u": np.zeros_like(w["u"])}
         back = p @ w["g"]
-        order, parts = self._groups(group)
-        p, own_c, member = self.member_log[x[order], group[order]], c[order], member[order]
-        for i, j, own in parts:
-            p[i:j] += own_c[i:j] @ w["u"][own].T
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        loss -= np.log(p[each, member]).sum()
-        p[each, member] -= 1
-        inside = np.empty_like(own_c)
+        back *= share
+        more, share = errors(inside, member)
+        scaled, part = c * share, np.empty_like(c)
         for i, j, own in parts:
-            grad["u"][own] = p[i:j].T @ own_c[i:j]
-            inside[i:j] = p[i:j] @ w["u"][own]
-        back[order] += inside
-        dc = np.zeros((*targets.shape, WIDTH), np.float32)
-        dc[valid] = back
-        ds = np.matmul(dc, v.transpose(0, 2, 1))
-        ds -= (ds * a).sum(axis=2, keepdims=True)
+            np.dot(inside[i:j].T, scaled[i:j], out=grad["u"][own])
+            np.dot(inside[i:j], w["u"][own], out=part[i:j])
+        part *= share
+        back += part
+        dc = np.zeros((targets.size, WIDTH), c.dtype)
+        dc[order] = back
+        dc = dc.reshape(sums.shape)
+        dc /= total
+        ds = np.matmul(dc, kv[:, :, WIDTH:].transpose(0, 2, 1))
+        ds -= ((dc * sums).reshape(-1, WIDTH) @ np.ones(WIDTH, c.dtype)).reshape(total.shape)
         ds *= a
-        dv, dq, dk = np.matmul(a.transpose(0, 2, 1), dc), np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-
-        def scatter(ids, values):
-            order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
-            ids, out = ids.ravel()[order], np.zeros((VOCAB + 2, values.shape[2]), np.float32)
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            out[ids[first]] = np.add.reduceat(values.reshape(-1, values.shape[2])[order], first, axis=0)
-            return out
-
-        tq, both = scatter(keys[:, CONTEXT:], dq) * np.float32(WIDTH**-0.5), scatter(keys, np.concatenate([dk, dv], axis=2))
-        tk, tv = both[:, :WIDTH], both[:, WIDTH:]
-        grad["e"] = tq @ w["q"].T + tk @ w["k"].T + tv @ w["v"].T
-        grad["q"], grad["k"], grad["v"] = w["e"].T @ tq, w["e"].T @ tk, w["e"].T @ tv
+        # gradients of the places' queries, keys and values side by side, summed by id
+        d = np.empty((*keys.shape, 3 * WIDTH), c.dtype)
+        d[:, :CONTEXT, :WIDTH] = 0
+        np.matmul(ds, kv[:, :, :WIDTH], out=d[:, CONTEXT:, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dc, out=d[:, :, 2 * WIDTH :])
+        ids, by_id = keys.ravel(), np.argsort(keys.ravel().astype(np.uint16), kind="stable")
+        ids, rows = ids.take(by_id), d.reshape(-1, 3 * WIDTH).take(by_id, axis=0)
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        t = np.zeros((VOCAB + 2, 3 * WIDTH), c.dtype)
+        # a complex number is two columns: half as many sums
+        t[ids[first]] = np.add.reduceat(rows.view(np.result_type(c.dtype, np.complex64)), first, axis=0).view(c.dtype)
+        t[:, :WIDTH] *= np.float32(WIDTH**-0.5)
+        grad["e"] = t @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+        whole = w["e"].T @ t
+        grad["q"], grad["k"], grad["v"] = whole[:, :WIDTH], whole[:, WIDTH : 2 * WIDTH], whole[:, 2 * WIDTH :]
         i, j = np.arange(BLOCK)[:, None] + CONTEXT, np.arange(CONTEXT + BLOCK)[None, :]
         grad["lag"] = np.bincount(np.maximum(i - j, 0).ravel(), (ds.sum(axis=0) * (j <= i)).ravel(), minlength=CONTEXT + BLOCK).astype(np.float32)
-        return loss / n, {name: g / n for name, g in grad.items()}
+        return (loss + more) / n, {name: g / n for name, g in grad.items()}
 
 
 class Learner:
@@ -250,69 +307,87 @@ class Learner:
 
     def __init__(self, model: Model, rate: float = RATE):
         self.model, self.rate, self.steps = model, rate, 0
-        self.first, self.second = ({n: np.zeros_like(w) for n, w in model.weights.items()} for _ in range(2))
+        self.first, self.second = (np.zeros(sum(w.size for w in model.weights.values()), np.float32) for _ in range(2))
 
     def step(self, keys: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> float:
         loss, grad = self.model.gradients(keys, targets, valid)
         self.steps += 1
-        for n, g in grad.items():
-            self.first[n] += 0.1 * (g - self.first[n])
-            self.second[n] += 0.02 * (g * g - self.second[n])
-            step = self.rate * (self.first[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[n] / (1 - 0.98**self.steps)) + 1e-8)
-            self.model.weights[n] = self.model.weights[n] - step.astype(np.float32)
+        g = np.concatenate([grad[n].ravel() for n in self.model.weights])
+        self.first += 0.1 * (g - self.first)
+        g *= g
+        self.second += 0.02 * (g - self.second)
+        step = np.sqrt(self.second * (1 / (1 - 0.98**self.steps)))
+        step += 1e-8
+        np.divide(self.first, step, out=step)
+        step *= self.rate / (1 - 0.9**self.steps)
+        at = 0
+        for n, w in self.model.weights.items():
+            self.model.weights[n] = w - step[at : at + w.size].reshape(w.shape)
+            at += w.size
         return float(loss)
 
-    def learn(self, tokens: Tokens, seed: int) -> int:
+    def learn(self, tokens: Stream, seed: int) -> int:
         """Steps over all windows of some texts in seeded order; their number."""
         first, start, size = tokens.windows()
         order = np.random.default_rng(seed).permutation(len(first))
-        for i in range(0, len(order), BATCH):
-            at = order[i : i + BATCH]
-            self.step(tokens.keys(first[at], start[at]), *tokens.targets(first[at], size[at]))
+        for i in range(0, len(order), FETCH):
+            at = order[i : i + FETCH]
+            keys, targets, valid = tokens.keys(first[at], start[at]), *tokens.targets(first[at], size[at])
+            for j in range(0, len(at), BATCH):
+                self.step(keys[j : j + BATCH], targets[j : j + BATCH], valid[j : j + BATCH])
         return len(first)
 
 
-def _rows(kind, key, value):
-    cols = [np.full(len(key), kind, np.int32), np.asarray(key, np.int64), np.asarray(value, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "key", "value"])
+WORD, PAIR, TEXT = 0, 1, 2
 
 
-WORD, PAIR = 0, 1
+def _rows(kind, key, value, ids, train=None, subwords=None):
+    """ids: of the texts, or the type of ids for rows that belong to no text."""
+    n = len(key)
+    empty = [pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, ids) if isinstance(ids, pa.DataType) else ids]
+    own = empty if train is None else [pa.array(train), subwords, ids]
+    cols = [np.full(n, kind, np.int32), np.asarray(key, np.int64), np.asarray(value, np.int64)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *own], names=["kind", "key", "value", "train", "subwords", "id"])
 
 
-def _count(ranks):
-    """Word counts of each batch and subword pairs of each task."""
+def _read(ranks):
+    """Each text's key, number of words and subwords; of the training texts, word counts of each batch and subword pairs of each task."""
 
     def run(batches):
-        subwords, pairs = Subwords(ranks), np.zeros((VOCAB + 1) ** 2, np.int64)
+        subwords, pairs, number, kind = Subwords(ranks), np.zeros((VOCAB + 1) ** 2, np.int64), 0, pa.null()
         for batch in batches:
-            body_all, at_all = tx.buffers(batch.column(0))
-            hashes, counts = [np.array([_END_HASH], np.uint64)], [np.array([batch.num_rows])]
+            ids, train = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            body_all, at_all = tx.buffers(batch.column(1))
+            keys, kind = row_keys(number, len(ids)), ids.type
+            number += len(ids)
+            hashes, counts = [np.array([_END_HASH], np.uint64)], [np.array([train.sum()])]
             for i, j in tx.slices(at_all, SLICE):
-                t = Tokens(*tx.cut(body_all, at_all, i, j), subwords)
+                t, own = Tokens(*tx.cut(body_all, at_all, i, j), subwords), train[i:j]
                 hashes.append(t.hash)
-                counts.append(np.bincount(t.word, minlength=len(t.hash)))
-                pairs += np.bincount(t.inputs * (VOCAB + 1) + t.ids, minlength=len(pairs))
+                counts.append(np.bincount(t.word[own.take(t.row)], minlength=len(t.hash)))
+                pair = t.inputs.astype(np.int64) * (VOCAB + 1) + t.ids
+                pairs += np.bincount(pair[np.repeat(own, t.lengths)], minlength=len(pairs))
+                yield _rows(TEXT, keys[i:j], t.counts + 1, ids.slice(i, j - i), own, t.column())
             h, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
             total = np.bincount(inverse, np.concatenate(counts), minlength=len(h)).astype(np.int64)
+            h, total = tx.signed(h)[total > 0], total[total > 0]
             for i in range(0, len(h), 100_000):
-                yield _rows(WORD, tx.signed(h)[i : i + 100_000], total[i : i + 100_000])
+                yield _rows(WORD, h[i : i + 100_000], total[i : i + 100_000], kind)
         on = np.flatnonzero(pairs)
         for i in range(0, len(on), 100_000):
-            yield _rows(PAIR, on[i : i + 100_000], pairs[on[i : i + 100_000]])
+            yield _rows(PAIR, on[i : i + 100_000], pairs[on[i : i + 100_000]], kind)
 
     return run
 
 
-def _train(model, ranks):
+def _train(model):
     """The weights that a task has learned from its texts, times its windows."""
 
     def run(batches):
-        subwords, learner, n = Subwords(ranks), Learner(copy.deepcopy(model.value)), 0
+        learner, n = Learner(copy.deepcopy(model.value)), 0
         for batch in batches:
-            body_all, at_all = tx.buffers(batch.column(0))
-            for i, j in tx.slices(at_all, SLICE):
-                n += learner.learn(Tokens(*tx.cut(body_all, at_all, i, j), subwords), n)
+            for _, _, texts in Stream.of(batch.column(0)):
+                n += learner.learn(texts, n)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([learner.model.pack()]), pa.array([float(n)])], names=["weights", "n"])
 
@@ -324,46 +399,44 @@ def _weighted_sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"weights": [total.tobytes()], "n": [rows.n.sum()]})
 
 
-def fit(texts: DataFrame, counted: DataFrame, ranks: dict) -> Model:
-    """texts: one column; counted: the rows of `_count` for them."""
+def fit(counted: DataFrame) -> Model:
+    """counted: the rows of `_read`."""
     pairs = np.zeros((VOCAB + 1) ** 2)
     table = counted.where(F.col("kind") == PAIR).groupBy("key").agg(F.sum("value").alias("n")).toArrow()  # (VOCAB + 1)^2 rows at most
     pairs[table.column("key").to_numpy()] = table.column("n").to_numpy()
     model = Model(pairs.reshape(VOCAB + 1, VOCAB + 1))
     if not pairs.any():
         return model
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    found = texts.coalesce(max(1, int(pairs.sum() // TASK_SUBWORDS))).mapInArrow(_train(shared, ranks), "weights binary, n double")
+    shared = counted.sparkSession.sparkContext.broadcast(model)
+    texts = counted.where((F.col("kind") == TEXT) & F.col("train")).select("subwords")
+    found = texts.coalesce(max(1, int(pairs.sum() // TASK_SUBWORDS))).mapInArrow(_train(shared), "weights binary, n double")
     found = found.withColumn("g", F.floor(F.rand(0) * AVERAGERS)).groupBy("g").applyInPandas(lambda rows: _weighted_sum(rows[["weights", "n"]]), "weights binary, n double").collect()
     model.unpack((sum(np.frombuffer(r["weights"], np.float64) for r in found) / sum(r["n"] for r in found)).astype(np.float32))
     return model
 
 
-def _score(model, ranks, frequent):
+def _score(model, opens, frequent):
     """One row for each text, and one for each text and word that is not among the frequent ones."""
 
     def run(batches):
-        subwords, own = Subwords(ranks), model.value
+        own = model.value
         tables, known, count = own.tables(), *frequent.value
-        number = 0
         for batch in batches:
-            ids = batch.column(0)
-            body_all, at_all = tx.buffers(batch.column(1))
-            keys = row_keys(number, len(ids))
-            number += len(ids)
-            for i, j in tx.slices(at_all, SLICE):
-                t = Tokens(*tx.cut(body_all, at_all, i, j), subwords)
+            ids, keys, n_tokens = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for i, j, t in Stream.of(batch.column(3)):
                 token = np.empty(len(t.ids), np.float64)
                 first, start, size = t.windows()
-                for k in range(0, len(first), 2048):
-                    f = first[k : k + 2048]
-                    targets, valid = t.targets(f, size[k : k + 2048])
+                for k in range(0, len(first), SCORED):
+                    f = first[k : k + SCORED]
+                    targets, valid = t.targets(f, size[k : k + SCORED])
                     at = (f[:, None] + np.arange(BLOCK)[None, :])[valid]
-                    token[at] = own.log_probability(t.keys(f, start[k : k + 2048]), targets, valid, tables)
+                    token[at] = own.log_probability(t.keys(f, start[k : k + SCORED]), targets, valid, tables)
                 score = np.add.reduceat(token, t.starts) if t.rows else np.zeros(0)
                 # each text's distinct words and its end, and how often they occur
-                word = np.append(t.hash, np.uint64(_END_HASH))
-                pair, times = np.unique(np.concatenate([t.row * len(word) + t.word, np.arange(t.rows) * len(word) + len(t.hash)]), return_counts=True)
+                row, h = t.words(opens)
+                h, word = np.unique(h, return_inverse=True)
+                pair, times = np.unique(np.concatenate([row * (len(h) + 1) + word, np.arange(t.rows) * (len(h) + 1) + len(h)]), return_counts=True)
+                word = np.append(h, np.uint64(_END_HASH))
                 owner, word = pair // len(word), word[pair % len(word)]
                 place = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
                 c = np.where(known[place] == word, count[place], 0.0) if len(known) else np.zeros(len(word))
@@ -374,7 +447,7 @@ def _score(model, ranks, frequent):
                 doc_hash = tx.mix(keys[i:j].astype(np.uint64) + np.uint64(99))
                 columns = [
                     ids.take(pa.array(take)), pa.array(keys[take]), pa.array(tx.signed(np.concatenate([doc_hash, word[rare]]))),
-                    pa.array(np.concatenate([np.zeros(t.rows, np.int64), times[rare]])), pa.array(np.concatenate([t.counts + 1, pad]).astype(np.int64)),
+                    pa.array(np.concatenate([np.zeros(t.rows, np.int64), times[rare]])), pa.array(np.concatenate([n_tokens[i:j], pad]).astype(np.int64)),
                     pa.array(np.concatenate([per_row(times), pad]).astype(np.int64)), pa.array(np.concatenate([per_row(times * np.log10(c + 0.5)), pad])),
                     pa.array(np.concatenate([score / np.log(10), pad])),
                 ]
@@ -401,20 +474,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     ranks = vocabulary(vocabulary_path)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    training = rows.where(~F.coalesce(held_out("id", 5), F.lit(False))).select("text")
-    counted = durable(training.mapInArrow(_count(ranks), "kind int, key long, value long"))
+    train = ~F.coalesce(held_out(id_col, 5), F.lit(False))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
+    counted = durable(rows.mapInArrow(_read(ranks), f"kind int, key long, value long, train boolean, subwords binary, id {kind}"))
     words = durable(counted.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("value").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     often, table = _frequent(words)
     h, c = table.column("key").to_numpy().view(np.uint64), table.column("c").to_numpy().astype(float)
     order = np.argsort(h)
     sc = spark.sparkContext
-    scored = rows.mapInArrow(
-        _score(sc.broadcast(fit(training, counted, ranks)), ranks, sc.broadcast((h[order], c[order]))),
+    texts = counted.where(F.col("kind") == TEXT).select("id", "key", "value", "subwords")
+    scored = texts.mapInArrow(
+        _score(sc.broadcast(fit(counted)), opening(ranks), sc.broadcast((h[order], c[order]))),
         f"id {kind}, row long, key long, times long, n_tokens long, known long, base double, score double",
     )
-    release(counted)
     scored = scored.join(words.where(~often), "key", "left")
     scored = scored.groupBy("id", "row").agg(
         F.sum("n_tokens").alias("n_tokens"),
@@ -423,7 +496,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sum("score").alias("score"),
     )
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
-    return scored.select("id", "row", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    scored = durable(scored.select("id", "row", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"))
+    release(counted, words)
+    return scored
 
 
 def report(docs: DataFrame) -> DataFrame:

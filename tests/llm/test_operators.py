@@ -670,3 +670,33 @@ def test_every_window_trains(spark):
         before = model.pack()
         assert language_model.Learner(model).learn(tokens, 0) == -(-len(tokens.ids) // language_model.BLOCK)
         assert model.pack() != before
+
+
+def test_language_model_reads_texts_once(spark):
+    """Counting, training and scoring share one reading of the texts, whose subwords are kept."""
+    texts, read = sentences(22, 30, 40, 60) + EDGE, spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = language_model.report(documents(spark, texts).withColumn("text", seen("text"))).collect()
+    assert len(rows) == len(texts) == read.value
+
+
+def test_kept_subwords_give_the_same_words(monkeypatch):
+    lm, texts = language_model, sentences(23, 20, 30, 50) + EDGE
+    ranks = lm.vocabulary()
+    t = lm.Tokens(*lm.tx.buffers(lm.pa.array(texts, lm.pa.string())), lm.Subwords(ranks))
+    monkeypatch.setattr(lm, "SLICE", 400)
+    ids, rows, hashes = [], [], []
+    for i, j, part in lm.Stream.of(t.column()):
+        row, h = part.words(lm.opening(ranks))
+        assert part.rows == j - i and (part.inputs[part.starts] == lm.END).all()
+        ids.extend(part.ids.tolist())
+        rows.extend((row + i).tolist())
+        hashes.extend(h.tolist())
+    assert ids == t.ids.tolist() and rows == t.row.tolist() and hashes == t.hash[t.word].tolist()
+    words = [w for x in texts for w in re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))]
+    assert len(set(words)) == len(t.hash) == len(set(zip(words, hashes, strict=True)))
