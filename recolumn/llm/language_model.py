@@ -12,8 +12,9 @@ Windows. A window scores BLOCK targets; its keys are the inputs of these targets
 and of the CONTEXT positions before, so windows overlap and every token is scored
 once, with a mask that hides later positions. Windows go through in batches.
 
-Learning. One pass over the training texts counts words and subword pairs. A second
-pass trains the attention on every window of every training text, ends and short texts included,
+Learning. Texts are read once: that pass counts words and subword pairs of the training texts and keeps every text's
+subwords as a table, which training and scoring read. Words are known by the hash of their subwords. A pass over that table
+trains the attention on every window of every training text, ends and short texts included,
 once: each task starts from the same weights and takes Adam steps over its texts' windows, and the weights
 are averaged by windows (at most AVERAGERS rows reach the driver). Tasks get at least TASK_SUBWORDS where there are that many.
 
@@ -50,7 +51,7 @@ BATCH, RATE = 256, 0.01
 TASK_SUBWORDS, AVERAGERS = 2_000_000, 16
 FREQUENT = 300_000
 SLICE = 4 << 20
-FETCH, SCORED = 32 * BATCH, 1024
+FETCH, SCORED = 32 * BATCH, 512
 _END_HASH = 0x5BD1E995
 
 
@@ -437,18 +438,19 @@ def _score(model, opens, frequent):
                 h, word = np.unique(h, return_inverse=True)
                 pair, times = np.unique(np.concatenate([row * (len(h) + 1) + word, np.arange(t.rows) * (len(h) + 1) + len(h)]), return_counts=True)
                 word = np.append(h, np.uint64(_END_HASH))
-                owner, word = pair // len(word), word[pair % len(word)]
+                owner, which = np.divmod(pair, len(word))
                 place = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
                 c = np.where(known[place] == word, count[place], 0.0) if len(known) else np.zeros(len(word))
-                often, rare = c > 0, np.flatnonzero(c == 0)
+                often, logs = (c > 0)[which], np.log10(c + 0.5)[which]
+                rare = np.flatnonzero(~often)
                 per_row = lambda x: np.bincount(owner[often], x[often], minlength=t.rows)  # noqa: B023, E731
                 take = np.concatenate([np.arange(t.rows), owner[rare]]) + i
                 pad = np.zeros(len(rare))
                 doc_hash = tx.mix(keys[i:j].astype(np.uint64) + np.uint64(99))
                 columns = [
-                    ids.take(pa.array(take)), pa.array(keys[take]), pa.array(tx.signed(np.concatenate([doc_hash, word[rare]]))),
+                    ids.take(pa.array(take)), pa.array(keys[take]), pa.array(tx.signed(np.concatenate([doc_hash, word[which[rare]]]))),
                     pa.array(np.concatenate([np.zeros(t.rows, np.int64), times[rare]])), pa.array(np.concatenate([n_tokens[i:j], pad]).astype(np.int64)),
-                    pa.array(np.concatenate([per_row(times), pad]).astype(np.int64)), pa.array(np.concatenate([per_row(times * np.log10(c + 0.5)), pad])),
+                    pa.array(np.concatenate([per_row(times), pad]).astype(np.int64)), pa.array(np.concatenate([per_row(times * logs), pad])),
                     pa.array(np.concatenate([score / np.log(10), pad])),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "key", "times", "n_tokens", "known", "base", "score"])
