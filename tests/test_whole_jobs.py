@@ -17,6 +17,7 @@ class Seen(Exception):
 #: Least epochs, and whether all of them run at one rate.
 PUBLISHED = {
     "light_gcn_topn": (100, True),
+    "ngcf_topn": (100, True),
 }
 
 
