@@ -18,6 +18,7 @@ class Seen(Exception):
 PUBLISHED = {
     "light_gcn_topn": (100, True),
     "ngcf_topn": (100, True),
+    "bpr_graph_topn": (300, False),
 }
 
 
