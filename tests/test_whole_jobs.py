@@ -19,6 +19,7 @@ PUBLISHED = {
     "light_gcn_topn": (100, True),
     "ngcf_topn": (100, True),
     "bpr_graph_topn": (300, False),
+    "vector_graph_topn": (300, False),
 }
 
 
