@@ -6,7 +6,7 @@ the block's range in that dimension. For a query, the cells bound every row's
 inner product from above; exact vectors are read in the order of that bound
 until the k-th exact score is above the next bound (rows that tie the k-th score
 are read too). Query blocks meet data blocks by an equi-join on a group number:
-queries are copied once for each group, data rows are not. Each task keeps k rows
+queries are copied once for each group, at most COPIES times for each core, data rows are not; both sides are shuffled. Each task keeps k rows
 for each query that it met; a ranked window takes the best of these.
 
 Vectors whose integers have a squared length of 2**62 or more are packed into blocks of their own, as doubles: products with them are bounded
@@ -34,6 +34,7 @@ from pyspark.sql.types import IntegralType
 from .cluster import bounded_batches
 
 BLOCK, QUERY_BLOCK, HELD_QUERIES = 4096, 1024, 50_000
+COPIES = 4  # of the queries, for each core at most
 _PACKED = "dim int, first long, n int, wide boolean, ids binary, vectors binary, cells binary, low binary, step binary"
 
 
@@ -176,10 +177,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_c
     data = rows.mapInArrow(_pack(scale, BLOCK), _PACKED)
     queries = rows.where(is_query(F.col("id"))).distinct().mapInArrow(_pack(scale, QUERY_BLOCK), _PACKED)
     queries = queries.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("first", "n", "wide", "ids", "vectors")])
-    groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = vectors.sparkSession
+    groups = min(int(spark.conf.get("spark.sql.shuffle.partitions")), COPIES * spark.sparkContext.defaultParallelism)
     data = data.withColumn("g", F.pmod(F.xxhash64("first", "n"), F.lit(groups)))
     queries = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-    found = data.join(queries, ["dim", "g"]).mapInArrow(_search(k, scale), "query_id long, vec_id long, score long")
+    # Spark's estimate of the queries leaves out their copies: without the hint they would pass through the driver in a broadcast
+    found = data.join(queries.hint("merge"), ["dim", "g"]).mapInArrow(_search(k, scale), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
