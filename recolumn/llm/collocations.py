@@ -31,6 +31,7 @@ from .cluster import bit_table, bounded_batches, durable, release, row_keys
 
 LEAST, DEPTH, TOP = 100, 5, 2000
 SHARD_WORDS = 1 << 18
+GROUP_SHARDS = 4  # shards in a row group of their table: what a task writes or reads at once, about 3.5 MB each
 TABLE_BITS = 27  # of a bit table, as a power of two
 HOT_ROWS = 100_000  # most rows of the broadcast table of common parts
 PARTS = 64
@@ -350,7 +351,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """lang, phrase, a, l, r, n, score of every phrase that no longer one subsumes."""
     spark = bounded_batches(docs.sparkSession)
     send = spark.sparkContext.broadcast
-    shards = durable(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_shards(shard_words, depth), SHARD))
+    shards = durable(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_shards(shard_words, depth), SHARD), GROUP_SHARDS)
     totals = durable(shards.select(F.explode(F.arrays_zip("n_langs", "n")).alias("p")).groupBy(F.col("p.n_langs").alias("lang")).agg(F.sum("p.n").alias("n")))
     singles = _counted(shards, 1, 1, least)
     words = send(bit_table(singles, "key", TABLE_BITS))
