@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from recolumn.operators import train
+from recolumn.operators import recommend, train
 from recolumn.plans import models
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -37,3 +37,26 @@ def test_training_queries_run_the_published_epochs(spark, monkeypatch, name):
     schedule = train.Schedule(settings)
     losses = [schedule.improved(1.0) or schedule.over for _ in range(epochs)]
     assert losses[0] and (not any(losses[1:]) and schedule.rate == settings.rate if constant else settings.patience >= 15)
+
+
+def test_users_with_equal_histories_are_scored_once(spark, monkeypatch):
+    """Equal probes are scored once, and everyone still gets their own list."""
+    scored, score = [], recommend.score_blocks
+
+    def counted(users, *args, **more):
+        scored.append(users.count())
+        return score(users, *args, **more)
+
+    monkeypatch.setattr(recommend, "score_blocks", counted)
+    items = spark.range(40).selectExpr("id AS item_id", "transform(sequence(1, 4), i -> sin(id * i + i)) AS vector")
+    alike = spark.range(20).selectExpr("id AS user_id", "explode(sequence(0L, 5L)) AS item_id")
+    other = spark.range(20, 22).selectExpr("id AS user_id", "explode(sequence(id - 20, id - 14)) AS item_id")
+    positives = alike.union(other).selectExpr("user_id", "item_id", "item_id % 2 AS cluster")
+    seen = positives.select("user_id", "item_id").union(spark.createDataFrame([(7, 30)], "user_id long, item_id long"))
+    find = lambda some: {tuple(r)[:3] for r in recommend.clustered_knn(positives.where(some), items, seen.where(some), 4, 8).select("user_id", "item_id", "recommendation_rank", "score").collect()}
+    whole = find("true")
+    # two clusters of each of three kinds of user, of which two share one; user 7 has seen one more item
+    assert scored == [5, 4]
+    for user in (0, 7, 19, 20, 21):
+        mine = {r for r in whole if r[0] == user}
+        assert len(mine) == 8 and mine == find(f"user_id = {user}")
