@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from recolumn.operators import recommend, train
+from recolumn.operators import factor, recommend, train
 from recolumn.plans import models
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -60,3 +60,11 @@ def test_users_with_equal_histories_are_scored_once(spark, monkeypatch):
     for user in (0, 7, 19, 20, 21):
         mine = {r for r in whole if r[0] == user}
         assert len(mine) == 8 and mine == find(f"user_id = {user}")
+
+
+def test_als_deals_users_to_all_cores(spark, monkeypatch):
+    taken, als = {}, factor.ALS
+    monkeypatch.setattr(factor, "ALS", lambda **k: taken.update(k) or als(**k))
+    rows = spark.range(60 * 6).selectExpr("id div 6 as user_id", "(id * 7 + id div 6) % 12 as item_id", "CAST(id % 5 + 1 AS INT) as rating")
+    assert factor.als_top_n(rows, 3, rounds=2).count() > 0
+    assert taken["numUserBlocks"] >= max(10, 3 * spark.sparkContext.defaultParallelism) and taken["maxIter"] == 2
