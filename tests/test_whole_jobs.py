@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from recolumn.functions import vectors as V
 from recolumn.operators import factor, recommend, train
 from recolumn.plans import models
 
@@ -68,3 +70,10 @@ def test_als_deals_users_to_all_cores(spark, monkeypatch):
     rows = spark.range(60 * 6).selectExpr("id div 6 as user_id", "(id * 7 + id div 6) % 12 as item_id", "CAST(id % 5 + 1 AS INT) as rating")
     assert factor.als_top_n(rows, 3, rounds=2).count() > 0
     assert taken["numUserBlocks"] >= max(10, 3 * spark.sparkContext.defaultParallelism) and taken["maxIter"] == 2
+
+
+def test_sums_by_position_of_a_named_column(spark):
+    """An epoch builds sums of hundreds of positions several times: by name they are one call, with the same values."""
+    rows = spark.createDataFrame([("a", [1.5, 2.0, None]), ("a", [0.25, None, 4.0]), ("b", [3.0]), ("c", None)], "id string, vector array<double>")
+    by = lambda v: {r["id"]: r["x"] for r in rows.groupBy("id").agg(V.sum_by_position(v, 3).alias("x")).collect()}
+    assert by("vector") == by(F.col("vector")) == {"a": [1.75, 2.0, 4.0], "b": [3.0, None, None], "c": [None] * 3}
